@@ -92,7 +92,7 @@ def auc_tied(scores: DataFrame, score: str = "score", label: str = "label", keys
 def pr_tied(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """(precision, recall, threshold): a point a distinct threshold and the end (1, 0)."""
     r = roc_tied(scores, score, label).where("threshold < double('infinity')")
-    points = r.select((F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.col("tpr").alias("recall"), "threshold")
+    points = r.select(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.col("tpr").alias("recall"), "threshold")
     end = scores.sparkSession.range(1).select(F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), F.lit(None).cast("double").alias("threshold"))
     return points.unionByName(end)
 
@@ -152,7 +152,7 @@ def rank_edges(weights: DataFrame, edges: DataFrame) -> DataFrame:
 def layer_summary(scores: DataFrame, label: str = "label") -> DataFrame:
     """(run_id, auroc, precision_area, recall_area) of each run; areas over thresholds, divided by their range."""
     r = roc_tied(scores, "score", label, ("run_id",)).where("threshold < double('infinity')")
-    points = r.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.col("tpr")})
+    points = r.withColumns({"precision": F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), "recall": F.col("tpr")})
     one = auc_tied(scores, "score", label, ("run_id",)).withColumnRenamed("area", "auroc")
     for name in ("precision", "recall"):
         one = one.join(normalized_area(points, "threshold", name, ("run_id",)).withColumnRenamed("area", f"{name}_area"), "run_id")

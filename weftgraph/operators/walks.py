@@ -27,19 +27,19 @@ def random_walk(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (),
     base = nodes.join(live.withColumn("s", F.lit(1.0)), [*k, "node"], "left").na.fill(0.0, ["s"])
     whole = Window.partitionBy(*k) if k else Window.partitionBy(F.lit(1))
     base = checkpointed(base.select(*k, "node", (F.col("s") / F.sum("s").over(whole)).alias("p"), F.count(F.lit(1)).over(whole).alias("n")).where("p is not null"))
-    rank = base.select(*k, "node", (F.lit(1.0) / F.col("n")).alias("score"))
+    state = base.withColumn("score", F.lit(1.0) / F.col("n"))
     for _ in range(max_iter):
-        moved = rank.withColumnRenamed("node", "src").join(steps, [*own, "src"]).groupBy(*k, F.col("dst").alias("node"))
+        moved = state.select(*k, F.col("node").alias("src"), "score").join(steps, [*own, "src"]).groupBy(*k, F.col("dst").alias("node"))
         moved = moved.agg(F.sum(F.col("score") * F.col("share")).alias("m"))
-        new = base.join(moved, [*k, "node"], "left").join(rank, [*k, "node"]).select(
-            *k, "node", "n", ((1 - restart) * F.coalesce("m", F.lit(0.0)) + restart * F.col("p")).alias("new"), "score"
+        new = (1 - restart) * F.coalesce("m", F.lit(0.0)) + restart * F.col("p")
+        state = checkpointed(
+            state.withColumnRenamed("score", "last").join(moved, [*k, "node"], "left").select(*k, "node", "p", "n", new.alias("score"), "last")
         )
-        new = checkpointed(new)
-        off = new.groupBy(*k).agg((F.sum(F.abs(F.col("new") - F.col("score"))) / F.max("n")).alias("off")).agg(F.max("off")).first()[0]
-        rank = new.select(*k, "node", F.col("new").alias("score"))
+        off = state.groupBy(*k).agg((F.sum(F.abs(F.col("score") - F.col("last"))) / F.max("n")).alias("off")).agg(F.max("off")).first()[0]
+        state = state.drop("last")
         if off is None or off < tol:
             break
-    return rank
+    return state.select(*k, "node", "score")
 
 
 def ranked_without_seeds(scores: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -1,11 +1,772 @@
-"""All queries of the library and their SQL counterparts."""
+"""All queries of the library on the test tables, and the SQL that gives the same rows.
+
+Stand-ins: ``g1`` a sparse part-supplier graph, ``g2`` the cosine graph of the embeddings, samples are orders and genes
+are parts, rankings are documents by length with quality or toxicity as labels.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from weftgraph.functions.iterate import checkpointed
+from weftgraph.operators import encoding, network, pairs, ranking, selection, statistics, walks
+from weftgraph.operators.components import connected_components
+from weftgraph.plans import pipelines
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries():
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark, d, name) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r(*columns: str):
+    return [F.round(c, 6).alias(c) for c in columns]
+
+
+# Stand-in inputs -------------------------------------------------------------------------------------------------
+
+def g1(spark, d):
+    rows = _t(spark, d, "lineitem").where("l_quantity = 50 and l_returnflag = 'R'")
+    return rows.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+
+
+G1 = "g1 AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R')"
+BOTH = "both_ways AS (SELECT src, dst FROM g1 UNION ALL SELECT dst, src FROM g1)"
+
+
+def weights1(spark, d):
+    """Weights of part-supplier pairs: mean discount over line items; more pairs than g1 has edges."""
+    rows = _t(spark, d, "lineitem").where("l_returnflag = 'R'")
+    return rows.groupBy(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).agg(
+        F.round(F.avg("l_discount"), 6).alias("weight"), F.count(F.lit(1)).alias("n"))
+
+
+W1 = """w1 AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, round(avg(l_discount), 6) AS weight, count(*) AS n
+  FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)"""
+
+
+def g2(spark, d):
+    return checkpointed(_cosine(spark, d).where("weight > 0.25"))
+
+
+def _cosine(spark, d):
+    v = _t(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id"), "embedding")
+    return pairs.cosine_pairs(v.withColumn("run", F.lit(0)), ["run"], "vec_id", "embedding").select("src", "dst", "weight")
+
+
+_DOTS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+cosine AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS weight
+  FROM v a JOIN v b ON a.vec_id < b.vec_id)"""
+G2 = _DOTS + ", g2 AS (SELECT * FROM cosine WHERE weight > 0.25)"
+
+
+def expr(spark, d):
+    return _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("sample_id"), F.col("l_partkey").cast("string").alias("gene_id")).agg(
+        F.sum("l_quantity").cast("double").alias("value"))
+
+
+EXPR = "expr AS (SELECT CAST(l_orderkey AS VARCHAR) AS sample_id, CAST(l_partkey AS VARCHAR) AS gene_id, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2)"
+
+
+def vocab(spark, d):
+    part = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("gene_id"), (F.col("p_partkey") + 1).cast("int").alias("token"))
+    med = _t(spark, d, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("gene_id")).agg(F.percentile(F.col("l_quantity").cast("double"), F.lit(0.5)).alias("median"))
+    return part.join(med, "gene_id")
+
+
+VOCAB = """vocab AS (SELECT CAST(p_partkey AS VARCHAR) AS gene_id, CAST(p_partkey + 1 AS INTEGER) AS token, median
+  FROM part JOIN (SELECT l_partkey, quantile_cont(CAST(l_quantity AS DOUBLE), 0.5) AS median FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)"""
+ENCODED = EXPR + ", " + VOCAB + """, ranked AS (SELECT sample_id, gene_id, token, expr.value / median AS value,
+  row_number() OVER (PARTITION BY sample_id ORDER BY expr.value / median DESC, gene_id) AS r FROM expr JOIN vocab USING (gene_id)),
+encoded AS (SELECT sample_id, array_agg(token ORDER BY r) AS input_ids, count(*) AS length FROM ranked WHERE r <= 8 GROUP BY 1)"""
+
+
+def encoded(spark, d):
+    return encoding.rank_encode(encoding.normalize_by_vocab(expr(spark, d), vocab(spark, d)), 8)
+
+
+def ranking1(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"), F.size(F.split("text", " ")).cast("double").alias("score2"))
+    return _t(spark, d, "labels").join(docs, "doc_id").select(F.col("doc_id").alias("Name"), "score", "score2", F.col("quality").alias("label"), "toxic")
+
+
+R1 = """r1 AS (SELECT doc_id AS "Name", CAST(n_chars AS DOUBLE) AS score, CAST(len(string_split(text, ' ')) AS DOUBLE) AS score2, quality AS label, toxic
+  FROM labels JOIN documents USING (doc_id)),
+cum AS (SELECT *, row_number() OVER w AS rank, sum(label) OVER w AS m, sum(label) OVER () AS p, count(*) OVER () AS n
+  FROM r1 WINDOW w AS (ORDER BY score DESC, "Name" ROWS UNBOUNDED PRECEDING))"""
+
+
+def drugs(spark, d):
+    o = _t(spark, d, "orders").where("o_orderdate >= date'1996-01-01' and o_orderdate < date'1997-01-01'")
+    li = _t(spark, d, "lineitem")
+    return o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(
+        F.col("o_orderkey").alias("Name"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("withdrawn").alias("Status"), F.lit("Humans").alias("organism"),
+        F.col("o_orderpriority").alias("Indication"), F.col("l_partkey").alias("Gene_Target"), F.col("l_linenumber").alias("row_no"))
+
+
+DRUGS = """drugs AS (SELECT o_orderkey AS "Name", CASE WHEN o_orderstatus = 'F' THEN 'approved' ELSE 'withdrawn' END AS "Status", o_orderpriority AS "Indication",
+  l_partkey AS "Gene_Target", l_linenumber AS row_no FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01')"""
+
+
+def associations(spark, d):
+    return _t(spark, d, "part").select(
+        F.col("p_brand").alias("NewName"), F.col("p_partkey").alias("HGNC_Symbol"), (F.col("p_size") % 3).cast("int").alias("Strong"),
+        (F.col("p_size") % 2).cast("int").alias("Weak"), F.col("p_type").alias("DescriptorName"))
+
+
+GDA = """gda AS (SELECT p_brand AS "NewName", p_partkey AS "HGNC_Symbol", p_size % 3 AS "Strong", p_size % 2 AS "Weak", p_type AS "DescriptorName" FROM part)"""
+
+# Encoding --------------------------------------------------------------------------------------------------------
+
+@query(f"WITH {EXPR} SELECT sample_id, gene_id, round(value / quantile_cont(value, 0.5) OVER (PARTITION BY gene_id), 6) AS value FROM expr")
+def gene_median_normalization(spark, d):
+    return encoding.normalize_by_gene_median(expr(spark, d)).select("sample_id", "gene_id", *_r("value"))
+
+
+@query(f"WITH {EXPR}, {VOCAB} SELECT sample_id, gene_id, token, round(expr.value / median, 6) AS value FROM expr JOIN vocab USING (gene_id)")
+def vocab_normalization(spark, d):
+    return encoding.normalize_by_vocab(expr(spark, d), vocab(spark, d)).select("sample_id", "gene_id", "token", *_r("value"))
+
+
+@query(f"WITH {ENCODED} SELECT sample_id, array_to_string(input_ids, ',') AS ids, CAST(length AS INTEGER) AS length FROM encoded")
+def rank_value_encoding(spark, d):
+    return encoded(spark, d).select("sample_id", F.array_join("input_ids", ",").alias("ids"), "length")
+
+
+@query(f"""WITH {ENCODED} SELECT sample_id, array_to_string(list_concat(input_ids, list_transform(range(12 - length), lambda x: 0)), ',') AS ids,
+  array_to_string(list_concat(list_transform(input_ids, lambda x: 1), list_transform(range(12 - length), lambda x: 0)), ',') AS mask FROM encoded""")
+def padded_with_mask(spark, d):
+    p = encoding.padding_mask(encoding.pad(encoded(spark, d), 12))
+    return p.select("sample_id", F.array_join("input_ids", ",").alias("ids"), F.array_join("mask", ",").alias("mask"))
+
+
+@query(f"WITH {ENCODED} SELECT sample_id, string_agg(gene_id, ',' ORDER BY r) AS genes FROM ranked WHERE r <= 8 GROUP BY 1")
+def decoded_genes(spark, d):
+    return encoding.decode(encoded(spark, d), vocab(spark, d)).select("sample_id", F.array_join("genes", ",").alias("genes"))
+
+
+@query(f"""WITH {EXPR}, m AS (SELECT CAST(p_partkey AS VARCHAR) AS symbol, 'G' || p_partkey AS gid FROM part WHERE p_size <= 25)
+  SELECT sample_id, gid AS gene_id, value FROM expr JOIN m ON gene_id = symbol""")
+def converted_ids(spark, d):
+    m = _t(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").cast("string").alias("symbol"), F.concat(F.lit("G"), "p_partkey").alias("gene_id"))
+    return encoding.convert_ids(expr(spark, d), m)
+
+
+@query(f"""WITH {EXPR}, m AS (SELECT CAST(p_partkey AS VARCHAR) AS symbol FROM part WHERE p_size <= 25)
+  SELECT DISTINCT gene_id FROM expr WHERE gene_id NOT IN (SELECT symbol FROM m)""")
+def unmapped_gene_ids(spark, d):
+    m = _t(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").cast("string").alias("symbol"), F.lit("x").alias("g"))
+    return encoding.unmapped_ids(expr(spark, d), m)
+
+
+@query(f"WITH {EXPR} SELECT * FROM expr WHERE gene_id IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_size = 7)")
+def allow_listed_genes(spark, d):
+    return encoding.keep_genes(expr(spark, d), _t(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").cast("string").alias("gene_id")))
+
+
+@query(f"WITH {EXPR} SELECT CAST(p_partkey AS VARCHAR) AS gene_id FROM part WHERE CAST(p_partkey AS VARCHAR) NOT IN (SELECT gene_id FROM expr WHERE value > 70)")
+def missing_listed_genes(spark, d):
+    return encoding.missing_genes(expr(spark, d).where("value > 70"), _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("gene_id")))
+
+
+@query(f"""WITH {ENCODED}, runs AS (SELECT range AS seed FROM range(3)),
+  drawn AS (SELECT seed, sample_id, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || '|' || sample_id), sample_id) AS r FROM encoded, runs),
+  tok AS (SELECT seed, r, unnest(input_ids) AS token FROM drawn JOIN encoded USING (sample_id) WHERE r <= 500),
+  c AS (SELECT seed, n, count(DISTINCT token) AS tokens FROM tok, (SELECT unnest([50, 200, 500]) AS n) WHERE r <= n GROUP BY 1, 2)
+  SELECT CAST(n AS INTEGER) AS n, round(avg(tokens), 6) AS mean_tokens, round(stddev_pop(tokens), 6) AS std_tokens FROM c GROUP BY 1""")
+def vocabulary_saturation(spark, d):
+    return encoding.saturation(encoded(spark, d), [50, 200, 500], 3).select("n", *_r("mean_tokens", "std_tokens"))
+
+
+@query(f"WITH {ENCODED} SELECT token, count(*) AS samples FROM (SELECT unnest(input_ids) AS token, sample_id FROM encoded) GROUP BY 1")
+def distinct_vocabulary(spark, d):
+    e = encoded(spark, d)
+    counts = e.select(F.explode("input_ids").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("samples"))
+    return encoding.distinct_tokens(e).join(counts, "token").select("token", "samples")
+
+
+@query()
+def sample_draws(spark, d):
+    return encoding.draw_samples(encoded(spark, d).select("sample_id"), 100, 7)
+
+# Pair weights ----------------------------------------------------------------------------------------------------
+
+@query(f"WITH {EXPR} SELECT a.gene_id AS src, b.gene_id AS dst, count(*) AS n FROM expr a JOIN expr b USING (sample_id) WHERE a.gene_id <= b.gene_id GROUP BY 1, 2")
+def cooccurrence_counts(spark, d):
+    return pairs.cooccurrence(expr(spark, d))
+
+
+def attention(spark, d):
+    """Pseudo attention of four heads on the encoded orders."""
+    pos = encoded(spark, d).select("sample_id", F.posexplode("input_ids").alias("i", "t"))
+    heads = spark.range(4).select(F.col("id").cast("int").alias("head"))
+    a, b = pos.select("sample_id", F.col("i").alias("pos_i"), F.col("t").alias("src")), pos.select("sample_id", F.col("i").alias("pos_j"), F.col("t").alias("dst"))
+    w = ((13 * F.col("pos_i") + 7 * F.col("pos_j") + 5 * F.col("head")) % 101) / 101.0
+    return a.join(b, "sample_id").crossJoin(F.broadcast(heads)).withColumns({"weight": w, "layer": F.lit(4)})
+
+
+ATTN = ENCODED + """, pos AS (SELECT sample_id, CAST(r - 1 AS INTEGER) AS i, token AS t FROM ranked WHERE r <= 8),
+attn AS (SELECT a.sample_id, a.i AS pos_i, b.i AS pos_j, a.t AS src, b.t AS dst, CAST(h AS INTEGER) AS head, ((13 * a.i + 7 * b.i + 5 * h) % 101) / 101.0 AS weight
+  FROM pos a JOIN pos b USING (sample_id), (SELECT range AS h FROM range(4)))"""
+
+
+@query(f"""WITH {ATTN} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(max(weight * length / 2048), 9) AS weight, count(DISTINCT sample_id) AS n
+  FROM attn JOIN encoded USING (sample_id) WHERE head <> 3 GROUP BY 1, 2""")
+def attention_max_aggregation(spark, d):
+    a = pairs.prune_heads(attention(spark, d), spark.createDataFrame([(4, 3)], "layer int, head int"))
+    return pairs.attention_max(pairs.by_length(a, encoded(spark, d))).select("src", "dst", F.round("weight", 9).alias("weight"), "n")
+
+
+@query(f"""WITH {ATTN} SELECT src, dst, round(avg(w), 6) AS weight, count(*) AS n FROM (SELECT sample_id, src, dst, avg(weight) AS w FROM attn GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def attention_avg_aggregation(spark, d):
+    return pairs.attention_avg(attention(spark, d)).select("src", "dst", *_r("weight"), "n")
+
+
+@query(f"WITH {_DOTS} SELECT src, dst, round(weight, 6) AS weight FROM cosine")
+def pairwise_cosine(spark, d):
+    return _cosine(spark, d).select("src", "dst", *_r("weight"))
+
+
+_HID = f"""{_DOTS.split('cosine AS')[0]} hid AS (SELECT vec_id % 50 AS sample_id, vec_id // 50 AS gene_id, e FROM v),
+  c AS (SELECT sample_id, a.gene_id AS src, b.gene_id AS dst, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS weight
+  FROM hid a JOIN hid b USING (sample_id) WHERE a.gene_id < b.gene_id)"""
+
+
+def _hidden(spark, d):
+    return _t(spark, d, "embeddings").select((F.col("vec_id") % 50).alias("sample_id"), F.floor(F.col("vec_id") / 50).alias("gene_id"), "embedding")
+
+
+@query(f"WITH {_HID} SELECT src, dst, round(greatest(max(weight), 0), 6) AS weight, count(*) AS n FROM c GROUP BY 1, 2")
+def embedding_max_aggregation(spark, d):
+    return pairs.embedding_aggregate(_hidden(spark, d), "max").select("src", "dst", *_r("weight"), "n")
+
+
+@query(f"WITH {_HID} SELECT src, dst, round(avg(weight), 6) AS weight, count(*) AS n FROM c GROUP BY 1, 2")
+def embedding_avg_aggregation(spark, d):
+    return pairs.embedding_aggregate(_hidden(spark, d), "avg").select("src", "dst", *_r("weight"), "n")
+
+
+@query(f"WITH {W1} SELECT count(*) AS cells, round(sum(weight), 6) AS total FROM (SELECT weight FROM w1 WHERE n > 0 UNION ALL SELECT weight FROM w1 WHERE n > 0 AND src <> dst)")
+def flattened_cells(spark, d):
+    flat = pairs.flattened(pairs.seen_only(weights1(spark, d)).select("src", "dst", "weight"))
+    return flat.agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("weight"), 6).alias("total"))
+
+
+@query(f"""WITH {W1}, a AS (SELECT DISTINCT unnest([src, dst]) AS gene_id FROM w1 WHERE n > 1), b AS (SELECT DISTINCT unnest([src, dst]) AS gene_id FROM w1 WHERE weight > 0.05)
+  SELECT gene_id, 'left' AS side FROM a WHERE gene_id NOT IN (SELECT gene_id FROM b) UNION ALL SELECT gene_id, 'right' FROM b WHERE gene_id NOT IN (SELECT gene_id FROM a)""")
+def gene_index_parity(spark, d):
+    w = weights1(spark, d)
+    return pairs.index_difference(w.where("n > 1"), w.where("weight > 0.05"))
+
+
+@query(f"WITH {W1} SELECT a.src, a.dst, a.weight AS weight_a, round((b.weight + 1) / 2, 6) AS weight_b FROM w1 a JOIN w1 b USING (src, dst) WHERE a.n > 1 AND src <> dst")
+def aligned_rescaled_weights(spark, d):
+    w = weights1(spark, d)
+    out = pairs.aligned(pairs.off_diagonal(w).where("n > 1"), pairs.rescaled_cosine(w))
+    return out.select("src", "dst", "weight_a", *_r("weight_b"))
+
+# Networks --------------------------------------------------------------------------------------------------------
+
+def _module(spark, d):
+    return _t(spark, d, "part").where("p_size <= 25").select(F.concat(F.lit("p"), "p_partkey").alias("node")).unionByName(
+        _t(spark, d, "supplier").where("s_nationkey < 13").select(F.concat(F.lit("s"), "s_suppkey").alias("node")))
+
+
+MOD = """mod AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_size <= 25 UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_nationkey < 13)"""
+
+
+@query(f"WITH {G1}, {MOD} SELECT src, dst FROM g1 WHERE src IN (SELECT node FROM mod) AND dst IN (SELECT node FROM mod)")
+def induced_subgraph(spark, d):
+    return network.induced(g1(spark, d), _module(spark, d))
+
+
+@query(f"WITH {G1}, {W1} SELECT g1.src, g1.dst, weight FROM g1 JOIN w1 USING (src, dst) WHERE weight > 0.02")
+def weighted_network(spark, d):
+    return network.weighted(g1(spark, d), weights1(spark, d).where("weight > 0.02"))
+
+
+@query(f"WITH {G1}, {W1} SELECT src, dst FROM g1 WHERE (src, dst) NOT IN (SELECT (src, dst) FROM w1 WHERE weight > 0.02)")
+def edges_without_weight(spark, d):
+    return network.unweighted_edges(g1(spark, d), weights1(spark, d).where("weight > 0.02"))
+
+
+@query(f"WITH {G1}, {W1} SELECT a.src, a.dst, weight FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g1 WHERE src < 'p5') a JOIN w1 USING (src, dst)")
+def edge_list_weights(spark, d):
+    e = g1(spark, d)
+    return network.list_weights(e.unionByName(e.where("src < 'p5'")), weights1(spark, d))
+
+
+@query(f"""WITH {G1}, {W1}, cells AS (SELECT src, dst, weight FROM w1 UNION ALL SELECT dst, src, weight FROM w1),
+  used AS (SELECT src, dst FROM g1 UNION ALL SELECT dst, src FROM g1) SELECT c.* FROM cells c LEFT JOIN used u ON c.src = u.src AND c.dst = u.dst WHERE u.src IS NULL""")
+def background_weights(spark, d):
+    return network.background(weights1(spark, d), g1(spark, d))
+
+
+@query(f"WITH {G1}, {MOD} SELECT src, dst FROM g1 WHERE NOT (src IN (SELECT node FROM mod) AND dst IN (SELECT node FROM mod))")
+def edges_outside_module(spark, d):
+    return network.outside_module(g1(spark, d), _module(spark, d))
+
+
+@query(f"""WITH {G1}, {W1}, {MOD}, cells AS (SELECT src, dst, weight FROM w1 UNION ALL SELECT dst, src, weight FROM w1),
+  used AS (SELECT src, dst FROM g1 UNION ALL SELECT dst, src FROM g1) SELECT c.* FROM cells c LEFT JOIN used u ON c.src = u.src AND c.dst = u.dst
+  WHERE u.src IS NULL AND c.src IN (SELECT node FROM mod) AND c.dst IN (SELECT node FROM mod)""")
+def module_non_edge_weights(spark, d):
+    return network.module_non_edges(g1(spark, d), _module(spark, d), weights1(spark, d))
+
+
+@query(f"""WITH {W1}, cells AS (SELECT src, dst, weight FROM w1 UNION ALL SELECT dst, src, weight FROM w1)
+  SELECT * FROM cells WHERE src IN (SELECT 'p' || p_partkey FROM part WHERE p_size < 10) AND dst IN (SELECT 's' || s_suppkey FROM supplier WHERE s_nationkey < 5)""")
+def cross_module_weights(spark, d):
+    left = _t(spark, d, "part").where("p_size < 10").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
+    right = _t(spark, d, "supplier").where("s_nationkey < 5").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    return network.cross_weights(weights1(spark, d), left, right)
+
+
+@query(f"WITH {G1}, {BOTH}, {MOD} SELECT DISTINCT dst AS node FROM both_ways WHERE src IN (SELECT node FROM mod)")
+def first_neighbours(spark, d):
+    return network.neighbours(g1(spark, d), _module(spark, d))
+
+
+_SEED = "(SELECT min(src) FROM g1)"
+
+
+@query(f"""WITH RECURSIVE {G1}, {BOTH}, walk AS (SELECT {_SEED} AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM walk JOIN both_ways ON src = node WHERE hop < 4)
+  SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM walk GROUP BY 1""")
+def hop_layers(spark, d):
+    e = checkpointed(g1(spark, d))
+    return network.hop_bins(e, e.agg(F.min("src").alias("node")), 4)
+
+
+_REACH = f"""WITH RECURSIVE {G1}, {BOTH}, reach AS (SELECT src AS node, src AS other FROM both_ways UNION SELECT node, dst FROM reach JOIN both_ways ON src = other),
+  comp AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)"""
+
+
+@query(f"{_REACH} SELECT node, component FROM comp")
+def components(spark, d):
+    return connected_components(g1(spark, d))
+
+
+@query(f"{_REACH} SELECT node FROM comp WHERE component = (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)")
+def largest_connected_component(spark, d):
+    return network.largest_component(g1(spark, d))
+
+
+@query(f"WITH {G1}, {MOD}, deg AS (SELECT node, count(*) AS degree FROM (SELECT unnest([src, dst]) AS node FROM g1) GROUP BY 1) SELECT node, coalesce(degree, 0) AS degree FROM mod LEFT JOIN deg USING (node)")
+def node_degree(spark, d):
+    return network.degree(g1(spark, d), _module(spark, d))
+
+
+@query(f"WITH {W1} SELECT node, round(sum(weight), 6) AS strength FROM (SELECT unnest([src, dst]) AS node, weight FROM w1) GROUP BY 1")
+def node_strength(spark, d):
+    return network.strength(weights1(spark, d)).select("node", *_r("strength"))
+
+
+_TOT = f"""{G1}, {W1}, deg AS (SELECT node, count(*) AS degree FROM (SELECT unnest([src, dst]) AS node FROM g1) GROUP BY 1),
+  tot AS (SELECT node, sum(weight) AS total, degree FROM (SELECT unnest([src, dst]) AS node, weight FROM w1) JOIN deg USING (node) GROUP BY 1, 3)"""
+
+
+def _totals(spark, d):
+    e = g1(spark, d)
+    return network.total_weights(e, weights1(spark, d), network.nodes_of(e))
+
+
+@query(f"WITH {_TOT} SELECT node, round(total, 6) AS total, degree FROM tot")
+def total_weight_and_degree(spark, d):
+    return _totals(spark, d).select("node", *_r("total"), "degree")
+
+
+@query(f"WITH {_TOT} SELECT degree, count(*) AS n, round(avg(total), 6) AS mean, round(stddev_pop(total), 6) AS std FROM tot GROUP BY 1")
+def weights_by_degree(spark, d):
+    return network.by_degree(_totals(spark, d)).select("degree", "n", *_r("mean", "std"))
+
+
+@query(f"WITH {W1} SELECT src, dst, round(1 + ((SELECT max(weight) FROM w1) - weight) / ((SELECT max(weight) FROM w1) - (SELECT min(weight) FROM w1)), 6) AS weight FROM w1")
+def similarity_distances(spark, d):
+    return network.similarity_to_distance(weights1(spark, d)).select("src", "dst", *_r("weight"))
+
+
+@query(f"WITH {G1} SELECT node, count(*) AS degree FROM (SELECT unnest([src, dst]) AS node FROM g1) GROUP BY 1")
+def swapped_edges_degree(spark, d):
+    return network.degree(network.degree_preserving_shuffle(g1(spark, d), 7, 3))
+
+
+@query(f"WITH {G1} SELECT count(*) AS edges, 0 AS loops FROM g1")
+def uniform_graph_size(spark, d):
+    g = network.uniform_random_graph(g1(spark, d), 3)
+    return g.agg(F.count_distinct("src", "dst").alias("edges"), F.coalesce(F.sum((F.col("src") == F.col("dst")).cast("int")), F.lit(0)).cast("int").alias("loops"))
+
+# Walks and distances ---------------------------------------------------------------------------------------------
+
+@query(f"""WITH RECURSIVE {G1}, {BOTH}, deg AS (SELECT src, count(*) AS c FROM both_ways GROUP BY 1), nodes AS (SELECT src AS node FROM deg),
+  seed AS (SELECT node FROM nodes WHERE node LIKE 'p1%'),
+  walk AS (SELECT 0 AS k, node, 1.0 / (SELECT count(*) FROM nodes) AS score FROM nodes
+    UNION ALL SELECT w.k + 1, b.dst, 0.6 * sum(w.score / c) + CASE WHEN b.dst LIKE 'p1%' THEN 0.4 / (SELECT count(*) FROM seed) ELSE 0 END
+    FROM walk w JOIN both_ways b ON b.src = w.node JOIN deg ON deg.src = w.node WHERE w.k < 60 GROUP BY w.k, b.dst)
+  SELECT node, round(score, 6) AS score FROM walk WHERE k = 60""")
+def restart_walk(spark, d):
+    e = checkpointed(g1(spark, d))
+    seeds = network.nodes_of(e).where("node like 'p1%'")
+    return walks.random_walk(e, seeds, tol=1e-9).select("node", *_r("score"))
+
+
+@query()
+def rwr_ranking(spark, d):
+    e = checkpointed(g1(spark, d))
+    seeds = network.nodes_of(e).where("node like 'p1%'").crossJoin(spark.range(3).select(F.col("id").alias("rep")))
+    seeds = checkpointed(seeds.where(F.pmod(F.xxhash64("node", "rep"), F.lit(5)) > 0))
+    return walks.ranked_without_seeds(walks.random_walk(e, seeds, ("rep",), tol=1e-9), seeds, ("rep",)).select("rep", "node", *_r("score"), "rank")
+
+
+@query(f"""WITH RECURSIVE {G1}, {BOTH}, walk AS (SELECT src AS source, src AS node, 0 AS dist FROM (SELECT DISTINCT src FROM g1 WHERE src LIKE 'p1%')
+    UNION SELECT source, dst, dist + 1 FROM walk JOIN both_ways ON src = node WHERE dist < 40)
+  SELECT source, node, CAST(min(dist) AS DOUBLE) AS dist FROM walk GROUP BY 1, 2""")
+def hop_distances(spark, d):
+    e = checkpointed(g1(spark, d))
+    return walks.distances(e, e.where("src like 'p1%'").select(F.col("src").alias("source"), F.col("src").alias("node")))
+
+
+@query(f"""WITH RECURSIVE {G1}, {BOTH}, walk AS (SELECT src AS source, src AS node, 0 AS dist FROM (SELECT DISTINCT src FROM both_ways)
+    UNION SELECT source, dst, dist + 1 FROM walk JOIN both_ways ON src = node WHERE dist < 40)
+  SELECT source, node, CAST(min(dist) AS DOUBLE) AS dist FROM walk GROUP BY 1, 2""")
+def all_pairs_distances(spark, d):
+    return walks.all_pairs(checkpointed(g1(spark, d)))
+
+
+def _screen_inputs(spark, d):
+    e = checkpointed(g1(spark, d))
+    part = _t(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"), "p_brand", F.concat(F.lit("d"), "p_size").alias("drug"))
+    nodes = network.nodes_of(e)
+    targets = part.join(nodes, "node", "left_semi").select("drug", "node")
+    diseases = part.join(nodes, "node", "left_semi").select(F.col("p_brand").alias("disease"), "node")
+    return e, targets, diseases
+
+
+@query(f"""WITH RECURSIVE {G1}, {BOTH}, inside AS (SELECT 'p' || p_partkey AS node, p_brand, 'd' || p_size AS drug FROM part WHERE 'p' || p_partkey IN (SELECT src FROM g1)),
+  walk AS (SELECT p_brand AS disease, node, 0 AS dist FROM inside UNION SELECT disease, dst, dist + 1 FROM walk JOIN both_ways ON src = node WHERE dist < 40),
+  near AS (SELECT disease, node, min(dist) AS dist FROM walk GROUP BY 1, 2)
+  SELECT drug, disease, round(avg(dist), 6) AS d FROM inside JOIN near USING (node) GROUP BY 1, 2""")
+def drug_proximity(spark, d):
+    return walks.proximity(*_screen_inputs(spark, d)).select("drug", "disease", *_r("d"))
+
+
+@query()
+def proximity_screen(spark, d):
+    e, targets, diseases = _screen_inputs(spark, d)
+    bins = checkpointed(walks.degree_bins(network.degree(e).withColumnRenamed("degree", "value"), 20))
+    out = walks.screening(e, targets, diseases.where("disease < 'Brand#2'"), bins, 20)
+    return out.select("drug", "disease", *_r("d", "mean", "std", "z", "p"))
+
+
+@query(f"""WITH {G1}, deg AS (SELECT node, count(*) AS value FROM (SELECT unnest([src, dst]) AS node FROM g1) GROUP BY 1),
+  pos AS (SELECT node, row_number() OVER (ORDER BY value, node) - 1 AS pos, count(*) OVER () AS n FROM deg)
+  SELECT node, CAST(least(pos // 20, greatest(n // 20 - 1, 0)) AS INTEGER) AS bin FROM pos""")
+def degree_bin_of_node(spark, d):
+    return walks.degree_bins(network.degree(g1(spark, d)).withColumnRenamed("degree", "value"), 20).select("node", "bin")
+
+# Selection -------------------------------------------------------------------------------------------------------
+
+@query(f"""WITH {GDA} SELECT DISTINCT "HGNC_Symbol" FROM gda WHERE "NewName" = 'Brand#11' AND ("Strong" >= 1 OR "Weak" >= 1)""")
+def disease_gene_set(spark, d):
+    return selection.disease_genes(associations(spark, d), "Brand#11")
+
+
+@query(f"""WITH {GDA} SELECT DISTINCT 'G' || "HGNC_Symbol" AS gene_id FROM gda WHERE regexp_matches("NewName", 'Brand#1[1-3]')""")
+def genes_by_name_pattern(spark, d):
+    m = _t(spark, d, "part").select(F.col("p_partkey").alias("symbol"), F.concat(F.lit("G"), "p_partkey").alias("gene_id"))
+    return selection.genes_by_pattern(associations(spark, d), "Brand#1[1-3]", m)
+
+
+@query(f"""WITH {DRUGS} SELECT "Name", string_agg(DISTINCT CAST("Gene_Target" AS VARCHAR), ',' ORDER BY CAST("Gene_Target" AS VARCHAR)) AS targets FROM drugs WHERE "Status" LIKE '%approved%' GROUP BY 1""")
+def approved_drug_targets(spark, d):
+    t = selection.drug_targets(selection.approved_human(drugs(spark, d)).withColumn("Gene_Target", F.col("Gene_Target").cast("string")))
+    return t.select("Name", F.array_join("targets", ",").alias("targets"))
+
+
+_LAB = """near AS (SELECT DISTINCT "Name" FROM drugs WHERE "Gene_Target" IN (SELECT "Gene_Target" FROM drugs WHERE "Name" IN (SELECT "Name" FROM pos)))
+  SELECT "Name", 1 AS "Positive" FROM pos UNION ALL SELECT DISTINCT "Name", 0 FROM drugs WHERE "Name" NOT IN (SELECT "Name" FROM near) AND "Name" NOT IN (SELECT "Name" FROM pos)"""
+
+
+@query(f"""WITH {DRUGS}, pos AS (SELECT DISTINCT "Name" FROM drugs WHERE regexp_matches("Indication", '(?i)urgent|none')), {_LAB}""")
+def drug_labels(spark, d):
+    return selection.labels_by_name(drugs(spark, d), ["urgent", "none"])
+
+
+@query(f"""WITH {DRUGS}, pos AS (SELECT "Name" FROM (SELECT "Name", arg_min("Indication", row_no) AS f FROM drugs GROUP BY 1) WHERE contains(f, 'URGENT')), {_LAB}""")
+def drug_labels_first_row(spark, d):
+    return selection.labels_by_first_row(drugs(spark, d), "URGENT", "row_no")
+
+
+@query(f"""WITH {GDA} SELECT DISTINCT "NewName", contains("DescriptorName", 'STEEL') AS in_class FROM gda WHERE "DescriptorName" IS NOT NULL""")
+def disease_class_split(spark, d):
+    return selection.class_split(associations(spark, d), "STEEL")
+
+
+@query(f"""WITH {GDA} SELECT "NewName" AS module, count(*) AS size FROM gda GROUP BY 1 HAVING count(*) > 40""")
+def large_module_filter(spark, d):
+    return selection.large_modules(associations(spark, d).withColumnRenamed("NewName", "module"), 40)
+
+
+@query("""SELECT event_id AS id, -value AS "Score" FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND abs(value) < 'infinity'::DOUBLE""")
+def cleaned_inverted_scores(spark, d):
+    s = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("Score"))
+    return selection.inverted(selection.clean_scores(s), "Score")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM (SELECT *, l_orderkey || '-' || l_linenumber AS k FROM lineitem) ORDER BY md5('5|' || k), k LIMIT 500")
+def exact_sample(spark, d):
+    rows = _t(spark, d, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return selection.sample_exact(rows, 500, 5, "k").select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT rep, node, row_number() OVER (PARTITION BY rep ORDER BY md5(rep || '|' || node), node) <= (count(*) OVER (PARTITION BY rep)) // 5 AS tossed
+  FROM (SELECT p_partkey AS node FROM part WHERE p_size <= 5), (SELECT range AS rep FROM range(1, 11))""")
+def seeded_hold_out(spark, d):
+    genes = _t(spark, d, "part").where("p_size <= 5").select(F.col("p_partkey").alias("node"))
+    return selection.hold_out(genes, spark.range(1, 11).select(F.col("id").alias("rep")))
+
+# Ranking metrics -------------------------------------------------------------------------------------------------
+
+def _cum(spark, d):
+    return ranking.cumulative(ranking1(spark, d), [F.desc("score"), "Name"])
+
+
+@query(f"""WITH {R1} SELECT CAST(rank AS INTEGER) AS rank, CAST(m AS BIGINT) AS m, round(m / p, 6) AS tpr, round((rank - m) / (n - p), 6) AS fpr, round(m / rank, 6) AS precision FROM cum""")
+def cumulative_curves(spark, d):
+    return ranking.pr_points(ranking.roc_points(_cum(spark, d))).select("rank", "m", *_r("tpr", "fpr", "precision"))
+
+
+@query(f"""WITH {R1}, pts AS (SELECT rank, m / p AS tpr, (rank - 1 - m) / (n - p) AS fpr FROM cum),
+  st AS (SELECT (fpr - lag(fpr) OVER (ORDER BY rank)) * (tpr + lag(tpr) OVER (ORDER BY rank)) / 2 AS a FROM pts) SELECT round(sum(a), 6) AS area FROM st""")
+def trapezoid_area(spark, d):
+    return ranking.area(ranking.roc_points(_cum(spark, d), "literal"), "fpr", "tpr", ["rank"]).select(*_r("area"))
+
+
+@query(f"""WITH {R1}, pts AS (SELECT m / rank AS y, score AS x FROM cum), st AS (SELECT (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS a FROM pts WINDOW w AS (ORDER BY x, y))
+  SELECT round((SELECT sum(a) FROM st) / (max(x) - min(x)), 6) AS area FROM pts""")
+def normalized_curve_area(spark, d):
+    return ranking.normalized_area(ranking.pr_points(_cum(spark, d)), "score", "precision").select(*_r("area"))
+
+
+_TIED = R1 + """, by_score AS (SELECT score2 AS threshold, sum(label) AS p, count(*) - sum(label) AS q FROM r1 GROUP BY 1),
+pts AS (SELECT threshold, sum(p) OVER w / sum(p) OVER () AS tpr, sum(q) OVER w / sum(q) OVER () AS fpr, sum(p) OVER w AS tp, sum(q) OVER w AS fp FROM by_score
+  WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)), roc AS (SELECT * FROM pts UNION ALL SELECT 'infinity'::DOUBLE, 0, 0, 0, 0)"""
+
+
+@query(f"WITH {_TIED} SELECT threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM roc")
+def roc_with_ties(spark, d):
+    return ranking.roc_tied(ranking1(spark, d), "score2").select("threshold", *_r("tpr", "fpr"), "tp", "fp")
+
+
+@query(f"WITH {_TIED} SELECT round(sum(a), 6) AS area FROM (SELECT (fpr - lag(fpr) OVER w) * (tpr + lag(tpr) OVER w) / 2 AS a FROM roc WINDOW w AS (ORDER BY threshold DESC))")
+def auroc_with_ties(spark, d):
+    return ranking.auc_tied(ranking1(spark, d), "score2").select(*_r("area"))
+
+
+@query(f"WITH {_TIED} SELECT round(tp / (tp + fp), 6) AS precision, round(tpr, 6) AS recall, threshold FROM pts UNION ALL SELECT 1.0, 0.0, NULL")
+def pr_with_ties(spark, d):
+    return ranking.pr_tied(ranking1(spark, d), "score2").select(*_r("precision", "recall"), "threshold")
+
+
+@query(f"WITH {R1} SELECT CAST(rank AS INTEGER) AS top, round(m / rank, 6) AS precision, round(m / p, 6) AS recall, round(p / n, 6) AS base_precision, round(p * rank / (n * n), 6) AS base_recall FROM cum")
+def precision_recall_baselines(spark, d):
+    b = ranking.with_baselines(ranking1(spark, d), [F.desc("score"), "Name"])
+    a = ranking.precision_recall_at(ranking1(spark, d), [F.desc("score"), "Name"]).select("top", "precision", "recall")
+    return a.join(b.select("top", "base_precision", "base_recall"), "top").select("top", *_r("precision", "recall", "base_precision", "base_recall"))
+
+
+@query(f"WITH {R1} SELECT CAST(rank AS INTEGER) AS top, CAST(m AS BIGINT) AS hits FROM cum WHERE rank <= 50")
+def top_hit_counts(spark, d):
+    return ranking.top_hits(ranking1(spark, d), [F.desc("score"), "Name"], 50)
+
+
+@query(f"WITH {R1} SELECT round(rank / (n + 1), 6) AS fraction, round(m / p, 6) AS found FROM cum WHERE rank % 10 = 0 AND rank < n - 1")
+def thinned_enrichment(spark, d):
+    return ranking.enrichment(ranking.thinned(_cum(spark, d), "rank", 10, "n")).select(*_r("fraction", "found"))
+
+
+@query(f"""WITH {G1}, {W1} SELECT w1.src, w1.dst, weight, CASE WHEN g1.src IS NULL THEN 0 ELSE 1 END AS label FROM w1 LEFT JOIN g1 USING (src, dst)""")
+def labelled_edge_ranking(spark, d):
+    return ranking.rank_edges(weights1(spark, d), g1(spark, d))
+
+
+@query("""WITH two AS (SELECT l_quantity AS weight, 1 AS label FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_quantity, 0 FROM lineitem WHERE l_returnflag = 'A')
+  SELECT weight, CAST(max(m) AS BIGINT) AS m, max(r) AS rank FROM (SELECT weight, sum(label) OVER w AS m, row_number() OVER w AS r FROM two WINDOW w AS (ORDER BY weight DESC, label DESC ROWS UNBOUNDED PRECEDING)) GROUP BY 1""")
+def separated_weights(spark, d):
+    li = _t(spark, d, "lineitem").select(F.col("l_quantity").alias("weight"), "l_returnflag")
+    c = ranking.separated(li.where("l_returnflag = 'R'"), li.where("l_returnflag = 'A'"))
+    return c.groupBy("weight").agg(F.max("m").alias("m"), F.max("rank").alias("rank"))
+
+
+@query()
+def layer_metric_summary(spark, d):
+    r = ranking1(spark, d).withColumn("run_id", F.col("toxic"))
+    return ranking.layer_summary(r).select("run_id", *_r("auroc", "precision_area", "recall_area"))
+
+# Fusion ----------------------------------------------------------------------------------------------------------
+
+def _lists(spark, d):
+    r = ranking1(spark, d)
+    return r.select("Name", "score"), r.where("Name % 7 > 0").select("Name", F.col("score2").alias("score"))
+
+
+_TWO = R1 + """, two AS (SELECT a."Name", a.score AS s1, b.score2 AS s2 FROM r1 a JOIN r1 b USING ("Name") WHERE a."Name" % 7 > 0),
+rk AS (SELECT *, rank() OVER (ORDER BY s1 DESC) AS r1, rank() OVER (ORDER BY s2 DESC) AS r2, count(*) OVER (PARTITION BY s1) AS c1, count(*) OVER (PARTITION BY s2) AS c2, count(*) OVER () AS n FROM two)"""
+
+
+@query(f"""WITH {_TWO} SELECT "Name", CAST(2 * n - (r1 + (c1 - 1) / 2) - (r2 + (c2 - 1) / 2) AS DOUBLE) AS score FROM rk""")
+def borda_fusion(spark, d):
+    return ranking.borda(*_lists(spark, d)).select("Name", F.col("score").cast("double").alias("score"))
+
+
+@query(f"""WITH {_TWO} SELECT "Name", round(1 / r1 + 1 / r2, 9) AS score FROM rk""")
+def dowdall_fusion(spark, d):
+    return ranking.dowdall(*_lists(spark, d)).select("Name", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH {_TWO} SELECT "Name", round(pow(r1, -4) + pow(r2, -4), 12) AS score FROM rk""")
+def crank_fusion(spark, d):
+    return ranking.crank(*_lists(spark, d)).select("Name", F.round("score", 12).alias("score"))
+
+
+_COMB = R1 + """, a AS (SELECT "Name", row_number() OVER (ORDER BY score DESC, "Name") AS r1, count(*) OVER () AS n1 FROM r1),
+b AS (SELECT "Name", row_number() OVER (ORDER BY score2 DESC, "Name") AS r2, count(*) OVER () AS n2 FROM r1 WHERE "Name" % 7 > 0)"""
+
+
+@query(f"""WITH {_COMB} SELECT "Name", CAST(n1 - r1 + n2 - r2 AS DOUBLE) AS borda, round(1 / r1 + 1 / r2, 9) AS dowdall, (r1 + r2) / 2 AS average, round(pow(r1, -4) + pow(r2, -4), 12) AS crank FROM a JOIN b USING ("Name")""")
+def combined_rank_counts(spark, d):
+    return ranking.combined_counts(*_lists(spark, d)).select("Name", "borda", F.round("dowdall", 9).alias("dowdall"), "average", F.round("crank", 12).alias("crank"))
+
+
+@query(f"""WITH {R1} SELECT "Name", 'left' AS side FROM r1 WHERE "Name" % 7 = 0""")
+def fusion_coverage(spark, d):
+    return ranking.coverage(*_lists(spark, d))
+
+
+@query()
+def fusion_evaluation(spark, d):
+    r = ranking1(spark, d)
+    return pipelines.fused_ranking(*_lists(spark, d), r.select("Name", "label")).select("method", *_r("auroc"), "hits")
+
+
+@query()
+def logistic_score_fusion(spark, d):
+    r = ranking1(spark, d).select("Name", (F.col("score") / 1000).alias("s1"), (F.col("score2") / 100).alias("s2"), "label")
+    return ranking.logistic_fusion(r).select("Name", F.round("score", 4).alias("score"))
+
+
+@query()
+def linear_score_fusion(spark, d):
+    r = ranking1(spark, d).select("Name", (F.col("score") / 1000).alias("s1"), (F.col("score2") / 100).alias("s2"), "label")
+    return ranking.linear_fusion(r)[0].select("Name", *_r("score"))
+
+# Statistics ------------------------------------------------------------------------------------------------------
+
+@query(f"""WITH {_TOT}, x AS (SELECT ln(degree) AS x, total AS y FROM tot), s AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, regr_sxx(y, x) AS sxx,
+  regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, regr_count(y, x) AS n, regr_avgx(y, x) AS ax FROM x)
+  SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(sqrt((syy - slope * sxy) / (n - 2) / sxx), 6) AS slope_se,
+  round(sqrt((syy - slope * sxy) / (n - 2) * (1.0 / n + ax * ax / sxx)), 6) AS intercept_se FROM s""")
+def log_degree_fit(spark, d):
+    return statistics.log_linear_fit(_totals(spark, d)).select(*_r("slope", "intercept", "r2", "slope_se", "intercept_se"))
+
+
+@query(f"WITH {R1} SELECT round(corr(score, score2), 6) AS pearson, round(regr_r2(score2, score), 6) AS r2, count(*) AS n FROM r1")
+def score_correlation(spark, d):
+    r = ranking1(spark, d)
+    return statistics.correlation(r.select("Name", "score"), r.select("Name", F.col("score2").alias("score"))).select(*_r("pearson", "r2"), "n")
+
+
+@query("""WITH v AS (SELECT event_type, value AS v FROM events), w AS (SELECT event_type, stddev_samp(v) * pow(count(*), -0.2) AS h, count(*) AS n FROM v GROUP BY 1),
+  g AS (SELECT lo + (hi - lo) * i / 29 AS x FROM (SELECT min(v) AS lo, max(v) AS hi FROM v), (SELECT range AS i FROM range(30)))
+  SELECT event_type, round(x, 6) AS x, round(sum(exp(-((x - v) / h) * ((x - v) / h) / 2)) / (max(n) * max(h) * 2.5066282746310002), 6) AS density FROM v JOIN w USING (event_type), g GROUP BY 1, x""")
+def value_density(spark, d):
+    return statistics.density(_t(spark, d, "events"), "event_type", "value", 30).select("event_type", *_r("x", "density"))
+
+
+@query("""WITH b AS (SELECT value, count(*) FILTER (event_type = 'view') AS x, count(*) FILTER (event_type = 'click') AS y FROM events WHERE event_type IN ('view', 'click') GROUP BY 1),
+  c AS (SELECT abs(sum(x) OVER w / sum(x) OVER () - sum(y) OVER w / sum(y) OVER ()) * (lead(value) OVER (ORDER BY value) - value) AS part FROM b WINDOW w AS (ORDER BY value ROWS UNBOUNDED PRECEDING))
+  SELECT round((SELECT sum(part) FROM c) * sign((SELECT median(value) FROM events WHERE event_type = 'click') - (SELECT median(value) FROM events WHERE event_type = 'view')), 6) AS emd""")
+def earth_movers_distance(spark, d):
+    e = _t(spark, d, "events")
+    return statistics.signed_emd(e.where("event_type = 'view'").select("value"), e.where("event_type = 'click'").select("value")).select(*_r("emd"))
+
+
+@query("""WITH i AS (SELECT event_type, CAST(least(floor((value - 0) / (100.0 / 19)) + 1, 19) AS INTEGER) AS bin FROM events WHERE value BETWEEN 0 AND 100),
+  t AS (SELECT event_type, count(*) AS n FROM i GROUP BY 1), g AS (SELECT event_type, n, CAST(k AS INTEGER) AS bin FROM t, (SELECT range AS k FROM range(1, 20))),
+  c AS (SELECT event_type, bin, count(*) AS c FROM i GROUP BY 1, 2)
+  SELECT event_type, bin, round(coalesce(c, 0) / (n * (100.0 / 19)), 6) AS density FROM g LEFT JOIN c USING (event_type, bin)""")
+def density_histogram(spark, d):
+    return statistics.histogram(_t(spark, d, "events"), "event_type", "value", 0.0, 100.0, 19).select("event_type", "bin", *_r("density"))
+
+
+@query("""SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3,
+  round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM events GROUP BY 1""")
+def value_quartiles(spark, d):
+    return statistics.quartiles(_t(spark, d, "events"), ["event_type"], "value").select("event_type", *_r("q1", "median", "q3", "iqr"))
+
+
+@query("SELECT round(avg(toxic), 6) AS rate FROM labels")
+def base_rate(spark, d):
+    return statistics.positive_rate(_t(spark, d, "labels"), "toxic").select(*_r("rate"))
+
+
+@query("SELECT count(DISTINCT l_partkey) AS n_l_partkey, count(DISTINCT l_suppkey) AS n_l_suppkey FROM lineitem")
+def distinct_entities(spark, d):
+    return statistics.distinct_counts(_t(spark, d, "lineitem"), ["l_partkey", "l_suppkey"])
+
+# Pipelines -------------------------------------------------------------------------------------------------------
+
+@query()
+def network_separation(spark, d):
+    return pipelines.separation(weights1(spark, d).select("src", "dst", "weight"), g1(spark, d), 100_000).select(*_r("auroc"))
+
+
+@query()
+def module_detection_areas(spark, d):
+    e = g2(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
+    genes = _t(spark, d, "embeddings").where("label = 0").select(F.col("vec_id").cast("string").alias("node"))
+    nets = checkpointed(e.withColumn("network", F.lit("weighted")).unionByName(e.withColumns({"weight": F.lit(1.0), "network": F.lit("plain")})))
+    found = pipelines.module_detection(nets, genes, spark.range(1, 4).select(F.col("id").alias("rep")), keys=("network",))
+    return pipelines.module_areas(checkpointed(found), ("network",)).select("network", F.round("auroc", 4).alias("auroc"), F.round("auprc", 4).alias("auprc"))
+
+
+@query()
+def hop_decay_quartiles(spark, d):
+    e = checkpointed(g1(spark, d))
+    return pipelines.hop_decay(e, weights1(spark, d), e.agg(F.min("src").alias("node")), 4).select("hop", "nodes", *_r("q1", "median", "q3", "iqr"))
+
+
+@query()
+def repurposing_hits(spark, d):
+    e = g1(spark, d)
+    dr = _t(spark, d, "part").select(
+        F.concat(F.lit("d"), "p_size").alias("Name"), F.lit("approved").alias("Status"), F.lit("Humans").alias("organism"), F.col("p_type").alias("Indication"), F.concat(F.lit("p"), "p_partkey").alias("Gene_Target"))
+    genes = network.nodes_of(e).where("node like 's%'")
+    return pipelines.repurposing_screen(e, dr, genes, ["steel"], 10, 20)["hits"]
+
+
+@query()
+def disease_shift(spark, d):
+    e = weights1(spark, d)
+    members = network.nodes_of(e).select(F.substring("node", 2, 1).alias("disease"), "node")
+    return pipelines.shift_by_disease(e, e.withColumn("weight", F.col("weight") * F.col("weight")), members, e, 5).select("disease", *_r("emd"))
