@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import shingles
 from weftgraph.llm.common import materialize, table
-from weftgraph.llm.shared_keys import bucket_bits, effective, shared_keys
+from weftgraph.llm.shared_keys import bucket_bits, shared_keys
 from weftgraph.operators.components import connected_components
 
 ORDERS = 2
+_ORDER_BITS = 1
 LEADER_ROUNDS = 2
 BROADCAST_IDS = 2_000_000  # ids at most in a broadcast (16 MB); more are joined by shuffle
 FREQUENT = 0.0002  # share of the documents from which a shingle goes last; at most (mean shingles a document) / FREQUENT
@@ -82,8 +83,8 @@ def _prefix(own: np.ndarray, frequent: np.ndarray, order: int) -> tuple[np.ndarr
 
 
 def _tag(keys: np.ndarray, order: int) -> np.ndarray:
-    """Keys of different orders never meet."""
-    return shingles.mix(keys, 101 + order)
+    """Keys of different orders never meet: the order is the leading bits."""
+    return (shingles.mix(keys, 101) >> np.uint64(_ORDER_BITS)) | np.uint64(order << (64 - _ORDER_BITS))
 
 
 def _prefix_keys(frequent):
@@ -100,23 +101,23 @@ def _prefix_keys(frequent):
     return keys
 
 
-def _details(batches, frequent, bits):
-    """Candidates' sets, prefix ends and, for each shared key, its order."""
+def _ends(batches, frequent):
+    """(doc, n, ends): set size and, for each order, the place of the last prefix shingle."""
     for batch in batches:
-        ids, out = batch.column(0).to_pylist(), []
-        for doc, joined, keys in zip(ids, _texts(batch), batch.column(2)):
+        sizes, ends = [], []
+        for joined in _texts(batch):
             own = shingles.shingle_set(joined)
-            wanted = keys.values.to_numpy()
-            ends, tokens = [], []
-            for order in range(ORDERS):
-                key, end = _prefix(own, frequent.value, order)
-                ends.append(end)
-                key = effective(_tag(key, order), bits)
-                tokens.append(np.unique(key[np.isin(key, wanted)]).tolist())
-            out.append({"doc": doc, "n": len(own), "own": own.tobytes(), "ends": ends, "tokens": tokens})
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
-            ("doc", pa.int64()), ("n", pa.int64()), ("own", pa.binary()),
-            ("ends", pa.list_(pa.int64())), ("tokens", pa.list_(pa.list_(pa.int64())))]))
+            sizes.append(len(own))
+            ends.append([_prefix(own, frequent.value, order)[1] for order in range(ORDERS)] if len(own) else [])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], ["doc", "n", "ends"]
+        )
+
+
+def _sets(batches):
+    for batch in batches:
+        own = [shingles.shingle_set(joined).tobytes() for joined in _texts(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["doc", "own"])
 
 
 def _similar(batches):
@@ -131,8 +132,16 @@ def _similar(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose whole sets are similar."""
+def _only(docs: DataFrame, ids: DataFrame, n: int, how: str) -> DataFrame:
+    """Documents in (left_semi) or not in (left_anti) a list of n ids."""
+    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", how)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose whole sets are similar. Sets are made for the pairs' documents only."""
+    pairs = materialize(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = materialize(_only(docs, ids, ids.count(), "left_semi").mapInArrow(_sets, "doc long, own binary"), "sets")
     joined = pairs.join(sets.select(F.col("doc").alias("b"), F.col("own").alias("own_b")), "b").join(
         sets.select(F.col("doc").alias("a"), F.col("own").alias("own_a")), "a"
     )
@@ -202,29 +211,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rep = known.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     same = known.join(rep.where("copies > 1"), "digest").where("doc_id > rep").select("doc_id", "rep")
     same = materialize(same, "copies")
-    gone = same.select("doc_id").distinct()
-    reps = docs.join(F.broadcast(gone) if same.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    reps = _only(docs, same.select("doc_id").distinct(), same.count(), "left_anti")
 
     bits = bucket_bits(n_docs)
+    ends = materialize(reps.mapInArrow(lambda it: _ends(it, frequent), "doc long, n long, ends array<long>"), "ends")
     found = shared_keys(reps, _prefix_keys(frequent), n_docs)
-    lists = materialize(found.groupBy(F.col("id").alias("doc_id")).agg(F.collect_list("key").alias("keys")), "keys")
-    some = reps
-    if lists.count() <= BROADCAST_IDS:
-        some = reps.join(F.broadcast(lists.select("doc_id")), "doc_id", "left_semi")
-    details = materialize(
-        some.join(lists, "doc_id").mapInArrow(
-            lambda it: _details(it, frequent, bits),
-            "doc long, n long, own binary, ends array<long>, tokens array<array<long>>",
-        ),
-        "details",
+    order = F.shiftright("key", 32 + bits - _ORDER_BITS).cast("int")
+    places = found.withColumn("o", order).join(ends, F.col("id") == F.col("doc")).select(
+        "o", "key", "doc", "n", F.element_at("ends", F.col("o") + 1).alias("end"), F.col("doc").alias("comp")
     )
-    per_order = details.select("doc", "n", F.posexplode(F.arrays_zip("ends", "tokens")).alias("o", "z"))
-    places = per_order.select("o", F.explode("z.tokens").alias("key"), "doc", "n", F.col("z.ends").alias("end"), F.col("doc").alias("comp"))
     places = materialize(places.distinct(), "places")
     links = None
     for turn in range(LEADER_ROUNDS + 1):
         pairs = _leader_pairs(places, turn) if turn < LEADER_ROUNDS else _candidate_pairs(places)
-        new = materialize(_verified(pairs, details), "links")
+        new = materialize(_verified(pairs, reps), "links")
         links = new if links is None else links.unionByName(new)
         if turn < LEADER_ROUNDS:
             part = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
