@@ -1,0 +1 @@
+"""No streaming operators: the inventory has none."""
