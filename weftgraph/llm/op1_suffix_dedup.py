@@ -227,5 +227,38 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = Fals
     return kept.unionByName(whole)
 
 
+ORACLE_SQL = r"""
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), blocks AS (
+  SELECT doc_id, o, substr(x, 2 * o + 1, 610) AS y
+  FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2, 256)) AS o FROM bytes)
+), windows AS (
+  SELECT doc_id, o + j AS i, hash(substr(y, 2 * j + 1, 100)) AS h
+  FROM (SELECT doc_id, o, y, unnest(range(greatest(0, least(256, length(y) // 2 - 49)))) AS j FROM blocks)
+), early AS (
+  SELECT h, min(doc_id) AS d FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)
+), starts AS (
+  SELECT w.doc_id, w.i FROM windows w JOIN early e ON w.h = e.h AND w.doc_id > e.d
+), ordered AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS head FROM starts
+), runs AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT doc_id, i, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM ordered)
+  GROUP BY doc_id, run
+), gaps AS (
+  SELECT r.doc_id, r.a, r.b, coalesce(lag(r.b) OVER (PARTITION BY r.doc_id ORDER BY r.a), 0) AS before FROM runs r
+), kept AS (
+  SELECT g.doc_id, count(*) AS n_spans, sum(g.b - g.a) AS n_removed, max(g.b) AS last,
+    string_agg(substr(x, 2 * before + 1, 2 * (g.a - before)), '' ORDER BY g.a) AS k
+  FROM gaps g JOIN bytes USING (doc_id) GROUP BY g.doc_id
+)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(k, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM bytes LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))

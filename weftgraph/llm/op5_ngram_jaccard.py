@@ -241,5 +241,37 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
 
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []
+    ELSE list_distinct(list_transform(range(greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) END AS s
+  FROM words
+), same AS (
+  SELECT min(doc_id) AS rep, list_sort(s) AS s, list(doc_id) AS ids FROM sets GROUP BY list_sort(s)
+), shingle AS (
+  SELECT rep, len(s) AS n, hash(unnest(s)) AS h FROM same
+), pairs AS (
+  SELECT a.rep AS a, b.rep AS b
+  FROM shingle a JOIN shingle b ON a.h = b.h AND a.rep < b.rep AND a.n * 10 >= b.n * 8 AND b.n * 10 >= a.n * 8
+  GROUP BY a.rep, b.rep, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT a, b FROM pairs UNION SELECT b, a FROM pairs
+  UNION SELECT rep, unnest(ids) FROM same WHERE len(s) > 0
+  UNION SELECT unnest(ids), rep FROM same WHERE len(s) > 0
+), reach AS (
+  SELECT doc_id AS node, doc_id AS to_id FROM sets
+  UNION
+  SELECT r.node, e.b FROM reach r JOIN edges e ON r.to_id = e.a
+), comp AS (
+  SELECT node, min(to_id) AS component_id FROM reach GROUP BY node
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN comp ON node = doc_id
+"""
+
+
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from weftgraph.llm.op1_suffix_dedup import ORACLE_SQL as OP1_SQL
 from weftgraph.llm.op1_suffix_dedup import op1_suffix_dedup
 from weftgraph.llm.op2_pii import op2_pii
 from weftgraph.llm.op3_ann import op3_ann
 from weftgraph.llm.op4_token_ids import op4_token_ids
+from weftgraph.llm.op5_ngram_jaccard import ORACLE_SQL as OP5_SQL
 from weftgraph.llm.op5_ngram_jaccard import op5_ngram_jaccard
 from weftgraph.llm.op6_toxicity import op6_toxicity
 from weftgraph.llm.op7_decontaminate import ORACLE_SQL as OP7_SQL
@@ -26,4 +28,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_decontaminate": OP7_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_decontaminate": OP7_SQL}
