@@ -178,15 +178,19 @@ def _candidate_pairs(places: DataFrame) -> DataFrame:
     once = (F.col("comp_r") == F.col("main")) | (F.col("doc_l") < F.col("doc_r"))
     met = left.join(right, ["o", "key"]).where((F.col("comp_l") != F.col("comp_r")) & near & once)
     # Up to the nearer prefix end every common shingle is seen; beyond it at most the rest of that set is common.
-    shorter = F.when(F.col("end_l") <= F.col("end_r"), F.col("n_l")).otherwise(F.col("n_r"))
+    shorter = F.when(F.col("end_a") <= F.col("end_b"), F.col("n_a")).otherwise(F.col("n_b"))
     rest = shorter - (shorter - F.floor((shorter * 4 + 4) / 5) + 1)
+    # Which side is main changes from key to key, so a pair is turned one way round before its keys are counted.
+    turn = F.col("doc_l") > F.col("doc_r")
+    one_way = [F.when(turn, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{to}") for c in ("doc", "n", "end") for x, y, to in ("lra", "rlb")]
     per_order = (
-        met.groupBy("o", "doc_l", "doc_r", "n_l", "n_r", rest.alias("rest"))
+        met.select("o", *one_way)
+        .groupBy("o", F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "n_a", "n_b", rest.alias("rest"))
         .agg(F.count(F.lit(1)).alias("c"))
-        .where((F.col("c") + F.col("rest")) * 9 >= (F.col("n_l") + F.col("n_r")) * 4)
+        .where((F.col("c") + F.col("rest")) * 9 >= (F.col("n_a") + F.col("n_b")) * 4)
     )
     return (
-        per_order.groupBy(F.least("doc_l", "doc_r").alias("a"), F.greatest("doc_l", "doc_r").alias("b"))
+        per_order.groupBy("a", "b")
         .agg(F.count_distinct("o").alias("orders"))
         .where(F.col("orders") == ORDERS)
         .select("a", "b")
