@@ -231,6 +231,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(op6.fit(d.where("toxic = 0")).features) == 0
 
 
+def test_toxicity_counts_do_not_depend_on_batches(spark):
+    rows = [(i, f"{'vile' if i % 4 == 0 else 'calm'} {i % 7} words", int(i % 4 == 0)) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    c = [collections.Counter(int(g) for _, t, y in rows if y == k for g in op6.grams(t)) for k in (0, 1)]
+    want = {g: np.log((c[1][g] + 1) / 12) - np.log((c[0][g] + 1) / 32) for g in {*c[0], *c[1]}}
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for n in (1, 7, 10_000):
+            spark.conf.set(size, n)
+            model = op6.fit(d.repartition(5))
+            assert dict(zip(model.features.tolist(), model.ratios)) == pytest.approx(want)
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 

@@ -69,12 +69,14 @@ class Model:
 
 
 def _class_counts(batches):
-    """For each n-gram of a batch: documents of either class that have it."""
+    """For each n-gram of a task's rows: documents of either class that have it. Summed, they are counts over all rows."""
+    count = [np.zeros(1 << HASH_BITS, np.int32) for _ in range(2)]
     for batch in batches:
-        count = [np.zeros(1 << HASH_BITS, np.int32) for _ in range(2)]
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             count[toxic][grams(text)] += 1
-        at = np.flatnonzero(count[0] + count[1] > 1)  # what one document of a batch has alone is left out
+    found = np.flatnonzero(count[0] + count[1])
+    for a in range(0, len(found), 1 << 16):
+        at = found[a : a + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c[at].astype(np.int64)) for c in count)], ["gram", "c0", "c1"])
 
 
