@@ -2,7 +2,7 @@
 
 The ratios come from all labelled training documents (counts in Spark). The n-grams with the strongest, best supported
 ratios become features; a logistic regression over the scaled features is fitted to a bounded sample of the labelled
-rows. Scoring sums the weights of the features that occur in the whole text.
+rows, weighted by the inverse of their class's sampling share. Scoring sums the weights of the features that occur in the whole text.
 """
 
 from __future__ import annotations
@@ -100,7 +100,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
     share = F.when(F.col("toxic") == 1, min(1.0, sample / 2 / n1)).otherwise(min(1.0, sample / 2 / n0))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) / (1 << 20)
-    chosen = labelled.where(chance < share)
+    # A row stands for 1 / share rows of its class, so that intercept and weights are those of the classes' real shares.
+    chosen = labelled.where(chance < share).withColumn("weight", 1 / share)
 
     def vectors(batches):
         place = np.full(1 << HASH_BITS, -1, np.int32)
@@ -114,12 +115,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
                     at = at[at >= 0]
                     rows[i, at] = ratios[at]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(features)), pa.array(rows.ravel()))
-                yield pa.RecordBatch.from_arrays([flat, part.column(1).cast(pa.float64())], ["x", "label"])
+                yield pa.RecordBatch.from_arrays([flat, part.column(1).cast(pa.float64()), part.column(2)], ["x", "label", "weight"])
 
-    x = chosen.select("text", "toxic").mapInArrow(vectors, "x array<double>, label double")
-    x = materialize(x, "vectors").select(array_to_vector("x").alias("features"), "label")
-    got = LogisticRegression(maxIter=60, regParam=0.001, standardization=False).fit(x)
-    # the sample is balanced; the intercept moves back to the classes' shares half-way, which favours neither error
+    x = chosen.select("text", "toxic", "weight").mapInArrow(vectors, "x array<double>, label double, weight double")
+    x = materialize(x, "vectors").select(array_to_vector("x").alias("features"), "label", "weight")
+    got = LogisticRegression(maxIter=60, regParam=0.001, standardization=False, weightCol="weight").fit(x)
     return Model(features, ratios, got.coefficients.toArray(), float(got.intercept))
 
 
