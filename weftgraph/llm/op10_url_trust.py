@@ -1,7 +1,7 @@
 """URL filter by rules and by trust and distrust that spread over the host graph.
 
-Edges are hyperlinks between hosts (absolute or protocol-relative href) and, weaker, the tie between a host and its
-parent host. Trust is a personalised PageRank along the edges from hosts with allowed pages, distrust one against them
+Edges are hyperlinks between hosts (absolute or protocol-relative href) and, weaker, the ties between a host and the
+domains above it, whether or not these have pages. Trust is a personalised PageRank along the edges from hosts with allowed pages, distrust one against them
 from hosts with blocked pages; a host is blocked if its distrust exceeds the threshold times its trust.
 """
 
@@ -32,7 +32,9 @@ RULES = (
     Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"),
 )
 MAX_RULES = 1000
-DAMPING, ROUNDS, THRESHOLD, SITE_WEIGHT = 0.85, 6, 1.0, 0.5
+DAMPING, THRESHOLD, SITE_WEIGHT = 0.85, 1.0, 0.5
+TOLERANCE = 1e-6  # relative change of any host's score in a round at which propagation ends
+_ROUNDS = 5  # between two looks at the change
 _HREF = r"""(?i)<a\s[^>]*href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -54,23 +56,33 @@ def ruled(host, path, rules=RULES):
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight) between hosts; pages(host, html)."""
-    links = (
+    """(src, dst, weight) between hosts; pages(host, html).
+
+    A host is tied to its parent, that to its own, and so on up to two labels; to a single label (a top-level domain)
+    only if it has pages. IP addresses have no parents. No list of public suffixes is used: co.uk is a domain.
+    """
+    links = checkpointed(
         pages.select("host", F.explode(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))).alias("dst"))
         .select(F.col("host").alias("src"), lower_ascii("dst").alias("dst")).where("src != dst and src != ''")
         .groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     )
-    hosts = pages.select("host").where("host != ''").distinct()
-    parent = hosts.select("host", F.regexp_extract("host", r"\A[^.]*\.(.*)\z", 1).alias("parent"))
-    ties = parent.join(hosts.select(F.col("host").alias("parent")), "parent")
+    own = pages.select("host").where("host != ''").distinct()
+    hosts = own.union(links.select("dst")).distinct().where(~F.col("host").rlike(r"\A[0-9.]+(:[0-9]*)?\z"))
+    labels = hosts.select(F.split("host", r"\.").alias("l")).where("size(l) > 1")
+    above = labels.select("l", F.explode(F.sequence(F.lit(1), F.size("l") - 1)).alias("i"))
+    suffix = lambda at: F.array_join(F.slice("l", at, F.size("l")), ".")
+    parent = above.select(suffix(F.col("i")).alias("host"), suffix(F.col("i") + 1).alias("parent")).distinct()
+    ties = parent.join(own.select(F.col("host").alias("parent"), F.lit(True).alias("paged")), "parent", "left")
+    ties = ties.where(F.col("paged") | F.col("parent").rlike(r"[^.]\.[^.]"))
     ties = ties.select(F.explode(F.array(F.struct(F.col("host").alias("src"), F.col("parent").alias("dst")), F.struct(F.col("parent").alias("src"), F.col("host").alias("dst")))).alias("e"))
     return links.unionByName(ties.select("e.*", F.lit(SITE_WEIGHT).alias("weight"))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tol: float = TOLERANCE) -> DataFrame:
     """(host, kind, score): personalised PageRank of kind 't' along and of kind 'd' against the edges.
 
     seeds(host, kind, seed): seed masses, made to sum to 1 by kind. Mass of hosts without an edge to follow stays put.
+    Rounds go on until no host's score changes by more than tol of itself, so every host that mass can reach has some.
     """
     ways = edges.select(F.col("src").alias("host"), "dst", "weight", F.lit("t").alias("kind")).unionByName(
         edges.select(F.col("dst").alias("host"), F.col("src").alias("dst"), "weight", F.lit("d").alias("kind"))
@@ -80,15 +92,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     total = seeds.groupBy("kind").agg(F.sum("seed").alias("all"))
     start = checkpointed(seeds.join(F.broadcast(total), "kind").select("host", "kind", (F.col("seed") / F.col("all")).alias("seed")))
     rank = start.withColumnRenamed("seed", "score")
-    for _ in range(rounds):
-        moved = (
-            rank.join(ways, ["host", "kind"], "left")
-            .select(F.coalesce("dst", "host").alias("host"), "kind", (F.col("score") * F.coalesce("share", F.lit(1.0)) * damping).alias("score"))
-        )
-        rank = checkpointed(
-            moved.unionByName(start.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score")))
-            .groupBy("host", "kind").agg(F.sum("score").alias("score"))
-        )
+    off = 1.0
+    while off is not None and off > tol:
+        for _ in range(_ROUNDS):
+            last = rank
+            moved = (
+                rank.join(ways, ["host", "kind"], "left")
+                .select(F.coalesce("dst", "host").alias("host"), "kind", (F.col("score") * F.coalesce("share", F.lit(1.0)) * damping).alias("score"))
+            )
+            rank = (
+                moved.unionByName(start.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score")))
+                .groupBy("host", "kind").agg(F.sum("score").alias("score"))
+            )
+        both = checkpointed(rank.join(last.withColumnRenamed("score", "last"), ["host", "kind"], "left"))
+        # what is next to 0 in a double has no relative change to speak of
+        off = both.where("score > 1e-250").agg(F.max(F.abs(F.col("score") - F.coalesce("last", F.lit(0.0))) / F.col("score"))).first()[0]
+        rank = both.select("host", "kind", "score")
     return rank
 
 
