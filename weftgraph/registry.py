@@ -51,6 +51,11 @@ def g1(spark, d):
     return rows.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
 
 
+def whole(spark, d):
+    """The part-supplier graph of all line items."""
+    return _t(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+
+
 G1 = "g1 AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R')"
 BOTH = "both_ways AS (SELECT src, dst FROM g1 UNION ALL SELECT dst, src FROM g1)"
 
@@ -432,8 +437,9 @@ def restart_walk(spark, d):
 
 @query()
 def rwr_ranking(spark, d):
-    e = checkpointed(g1(spark, d))
-    seeds = network.nodes_of(e).where("node like 'p1%'").crossJoin(spark.range(3).select(F.col("id").alias("rep")))
+    e = checkpointed(whole(spark, d))
+    module = selection.disease_genes(associations(spark, d), "Brand#11").select(F.concat(F.lit("p"), "HGNC_Symbol").alias("node"))
+    seeds = module.crossJoin(spark.range(3).select(F.col("id").alias("rep")))
     seeds = checkpointed(seeds.where(F.pmod(F.xxhash64("node", "rep"), F.lit(5)) > 0))
     return walks.ranked_without_seeds(walks.random_walk(e, seeds, ("rep",), tol=1e-9), seeds, ("rep",)).select("rep", "node", *_r("score"), "rank")
 
