@@ -1,18 +1,18 @@
 """N-gram Jaccard join by prefixes under several global orders of the shingles.
 
-Two documents of Jaccard similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, whatever order is
-used for all. Candidates must do so under every one of ``ORDERS`` orders, and under each of them the shared part of the
-prefixes must still allow the overlap that is needed; what passes all filters is verified on whole shingle sets.
-
-Frequent shingles go last in every order. Only shingles that several documents have in their prefixes are shipped
-(shared_keys.py). Groups of copies collapse before that; groups of near copies are linked to leaders first, so that
-pairs are made only between documents that are not linked yet.
+Two documents of Jaccard similarity 0.8 with n and m shingles have at least a = ceil(4 (n + m) / 9) in common, so they
+share a shingle among the first n - a + 1 and m - a + 1 of each, whatever order is used for all. Candidates must do so
+under every one of ``ORDERS`` orders; what passes all filters is verified on whole shingle sets.
+
+All orders put shingles that one document has first, then the rarer before the more frequent ones; they differ among
+shingles that are about as frequent. So a document that has over a fifth of its shingles to itself has no prefix to
+share: these are found first (private_keys.py), and only the others' sets are made and shipped. Exact copies collapse
+before that; groups of near copies are linked to their most central documents before pairs are made between documents
+that are not linked yet.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,146 +20,78 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import shingles
 from weftgraph.llm.common import materialize, table
-from weftgraph.llm.shared_keys import bucket_bits, shared_keys
+from weftgraph.llm.private_keys import private_counts
 from weftgraph.operators.components import connected_components
 
 ORDERS = 2
-_ORDER_BITS = 1
-LEADER_ROUNDS = 2
-BROADCAST_IDS = 2_000_000  # ids at most in a broadcast (16 MB); more are joined by shuffle
-FREQUENT = 0.0002  # share of the documents from which a shingle goes last; at most (mean shingles a document) / FREQUENT
-_IN_BATCH = 3  # a batch reports a shingle that so many of its documents have
+BROADCAST_IDS = 500_000  # documents at most in a broadcast (about 50 MB); more are joined by shuffle
+WORTH = 0.02  # leaders are tried again while a round links this share of the documents that may have links
 
 
-def _needed(n: np.ndarray | int):
+def _needed(n):
     """Shingles that a set of n must share with a similar one: ceil(0.8 n)."""
-    return (4 * n + 4) // 5
+    return F.floor((n * 4 + 4) / 5)
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [shingles.normal(t) for t in batch.column(1).to_pylist()]
+def _enough(own, place, other):
+    """Whether a set of own shingles, the first common one at that place, can share enough with one of other shingles."""
+    return (own - place) * 9 >= (own + other) * 4
 
 
-def _survey(batches):
-    """kind 0: a document with its words' digest and set size; kind 1: a shingle and how many of the batch have it."""
-    for batch in batches:
-        docs, sizes, digests, sets, seen = batch.column(0).to_pylist(), [], [], [], set()
-        for joined in _texts(batch):
-            own = shingles.shingle_set(joined)
-            digest = hashlib.blake2b(joined, digest_size=16).digest()
-            if digest not in seen:
-                seen.add(digest)
-                sets.append(own)
-            sizes.append(len(own)), digests.append(digest)
-        keys, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-        keys, count = keys[count >= _IN_BATCH].astype(np.int64), count[count >= _IN_BATCH]
-        m, n = len(docs), len(keys)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([0] * m + [1] * n, pa.int32()),
-                pa.array(np.concatenate((np.array(docs, np.int64), keys))),
-                pa.array(np.concatenate((np.array(sizes, np.int64), count))),
-                pa.array(digests + [None] * n, pa.binary()),
-            ],
-            ["kind", "id", "n", "digest"],
-        )
-
-
-def _ordered(own: np.ndarray, frequent: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The set's shingles and their places in the global order, sorted by it."""
-    place = (shingles.mix(own, 11 + order) if order else own) >> np.uint64(2)
-    if len(frequent):
-        at = np.searchsorted(frequent, own)
-        at[at == len(frequent)] = 0
-        place |= (frequent[at] == own).astype(np.uint64) << np.uint64(62)
-    by = np.argsort(place)
-    return own[by], place[by]
-
-
-def _prefix(own: np.ndarray, frequent: np.ndarray, order: int) -> tuple[np.ndarray, int]:
-    p = len(own) - int(_needed(len(own))) + 1
-    keys, place = _ordered(own, frequent, order)
-    return keys[:p], int(place[p - 1])
-
-
-def _tag(keys: np.ndarray, order: int) -> np.ndarray:
-    """Keys of different orders never meet: the order is the leading bits."""
-    return (shingles.mix(keys, 101) >> np.uint64(_ORDER_BITS)) | np.uint64(order << (64 - _ORDER_BITS))
-
-
-def _prefix_keys(frequent):
-    def keys(batch):
-        owner, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for i, joined in enumerate(_texts(batch)):
-            own = shingles.shingle_set(joined)
-            if len(own):
-                for order in range(ORDERS):
-                    key = _tag(_prefix(own, frequent.value, order)[0], order)
-                    owner.append(np.full(len(key), i)), found.append(key)
-        return np.concatenate(owner), np.concatenate(found)
-
-    return keys
-
-
-def _ends(batches, frequent):
-    """(doc, n, ends): set size and, for each order, the place of the last prefix shingle."""
-    for batch in batches:
-        sizes, ends = [], []
-        for joined in _texts(batch):
-            own = shingles.shingle_set(joined)
-            sizes.append(len(own))
-            ends.append([_prefix(own, frequent.value, order)[1] for order in range(ORDERS)] if len(own) else [])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], ["doc", "n", "ends"]
-        )
+def _all_sets(texts: list[str]) -> list[np.ndarray]:
+    return [shingles.shingle_set(shingles.normal(t)) for t in texts]
 
 
 def _sets(batches):
     for batch in batches:
-        own = [shingles.shingle_set(joined).tobytes() for joined in _texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["doc", "own"])
+        own = [s.view(np.int64) for s in _all_sets(batch.column(1).to_pylist())]
+        ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], ["doc", "version", "own"])
 
 
-def _similar(batches):
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("own_a").to_pylist(), batch.column("own_b").to_pylist()):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = np.concatenate((a, b))
-            both.sort(kind="stable")
-            same = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * same >= 80 * (len(both) - same))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _only(docs: DataFrame, ids: DataFrame, n: int, how: str) -> DataFrame:
-    """Documents in (left_semi) or not in (left_anti) a list of n ids."""
-    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", how)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose whole sets are similar. Sets are made for the pairs' documents only."""
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(_only(docs, ids, ids.count(), "left_semi").mapInArrow(_sets, "doc long, own binary"), "sets")
-    joined = pairs.join(sets.select(F.col("doc").alias("b"), F.col("own").alias("own_b")), "b").join(
-        sets.select(F.col("doc").alias("a"), F.col("own").alias("own_a")), "a"
-    )
-    return joined.select("a", "b", "own_a", "own_b").mapInArrow(_similar, "a long, b long")
+def _only(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Documents in (left_semi) or not in (left_anti) a list of (doc_id, sha)."""
+    few = rows.count() <= BROADCAST_IDS
+    got = docs.join(F.broadcast(rows) if few else rows, ["doc_id", "sha"], how)
+    return got if few else materialize(got, "docs")  # what a shuffle has dealt has no order to rely on
+
+
+def _places(sets: DataFrame) -> DataFrame:
+    """(o, key, place, doc, n, own): the prefix shingles, under each order, that two or more sets have.
+
+    place: shingles of the document before this one; own: shingles that no other document has.
+    """
+    keys = sets.select("doc", "version", F.size("own").alias("n"), F.explode("own").alias("key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = shared.select("key", F.floor(F.log2("df")).cast("int").alias("class"))
+    held = keys.join(shared, "key").groupBy("doc", "version", "n").agg(F.collect_list(F.struct("class", "key")).alias("held"))
+    held = held.withColumn("own", F.col("n") - F.size("held")).where(F.size("held") >= _needed(F.col("n")))
+    out = None
+    for o in range(ORDERS):
+        by = F.transform("held", lambda x: F.struct(x["class"].alias("class"), F.xxhash64(x["key"], F.lit(o)).alias("h"), x["key"].alias("key")))
+        prefix = F.slice(F.array_sort(by), F.lit(1), (F.col("n") - _needed(F.col("n")) + 1 - F.col("own")).cast("int"))
+        one = held.select("doc", "n", "own", F.posexplode(prefix).alias("i", "x"))
+        one = one.select(F.lit(o).alias("o"), F.col("x.key").alias("key"), (F.col("own") + F.col("i")).alias("place"), "doc", "n", "own")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _leader_pairs(places: DataFrame, turn: int) -> DataFrame:
-    """For each document the leader that it shares most prefix keys with, of those not linked to it yet."""
-    rank = F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("leader"), F.col("comp").alias("lcomp"), F.col("n").alias("ln"))
-    lead = places.groupBy("o", "key").agg(F.min(rank).alias("l"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    lead = lead.where("x != y").select("o", "key", "l.leader", "l.lcomp", "l.ln")
-    near = (F.col("n") * 5 >= F.col("ln") * 4) & (F.col("ln") * 5 >= F.col("n") * 4)
+    """For each document the leader that it shares most prefix shingles with, of those not linked to it yet.
+
+    A shingle's leader is first its document with the least share of shingles of its own, then one drawn by turn.
+    """
+    here = places.where("o = 0")
+    by = (F.col("own") / F.col("n")) if turn == 0 else F.xxhash64("doc", F.lit(turn))
+    rank = F.struct(by.alias("by"), F.col("doc").alias("leader"), F.col("comp").alias("lcomp"), F.col("n").alias("ln"), F.col("place").alias("lplace"))
+    lead = here.groupBy("key").agg(F.min(rank).alias("l"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    lead = lead.where("x != y").select("key", "l.leader", "l.lcomp", "l.ln", "l.lplace")
     best = (
-        places.join(lead, ["o", "key"])
-        .where((F.col("comp") != F.col("lcomp")) & near)
-        .groupBy("doc", "leader", "n")
+        here.join(lead, "key")
+        .where((F.col("comp") != F.col("lcomp")) & _enough(F.col("n"), F.col("place"), F.col("ln")) & _enough(F.col("ln"), F.col("lplace"), F.col("n")))
+        .groupBy("doc", "leader")
         .agg(F.count(F.lit(1)).alias("c"))
-        .where(F.col("c") * 10 >= F.col("n"))  # a choice of whom to try first; the rest is tried pair by pair
         .groupBy("doc")
         .agg(F.max(F.struct("c", (-F.col("leader")).alias("less"))).alias("m"))
     )
@@ -167,82 +99,72 @@ def _leader_pairs(places: DataFrame, turn: int) -> DataFrame:
 
 
 def _candidate_pairs(places: DataFrame) -> DataFrame:
-    """Pairs of documents not linked yet that pass the filter of every order."""
+    """Pairs of documents not linked yet that share, under every order, a shingle early enough in both."""
     size = places.groupBy("o", "key", "comp").agg(F.count(F.lit(1)).alias("g"))
     main = size.groupBy("o", "key").agg(F.max(F.struct("g", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
     main = main.where("comps > 1").select("o", "key", F.col("m.comp").alias("main"))
     live = places.join(main, ["o", "key"])
-    left = live.where("comp != main").select("o", "key", *[F.col(c).alias(f"{c}_l") for c in ("doc", "n", "end", "comp")])
-    right = live.select("o", "key", "main", *[F.col(c).alias(f"{c}_r") for c in ("doc", "n", "end", "comp")])
-    near = (F.col("n_l") * 5 >= F.col("n_r") * 4) & (F.col("n_r") * 5 >= F.col("n_l") * 4)
+    left = live.where("comp != main").select("o", "key", *[F.col(c).alias(f"{c}_l") for c in ("doc", "n", "place", "comp")])
+    right = live.select("o", "key", "main", *[F.col(c).alias(f"{c}_r") for c in ("doc", "n", "place", "comp")])
+    early = _enough(F.col("n_l"), F.col("place_l"), F.col("n_r")) & _enough(F.col("n_r"), F.col("place_r"), F.col("n_l"))
     once = (F.col("comp_r") == F.col("main")) | (F.col("doc_l") < F.col("doc_r"))
-    met = left.join(right, ["o", "key"]).where((F.col("comp_l") != F.col("comp_r")) & near & once)
-    # Up to the nearer prefix end every common shingle is seen; beyond it at most the rest of that set is common.
-    shorter = F.when(F.col("end_a") <= F.col("end_b"), F.col("n_a")).otherwise(F.col("n_b"))
-    rest = shorter - (shorter - F.floor((shorter * 4 + 4) / 5) + 1)
-    # Which side is main changes from key to key, so a pair is turned one way round before its keys are counted.
-    turn = F.col("doc_l") > F.col("doc_r")
-    one_way = [F.when(turn, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{to}") for c in ("doc", "n", "end") for x, y, to in ("lra", "rlb")]
-    per_order = (
-        met.select("o", *one_way)
-        .groupBy("o", F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "n_a", "n_b", rest.alias("rest"))
-        .agg(F.count(F.lit(1)).alias("c"))
-        .where((F.col("c") + F.col("rest")) * 9 >= (F.col("n_a") + F.col("n_b")) * 4)
-    )
-    return (
-        per_order.groupBy("a", "b")
-        .agg(F.count_distinct("o").alias("orders"))
-        .where(F.col("orders") == ORDERS)
-        .select("a", "b")
-    )
+    met = left.join(right, ["o", "key"]).where((F.col("comp_l") != F.col("comp_r")) & early & once)
+    met = met.select(F.least("doc_l", "doc_r").alias("a"), F.greatest("doc_l", "doc_r").alias("b"), "o").distinct()
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("orders")).where(F.col("orders") == ORDERS).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose whole sets are similar."""
+    side = lambda c: sets.select(F.col("doc").alias(c), F.col("own").alias(f"own_{c}"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("same", F.size(F.array_intersect("own_a", "own_b")))
+    return met.where(F.col("same") * 9 >= (F.size("own_a") + F.size("own_b")) * 4).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document: similar ones are linked, components are their closure.
+    """(doc_id, n_shingles, component_id) of each row: similar ones are linked, components are their closure.
 
     Null and empty texts have no shingles and stay alone. Rows with a null doc_id are left out; rows that repeat a
-    doc_id are one node each time they occur (their texts' links all count for the id). Other columns are ignored.
+    doc_id are one node, and the links of all their texts count for it. Very long texts are taken whole; without rows
+    the result is empty. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    survey = materialize(docs.mapInArrow(_survey, "kind int, id long, n long, digest binary"), "survey")
-    known = survey.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "digest")
-    n_docs = known.count()
-    # A share of all documents bounds this list: at most (mean shingles a document) / FREQUENT shingles reach it.
-    often = survey.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(10, FREQUENT * n_docs / 2))
-    frequent = spark.sparkContext.broadcast(np.sort(often.select("id").toPandas()["id"].to_numpy(np.int64).view(np.uint64)))
-
-    rep = known.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    same = known.join(rep.where("copies > 1"), "digest").where("doc_id > rep").select("doc_id", "rep")
-    same = materialize(same, "copies")
-    reps = _only(docs, same.select("doc_id").distinct(), same.count(), "left_anti")
-
-    bits = bucket_bits(n_docs)
-    ends = materialize(reps.mapInArrow(lambda it: _ends(it, frequent), "doc long, n long, ends array<long>"), "ends")
-    found = shared_keys(reps, _prefix_keys(frequent), n_docs)
-    order = F.shiftright("key", 32 + bits - _ORDER_BITS).cast("int")
-    places = found.withColumn("o", order).join(ends, F.col("id") == F.col("doc")).select(
-        "o", "key", "doc", "n", F.element_at("ends", F.col("o") + 1).alias("end"), F.col("doc").alias("comp")
-    )
-    places = materialize(places.distinct(), "places")
-    links = None
-    for turn in range(LEADER_ROUNDS + 1):
-        pairs = _leader_pairs(places, turn) if turn < LEADER_ROUNDS else _candidate_pairs(places)
-        new = materialize(_verified(pairs, reps), "links")
-        links = new if links is None else links.unionByName(new)
-        if turn < LEADER_ROUNDS:
-            part = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-            places = materialize(
-                places.drop("comp")
-                .join(part.withColumnRenamed("node", "doc"), "doc", "left")
-                .select("o", "key", "doc", "n", "end", F.coalesce("component", "doc").alias("comp")),
-                "places",
-            )
-    edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    part = connected_components(edges.unionByName(same.select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))))
-    return known.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
-    )
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text"), F.unhex(F.md5(text)).alias("sha"))
+    known = materialize(docs.select("doc_id", "sha"), "known")
+    rep = known.groupBy("sha").agg(F.min("doc_id").alias("rep"))
+    same = materialize(known.join(rep, "sha").where("doc_id > rep").distinct(), "copies")
+    reps = _only(docs, same.select("doc_id", "sha"), "left_anti")
+    sizes = materialize(private_counts(reps.select("sha", "text"), _all_sets, known.count()), "sizes")
+
+    may = sizes.where((F.col("n") > 0) & (F.col("n") - F.col("private") >= _needed(F.col("n")))).join(rep, F.col("id") == F.col("sha"))
+    may = materialize(may.select(F.col("rep").alias("doc_id"), "sha"), "may")
+    version = F.hash("sha").alias("version")  # tells the texts of a repeated doc_id apart
+    sets = _only(docs, may, "left_semi").select("doc_id", "text", version).mapInArrow(_sets, "doc long, version int, own array<long>")
+    sets = materialize(sets.dropDuplicates(["doc", "version"]), "sets")
+    base = materialize(_places(sets), "places")
+
+    # Of the copies, only ids that have other texts too can link anything; the rest follow their first document.
+    several = known.distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    some = sizes.where("n > 0").select(F.col("id").alias("sha"))
+    links = same.join(several, "doc_id", "left_semi").join(some, "sha", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = materialize(links, "links")
+    whole = lambda: connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    n_may, turn, part = may.count(), 0, whole()
+    while True:
+        comps = part.select(F.col("node").alias("doc"), "component")
+        places = base.join(comps, "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
+        pairs = _candidate_pairs(places) if turn is None else _leader_pairs(places, turn)
+        new = materialize(_verified(materialize(pairs, "pairs"), sets), "links")
+        found = new.count()
+        if found:
+            links = links.unionByName(new)
+            part = whole()
+        if turn is None:
+            break
+        turn = turn + 1 if found > WORTH * n_may else None
+    n = sizes.groupBy(F.col("id").alias("sha")).agg(F.max("n").alias("n_shingles")).join(rep, "sha")
+    node = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("node")
+    rows = known.join(n, "sha").select("doc_id", "n_shingles", node).join(part, "node", "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 
 ORACLE_SQL = r"""
