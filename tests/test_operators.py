@@ -1,9 +1,14 @@
 """Hand-made cases with results worked out by hand, and invariants."""
 
+import collections
 import math
 
+import numpy as np
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions.iterate import running
 from weftgraph.operators import encoding, network, pairs, ranking, selection, statistics, walks
 from weftgraph.operators.components import connected_components
 from weftgraph.sources import tables
@@ -74,11 +79,72 @@ def test_roc_conventions_and_area(spark):
     assert abs(ranking.auc_tied(flipped).first().area - 0.25) < 1e-12
 
 
-def test_global_cumsum_equals_window(spark):
+def test_running_equals_a_window(spark):
     r = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("weight"), (F.col("id") % 3 == 0).cast("int").alias("label"))
-    got = {(x.rank, x.m) for x in ranking.global_cumsum(r, "weight", "label").collect()}
-    want = {(x.rank, x.m) for x in ranking.cumulative(r, [F.desc("weight")]).collect()}
-    assert got == want
+    got = {(x.weight, x.rank, x.m) for x in running(r, [F.desc("weight")], {"m": "label"}).collect()}
+    w = Window.orderBy(F.desc("weight"))
+    want = r.select("weight", F.row_number().over(w).alias("rank"), F.sum("label").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("m"))
+    assert got == {(x.weight, x.rank, x.m) for x in want.collect()} == {(x.weight, x.rank, x.m) for x in ranking.cumulative(r, [F.desc("weight")]).collect()}
+    assert running(r.limit(0), [F.desc("weight")], {"m": "label"}).count() == 0
+
+
+def test_unkeyed_metrics_equal_keyed_ones(spark):
+    rows = [(f"n{i:02}", float(i * 7 % 5), int(i % 3 == 0)) for i in range(40)]
+    r = spark.createDataFrame(rows, "Name string, score double, label int").withColumn("k", F.lit(1))
+    assert ranking.auc_tied(r).first().area == pytest.approx(ranking.auc_tied(r, keys=("k",)).first().area)
+    points = ranking.roc_points(ranking.cumulative(r, [F.desc("score"), "Name"]))
+    keyed = ranking.roc_points(ranking.cumulative(r, [F.desc("score"), "Name"], keys=("k",)))
+    assert ranking.area(points, "fpr", "tpr", ["rank"]).first().area == pytest.approx(ranking.area(keyed, "fpr", "tpr", ["rank"], ("k",)).first().area)
+    a, b = r.select("k", F.col("score").alias("value")), r.select("k", (F.col("score") * 2 + F.col("label")).alias("value"))
+    assert statistics.signed_emd(a.drop("k"), b.drop("k")).first().emd == pytest.approx(statistics.signed_emd(a, b, ("k",)).first().emd)
+
+
+def test_log_bins_merge_small_classes(spark):
+    rows = [(f"n{i}", v) for i, v in enumerate([0, 1, 1, 1, 2, 3, 5, 9, 20, 40])]
+    bins = collections.defaultdict(list)
+    for r in walks.log_bins(spark.createDataFrame(rows, "node string, value long"), 3).collect():
+        bins[r.bin].append((r.slot, r.node))
+    assert {b: sorted(n for _, n in x) for b, x in bins.items()} == {0: ["n0", "n1", "n2", "n3"], 1: ["n4", "n5", "n6"], 2: ["n7", "n8", "n9"]}
+    assert all(sorted(s for s, _ in x) == list(range(len(x))) for x in bins.values())
+    assert walks.log_bins(spark.createDataFrame([], "node string, value long"), 3).count() == 0
+
+
+def test_random_graphs_change_edges_and_follow_the_seed(spark):
+    e = _edges(spark, [(f"a{i}", f"b{i * j % 17}") for i in range(30) for j in range(1, 5)]).distinct()
+    plain = {tuple(r) for r in e.collect()}
+    for make in (lambda seed: network.degree_preserving_shuffle(e, seed, 3), lambda seed: network.uniform_random_graph(e, seed)):
+        one, same, other = ({tuple(r) for r in make(seed).collect()} for seed in (5, 5, 6))
+        assert one == same and one != other and len(one) == len(plain) and len(one & plain) < 0.8 * len(plain)
+
+
+def test_logistic_fusion_is_at_the_optimum(spark):
+    rows = [(i, i % 7 / 3.0, i * i % 11 / 4.0, int(i % 5 == 0 or i % 7 > 4)) for i in range(60)]
+    got = {r.Name: r.score for r in ranking.logistic_fusion(spark.createDataFrame(rows, "Name long, s1 double, s2 double, label int")).collect()}
+    n1 = sum(r[3] for r in rows)
+    weight = {1: 60 / (2 * n1), 0: 60 / (2 * (60 - n1))}
+    # the weighted residuals vanish against the intercept, and equal the L2 term's pull for both slopes
+    logit = {i: math.log(p / (1 - p)) for i, p in got.items()}
+    x = np.array([[1.0, a, b] for _, a, b, _ in rows])
+    w = np.linalg.lstsq(x, np.array([logit[r[0]] for r in rows]), rcond=None)[0]
+    pull = x.T @ np.array([weight[y] * (y - got[i]) for i, _, _, y in rows])
+    assert pull == pytest.approx(np.array([0, w[1], w[2]]), abs=2e-3)
+
+
+def test_cosine_blocks_give_every_pair_once(spark):
+    rng = np.random.default_rng(2)
+    rows = [(0, i, v.tolist()) for i, v in enumerate(rng.normal(size=(30, 4)))]
+    v = spark.createDataFrame(rows, "run int, id long, v array<double>")
+    one, more = ({(r.src, r.dst): round(r.weight, 9) for r in pairs.cosine_pairs(v, ["run"], "id", "v", b).collect()} for b in (1, 5))
+    assert one == more and len(one) == 435 and pairs.cosine_pairs(v, ["run"], "id", "v", 5).count() == 435
+
+
+def test_draws_are_with_replacement_and_layers_count_from_the_end(spark):
+    ids = spark.createDataFrame([(f"s{i}",) for i in range(5)], "sample_id string")
+    drawn = [r.sample_id for r in encoding.draw_samples(ids, 40, 3).orderBy("draw_no").collect()]
+    assert len(drawn) == 40 and len(set(drawn)) == 5
+    assert [r.sample_id for r in encoding.samples_at(ids, spark.range(1, 9, 2).withColumnRenamed("id", "position")).orderBy("position").collect()] == ["s1", "s3"]
+    layers = spark.createDataFrame([(k, k * 10) for k in range(4)], "layer int, w int")
+    assert [r.w for r in pairs.select_layer(layers, -1).collect()] == [30] and [r.w for r in pairs.select_layer(layers, 0).collect()] == [0]
 
 
 def test_fusion_with_ties(spark):

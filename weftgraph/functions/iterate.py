@@ -4,17 +4,42 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder; a temporary folder only where the session names none."""
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share; a temporary one only on a local master."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def running(rows: DataFrame, order: list, values: dict[str, str]) -> DataFrame:
+    """With ``rank`` (from 1) and the running sums values(name: column) in that order, without one task for all rows.
+
+    Rows are dealt to range partitions; what comes before a partition is added to the sums inside it. Rows that tie in
+    the whole order may be numbered in any way.
+    """
+    parted = checkpointed(rows.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
+    totals = parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(f"_t_{n}") for n, c in values.items()])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    moved = totals.select("_pid", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in totals.columns[1:]])
+    inside = Window.partitionBy("_pid").orderBy(*order)
+    up_to = inside.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {n: F.sum(c).over(up_to) + F.col(f"_t_{n}") for n, c in values.items()}
+    out = parted.join(F.broadcast(moved), "_pid").withColumns({"rank": F.row_number().over(inside) + F.col("_c"), **sums})
+    return out.drop(*moved.columns)
 
 
 def mirror(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.iterate import seeded_order
+from weftgraph.functions.iterate import running
 
 MAX_LENGTH = 2048
 
@@ -35,7 +35,8 @@ def missing_genes(expr: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def normalize_by_vocab(expr: DataFrame, vocab: DataFrame) -> DataFrame:
-    """value / corpus median with the token; genes outside the vocabulary go."""
+    """value / corpus median with the token; genes outside the vocabulary go. A vocabulary within the session's
+    broadcast threshold is broadcast by the optimizer, which knows its size; a larger one is joined by shuffle."""
     return expr.join(vocab, "gene_id").select("sample_id", "gene_id", "token", F.try_divide("value", "median").alias("value"))
 
 
@@ -58,12 +59,22 @@ def padding_mask(encoded: DataFrame) -> DataFrame:
 
 def draw_samples(ids: DataFrame, n: int, seed: int) -> DataFrame:
     """n draws with replacement from ids(sample_id): (draw_no, sample_id)."""
-    spark = ids.sparkSession
-    numbered = ids.withColumn("row_no", F.row_number().over(Window.orderBy("sample_id")) - 1)
-    total = ids.count()
-    draws = spark.range(n).select(F.col("id").alias("draw_no"))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw_no")), 1, 8), 16, 10).cast("long") % max(total, 1)
-    return draws.withColumn("row_no", pick).join(numbered, "row_no").select("draw_no", "sample_id")
+    draws = ids.sparkSession.range(n).select(F.col("id").alias("draw_no"))
+    return _drawn(ids, draws, F.lit(seed)).select("draw_no", "sample_id")
+
+
+def _drawn(ids: DataFrame, draws: DataFrame, seed) -> DataFrame:
+    """draws with the sample that each picks by a hash of seed and draw_no, whatever was picked before."""
+    numbered = running(ids.select("sample_id"), [F.col("sample_id")], {}).withColumn("row_no", F.col("rank") - 1)
+    total = max(ids.count(), 1)
+    pick = F.conv(F.substring(F.md5(F.concat_ws("|", seed, "draw_no")), 1, 8), 16, 10).cast("long") % total
+    return draws.withColumn("row_no", pick).join(numbered, "row_no")
+
+
+def samples_at(ids: DataFrame, positions: DataFrame) -> DataFrame:
+    """(position, sample_id): the samples at listed positions (from 0, in sample_id order); others are left out."""
+    numbered = running(ids.select("sample_id"), [F.col("sample_id")], {}).withColumn("position", F.col("rank") - 1)
+    return numbered.join(positions.select("position").distinct(), "position").select("position", "sample_id")
 
 
 def decode(encoded: DataFrame, vocab: DataFrame, id_map: DataFrame | None = None) -> DataFrame:
@@ -84,13 +95,15 @@ def distinct_tokens(encoded: DataFrame) -> DataFrame:
 
 
 def saturation(encoded: DataFrame, sizes: list[int], seeds: int) -> DataFrame:
-    """(n, mean_tokens, std_tokens): distinct tokens in n samples drawn by seed, over the seeds."""
+    """(n, mean_tokens, std_tokens): distinct tokens in n samples drawn with replacement by seed, over the seeds.
+
+    The draws of a smaller size are the first ones of a larger size of the same seed."""
     spark = encoded.sparkSession
     runs = spark.range(seeds).select(F.col("id").alias("seed"))
-    order = Window.partitionBy("seed").orderBy(seeded_order(F.col("seed").cast("string"), F.col("sample_id")), "sample_id")
-    drawn = encoded.select("sample_id").crossJoin(F.broadcast(runs)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(sizes))
+    draws = runs.crossJoin(F.broadcast(spark.range(max(sizes)).select(F.col("id").alias("draw_no"))))  # seeds * sizes rows
+    drawn = _drawn(encoded, draws, F.col("seed")).groupBy("seed", "sample_id").agg(F.min("draw_no").alias("r"))
     grid = spark.createDataFrame([(n,) for n in sizes], "n int")
     tokens = drawn.join(encoded, "sample_id").select("seed", "r", F.explode("input_ids").alias("token"))
-    first = tokens.groupBy("seed", "token").agg(F.min("r").alias("r"))  # the sample size from which a token is seen
-    counts = first.join(F.broadcast(grid), F.col("r") <= F.col("n")).groupBy("seed", "n").agg(F.count(F.lit(1)).alias("tokens"))
+    first = tokens.groupBy("seed", "token").agg(F.min("r").alias("r"))  # the draw at which a token is first seen
+    counts = first.join(F.broadcast(grid), F.col("r") < F.col("n")).groupBy("seed", "n").agg(F.count(F.lit(1)).alias("tokens"))
     return counts.groupBy("n").agg(F.avg("tokens").alias("mean_tokens"), F.stddev_pop("tokens").alias("std_tokens"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.iterate import checkpointed, mirror, seeded_order
+from weftgraph.functions.iterate import checkpointed, mirror, running, seeded_order
 from weftgraph.operators.components import connected_components
 
 
@@ -49,6 +49,18 @@ def _ends_in(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, "src", "left").join(b, "dst", "left").na.fill(False, ["in_src", "in_dst"])
 
 
+def module_weights(edges: DataFrame, nodes: DataFrame, weights: DataFrame) -> DataFrame:
+    """(src, dst, weight) of the edges with both ends in the module."""
+    return weighted(induced(edges, nodes), weights)
+
+
+def module_subgraph(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges inside the module, all its nodes that the network has with their degree inside; lone ones have 0)."""
+    inside = induced(edges, nodes)
+    known = nodes.select("node").distinct().join(nodes_of(edges), "node", "left_semi")
+    return inside, degree(inside, known)
+
+
 def outside_module(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges without those that have both ends in the module."""
     return _ends_in(edges, nodes).where("not (in_src and in_dst)").select(*edges.columns)
@@ -159,7 +171,7 @@ def uniform_random_graph(edges: DataFrame, seed: int) -> DataFrame:
     n, m = nodes.count(), edges.select("src", "dst").distinct().count()
     if m > n * (n - 1) // 2:
         raise ValueError("more edges than pairs of nodes")
-    numbered = nodes.withColumn("k", F.row_number().over(Window.orderBy("node")) - 1)
+    numbered = running(nodes, [F.col("node")], {}).withColumn("k", F.col("rank") - 1)
     draws, share = m * 2 + 16, lambda c: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(c), "id")), 1, 12), 16, 10).cast("long") % n
     found = None
     while found is None or found.count() < m:

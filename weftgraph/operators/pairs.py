@@ -50,12 +50,27 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_pairs(vectors: DataFrame, key: list[str], item: str, vector: str) -> DataFrame:
-    """(key, src, dst, weight) for pairs of a key's items, src < dst; norms are computed once a vector."""
+def cosine_pairs(vectors: DataFrame, key: list[str], item: str, vector: str, blocks: int = 1) -> DataFrame:
+    """(key, src, dst, weight) for pairs of a key's items, src < dst; norms are computed once a vector.
+
+    With ``blocks`` a key's vectors are dealt by hash to so many blocks, and the pairs of two blocks meet in a cell of
+    their own: cells are joined by equality and no task has more than two blocks."""
     v = vectors.select(*key, F.col(item).alias("id"), F.col(vector).alias("v"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("len"))
-    a = v.select(*key, F.col("id").alias("src"), F.col("v").alias("va"), F.col("len").alias("la"))
-    b = v.select(*key, F.col("id").alias("dst"), F.col("v").alias("vb"), F.col("len").alias("lb"))
-    return a.join(b, key).where("src < dst").select(*key, "src", "dst", F.try_divide(dot(F.col("va"), F.col("vb")), F.col("la") * F.col("lb")).alias("weight"))
+    v = v.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    v = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    v = v.withColumns({"c1": F.least("own", "other"), "c2": F.greatest("own", "other")})
+    a = v.select(*key, "c1", "c2", F.col("own").alias("own_a"), F.col("id").alias("src"), F.col("v").alias("va"), F.col("len").alias("la"))
+    b = v.select(*key, "c1", "c2", F.col("own").alias("own_b"), F.col("id").alias("dst"), F.col("v").alias("vb"), F.col("len").alias("lb"))
+    met = a.join(b, [*key, "c1", "c2"]).where("src < dst and (own_a != own_b or c1 = c2)")
+    return met.select(*key, "src", "dst", F.try_divide(dot(F.col("va"), F.col("vb")), F.col("la") * F.col("lb")).alias("weight"))
+
+
+def select_layer(weights: DataFrame, layer: int) -> DataFrame:
+    """Rows of one layer; a negative number counts from the last layer (-1)."""
+    if layer >= 0:
+        return weights.where(F.col("layer") == layer)
+    last = weights.agg(F.max("layer").alias("last"))
+    return weights.join(F.broadcast(last.select((F.col("last") + 1 + layer).alias("layer"))), "layer", "left_semi")
 
 
 def embedding_aggregate(hidden: DataFrame, method: str = "max", floor: float | None = 0.0) -> DataFrame:

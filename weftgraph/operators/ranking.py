@@ -1,7 +1,7 @@
-"""Ranking metrics and rank fusion by windows. A ranking has keys, a label 0/1 and an order.
+"""Ranking metrics and rank fusion. A ranking has keys, a label 0/1 and an order.
 
-Windows without a key put the rows of one ranking in one task; ``global_cumsum`` is the way for rankings that are too
-long for that.
+Rankings with keys are windows by key. A ranking without a key may be long: its ranks and sums go by range partitions
+(``running``), so that no task orders all of it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.iterate import checkpointed
+from weftgraph.functions.iterate import running
 
 
 def _over(keys, *order):
@@ -23,25 +23,16 @@ def _over(keys, *order):
 
 def cumulative(ranking: DataFrame, order: list, label: str = "label", keys: tuple = ()) -> DataFrame:
     """With rank (from 1), m (positives so far), P (positives) and n (rows)."""
+    if not keys:
+        whole = ranking.agg(F.sum(label).alias("P"), F.count(F.lit(1)).alias("n"))
+        return running(ranking, order, {"m": label}).crossJoin(F.broadcast(whole))
     w = _over(keys, *order)
     return ranking.withColumns({
-        "rank": F.row_number().over(w), "m": F.sum(label).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "rank": F.row_number().over(w).cast("long"), "m": F.sum(label).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         "P": F.sum(label).over(_over(keys)), "n": F.count(F.lit(1)).over(_over(keys)),
     })
 
 
-def global_cumsum(rows: DataFrame, order: str, value: str, ascending: bool = False) -> DataFrame:
-    """Running sum over all rows without one task for all: range partitions, their totals as offsets, sums inside."""
-    key = F.col(order).asc() if ascending else F.col(order).desc()
-    parted = checkpointed(rows.repartitionByRange(key).withColumn("pid", F.spark_partition_id()))
-    totals = parted.groupBy("pid").agg(F.sum(value).alias("t"), F.count(F.lit(1)).alias("c"))
-    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    moved = totals.select("pid", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"))
-    inside = Window.partitionBy("pid").orderBy(key, F.desc(value))
-    out = parted.join(F.broadcast(moved), "pid")  # one row a partition
-    return out.withColumns({"m": F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("t0"), "rank": F.row_number().over(inside) + F.col("c0")}).drop("pid", "t0", "c0")
-
-
 def roc_points(c: DataFrame, convention: str = "standard") -> DataFrame:
     """tpr = m / P; fpr = (rank - m) / (n - P), or with ranks from 0 for ``literal``."""
     shift = 0 if convention == "standard" else 1
@@ -54,9 +45,14 @@ def pr_points(c: DataFrame) -> DataFrame:
 
 def area(points: DataFrame, x: str, y: str, order: list, keys: tuple = ()) -> DataFrame:
     """(keys, area) by trapezoids in the given order."""
-    w = _over(keys, *order)
-    step = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
-    return points.withColumn("step", step).groupBy(*keys).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("area"))
+    if keys:
+        w = _over(keys, *order)
+        steps = points.withColumn("step", (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2)
+    else:
+        placed = running(points.withColumns({"x": F.col(x), "y": F.col(y)}), order, {}).select("rank", "x", "y")
+        last = placed.select((F.col("rank") + 1).alias("rank"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+        steps = placed.join(last, "rank", "left").withColumn("step", (F.col("x") - F.col("x0")) * (F.col("y") + F.col("y0")) / 2)
+    return steps.groupBy(*keys).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("area"))
 
 
 def normalized_area(points: DataFrame, x: str, y: str, keys: tuple = ()) -> DataFrame:
@@ -70,16 +66,21 @@ def normalized_area(points: DataFrame, x: str, y: str, keys: tuple = ()) -> Data
 def separated(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two weight lists in one ranking: labels 1 and 0, falling weight, positives first on ties, cumulative."""
     both = a.select("weight").withColumn("label", F.lit(1)).unionByName(b.select("weight").withColumn("label", F.lit(0)))
-    return global_cumsum(both, "weight", "label")
+    return running(both, [F.desc("weight"), F.desc("label")], {"m": "label"})
 
 
 def roc_tied(scores: DataFrame, score: str = "score", label: str = "label", keys: tuple = ()) -> DataFrame:
     """(keys, threshold, tpr, fpr, tp, fp): one point a distinct score and the start (0, 0) with an infinite threshold."""
     by = scores.groupBy(*keys, F.col(score).alias("threshold")).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("c"))
-    w = _over(keys, F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.select(*keys, "threshold", F.sum("p").over(w).alias("tp"), F.sum(F.col("c") - F.col("p")).over(w).alias("fp"),
-                    F.sum("p").over(_over(keys)).alias("P"), F.sum(F.col("c") - F.col("p")).over(_over(keys)).alias("N"))
-    start = run.groupBy(*keys).agg(F.max("P").alias("P"), F.max("N").alias("N")).select(
+    by = by.select(*keys, "threshold", "p", (F.col("c") - F.col("p")).alias("q"))
+    total = by.groupBy(*keys).agg(F.sum("p").alias("P"), F.sum("q").alias("N"))
+    if keys:
+        w = _over(keys, F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+        run = by.select(*keys, "threshold", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp")).join(total, list(keys))
+    else:
+        total = total.where("P is not null")
+        run = running(by, [F.desc("threshold")], {"tp": "p", "fp": "q"}).select("threshold", "tp", "fp").crossJoin(F.broadcast(total))
+    start = total.select(
         *keys, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "P", "N")
     points = run.withColumn("threshold", F.col("threshold").cast("double")).unionByName(start)
     return points.select(*keys, "threshold", F.try_divide("tp", "P").alias("tpr"), F.try_divide("fp", "N").alias("fpr"), "tp", "fp")
@@ -97,6 +98,20 @@ def pr_tied(scores: DataFrame, score: str = "score", label: str = "label") -> Da
     return points.unionByName(end)
 
 
+def pr_area_tied(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """(area) under pr_tied, by trapezoids from the highest recall to the end point."""
+    points = pr_tied(scores, score, label)
+    return area(points, "recall", "precision", [F.asc_nulls_last("threshold")]).select((-F.col("area")).alias("area"))
+
+
+def ml_metrics(scores: DataFrame, score: str = "score", label: str = "label", name: str = "Name") -> dict[str, DataFrame]:
+    """Bundle: ROC and its area, precision and recall for every N with those of a random ranking."""
+    return {
+        "roc": roc_tied(scores, score, label), "auc": auc_tied(scores, score, label),
+        "at": with_baselines(scores, [F.desc(score), name], label),
+    }
+
+
 def precision_recall_at(ranking: DataFrame, order: list, label: str = "label", keys: tuple = ()) -> DataFrame:
     """(keys, top, precision, recall) for every N; recall is 0 without positives."""
     c = cumulative(ranking, order, label, keys)
@@ -123,7 +138,7 @@ def evaluate(scores: DataFrame, positives: DataFrame, top: int = 100, invert: bo
     used = joined.withColumn("score", -F.col("Score") if invert else F.col("Score"))
     return {
         "scores": joined, "roc": roc_tied(used, "score", "Positive"), "auc": auc_tied(used, "score", "Positive"),
-        "pr": pr_tied(used, "score", "Positive"), "hits": top_hits(used, [F.desc("score"), "Name"], top, "Positive"),
+        "pr": pr_tied(used, "score", "Positive"), "pr_area": pr_area_tied(used, "score", "Positive"), "hits": top_hits(used, [F.desc("score"), "Name"], top, "Positive"),
     }
 
 
@@ -165,24 +180,24 @@ def _two(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("Name", F.col("score").alias("s1")).join(b.select("Name", F.col("score").alias("s2")), "Name")
 
 
-def _min_rank(c: str):
-    return F.rank().over(_over((), F.desc(c)))
-
-
-def _avg_rank(c: str):
-    return _min_rank(c) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
+def _ranked(rows: DataFrame, c: str, name: str) -> DataFrame:
+    """With the least rank of ties, by falling c, and how many tie: counts by value are ranked, not rows."""
+    by = rows.groupBy(c).agg(F.count(F.lit(1)).alias("k"))
+    placed = running(by, [F.desc(c)], {"m": "k"}).select(c, (F.col("m") - F.col("k") + 1).alias(name), F.col("k").alias(f"{name}_ties"))
+    return rows.join(placed, c)
 
 
 def borda(a: DataFrame, b: DataFrame) -> DataFrame:
     """(N - r1) + (N - r2) with average ranks for ties."""
-    n = F.count(F.lit(1)).over(_over(()))
-    ranked = _two(a, b).withColumns({"r1": _avg_rank("s1"), "r2": _avg_rank("s2"), "n": n})
-    return ranked.select("Name", (2 * F.col("n") - F.col("r1") - F.col("r2")).alias("score"))
+    two = _two(a, b)
+    ranked = _ranked(_ranked(two, "s1", "r1"), "s2", "r2").crossJoin(F.broadcast(two.agg(F.count(F.lit(1)).alias("n"))))
+    average = lambda r: F.col(r) + (F.col(f"{r}_ties") - 1) / 2
+    return ranked.select("Name", (2 * F.col("n") - average("r1") - average("r2")).alias("score"))
 
 
 def crank(a: DataFrame, b: DataFrame, p: float = 4.0) -> DataFrame:
     """1 / r1^p + 1 / r2^p with the least rank for ties; p = 1 is Dowdall's count."""
-    ranked = _two(a, b).withColumns({"r1": _min_rank("s1"), "r2": _min_rank("s2")})
+    ranked = _ranked(_ranked(_two(a, b), "s1", "r1"), "s2", "r2")
     return ranked.select("Name", (F.pow("r1", F.lit(-p)) + F.pow("r2", F.lit(-p))).alias("score"))
 
 
@@ -190,12 +205,15 @@ def dowdall(a: DataFrame, b: DataFrame) -> DataFrame:
     return crank(a, b, 1.0)
 
 
-def combined_counts(a: DataFrame, b: DataFrame, p: float = 4.0) -> DataFrame:
-    """All fusions with ranks by position before the join; lists(Name, score)."""
-    ranked = [x.select("Name", F.row_number().over(_over((), F.desc("score"), "Name")).alias(r), F.count(F.lit(1)).over(_over(())).alias(n)) for x, r, n in ((a, "r1", "n1"), (b, "r2", "n2"))]
-    j = ranked[0].join(ranked[1], "Name")
+def combined_counts(a: DataFrame, b: DataFrame, p: float = 4.0, keys: tuple = ()) -> DataFrame:
+    """All fusions with ranks by position before the join; lists(keys, Name, score)."""
+    def placed(x: DataFrame, r: str, n: str) -> DataFrame:
+        c = cumulative(x.select(*keys, "Name", "score", F.lit(0).alias("label")), [F.desc("score"), "Name"], "label", keys)
+        return c.select(*keys, "Name", F.col("rank").alias(r), F.col("n").alias(n))
+
+    j = placed(a, "r1", "n1").join(placed(b, "r2", "n2"), [*keys, "Name"])
     return j.select(
-        "Name", (F.col("n1") - F.col("r1") + F.col("n2") - F.col("r2")).cast("double").alias("borda"), (1 / F.col("r1") + 1 / F.col("r2")).alias("dowdall"),
+        *keys, "Name", (F.col("n1") - F.col("r1") + F.col("n2") - F.col("r2")).cast("double").alias("borda"), (1 / F.col("r1") + 1 / F.col("r2")).alias("dowdall"),
         ((F.col("r1") + F.col("r2")) / 2).alias("average"), (F.pow("r1", F.lit(-p)) + F.pow("r2", F.lit(-p))).alias("crank"),
     )
 
@@ -206,14 +224,15 @@ def coverage(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.unionByName(b.select("Name").join(a, "Name", "left_anti").withColumn("side", F.lit("right")))
 
 
-def evaluate_fusions(fused: DataFrame, labels: DataFrame, top: int = 100) -> DataFrame:
-    """(method, auroc, hits) of every fusion; average ranks ascend, the others descend. labels(Name, label)."""
-    long = fused.unpivot(["Name"], ["borda", "dowdall", "average", "crank"], "method", "key")
-    signed = long.withColumn("score", F.when(F.col("method") == "average", -F.col("key")).otherwise(F.col("key"))).join(labels, "Name")
-    c = cumulative(signed, [F.desc("score"), "Name"], "label", ("method",))
-    roc = area(roc_points(c), "fpr", "tpr", ["rank"], ("method",)).withColumnRenamed("area", "auroc")
-    hits = c.where(F.col("rank") <= top).groupBy("method").agg(F.max("m").alias("hits"))
-    return roc.join(hits, "method")
+def evaluate_fusions(fused: DataFrame, labels: DataFrame, top: int = 100, keys: tuple = ()) -> DataFrame:
+    """(keys, method, auroc, hits) of every fusion; average ranks ascend, the others descend. labels(keys, Name, label)."""
+    long = fused.unpivot([*keys, "Name"], ["borda", "dowdall", "average", "crank"], "method", "key")
+    signed = long.withColumn("score", F.when(F.col("method") == "average", -F.col("key")).otherwise(F.col("key"))).join(labels, [*keys, "Name"])
+    by = (*keys, "method")
+    c = cumulative(signed, [F.desc("score"), "Name"], "label", by)
+    roc = area(roc_points(c), "fpr", "tpr", ["rank"], by).withColumnRenamed("area", "auroc")
+    hits = c.where(F.col("rank") <= top).groupBy(*by).agg(F.max("m").alias("hits"))
+    return roc.join(hits, list(by))
 
 
 def logistic_fusion(scores: DataFrame, label: str = "label") -> DataFrame:

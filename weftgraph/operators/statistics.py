@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions.iterate import running
+
 
 def log_linear_fit(totals: DataFrame) -> DataFrame:
     """total on ln(degree), degree 0 left out: slope, intercept, r2 and both standard errors."""
@@ -42,13 +44,20 @@ def signed_emd(a: DataFrame, b: DataFrame, keys: tuple = ()) -> DataFrame:
     k = list(keys)
     both = a.select(*k, "value").withColumn("s", F.lit(0)).unionByName(b.select(*k, "value").withColumn("s", F.lit(1)))
     by = both.groupBy(*k, "value").agg(F.sum(1 - F.col("s")).alias("x"), F.sum("s").alias("y"))
-    whole = Window.partitionBy(*k) if k else Window.partitionBy(F.lit(0))
-    run = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    f = F.sum("x").over(run) / F.sum("x").over(whole)
-    g = F.sum("y").over(run) / F.sum("y").over(whole)
-    gap = F.lead("value").over(whole.orderBy("value")) - F.col("value")
+    if k:
+        whole = Window.partitionBy(*k)
+        run = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        f = F.sum("x").over(run) / F.sum("x").over(whole)
+        g = F.sum("y").over(run) / F.sum("y").over(whole)
+        steps = by.select(*k, "x", "y", f.alias("f"), g.alias("g"), (F.lead("value").over(whole.orderBy("value")) - F.col("value")).alias("gap"))
+    else:
+        placed = running(by, [F.col("value")], {"u": "x", "v": "y"})
+        total = by.agg(F.sum("x").alias("all_x"), F.sum("y").alias("all_y"))
+        after = placed.select((F.col("rank") - 1).alias("rank"), F.col("value").alias("after"))
+        steps = placed.join(after, "rank", "left").crossJoin(F.broadcast(total))
+        steps = steps.select("x", "y", F.try_divide("u", "all_x").alias("f"), F.try_divide("v", "all_y").alias("g"), (F.col("after") - F.col("value")).alias("gap"))
     sides = both.groupBy(*k).agg(F.median(F.when(F.col("s") == 0, F.col("value"))).alias("ma"), F.median(F.when(F.col("s") == 1, F.col("value"))).alias("mb"))
-    total = by.where("x + y > 0").select(*k, (F.abs(f - g) * gap).alias("part")).groupBy(*k).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("d"))
+    total = steps.where("x + y > 0").select(*k, (F.abs(F.col("f") - F.col("g")) * F.col("gap")).alias("part")).groupBy(*k).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("d"))
     joined = total.join(sides, k) if k else total.crossJoin(sides)
     return joined.where("ma is not null and mb is not null").select(*k, (F.col("d") * F.signum(F.col("mb") - F.col("ma"))).alias("emd"))
 

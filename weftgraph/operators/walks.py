@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.iterate import checkpointed, mirror
+from weftgraph.functions.iterate import checkpointed, mirror, running
+
+LOOK = 4  # rounds between two looks at a walk's change; a walk may go on for as many rounds too long
 
 
 def random_walk(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (), restart: float = 0.4, tol: float = 1e-10, max_iter: int = 500) -> DataFrame:
@@ -25,16 +28,19 @@ def random_walk(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (),
     nodes = nodes.join(runs, own) if own else nodes.crossJoin(runs) if runs is not None else nodes
     live = seeds.join(nodes, [*k, "node"], "left_semi").distinct()
     base = nodes.join(live.withColumn("s", F.lit(1.0)), [*k, "node"], "left").na.fill(0.0, ["s"])
-    whole = Window.partitionBy(*k) if k else Window.partitionBy(F.lit(1))
-    base = checkpointed(base.select(*k, "node", (F.col("s") / F.sum("s").over(whole)).alias("p"), F.count(F.lit(1)).over(whole).alias("n")).where("p is not null"))
+    sizes = base.groupBy(*k).agg(F.sum("s").alias("seeds"), F.count(F.lit(1)).alias("n")).where("seeds > 0")  # a row a key
+    base = base.join(sizes, k) if k else base.crossJoin(F.broadcast(sizes))
+    base = checkpointed(base.select(*k, "node", (F.col("s") / F.col("seeds")).alias("p"), "n"))
     state = base.withColumn("score", F.lit(1.0) / F.col("n"))
-    for _ in range(max_iter):
+    for turn in range(1, max_iter + 1):
         moved = state.select(*k, F.col("node").alias("src"), "score").join(steps, [*own, "src"]).groupBy(*k, F.col("dst").alias("node"))
         moved = moved.agg(F.sum(F.col("score") * F.col("share")).alias("m"))
         new = (1 - restart) * F.coalesce("m", F.lit(0.0)) + restart * F.col("p")
-        state = checkpointed(
-            state.withColumnRenamed("score", "last").join(moved, [*k, "node"], "left").select(*k, "node", "p", "n", new.alias("score"), "last")
-        )
+        state = state.withColumnRenamed("score", "last").join(moved, [*k, "node"], "left").select(*k, "node", "p", "n", new.alias("score"), "last")
+        if turn % LOOK:
+            state = state.drop("last")
+            continue
+        state = checkpointed(state)
         off = state.groupBy(*k).agg((F.sum(F.abs(F.col("score") - F.col("last"))) / F.max("n")).alias("off")).agg(F.max("off")).first()[0]
         state = state.drop("last")
         if off is None or off < tol:
@@ -45,8 +51,10 @@ def random_walk(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (),
 def ranked_without_seeds(scores: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Scores without the seeds, ranked from 1 by falling score, ties by node."""
     k = list(keys)
-    order = (Window.partitionBy(*k) if k else Window.partitionBy()).orderBy(F.desc("score"), "node")
-    return scores.join(seeds, [*k, "node"], "left_anti").withColumn("rank", F.row_number().over(order))
+    left = scores.join(seeds, [*k, "node"], "left_anti")
+    if not k:
+        return running(left, [F.desc("score"), F.col("node")], {})
+    return left.withColumn("rank", F.row_number().over(Window.partitionBy(*k).orderBy(F.desc("score"), "node")).cast("long"))
 
 
 def distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -58,12 +66,14 @@ def distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000) -> D
     steps = checkpointed(mirror(edges.withColumn("weight", w)).groupBy("src", "dst").agg(F.min("weight").alias("w")))
     best = checkpointed(sources.select("source", "node").distinct().withColumn("dist", F.lit(0.0)))
     frontier = best
-    for _ in range(max_rounds):
+    for turn in range(1, max_rounds + 1):
         offer = frontier.withColumnRenamed("node", "src").join(steps, "src").groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("offer"))
         better = checkpointed(offer.join(best, ["source", "node"], "left").where("dist is null or offer < dist").select("source", "node", F.col("offer").alias("dist")))
         if better.isEmpty():
             return best
-        best = checkpointed(best.join(better, ["source", "node"], "left_anti").unionByName(better))
+        # found distances are added; a shorter one replaces the old when the table is next read
+        best = best.unionByName(better).groupBy("source", "node").agg(F.min("dist").alias("dist"))
+        best = checkpointed(best) if turn % LOOK == 0 else best
         frontier = better
     raise RuntimeError(f"distances still fall after {max_rounds} rounds")
 
@@ -96,6 +106,26 @@ def degree_bins(measure: DataFrame, bin_size: int) -> DataFrame:
     return binned.select("node", "bin", (F.col("pos") - F.col("bin") * bin_size).cast("int").alias("slot"))
 
 
+def log_bins(measure: DataFrame, bin_size: int, base: float = 2.0) -> DataFrame:
+    """(node, bin, slot): nodes in classes of floor(log_base value); neighbouring classes merge until a bin has
+    bin_size nodes, what is left over joins the last bin. measure(node, value >= 0); value 0 is a class of its own."""
+    power = F.when(F.col("value") > 0, F.floor(F.log(F.col("value").cast("double")) / float(np.log(base)) + 1e-9)).otherwise(F.lit(-(1 << 20)))
+    classed = measure.withColumn("power", power.cast("long"))
+    counts = classed.groupBy("power").agg(F.count(F.lit(1)).alias("c")).orderBy("power").collect()  # a row for each power of the base
+    bin_of, now, held = {}, 0, 0
+    for r in counts:
+        if held >= bin_size:
+            now, held = now + 1, 0
+        bin_of[r["power"]] = now
+        held += r["c"]
+    if held < bin_size and now:
+        bin_of = {p: min(b, now - 1) for p, b in bin_of.items()}
+    table = measure.sparkSession.createDataFrame(sorted(bin_of.items()), "power long, bin int")
+    binned = classed.join(F.broadcast(table), "power")
+    slot = F.row_number().over(Window.partitionBy("bin").orderBy("value", "node")) - 1
+    return binned.select("node", "bin", slot.alias("slot"))
+
+
 def random_sets(bins: DataFrame, sets: DataFrame, n_iter: int, seed: int) -> DataFrame:
     """(set, iter, node): for each set(set, node) random nodes of the same bins."""
     size = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("size"))

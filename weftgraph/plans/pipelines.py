@@ -23,7 +23,7 @@ def separation(weights: DataFrame, edges: DataFrame, sample: int, seed: int = 1)
     cells = network.background(weights, edges).withColumn("key", F.concat_ws("|", "src", "dst"))
     outside = selection.sample_exact(cells, sample, seed, "key")
     c = ranking.separated(inside, outside)
-    total = c.agg(F.sum("label").alias("P"), F.count(F.lit(1)).alias("n"))
+    total = c.agg(F.sum("label").alias("P"))
     # the area under the steps: for each negative the share of positives before it
     return c.crossJoin(F.broadcast(total)).where("label = 0").agg(F.avg(F.col("m") / F.col("P")).alias("auroc"))
 
@@ -34,16 +34,18 @@ def degree_dependence(edges: DataFrame, weights: DataFrame) -> tuple[DataFrame,
     return statistics.log_linear_fit(totals), network.by_degree(totals)
 
 
-def module_detection(edges: DataFrame, genes: DataFrame, repeats: DataFrame, restart: float = 0.4, keys: tuple[str, ...] = ()) -> DataFrame:
+def module_detection(edges: DataFrame, genes: DataFrame, repeats: DataFrame, restart: float = 0.4, keys: tuple[str, ...] = (), digits: int | None = None, tol: float = 1e-10) -> DataFrame:
     """(keys, rep, node, score, rank, label, m, P, n): hold-outs of a module recovered by walks from the rest.
 
-    edges may carry the keys of several networks or layers; repeats(rep); all walks run in one loop."""
+    edges may carry the keys of several networks or layers; repeats(rep); all walks run in one loop. With ``digits``
+    scores are rounded before they are ranked, so that nodes which tie are ordered by name."""
     both = checkpointed(selection.hold_out(genes, repeats))
     runs = edges.select(*keys).distinct() if keys else None
     seeds = both.where("not tossed").select("rep", "node")
     seeds = checkpointed(seeds.crossJoin(F.broadcast(runs)) if keys else seeds)
     k = (*keys, "rep")
-    scores = walks.random_walk(edges, seeds, k, restart)
+    scores = walks.random_walk(edges, seeds, k, restart, tol)
+    scores = scores if digits is None else scores.withColumn("score", F.round("score", digits))
     ranked = walks.ranked_without_seeds(scores, seeds, k)
     labelled = selection.held_out_labels(ranked, both.where("tossed"), ["rep", "node"])
     return ranking.cumulative(labelled, [F.desc("score"), "node"], "label", k)
@@ -103,3 +105,36 @@ def hop_decay(edges: DataFrame, weights: DataFrame, module: DataFrame, hops: int
     met = cells.join(module.withColumnRenamed("node", "src").distinct(), "src", "left_semi").join(layers.withColumnRenamed("node", "dst"), "dst")
     sizes = layers.groupBy("hop").agg(F.count(F.lit(1)).alias("nodes"))
     return sizes.join(statistics.quartiles(met, ["hop"], "weight"), "hop", "left")
+
+
+def fused_modules(detected: DataFrame, one: str, other: str, top: int = 100) -> DataFrame:
+    """(method, auroc, hits): fusions of the rankings that two networks give of the same held-out genes, mean over repeats.
+
+    detected(network, rep, node, score, label) as from module_detection with keys=("network",)."""
+    lists = [detected.where(F.col("network") == n).select("rep", F.col("node").alias("Name"), "score") for n in (one, other)]
+    labels = detected.where(F.col("network") == one).select("rep", F.col("node").alias("Name"), "label")
+    by = ranking.evaluate_fusions(ranking.combined_counts(*lists, keys=("rep",)), labels, top, ("rep",))
+    return by.groupBy("method").agg(F.avg("auroc").alias("auroc"), F.avg("hits").alias("hits"))
+
+
+def fused_edges(a: DataFrame, b: DataFrame, edges: DataFrame, top: int = 100) -> DataFrame:
+    """(method, auroc, hits): fusions of two weight tables in ranking the cells that are edges."""
+    named = lambda w: w.select(F.concat_ws("|", "src", "dst").alias("Name"), F.col("weight").alias("score"))
+    labels = ranking.rank_edges(a, edges).select(F.concat_ws("|", "src", "dst").alias("Name"), "label")
+    return ranking.evaluate_fusions(ranking.combined_counts(named(a), named(b)), labels, top)
+
+
+def shift_report(shifts: DataFrame, classes: DataFrame, lo: float, hi: float, bins: int = 19) -> tuple[DataFrame, DataFrame]:
+    """(histogram, quartiles) of emd by class; shifts(disease, emd), classes(disease, in_class)."""
+    known = checkpointed(shifts.join(classes.select("disease", "in_class").distinct(), "disease"))
+    return statistics.histogram(known, "in_class", "emd", lo, hi, bins), statistics.quartiles(known, ["in_class"], "emd")
+
+
+def module_separability(edges: DataFrame, weights: DataFrame, module: DataFrame) -> DataFrame:
+    """(auroc, edges, others): weights of a module's edges against those of its pairs that are no edges."""
+    inside = network.module_weights(edges, module, weights)
+    # each unordered pair once: the cells hold both orders
+    outside = network.module_non_edges(edges, module, weights).where("src < dst")
+    both = inside.select("weight", F.lit(1).alias("label")).unionByName(outside.select("weight", F.lit(0).alias("label")))
+    sizes = both.agg(F.sum("label").alias("edges"), F.sum(1 - F.col("label")).alias("others"))
+    return ranking.auc_tied(both, "weight").select(F.col("area").alias("auroc")).crossJoin(F.broadcast(sizes))

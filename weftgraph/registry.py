@@ -1,6 +1,6 @@
 """All queries of the library on the test tables, and the SQL that gives the same rows.
 
-Stand-ins: ``g1`` a sparse part-supplier graph, ``g2`` the cosine graph of the embeddings, samples are orders and genes
+Stand-ins: ``g1`` the graph of part-supplier pairs that occur more than once, ``g2`` the cosine graph of the embeddings, samples are orders and genes
 are parts, rankings are documents by length with quality or toxicity as labels.
 """
 
@@ -46,9 +46,10 @@ def _r(*columns: str):
 
 # Stand-in inputs -------------------------------------------------------------------------------------------------
 
-def g1(spark, d):
-    rows = _t(spark, d, "lineitem").where("l_quantity = 50 and l_returnflag = 'R'")
-    return rows.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+def g1(spark, d, least: int = 2):
+    """Part-supplier pairs that ``least`` or more of all line items have."""
+    rows = _t(spark, d, "lineitem").groupBy(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    return rows.agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("src", "dst")
 
 
 def whole(spark, d):
@@ -56,19 +57,19 @@ def whole(spark, d):
     return _t(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
 
 
-G1 = "g1 AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R')"
+G1 = "g1 AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2)"
 BOTH = "both_ways AS (SELECT src, dst FROM g1 UNION ALL SELECT dst, src FROM g1)"
 
 
 def weights1(spark, d):
-    """Weights of part-supplier pairs: mean discount over line items; more pairs than g1 has edges."""
-    rows = _t(spark, d, "lineitem").where("l_returnflag = 'R'")
+    """Weights of part-supplier pairs: mean discount over all line items; more pairs than g1 has edges."""
+    rows = _t(spark, d, "lineitem")
     return rows.groupBy(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).agg(
-        F.round(F.avg("l_discount"), 6).alias("weight"), F.count(F.lit(1)).alias("n"))
+        F.round(F.avg("l_discount"), 5).alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
-W1 = """w1 AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, round(avg(l_discount), 6) AS weight, count(*) AS n
-  FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)"""
+W1 = """w1 AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, round(avg(l_discount), 5) AS weight, count(*) AS n
+  FROM lineitem GROUP BY 1, 2)"""
 
 
 def g2(spark, d):
@@ -77,7 +78,7 @@ def g2(spark, d):
 
 def _cosine(spark, d):
     v = _t(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id"), "embedding")
-    return pairs.cosine_pairs(v.withColumn("run", F.lit(0)), ["run"], "vec_id", "embedding").select("src", "dst", "weight")
+    return pairs.cosine_pairs(v.withColumn("run", F.lit(0)), ["run"], "vec_id", "embedding", blocks=8).select("src", "dst", "weight")
 
 
 _DOTS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -104,11 +105,11 @@ VOCAB = """vocab AS (SELECT CAST(p_partkey AS VARCHAR) AS gene_id, CAST(p_partke
   FROM part JOIN (SELECT l_partkey, quantile_cont(CAST(l_quantity AS DOUBLE), 0.5) AS median FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)"""
 ENCODED = EXPR + ", " + VOCAB + """, ranked AS (SELECT sample_id, gene_id, token, expr.value / median AS value,
   row_number() OVER (PARTITION BY sample_id ORDER BY expr.value / median DESC, gene_id) AS r FROM expr JOIN vocab USING (gene_id)),
-encoded AS (SELECT sample_id, array_agg(token ORDER BY r) AS input_ids, count(*) AS length FROM ranked WHERE r <= 8 GROUP BY 1)"""
+encoded AS (SELECT sample_id, array_agg(token ORDER BY r) AS input_ids, count(*) AS length FROM ranked WHERE r <= 2048 GROUP BY 1)"""
 
 
 def encoded(spark, d):
-    return encoding.rank_encode(encoding.normalize_by_vocab(expr(spark, d), vocab(spark, d)), 8)
+    return encoding.rank_encode(encoding.normalize_by_vocab(expr(spark, d), vocab(spark, d)))
 
 
 def ranking1(spark, d):
@@ -123,7 +124,7 @@ cum AS (SELECT *, row_number() OVER w AS rank, sum(label) OVER w AS m, sum(label
 
 
 def drugs(spark, d):
-    o = _t(spark, d, "orders").where("o_orderdate >= date'1996-01-01' and o_orderdate < date'1997-01-01'")
+    o = _t(spark, d, "orders")
     li = _t(spark, d, "lineitem")
     return o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(
         F.col("o_orderkey").alias("Name"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("withdrawn").alias("Status"), F.lit("Humans").alias("organism"),
@@ -131,7 +132,7 @@ def drugs(spark, d):
 
 
 DRUGS = """drugs AS (SELECT o_orderkey AS "Name", CASE WHEN o_orderstatus = 'F' THEN 'approved' ELSE 'withdrawn' END AS "Status", o_orderpriority AS "Indication",
-  l_partkey AS "Gene_Target", l_linenumber AS row_no FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01')"""
+  l_partkey AS "Gene_Target", l_linenumber AS row_no FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
 
 
 def associations(spark, d):
@@ -159,14 +160,14 @@ def rank_value_encoding(spark, d):
     return encoded(spark, d).select("sample_id", F.array_join("input_ids", ",").alias("ids"), "length")
 
 
-@query(f"""WITH {ENCODED} SELECT sample_id, array_to_string(list_concat(input_ids, list_transform(range(12 - length), lambda x: 0)), ',') AS ids,
-  array_to_string(list_concat(list_transform(input_ids, lambda x: 1), list_transform(range(12 - length), lambda x: 0)), ',') AS mask FROM encoded""")
+@query(f"""WITH {ENCODED} SELECT sample_id, array_to_string(list_concat(input_ids, list_transform(range(20 - length), lambda x: 0)), ',') AS ids,
+  array_to_string(list_concat(list_transform(input_ids, lambda x: 1), list_transform(range(20 - length), lambda x: 0)), ',') AS mask FROM encoded""")
 def padded_with_mask(spark, d):
-    p = encoding.padding_mask(encoding.pad(encoded(spark, d), 12))
+    p = encoding.padding_mask(encoding.pad(encoded(spark, d), 20))
     return p.select("sample_id", F.array_join("input_ids", ",").alias("ids"), F.array_join("mask", ",").alias("mask"))
 
 
-@query(f"WITH {ENCODED} SELECT sample_id, string_agg(gene_id, ',' ORDER BY r) AS genes FROM ranked WHERE r <= 8 GROUP BY 1")
+@query(f"WITH {ENCODED} SELECT sample_id, string_agg(gene_id, ',' ORDER BY r) AS genes FROM ranked WHERE r <= 2048 GROUP BY 1")
 def decoded_genes(spark, d):
     return encoding.decode(encoded(spark, d), vocab(spark, d)).select("sample_id", F.array_join("genes", ",").alias("genes"))
 
@@ -195,10 +196,11 @@ def missing_listed_genes(spark, d):
     return encoding.missing_genes(expr(spark, d).where("value > 70"), _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("gene_id")))
 
 
-@query(f"""WITH {ENCODED}, runs AS (SELECT range AS seed FROM range(3)),
-  drawn AS (SELECT seed, sample_id, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || '|' || sample_id), sample_id) AS r FROM encoded, runs),
-  tok AS (SELECT seed, r, unnest(input_ids) AS token FROM drawn JOIN encoded USING (sample_id) WHERE r <= 500),
-  c AS (SELECT seed, n, count(DISTINCT token) AS tokens FROM tok, (SELECT unnest([50, 200, 500]) AS n) WHERE r <= n GROUP BY 1, 2)
+@query(f"""WITH {ENCODED}, num AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS row_no FROM encoded),
+  draws AS (SELECT seed, draw_no, CAST('0x' || substr(md5(seed || '|' || draw_no), 1, 8) AS BIGINT) % (SELECT count(*) FROM encoded) AS row_no
+    FROM (SELECT range AS seed FROM range(3)), (SELECT range AS draw_no FROM range(500))),
+  tok AS (SELECT seed, draw_no, unnest(input_ids) AS token FROM draws JOIN num USING (row_no) JOIN encoded USING (sample_id)),
+  c AS (SELECT seed, n, count(DISTINCT token) AS tokens FROM tok, (SELECT unnest([50, 200, 500]) AS n) WHERE draw_no < n GROUP BY 1, 2)
   SELECT CAST(n AS INTEGER) AS n, round(avg(tokens), 6) AS mean_tokens, round(stddev_pop(tokens), 6) AS std_tokens FROM c GROUP BY 1""")
 def vocabulary_saturation(spark, d):
     return encoding.saturation(encoded(spark, d), [50, 200, 500], 3).select("n", *_r("mean_tokens", "std_tokens"))
@@ -211,7 +213,8 @@ def distinct_vocabulary(spark, d):
     return encoding.distinct_tokens(e).join(counts, "token").select("token", "samples")
 
 
-@query()
+@query(f"""WITH {ENCODED}, num AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS row_no FROM encoded)
+  SELECT draw_no, sample_id FROM (SELECT range AS draw_no, CAST('0x' || substr(md5('7|' || range), 1, 8) AS BIGINT) % (SELECT count(*) FROM encoded) AS row_no FROM range(100)) JOIN num USING (row_no)""")
 def sample_draws(spark, d):
     return encoding.draw_samples(encoded(spark, d).select("sample_id"), 100, 7)
 
@@ -231,7 +234,7 @@ def attention(spark, d):
     return a.join(b, "sample_id").crossJoin(F.broadcast(heads)).withColumns({"weight": w, "layer": F.lit(4)})
 
 
-ATTN = ENCODED + """, pos AS (SELECT sample_id, CAST(r - 1 AS INTEGER) AS i, token AS t FROM ranked WHERE r <= 8),
+ATTN = ENCODED + """, pos AS (SELECT sample_id, CAST(r - 1 AS INTEGER) AS i, token AS t FROM ranked WHERE r <= 2048),
 attn AS (SELECT a.sample_id, a.i AS pos_i, b.i AS pos_j, a.t AS src, b.t AS dst, CAST(h AS INTEGER) AS head, ((13 * a.i + 7 * b.i + 5 * h) % 101) / 101.0 AS weight
   FROM pos a JOIN pos b USING (sample_id), (SELECT range AS h FROM range(4)))"""
 
@@ -316,10 +319,10 @@ def edges_without_weight(spark, d):
     return network.unweighted_edges(g1(spark, d), weights1(spark, d).where("weight > 0.02"))
 
 
-@query(f"WITH {G1}, {W1} SELECT a.src, a.dst, weight FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g1 WHERE src < 'p5') a JOIN w1 USING (src, dst)")
+@query(f"WITH {G1}, {W1} SELECT a.src, a.dst, weight FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g1) a JOIN w1 USING (src, dst)")
 def edge_list_weights(spark, d):
     e = g1(spark, d)
-    return network.list_weights(e.unionByName(e.where("src < 'p5'")), weights1(spark, d))
+    return network.list_weights(e.unionByName(e), weights1(spark, d))
 
 
 @query(f"""WITH {G1}, {W1}, cells AS (SELECT src, dst, weight FROM w1 UNION ALL SELECT dst, src, weight FROM w1),
@@ -423,40 +426,54 @@ def uniform_graph_size(spark, d):
 
 # Walks and distances ---------------------------------------------------------------------------------------------
 
+def _brand(spark, d):
+    """The module of one brand's parts."""
+    genes = selection.disease_rows(associations(spark, d).withColumns({"Strong": F.lit(1)}), "Brand#11")
+    return genes.select(F.concat(F.lit("p"), "HGNC_Symbol").alias("node"))
+
+
 @query(f"""WITH RECURSIVE {G1}, {BOTH}, deg AS (SELECT src, count(*) AS c FROM both_ways GROUP BY 1), nodes AS (SELECT src AS node FROM deg),
-  seed AS (SELECT node FROM nodes WHERE node LIKE 'p1%'),
+  seed AS (SELECT node FROM nodes WHERE node IN (SELECT 'p' || p_partkey FROM part WHERE p_brand = 'Brand#11')),
   walk AS (SELECT 0 AS k, node, 1.0 / (SELECT count(*) FROM nodes) AS score FROM nodes
-    UNION ALL SELECT w.k + 1, b.dst, 0.6 * sum(w.score / c) + CASE WHEN b.dst LIKE 'p1%' THEN 0.4 / (SELECT count(*) FROM seed) ELSE 0 END
+    UNION ALL SELECT w.k + 1, b.dst, 0.6 * sum(w.score / c) + CASE WHEN b.dst IN (SELECT node FROM seed) THEN 0.4 / (SELECT count(*) FROM seed) ELSE 0 END
     FROM walk w JOIN both_ways b ON b.src = w.node JOIN deg ON deg.src = w.node WHERE w.k < 60 GROUP BY w.k, b.dst)
   SELECT node, round(score, 6) AS score FROM walk WHERE k = 60""")
 def restart_walk(spark, d):
     e = checkpointed(g1(spark, d))
-    seeds = network.nodes_of(e).where("node like 'p1%'")
+    seeds = network.nodes_of(e).join(_brand(spark, d), "node", "left_semi")
     return walks.random_walk(e, seeds, tol=1e-9).select("node", *_r("score"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem), both_ways AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
+  deg AS (SELECT src AS node, count(*) AS c FROM both_ways GROUP BY 1), reps AS (SELECT range AS rep FROM range(3)), mod AS (SELECT DISTINCT 'p' || p_partkey AS node FROM part WHERE p_brand = 'Brand#11' AND (p_size % 3 >= 1 OR p_size % 2 >= 1)),
+  seed AS (SELECT rep, node FROM (SELECT rep, node, row_number() OVER (PARTITION BY rep ORDER BY md5(rep || '|' || node), node) AS r, count(*) OVER (PARTITION BY rep) AS n FROM mod, reps) WHERE r > n // 5),
+  live AS (SELECT rep, node, 1.0 / count(*) OVER (PARTITION BY rep) AS p FROM seed JOIN deg USING (node)),
+  base AS (SELECT rep, node, coalesce(p, 0) AS p, c FROM deg CROSS JOIN reps LEFT JOIN live USING (rep, node)),
+  walk AS (SELECT 0 AS k, rep, node, CAST(1.0 AS DOUBLE) / (SELECT count(*) FROM deg) AS score FROM base
+    UNION ALL SELECT w.k + 1, w.rep, b.dst, 0.6 * sum(w.score / d.c) + 0.4 * max(x.p) FROM walk w JOIN both_ways b ON b.src = w.node JOIN deg d ON d.node = w.node
+      JOIN base x ON x.rep = w.rep AND x.node = b.dst WHERE w.k < 70 GROUP BY w.k, w.rep, b.dst)
+  SELECT rep, node, round(score, 6) AS score, row_number() OVER (PARTITION BY rep ORDER BY round(score, 6) DESC, node) AS rank FROM walk WHERE k = 70 AND (rep, node) NOT IN (SELECT (rep, node) FROM seed)""")
 def rwr_ranking(spark, d):
     e = checkpointed(whole(spark, d))
     module = selection.disease_genes(associations(spark, d), "Brand#11").select(F.concat(F.lit("p"), "HGNC_Symbol").alias("node"))
-    seeds = module.crossJoin(spark.range(3).select(F.col("id").alias("rep")))
-    seeds = checkpointed(seeds.where(F.pmod(F.xxhash64("node", "rep"), F.lit(5)) > 0))
-    return walks.ranked_without_seeds(walks.random_walk(e, seeds, ("rep",), tol=1e-9), seeds, ("rep",)).select("rep", "node", *_r("score"), "rank")
+    seeds = checkpointed(selection.hold_out(module, spark.range(3).select(F.col("id").alias("rep"))).where("not tossed").select("rep", "node"))
+    scores = walks.random_walk(e, seeds, ("rep",), tol=1e-14).withColumn("score", F.round("score", 6))  # ties are ties in any engine
+    return walks.ranked_without_seeds(scores, seeds, ("rep",)).select("rep", "node", "score", "rank")
 
 
-@query(f"""WITH RECURSIVE {G1}, {BOTH}, walk AS (SELECT src AS source, src AS node, 0 AS dist FROM (SELECT DISTINCT src FROM g1 WHERE src LIKE 'p1%')
+@query(f"""WITH RECURSIVE {G1}, {BOTH}, walk AS (SELECT src AS source, src AS node, 0 AS dist FROM (SELECT DISTINCT src FROM g1 WHERE src IN (SELECT 'p' || p_partkey FROM part WHERE p_brand = 'Brand#11'))
     UNION SELECT source, dst, dist + 1 FROM walk JOIN both_ways ON src = node WHERE dist < 40)
   SELECT source, node, CAST(min(dist) AS DOUBLE) AS dist FROM walk GROUP BY 1, 2""")
 def hop_distances(spark, d):
     e = checkpointed(g1(spark, d))
-    return walks.distances(e, e.where("src like 'p1%'").select(F.col("src").alias("source"), F.col("src").alias("node")))
+    return walks.distances(e, e.join(_brand(spark, d).withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("src").alias("source"), F.col("src").alias("node")))
 
 
-@query(f"""WITH RECURSIVE {G1}, {BOTH}, walk AS (SELECT src AS source, src AS node, 0 AS dist FROM (SELECT DISTINCT src FROM both_ways)
+@query(f"""WITH RECURSIVE {G1.replace('>= 2', '>= 3')}, {BOTH}, walk AS (SELECT src AS source, src AS node, 0 AS dist FROM (SELECT DISTINCT src FROM both_ways)
     UNION SELECT source, dst, dist + 1 FROM walk JOIN both_ways ON src = node WHERE dist < 40)
   SELECT source, node, CAST(min(dist) AS DOUBLE) AS dist FROM walk GROUP BY 1, 2""")
 def all_pairs_distances(spark, d):
-    return walks.all_pairs(checkpointed(g1(spark, d)))
+    return walks.all_pairs(checkpointed(g1(spark, d, 3)))
 
 
 def _screen_inputs(spark, d):
@@ -476,12 +493,29 @@ def drug_proximity(spark, d):
     return walks.proximity(*_screen_inputs(spark, d)).select("drug", "disease", *_r("d"))
 
 
-@query()
+_SETS = """deg AS (SELECT node, count(*) AS value FROM (SELECT unnest([src, dst]) AS node FROM g1) GROUP BY 1),
+  pos AS (SELECT node, row_number() OVER (ORDER BY value, node) - 1 AS pos, count(*) OVER () AS n FROM deg),
+  bins AS (SELECT node, bin, pos - bin * 20 AS slot, count(*) OVER (PARTITION BY bin) AS size FROM (SELECT node, pos, least(pos // 20, greatest(n // 20 - 1, 0)) AS bin FROM pos)),
+  sets AS (SELECT 1 AS seed, 'd' || p_size AS set, 'p' || p_partkey AS node FROM part UNION ALL SELECT 2, p_brand, 'p' || p_partkey FROM part),
+  picks AS (SELECT seed, set, iter, bin, CAST('0x' || substr(md5(seed || '|' || iter || '|' || set || '|' || node), 1, 12) AS BIGINT) % size AS slot
+    FROM sets JOIN bins USING (node), (SELECT range AS iter FROM range(20))),
+  rnd AS (SELECT seed, set, iter, node FROM picks JOIN bins USING (bin, slot))"""
+
+
+@query(f"""WITH RECURSIVE {G1}, {BOTH}, {_SETS},
+  start AS (SELECT DISTINCT set AS disease, iter, node FROM rnd WHERE seed = 2 UNION SELECT set, -1, node FROM sets JOIN bins USING (node) WHERE seed = 2),
+  walk AS (SELECT disease, iter, node, 0 AS dist FROM start UNION SELECT disease, iter, dst, dist + 1 FROM walk JOIN both_ways ON src = node WHERE dist < 12),
+  near AS (SELECT disease, iter, node, min(dist) AS dist FROM walk GROUP BY 1, 2, 3),
+  picked AS (SELECT set AS drug, iter, node FROM rnd WHERE seed = 1 UNION ALL SELECT set, -1, node FROM sets JOIN bins USING (node) WHERE seed = 1),
+  x AS (SELECT drug, disease, iter, avg(dist) AS x FROM picked JOIN near USING (iter, node) GROUP BY 1, 2, 3),
+  pair AS (SELECT n.drug, n.disease, r.x AS d, n.x FROM x n JOIN x r ON r.drug = n.drug AND r.disease = n.disease AND r.iter = -1 WHERE n.iter >= 0),
+  f AS (SELECT drug, disease, d, avg(x) AS mean, stddev_pop(x) AS std, avg(CAST(x <= d AS INTEGER)) AS p FROM pair GROUP BY 1, 2, 3)
+  SELECT drug, disease, round(d, 6) AS d, round(mean, 6) AS mean, round(std, 6) AS std, round(CASE WHEN std = 0 THEN NULL ELSE (d - mean) / std END, 6) + 0.0 AS z, round(p, 6) AS p FROM f""")
 def proximity_screen(spark, d):
     e, targets, diseases = _screen_inputs(spark, d)
     bins = checkpointed(walks.degree_bins(network.degree(e).withColumnRenamed("degree", "value"), 20))
-    out = walks.screening(e, targets, diseases.where("disease < 'Brand#2'"), bins, 20)
-    return out.select("drug", "disease", *_r("d", "mean", "std", "z", "p"))
+    out = walks.screening(e, targets, diseases, bins, 20)
+    return out.select("drug", "disease", *_r("d", "mean", "std"), (F.round("z", 6) + 0.0).alias("z"), *_r("p"))
 
 
 @query(f"""WITH {G1}, deg AS (SELECT node, count(*) AS value FROM (SELECT unnest([src, dst]) AS node FROM g1) GROUP BY 1),
@@ -546,9 +580,9 @@ def exact_sample(spark, d):
 
 
 @query("""SELECT rep, node, row_number() OVER (PARTITION BY rep ORDER BY md5(rep || '|' || node), node) <= (count(*) OVER (PARTITION BY rep)) // 5 AS tossed
-  FROM (SELECT p_partkey AS node FROM part WHERE p_size <= 5), (SELECT range AS rep FROM range(1, 11))""")
+  FROM (SELECT p_partkey AS node FROM part), (SELECT range AS rep FROM range(1, 11))""")
 def seeded_hold_out(spark, d):
-    genes = _t(spark, d, "part").where("p_size <= 5").select(F.col("p_partkey").alias("node"))
+    genes = _t(spark, d, "part").select(F.col("p_partkey").alias("node"))
     return selection.hold_out(genes, spark.range(1, 11).select(F.col("id").alias("rep")))
 
 # Ranking metrics -------------------------------------------------------------------------------------------------
@@ -559,7 +593,7 @@ def _cum(spark, d):
 
 @query(f"""WITH {R1} SELECT CAST(rank AS INTEGER) AS rank, CAST(m AS BIGINT) AS m, round(m / p, 6) AS tpr, round((rank - m) / (n - p), 6) AS fpr, round(m / rank, 6) AS precision FROM cum""")
 def cumulative_curves(spark, d):
-    return ranking.pr_points(ranking.roc_points(_cum(spark, d))).select("rank", "m", *_r("tpr", "fpr", "precision"))
+    return ranking.pr_points(ranking.roc_points(_cum(spark, d))).select(F.col("rank").cast("int").alias("rank"), "m", *_r("tpr", "fpr", "precision"))
 
 
 @query(f"""WITH {R1}, pts AS (SELECT rank, m / p AS tpr, (rank - 1 - m) / (n - p) AS fpr FROM cum),
@@ -598,12 +632,12 @@ def pr_with_ties(spark, d):
 def precision_recall_baselines(spark, d):
     b = ranking.with_baselines(ranking1(spark, d), [F.desc("score"), "Name"])
     a = ranking.precision_recall_at(ranking1(spark, d), [F.desc("score"), "Name"]).select("top", "precision", "recall")
-    return a.join(b.select("top", "base_precision", "base_recall"), "top").select("top", *_r("precision", "recall", "base_precision", "base_recall"))
+    return a.join(b.select("top", "base_precision", "base_recall"), "top").select(F.col("top").cast("int").alias("top"), *_r("precision", "recall", "base_precision", "base_recall"))
 
 
 @query(f"WITH {R1} SELECT CAST(rank AS INTEGER) AS top, CAST(m AS BIGINT) AS hits FROM cum WHERE rank <= 50")
 def top_hit_counts(spark, d):
-    return ranking.top_hits(ranking1(spark, d), [F.desc("score"), "Name"], 50)
+    return ranking.top_hits(ranking1(spark, d), [F.desc("score"), "Name"], 50).select(F.col("top").cast("int").alias("top"), "hits")
 
 
 @query(f"WITH {R1} SELECT round(rank / (n + 1), 6) AS fraction, round(m / p, 6) AS found FROM cum WHERE rank % 10 = 0 AND rank < n - 1")
@@ -624,7 +658,14 @@ def separated_weights(spark, d):
     return c.groupBy("weight").agg(F.max("m").alias("m"), F.max("rank").alias("rank"))
 
 
-@query()
+@query(f"""WITH {R1}, by_score AS (SELECT toxic AS run_id, score AS t, sum(label) AS p, count(*) - sum(label) AS q FROM r1 GROUP BY 1, 2),
+  pts AS (SELECT run_id, t, sum(p) OVER w / sum(p) OVER v AS tpr, sum(q) OVER w / sum(q) OVER v AS fpr, sum(p) OVER w / (sum(p) OVER w + sum(q) OVER w) AS pre
+    FROM by_score WINDOW v AS (PARTITION BY run_id), w AS (PARTITION BY run_id ORDER BY t DESC ROWS UNBOUNDED PRECEDING)),
+  roc AS (SELECT run_id, t, tpr, fpr FROM pts UNION ALL SELECT DISTINCT run_id, 'infinity'::DOUBLE, 0, 0 FROM pts),
+  auc AS (SELECT run_id, sum(a) AS auroc FROM (SELECT run_id, (fpr - lag(fpr) OVER w) * (tpr + lag(tpr) OVER w) / 2 AS a FROM roc WINDOW w AS (PARTITION BY run_id ORDER BY t DESC)) GROUP BY 1),
+  ar AS (SELECT run_id, sum(dx * yp) AS pa, sum(dx * yr) AS ra, max(t) - min(t) AS span FROM (SELECT run_id, t, t - lag(t) OVER w AS dx, (pre + lag(pre) OVER w) / 2 AS yp, (tpr + lag(tpr) OVER w) / 2 AS yr
+    FROM pts WINDOW w AS (PARTITION BY run_id ORDER BY t)) GROUP BY 1)
+  SELECT run_id, round(auroc, 6) AS auroc, round(pa / span, 6) AS precision_area, round(ra / span, 6) AS recall_area FROM auc JOIN ar USING (run_id)""")
 def layer_metric_summary(spark, d):
     r = ranking1(spark, d).withColumn("run_id", F.col("toxic"))
     return ranking.layer_summary(r).select("run_id", *_r("auroc", "precision_area", "recall_area"))
@@ -633,10 +674,10 @@ def layer_metric_summary(spark, d):
 
 def _lists(spark, d):
     r = ranking1(spark, d)
-    return r.select("Name", "score"), r.where("Name % 7 > 0").select("Name", F.col("score2").alias("score"))
+    return r.select("Name", "score"), r.where("toxic = 0").select("Name", F.col("score2").alias("score"))
 
 
-_TWO = R1 + """, two AS (SELECT a."Name", a.score AS s1, b.score2 AS s2 FROM r1 a JOIN r1 b USING ("Name") WHERE a."Name" % 7 > 0),
+_TWO = R1 + """, two AS (SELECT a."Name", a.score AS s1, b.score2 AS s2 FROM r1 a JOIN r1 b USING ("Name") WHERE a.toxic = 0),
 rk AS (SELECT *, rank() OVER (ORDER BY s1 DESC) AS r1, rank() OVER (ORDER BY s2 DESC) AS r2, count(*) OVER (PARTITION BY s1) AS c1, count(*) OVER (PARTITION BY s2) AS c2, count(*) OVER () AS n FROM two)"""
 
 
@@ -656,7 +697,15 @@ def crank_fusion(spark, d):
 
 
 _COMB = R1 + """, a AS (SELECT "Name", row_number() OVER (ORDER BY score DESC, "Name") AS r1, count(*) OVER () AS n1 FROM r1),
-b AS (SELECT "Name", row_number() OVER (ORDER BY score2 DESC, "Name") AS r2, count(*) OVER () AS n2 FROM r1 WHERE "Name" % 7 > 0)"""
+b AS (SELECT "Name", row_number() OVER (ORDER BY score2 DESC, "Name") AS r2, count(*) OVER () AS n2 FROM r1 WHERE toxic = 0)"""
+
+
+FUSED = """fused AS (SELECT "Name", n1 - r1 + n2 - r2 AS borda, 1 / r1 + 1 / r2 AS dowdall, -(r1 + r2) / 2 AS average, pow(r1, -4) + pow(r2, -4) AS crank FROM a JOIN b USING ("Name")),
+long AS (SELECT "Name", 'borda' AS method, CAST(borda AS DOUBLE) AS s FROM fused UNION ALL SELECT "Name", 'dowdall', dowdall FROM fused UNION ALL SELECT "Name", 'average', average FROM fused UNION ALL SELECT "Name", 'crank', crank FROM fused),
+lc AS (SELECT method, row_number() OVER w AS rank, sum(label) OVER w AS m, sum(label) OVER (PARTITION BY method) AS p, count(*) OVER (PARTITION BY method) AS n
+  FROM long JOIN lab USING ("Name") WINDOW w AS (PARTITION BY method ORDER BY s DESC, "Name" ROWS UNBOUNDED PRECEDING)),
+st AS (SELECT method, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS a FROM (SELECT method, rank, m / p AS y, (rank - m) / (n - p) AS x FROM lc) WINDOW w AS (PARTITION BY method ORDER BY rank)),
+fe AS (SELECT method, round((SELECT sum(a) FROM st WHERE st.method = lc.method), 6) AS auroc, CAST(max(m) FILTER (rank <= 100) AS BIGINT) AS hits FROM lc GROUP BY 1)"""
 
 
 @query(f"""WITH {_COMB} SELECT "Name", CAST(n1 - r1 + n2 - r2 AS DOUBLE) AS borda, round(1 / r1 + 1 / r2, 9) AS dowdall, (r1 + r2) / 2 AS average, round(pow(r1, -4) + pow(r2, -4), 12) AS crank FROM a JOIN b USING ("Name")""")
@@ -664,12 +713,12 @@ def combined_rank_counts(spark, d):
     return ranking.combined_counts(*_lists(spark, d)).select("Name", "borda", F.round("dowdall", 9).alias("dowdall"), "average", F.round("crank", 12).alias("crank"))
 
 
-@query(f"""WITH {R1} SELECT "Name", 'left' AS side FROM r1 WHERE "Name" % 7 = 0""")
+@query(f"""WITH {R1} SELECT "Name", 'left' AS side FROM r1 WHERE toxic <> 0""")
 def fusion_coverage(spark, d):
     return ranking.coverage(*_lists(spark, d))
 
 
-@query()
+@query(f"""WITH {_COMB}, lab AS (SELECT "Name", label FROM r1), {FUSED} SELECT method, auroc, hits FROM fe""")
 def fusion_evaluation(spark, d):
     r = ranking1(spark, d)
     return pipelines.fused_ranking(*_lists(spark, d), r.select("Name", "label")).select("method", *_r("auroc"), "hits")
@@ -681,7 +730,14 @@ def logistic_score_fusion(spark, d):
     return ranking.logistic_fusion(r).select("Name", F.round("score", 4).alias("score"))
 
 
-@query()
+@query(f"""WITH {R1}, x AS (SELECT "Name", score / 1000 AS a, score2 / 100 AS b, score / 1000 * (score2 / 100) AS c, CAST(label AS DOUBLE) AS y FROM r1 WHERE label IS NOT NULL),
+  m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my, covar_pop(a, a) AS aa, covar_pop(b, b) AS bb, covar_pop(c, c) AS cc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac,
+    covar_pop(b, c) AS bc, covar_pop(a, y) AS ay, covar_pop(b, y) AS "by", covar_pop(c, y) AS cy FROM x),
+  d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m),
+  w AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * ("by" * cc - bc * cy) + ac * ("by" * bc - bb * cy)) / det AS wa,
+    (aa * ("by" * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - "by" * ac)) / det AS wb,
+    (aa * (bb * cy - "by" * bc) - ab * (ab * cy - "by" * ac) + ay * (ab * bc - bb * ac)) / det AS wc FROM d)
+  SELECT "Name", round(my + wa * (a - ma) + wb * (b - mb) + wc * (c - mc), 6) AS score FROM x, w""")
 def linear_score_fusion(spark, d):
     r = ranking1(spark, d).select("Name", (F.col("score") / 1000).alias("s1"), (F.col("score2") / 100).alias("s2"), "label")
     return ranking.linear_fusion(r)[0].select("Name", *_r("score"))
@@ -742,7 +798,11 @@ def distinct_entities(spark, d):
 
 # Pipelines -------------------------------------------------------------------------------------------------------
 
-@query()
+@query(f"""WITH {G1}, {W1}, cells AS (SELECT src, dst, weight FROM w1 UNION ALL SELECT dst, src, weight FROM w1), used AS (SELECT src, dst FROM g1 UNION ALL SELECT dst, src FROM g1),
+  bg AS (SELECT c.weight FROM cells c LEFT JOIN used u ON c.src = u.src AND c.dst = u.dst WHERE u.src IS NULL ORDER BY md5('1|' || c.src || '|' || c.dst), c.src || '|' || c.dst LIMIT 100000),
+  two AS (SELECT weight, 1 AS label FROM g1 JOIN w1 USING (src, dst) UNION ALL SELECT weight, 0 FROM bg),
+  t AS (SELECT weight, sum(label) AS p, count(*) - sum(label) AS q FROM two GROUP BY 1)
+  SELECT round(sum(q * up) / (sum(q) * (SELECT sum(label) FROM two)), 6) AS auroc FROM (SELECT q, sum(p) OVER (ORDER BY weight DESC ROWS UNBOUNDED PRECEDING) AS up FROM t)""")
 def network_separation(spark, d):
     return pipelines.separation(weights1(spark, d).select("src", "dst", "weight"), g1(spark, d), 100_000).select(*_r("auroc"))
 
@@ -756,7 +816,11 @@ def module_detection_areas(spark, d):
     return pipelines.module_areas(checkpointed(found), ("network",)).select("network", F.round("auroc", 4).alias("auroc"), F.round("auprc", 4).alias("auprc"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {G1}, {BOTH}, {W1}, walk AS (SELECT {_SEED} AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM walk JOIN both_ways ON src = node WHERE hop < 4),
+  layers AS (SELECT node, min(hop) AS hop FROM walk GROUP BY 1), cells AS (SELECT src, dst, weight FROM w1 WHERE src <> dst UNION ALL SELECT dst, src, weight FROM w1 WHERE src <> dst),
+  q AS (SELECT hop, quantile_cont(weight, 0.25) AS q1, quantile_cont(weight, 0.5) AS median, quantile_cont(weight, 0.75) AS q3 FROM cells JOIN layers ON dst = node WHERE src = {_SEED} GROUP BY 1)
+  SELECT CAST(hop AS INTEGER) AS hop, nodes, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr
+  FROM (SELECT hop, count(*) AS nodes FROM layers GROUP BY 1) LEFT JOIN q USING (hop)""")
 def hop_decay_quartiles(spark, d):
     e = checkpointed(g1(spark, d))
     return pipelines.hop_decay(e, weights1(spark, d), e.agg(F.min("src").alias("node")), 4).select("hop", "nodes", *_r("q1", "median", "q3", "iqr"))
@@ -771,7 +835,18 @@ def repurposing_hits(spark, d):
     return pipelines.repurposing_screen(e, dr, genes, ["steel"], 10, 20)["hits"]
 
 
-@query()
+@query(f"""WITH RECURSIVE {W1}, nodes AS (SELECT DISTINCT unnest([src, dst]) AS node FROM w1), mem AS (SELECT substr(node, 2, 1) AS disease, node FROM nodes),
+  inside AS (SELECT a.disease, src, dst, weight FROM w1 JOIN mem a ON a.node = src JOIN mem b ON b.node = dst AND a.disease = b.disease),
+  both_ways AS (SELECT disease, src, dst FROM inside UNION SELECT disease, dst, src FROM inside),
+  reach AS (SELECT disease, src AS node, src AS other FROM both_ways UNION SELECT r.disease, r.node, b.dst FROM reach r JOIN both_ways b ON b.disease = r.disease AND b.src = r.other),
+  comp AS (SELECT disease, node, min(other) AS c FROM reach GROUP BY 1, 2),
+  big AS (SELECT disease FROM (SELECT disease, c, count(*) AS k FROM comp GROUP BY 1, 2) GROUP BY 1 HAVING max(k) > 5),
+  v AS (SELECT disease, weight AS value, 0 AS s FROM inside WHERE disease IN (SELECT disease FROM big) UNION ALL SELECT disease, weight * weight, 1 FROM inside WHERE disease IN (SELECT disease FROM big)),
+  b AS (SELECT disease, value, sum(1 - s) AS x, sum(s) AS y FROM v GROUP BY 1, 2),
+  c AS (SELECT disease, abs(sum(x) OVER r / sum(x) OVER d - sum(y) OVER r / sum(y) OVER d) * (lead(value) OVER (PARTITION BY disease ORDER BY value) - value) AS part
+    FROM b WINDOW d AS (PARTITION BY disease), r AS (PARTITION BY disease ORDER BY value ROWS UNBOUNDED PRECEDING)),
+  m AS (SELECT disease, median(value) FILTER (s = 0) AS ma, median(value) FILTER (s = 1) AS mb FROM v GROUP BY 1)
+  SELECT disease, round(coalesce(sum(part), 0) * sign(mb - ma), 6) AS emd FROM c JOIN m USING (disease) GROUP BY disease, ma, mb""")
 def disease_shift(spark, d):
     e = weights1(spark, d)
     members = network.nodes_of(e).select(F.substring("node", 2, 1).alias("disease"), "node")

@@ -49,7 +49,7 @@ def read_scored_associations(spark: SparkSession, path: str, least: float = 0.3)
 
 def read_expression(spark: SparkSession, path: str, orientation: str = "samples") -> DataFrame:
     """Long (sample_id, gene_id, value) from a wide CSV; its rows are ``samples`` or ``genes``."""
-    wide = spark.read.csv(path, header=True, inferSchema=True)
+    wide = spark.read.csv(path, header=True)  # the columns are named by the file; their type is fixed below
     first, *others = wide.columns
     row, column = ("sample_id", "gene_id") if orientation == "samples" else ("gene_id", "sample_id")
     named = wide.select(F.col(first).cast("string").alias(row), *[F.col(f"`{c}`").cast("double").alias(c) for c in others])
@@ -76,11 +76,26 @@ def cached_table(spark: SparkSession, path: str, compute: Callable[[], DataFrame
     """The table at path; computed and written first if there is none."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         compute().write.parquet(path)
         return spark.read.parquet(path)
 
 
+def read_catalogue(spark: SparkSession, inputs: dict[str, str], read: Callable[[SparkSession, str], DataFrame], key: str = "run_id") -> DataFrame:
+    """One table of several inputs(name: path) with the name as a column, by which operators are keyed; at least one input."""
+    tables = [read(spark, path).withColumn(key, F.lit(name)) for name, path in sorted(inputs.items())]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def write_runs(results: DataFrame, path: str) -> None:
     """Results of several runs, a folder for each run_id."""
     results.write.mode("overwrite").partitionBy("run_id").parquet(path)
