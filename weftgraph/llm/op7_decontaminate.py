@@ -1,4 +1,8 @@
-"""Benchmark decontamination: every window of document words against a hash set of the benchmark's word n-grams."""
+"""Benchmark decontamination: windows of document words against a broadcast hash set of the benchmark's word n-grams.
+
+A document is cut into words once. At every word the hash of it and the next ones is looked up among the hashes that
+begin a window of the benchmark; only where one fits, the window is built and compared with the hash set itself.
+"""
 
 from __future__ import annotations
 
@@ -8,76 +12,96 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import lower_ascii, materialize, table
 
 WINDOW = 10
-CHUNK = 2048  # words of a document that are turned into windows at a time
-BROADCAST_GRAMS = 400_000  # n-grams at most in the broadcast hash set (about 40 MB); more are joined by shuffle
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+MAX_GRAMS = 400_000  # n-grams at most in a broadcast hash set (about 40 MB); with more, several sets have a scan each
+BEGIN = 3  # words of a window that are looked up first
+_OTHER = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())  # each by itself: looked up in a table, unlike ranges
+_WORD = f"[^{_OTHER}]+"
 
 
 def words(text):
-    return F.regexp_extract_all(lower_ascii(text), F.lit(_WORD), F.lit(0))
+    """The words in their own case."""
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+
+
+def _gram(w, start, length):
+    return lower_ascii(F.array_join(F.slice(w, start, length), " "))
+
+
+def _begin(w, at, n: int):
+    """Hash of n words from at (from 0). Equal but for the case of A-Z gives equal hashes; lower() may equate more."""
+    parts = [F.get(w, at + i) for i in range(n)]
+    return F.xxhash64(F.lower(F.concat_ws(" ", *parts)))
 
 
 def benchmark_grams(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, gram, length): windows of each item; an item of fewer words is one window; without words none."""
+    """(item_id, gram, length, begins, begin): windows of each item; an item of fewer words is one window; without words none.
+
+    begin: hash of the window's first ``begins`` words.
+    """
     item = benchmark.select("item_id", words("text").alias("w")).withColumn("n", F.size("w")).where("n > 0")
     size = F.least(F.lit(window), F.col("n"))
-    grams = F.transform(F.sequence(F.lit(1), F.col("n") - size + 1), lambda i: F.array_join(F.slice("w", i, size), " "))
-    return item.select("item_id", F.explode(grams).alias("gram"), size.alias("length")).distinct()
-
-
-def hits(docs: DataFrame, grams: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, length, gram): where an n-gram of the benchmark stands in a document, in words from 0."""
-    lengths = sorted(r[0] for r in grams.select("length").distinct().collect())  # at most `window` numbers
-    only = grams.select("gram").distinct()
-    if only.count() <= BROADCAST_GRAMS:
-        only = F.broadcast(only)
-    w = docs.where("text is not null").select("doc_id", words("text").alias("w")).where(F.size("w") > 0)
-    pieces = w.select(
-        "doc_id",
-        F.posexplode(
-            F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(CHUNK)), lambda i: F.slice("w", i + 1, CHUNK + window - 1))
-        ).alias("piece", "w"),
-    )
+    one = item.select("item_id", "w", size.alias("length"), F.explode(F.sequence(F.lit(0), F.col("n") - size)).alias("at"))
+    begins = F.least(F.lit(BEGIN), F.col("length"))
+    hashed = F.coalesce(*[F.when(begins == k, _begin(F.col("w"), F.col("at"), k)) for k in range(1, BEGIN + 1)])
+    return one.select("item_id", _gram("w", F.col("at") + 1, F.col("length")).alias("gram"), "length", begins.alias("begins"), hashed.alias("begin")).distinct()
 
-    def windows(n: int):
-        # every window that starts in the piece's own CHUNK words
-        last = F.least(F.size("w") - n, F.lit(CHUNK - 1))
-        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("length"), F.array_join(F.slice("w", i + 1, n), " ").alias("gram")))
 
+def _marked(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(key, n_words, start, length, gram): a row without length for each row of docs(key, text), and one for each hit."""
+    sets = -(-max(1, grams.select("gram").distinct().count()) // MAX_GRAMS)
     out = None
-    for n in lengths:
-        one = pieces.select("doc_id", "piece", F.inline(windows(n)))
+    for i in range(sets):
+        one = _scanned(docs, grams.where(F.pmod(F.xxhash64("gram"), F.lit(sets)) == i))
+        one = one if i == 0 else one.where("length is not null")
         out = one if out is None else out.unionByName(one)
-    if out is None:
-        return docs.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("gram")).limit(0)
-    # the join compares the n-gram itself, so a hit of the hash set is verified with it
-    return out.join(only, "gram").select("doc_id", (F.col("piece") * CHUNK + F.col("at")).alias("start"), "length", "gram")
+    return out
+
+
+def _scanned(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    kinds = sorted(r[0] for r in grams.select("begins").distinct().collect())  # at most BEGIN numbers
+    begins = F.broadcast(grams.select("begins", "begin", "length").distinct())
+    only = F.broadcast(grams.select("gram", F.lit(True).alias("listed")).distinct())
+    w = docs.select("key", F.coalesce(words("text"), F.array().cast("array<string>")).alias("w")).withColumn("n_words", F.size("w"))
+    at = w.select("key", "w", "n_words", F.explode(F.sequence(F.lit(0), F.col("n_words"))).alias("start"))
+    if len(kinds) > 1:
+        at = at.withColumn("begins", F.explode(F.array(*[F.lit(k) for k in kinds])))
+        hashed = F.coalesce(*[F.when(F.col("begins") == k, _begin(F.col("w"), F.col("start"), k)) for k in kinds])
+        row = (F.col("start") == F.col("n_words")) & (F.col("begins") == kinds[0])
+    else:
+        k = kinds[0] if kinds else 1
+        at, hashed = at.withColumn("begins", F.lit(k)), _begin(F.col("w"), F.col("start"), k)
+        row = F.col("start") == F.col("n_words")
+    # the document's own row meets nothing: no window begins after the last word
+    begin = F.when(F.col("start") < F.col("n_words"), hashed)
+    met = at.withColumn("begin", begin).join(begins, ["begins", "begin"], "left").where(row | F.col("length").isNotNull())
+    fits = F.col("start") + F.col("length") <= F.col("n_words")
+    met = met.withColumn("gram", F.when(fits, _gram("w", F.col("start") + 1, F.col("length"))))
+    # the join compares the n-gram itself, so a hit of the hashes is verified with it
+    return met.join(only, "gram", "left").where(row | F.col("listed")).select("key", "n_words", "start", "length", "gram")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: words, words inside an occurrence of a benchmark window, items found, verdict.
 
-    Null texts and texts without words have no hits. Rows with a null doc_id or item_id are left out. Rows that repeat
-    a doc_id get the hits of all of them. Items that repeat a text are all counted. Without items nothing is hit.
+    Null texts and texts without words have no hits. Rows with a null doc_id or item_id are left out. Each row that
+    repeats a doc_id has its own words and the hits of all rows of that id (a place that is hit in several counts once).
+    Items that repeat a text are all counted. Without items nothing is hit. Texts are taken whole, however long.
     Columns besides doc_id/item_id and text are ignored.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"), "text")
     benchmark = benchmark.where("item_id is not null").select("item_id", "text")
     grams = materialize(benchmark_grams(benchmark, window), "grams")
-    found = materialize(hits(docs, grams, window), "hits")
+    marked = materialize(_marked(docs, grams), "hits")
+    counted = marked.where("length is null").select(F.col("key").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"))
+    found = marked.where("length is not null").withColumnRenamed("key", "doc_id")
     covered = (
         found.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("at"))
         .distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
     )
     items = (
-        found.select("doc_id", "gram").distinct().join(grams, "gram")
+        found.select("doc_id", "gram").distinct().join(grams.select("gram", "item_id"), "gram")
         .groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
     )
-    counted = docs.select(
-        "doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words")
-    )
     return (
         counted.join(covered.join(items, "doc_id"), "doc_id", "left")
         .select(
@@ -89,14 +113,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    grams = benchmark_grams(benchmark.where("item_id is not null").select("item_id", "text"), window)
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("key"), "text")
+    return _marked(rows, materialize(grams, "grams")).where("length is not null").withColumnRenamed("key", "doc_id")
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any benchmark window; all columns stay, documents with a null doc_id too."""
-    found = hits(docs.where("doc_id is not null").select("doc_id", "text"),
-                 materialize(benchmark_grams(benchmark.where("item_id is not null").select("item_id", "text"), window), "grams"), window)
-    dirty = materialize(found.select("doc_id").distinct(), "dirty")
+    """The documents without any benchmark window; all columns stay, documents with a null doc_id or text too.
+
+    If one row of a repeated doc_id is hit, all of them go.
+    """
+    dirty = materialize(_hits(docs, benchmark, window).select("doc_id").distinct(), "dirty")
     return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
 
 
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """All documents, without the words that stand in an occurrence of a benchmark window; all columns stay.
+
+    What stands between words stays. Rows that repeat a doc_id lose the places that are hit in any of them.
+    """
+    found = _hits(docs, benchmark, window).select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("at"))
+    hit = materialize(found.groupBy("doc_id").agg(F.collect_set("at").alias("hit_words")), "covered")
+    parts = F.regexp_extract_all("text", F.lit(f"{_WORD}|[{_OTHER}]+"), F.lit(0))  # words and gaps take turns
+    first = F.when(F.regexp_like("text", F.lit(f"\\A[{_OTHER}]")), 1).otherwise(0)
+    kept = F.filter(parts, lambda x, i: (i % 2 != first) | ~F.array_contains("hit_words", F.floor(i / 2).cast("int")))
+    text = F.when(F.col("hit_words").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+    names, name = {c.lower() for c in docs.columns}, "hit_words"
+    if name in names:
+        raise ValueError(f"a column is named {name}")
+    return docs.join(hit, "doc_id", "left").withColumn("text", text).select(*docs.columns)
+
+
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
