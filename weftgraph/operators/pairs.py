@@ -33,9 +33,9 @@ def attention_max(attn: DataFrame, direction: str = "both", floor: float | None
     """(src, dst, weight, n): largest weight over samples, heads and, for ``both``, directions; attn(sample_id, src, dst, weight, pos_i, pos_j)."""
     rows = attn if direction == "both" else attn.where("pos_i <= pos_j")
     top = F.max("weight") if floor is None else F.greatest(F.max("weight"), F.lit(floor))
-    return rows.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(
-        top.alias("weight"), F.count_distinct("sample_id").alias("n")
-    )
+    # one row a sample and pair first, so that samples are counted without a distinct count
+    each = rows.groupBy("sample_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"))
+    return each.groupBy("src", "dst").agg(top.alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
 def attention_avg(attn: DataFrame) -> DataFrame:

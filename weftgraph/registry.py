@@ -225,9 +225,9 @@ def cooccurrence_counts(spark, d):
     return pairs.cooccurrence(expr(spark, d))
 
 
-def attention(spark, d):
+def attention(spark, d, samples=None):
     """Pseudo attention of four heads on the encoded orders."""
-    pos = encoded(spark, d).select("sample_id", F.posexplode("input_ids").alias("i", "t"))
+    pos = (encoded(spark, d) if samples is None else samples).select("sample_id", F.posexplode("input_ids").alias("i", "t"))
     heads = spark.range(4).select(F.col("id").cast("int").alias("head"))
     a, b = pos.select("sample_id", F.col("i").alias("pos_i"), F.col("t").alias("src")), pos.select("sample_id", F.col("i").alias("pos_j"), F.col("t").alias("dst"))
     w = ((13 * F.col("pos_i") + 7 * F.col("pos_j") + 5 * F.col("head")) % 101) / 101.0
@@ -242,8 +242,9 @@ attn AS (SELECT a.sample_id, a.i AS pos_i, b.i AS pos_j, a.t AS src, b.t AS dst,
 @query(f"""WITH {ATTN} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(max(weight * length / 2048), 9) AS weight, count(DISTINCT sample_id) AS n
   FROM attn JOIN encoded USING (sample_id) WHERE head <> 3 GROUP BY 1, 2""")
 def attention_max_aggregation(spark, d):
-    a = pairs.prune_heads(attention(spark, d), spark.createDataFrame([(4, 3)], "layer int, head int"))
-    return pairs.attention_max(pairs.by_length(a, encoded(spark, d))).select("src", "dst", F.round("weight", 9).alias("weight"), "n")
+    samples = checkpointed(encoded(spark, d))
+    a = pairs.prune_heads(attention(spark, d, samples), spark.createDataFrame([(4, 3)], "layer int, head int"))
+    return pairs.attention_max(pairs.by_length(a, samples)).select("src", "dst", F.round("weight", 9).alias("weight"), "n")
 
 
 @query(f"""WITH {ATTN} SELECT src, dst, round(avg(w), 6) AS weight, count(*) AS n FROM (SELECT sample_id, src, dst, avg(weight) AS w FROM attn GROUP BY 1, 2, 3) GROUP BY 1, 2""")
