@@ -20,7 +20,7 @@ from weftgraph.llm.common import materialize, partitions, table
 from weftgraph.llm.shared_keys import bucket_bits, effective, shared_keys
 
 WINDOW = 50
-BROADCAST_IDS = 2_000_000  # ids at most in a broadcast (16 MB); more are joined by shuffle
+BROADCAST_IDS = 500_000  # rows at most in a broadcast (about 50 MB); more are joined by shuffle
 DOCS_PER_PARTITION = 2000  # of the scan: bounds the suffixes that a task keeps
 _DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -78,7 +78,7 @@ def _segments(batches, window: int, bits: int):
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             part = batch.slice(a, 500)
-            ids = part.column("doc_id").to_numpy().astype(np.int64)
+            ids, version = part.column("doc_id").to_numpy().astype(np.int64), part.column("version").to_numpy()
             texts = _text_bytes(part.column("text"))
             lists = part.column("keys")
             values = lists.flatten().to_numpy().astype(np.int64)
@@ -109,8 +109,8 @@ def _segments(batches, window: int, bits: int):
                 )
                 start = lo[at] - bounds[piece[at]] + base[piece[at]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at]), pa.array(ids[doc[at]]), pa.array(start), segs],
-                    ["bucket", "doc_id", "start", "seg"],
+                    [pa.array(key[at]), pa.array(ids[doc[at]]), pa.array(version[doc[at]]), pa.array(start), segs],
+                    ["bucket", "doc_id", "version", "start", "seg"],
                 )
 
 
@@ -123,14 +123,14 @@ def _scan(batches, window: int):
     family, known = SuffixFamily(), {}
     for batch in batches:
         docs, start = batch.column("doc_id").to_numpy(), batch.column("start").to_numpy()
-        segs = batch.column("seg").to_pylist()
+        version, segs = batch.column("version").to_numpy(), batch.column("seg").to_pylist()
         fresh, gone = [], []
         for i, (s, d) in enumerate(zip(segs, docs.tolist())):
             if known.setdefault(s, d) < d:
                 gone.append(i)
             else:
                 fresh.append(i)
-        ids, spans = [], []
+        rows, spans = [], []
         if fresh:
             fresh = np.array(fresh, np.int64)
             size = np.array([len(segs[i]) for i in fresh])
@@ -146,14 +146,15 @@ def _scan(batches, window: int):
             on, off = removed.copy(), removed.copy()
             on[1:] &= ~(removed[:-1] & (row[1:] == row[:-1]))
             off[:-1] &= ~(removed[1:] & (row[1:] == row[:-1]))
-            ids.append(docs[row[on]])
+            rows.append(row[on])
             spans.append((start[row[on]] + at[on]) << 20 | (at[off] - at[on] + window))
         if gone:
-            ids.append(docs[gone])
+            rows.append(np.array(gone))
             spans.append(start[gone] << 20 | np.array([len(segs[i]) for i in gone]))
-        if ids:
+        if rows:
+            rows = np.concatenate(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(ids)), pa.array(np.concatenate(spans))], ["doc_id", "span"]
+                [pa.array(docs[rows]), pa.array(version[rows]), pa.array(np.concatenate(spans))], ["doc_id", "version", "span"]
             )
 
 
@@ -190,36 +191,36 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = Fals
     """Per document: bytes, bytes removed, removed runs, digest of (and, if asked for, the) remaining text.
 
     A byte goes if a ``window``-byte string over it also starts in a document with a smaller doc_id. Null texts are
-    empty; shorter texts lose nothing; rows with a null doc_id have no place in the order and are left out; a repeated
-    doc_id is one document's text given again (it removes nothing from itself). Columns besides doc_id and text are
-    ignored. Cuts may leave incomplete UTF-8 sequences, which kept_text replaces and kept_sha256 does not.
+    empty; shorter texts lose nothing; rows with a null doc_id have no place in the order and are left out; rows that
+    repeat a doc_id, with the same text or another, remove nothing from each other and each has a row of its own. Very
+    long texts are taken whole; without rows the result is empty. Columns besides doc_id and text are ignored. Cuts may leave incomplete UTF-8 sequences, which kept_text replaces and kept_sha256 does not.
     """
     spark = docs.sparkSession
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    digest = docs.select(
-        "doc_id",
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"),
-        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
-    )
+    text = F.coalesce("text", F.lit(""))
+    sha = F.unhex(F.sha2(text, 256))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text"), sha.alias("sha"))
+    digest = docs.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes"))
     first = digest.where(F.col("n_bytes") >= window).groupBy("sha").agg(F.min("doc_id").alias("rep"))
-    copies = materialize(digest.join(first, "sha").where("doc_id > rep").select("doc_id", "n_bytes"), "copies")
-    n_docs, n_copies = docs.count(), copies.count()
-    gone = copies.select("doc_id").distinct()
-    reps = docs.join(F.broadcast(gone) if n_copies <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    copies = materialize(digest.join(first, "sha").where("doc_id > rep").select("doc_id", "sha", "n_bytes"), "copies")
+    n_docs, gone = docs.count(), copies.select("doc_id", "sha").distinct()
+    reps = docs.join(F.broadcast(gone) if copies.count() <= BROADCAST_IDS else gone, ["doc_id", "sha"], "left_anti")
+    # A row is known by its id and its text's hash: ids may be repeated with other texts.
+    reps = reps.select("doc_id", F.hash("sha").alias("version"), "text")
     bits = bucket_bits(n_docs)
-    found = shared_keys(reps, _anchor_keys(window), n_docs)
-    lists = found.groupBy(F.col("id").alias("doc_id")).agg(F.collect_list("key").alias("keys"))
-    segments = reps.join(lists, "doc_id").mapInArrow(
-        lambda it: _segments(it, window, bits), "bucket long, doc_id long, start long, seg binary"
+    found = shared_keys(reps.select(F.xxhash64("doc_id", "version").alias("row"), "text"), _anchor_keys(window), n_docs)
+    lists = found.groupBy(F.col("id").alias("row")).agg(F.collect_list("key").alias("keys"))
+    segments = reps.withColumn("row", F.xxhash64("doc_id", "version")).join(lists, "row").select("doc_id", "version", "text", "keys")
+    segments = segments.mapInArrow(
+        lambda it: _segments(it, window, bits), "bucket long, doc_id long, version int, start long, seg binary"
     )
     spans = (
         segments.repartition(max(partitions(spark), n_docs // DOCS_PER_PARTITION), "bucket")
         .sortWithinPartitions("doc_id")
-        .mapInArrow(lambda it: _scan(it, window), "doc_id long, span long")
+        .mapInArrow(lambda it: _scan(it, window), "doc_id long, version int, span long")
     )
-    spans = spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    spans = spans.groupBy("doc_id", "version").agg(F.collect_list("span").alias("spans"))
     schema = f"doc_id long, {_DIGEST}" + ", kept_text string" * keep_text
-    kept = reps.join(spans, "doc_id", "left").mapInArrow(lambda it: _apply(it, keep_text), schema)
+    kept = reps.join(spans, ["doc_id", "version"], "left").mapInArrow(lambda it: _apply(it, keep_text), schema)
     whole = copies.select(
         "doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
         F.sha2(F.lit(""), 256).alias("kept_sha256"), *[F.lit("").alias("kept_text")] * keep_text,
