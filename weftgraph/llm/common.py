@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isDefined():
             return jsc.getCheckpointDir().get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
         return jsc.getCheckpointDir().get()
@@ -36,6 +38,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches in pieces, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def lower_ascii(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

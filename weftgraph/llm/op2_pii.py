@@ -1,13 +1,17 @@
 """Personal data: rules with checks, and boosted trees over high-recall candidates.
 
 The rules give the base spans. Loose generators propose overlapping candidates; boosted trees judge them by format and
-context, and a threshold calibrated on held-out candidates decides which are added. The trees learn from the rules'
-own verdicts on a bounded sample of documents: a candidate that a rule confirms is positive, any other negative.
+context, and thresholds calibrated by kind on held-out candidates decide which are added. The trees don't learn from
+the rules: items of known kinds, written in ways that the rules don't cover, and harmless look-alikes (pii_items.py)
+are put into stretches of a bounded sample of documents. A candidate that covers such an item of personal data is
+positive; one in a look-alike is negative, and so is what the document itself holds and the rules don't confirm.
+Secrets (keys, tokens, passwords) are found in the same way; they are a kind of their own beside the base kinds.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from dataclasses import dataclass, field
 
@@ -18,11 +22,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import table
+from weftgraph.llm import pii_items
+from weftgraph.llm.common import slices, table
 
 KINDS = ("email", "ip", "card", "phone")
+ALL = (*KINDS, "secret")
 SAMPLE_DOCS = 4000  # documents at most, about, whose candidates the trees are fitted to
-PRECISION = 0.98  # that the threshold must reach on held-out candidates
+ITEMS = 3  # items put into each of them
+AROUND = 160  # characters of the document on either side of an item
+PRECISION = 0.98  # that a kind's threshold must reach on held-out candidates
 LEAST = 0.9  # no candidate below this probability is added
 CONTEXT = 24  # characters before a candidate
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -32,10 +40,17 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_LOOSE_MAIL = re.compile(r"[^\s@]{1,64}(?:@|\x20?[\[(]at[\])]\x20?)[^\s@]{1,64}")
+_LOOSE_MAIL = re.compile(r"[^\s@\[(]{1,64}(?:@|\x20?[\[(]at[\])]\x20?)[^\s@]{1,64}")
+_SPOKEN_MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{2,24}){1,4}")
 _LOOSE_DIGITS = re.compile(r"(?<![0-9])[+(]{0,2}[0-9](?:[\x20().\-/]{0,2}[0-9]){6,24}")
-_HINTS = tuple(re.compile(p) for p in (r"(?i)mail|contact", r"(?i)phone|tel|call|fax|mobile", r"(?i)card|visa|pay", r"(?i)\bip\b|host|addr"))
-
+_BROKEN_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[\[(]\.[\])][0-9]{1,3}){3}")
+_IP6_SIGN = re.compile(r":[0-9A-Fa-f]{0,4}:")
+_IP6 = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}(?![0-9A-Za-z:])")
+_SECRET = re.compile(r"[=:]\x20{0,2}[\"']?([A-Za-z0-9+/_=\-]{16,200})")
+_HINTS = tuple(re.compile(p) for p in (
+    r"(?i)mail|contact", r"(?i)phone|tel|call|fax|mobile", r"(?i)card|visa|pay", r"(?i)\bip\b|host|addr", r"(?i)token|secret|key|passw|auth",
+    r"(?i)\bno\b|order|isbn|date|version|total|sum|ratio",
+))
 
 def _luhn(digits: str) -> bool:
     total = 0
@@ -74,12 +89,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Overlapping spans that may be personal data; each distinct one once."""
-    out = [("email", *m.span()) for m in _LOOSE_MAIL.finditer(text)] if "@" in text or "at" in text and ("[at]" in text or "(at)" in text) else []
-    for m in _LOOSE_DIGITS.finditer(text):
-        s = m[0]
-        kind = "phone" if s[0] in "+(" or "(" in s or "/" in s else "ip" if s.count(".") == 3 else "card" if sum(c.isdigit() for c in s) > 15 else "phone"
-        out.append((kind, *m.span()))
+    """Overlapping spans that may be personal data or secrets; each distinct one once."""
+    out = []
+    if "@" in text or "[at]" in text or "(at)" in text:
+        out += [("email", *m.span()) for m in _LOOSE_MAIL.finditer(text)]
+    if " dot " in text:
+        out += [("email", *m.span()) for m in _SPOKEN_MAIL.finditer(text)]
+    if _DIGIT.search(text):
+        for m in _LOOSE_DIGITS.finditer(text):
+            s = m[0]
+            kind = "phone" if s[0] in "+(" or "(" in s else "ip" if s.count(".") == 3 and len(s) < 16 else "card" if sum(c.isdigit() for c in s) > 15 else "phone"
+            out.append((kind, *m.span()))
+        if "[." in text or "(." in text:
+            out += [("ip", *m.span()) for m in _BROKEN_IP.finditer(text)]
+    if _IP6_SIGN.search(text):
+        out += [("ip", *m.span()) for m in _IP6.finditer(text)]
+    out += [("secret", *m.span(1)) for m in _SECRET.finditer(text)]
     return out
 
 
@@ -90,13 +115,14 @@ def features(text: str, span: tuple[str, int, int]) -> list[float]:
     digits = "".join(c for c in s if "0" <= c <= "9")
     runs = re.findall(r"[0-9]+", s)
     tail = s.rpartition(".")[2]
+    mixed = sum(x.isdigit() != y.isdigit() for x, y in zip(s, s[1:]))
     return [
         float(x)
         for x in (
-            KINDS.index(kind), len(s), len(digits), sum(c.isalpha() for c in s), s.count("@"), s.count("."), s.count(" "), s.count("-"),
+            ALL.index(kind), len(s), len(digits), sum(c.isalpha() for c in s), s.count("@"), s.count("."), s.count(" "), s.count("-"),
             s.count("("), s[0] == "+", bool(digits) and _luhn(digits), len(runs), max(map(len, runs), default=0), min(map(len, runs), default=0),
-            max((int(r[:9]) for r in runs), default=0) <= 255, len(tail), tail.isalpha(), s[-1].isalnum(),
-            before[-1:].isalnum(), text[b : b + 1].isalnum(), *(bool(h.search(before)) for h in _HINTS),
+            max((int(r[:9]) for r in runs), default=0) <= 255, len(tail), tail.isalpha(), s[-1].isalnum(), s.count(":"), s.count("["), s.count("/"),
+            mixed, len(set(s)), before[-1:].isalnum(), text[b : b + 1].isalnum(), *(bool(h.search(before)) for h in _HINTS),
         )
     ]
 
@@ -107,7 +133,8 @@ class Booster:
 
     trees: list = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
-    threshold: float = 1.0
+    thresholds: dict[str, float] = field(default_factory=dict)  # by kind; a kind without one gets no spans
+    held_out: dict[str, tuple[int, float, float]] = field(default_factory=dict)  # kind: positives, precision, recall
 
     def probability(self, x: list[float]) -> float:
         margin = 0.0
@@ -118,13 +145,13 @@ class Booster:
         return float(1 / (1 + np.exp(-2 * margin)))
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """Candidates over the threshold that touch neither a base span nor a better candidate."""
+        """Candidates over their kind's threshold that touch neither a base span nor a better candidate."""
         if not self.trees:
             return []
         taken, out = [(a, b) for _, a, b in base], []
         scored = [(self.probability(features(text, c)), c) for c in candidates(text) if all(c[2] <= a or b <= c[1] for a, b in taken)]
         for p, c in sorted(scored, key=lambda x: (-x[0], x[1][1], x[1])):
-            if p >= self.threshold and all(c[2] <= a or b <= c[1] for a, b in taken):
+            if p >= self.thresholds.get(c[0], 2.0) and all(c[2] <= a or b <= c[1] for a, b in taken):
                 out.append(c)
                 taken.append(c[1:])
         return out
@@ -137,63 +164,94 @@ def _tree(node):
     return (int(split.featureIndex()), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild()))
 
 
+def _examples(text: str, rng: random.Random) -> list[tuple[list[float], float]]:
+    """(features, label) of the candidates in and around items that are put into the text."""
+    out = []
+    for _ in range(ITEMS):
+        at = text.find(" ", rng.randrange(len(text) + 1)) if text else -1
+        at = len(text) if at < 0 else at
+        kind, lead, item = pii_items.item(rng)
+        left = f"{text[max(0, at - AROUND) : at]} {lead}"
+        place = (len(left), len(left) + len(item))
+        around = f"{left}{item} {text[at + 1 : at + AROUND]}"
+        sure = [(a, b) for _, a, b in base_spans(around)]
+        for c in candidates(around):
+            if any(c[1] < b and a < c[2] for a, b in sure):
+                continue  # the rules have it already
+            over = min(c[2], place[1]) - max(c[1], place[0])
+            if over > 0:
+                whole = over * 10 >= 8 * max(place[1] - place[0], c[2] - c[1])
+                out.append((features(around, c), float(kind == c[0] and whole)))
+            elif c[0] != "secret":
+                out.append((features(around, c), 0.0))
+    return out
+
+
 def fit(docs: DataFrame) -> Booster:
-    """Fit to the candidates of about SAMPLE_DOCS documents, chosen by a hash of doc_id; a fifth calibrates.
+    """Fit to examples in about SAMPLE_DOCS documents(doc_id, text), chosen by a hash of doc_id; a fifth calibrates.
 
-    Without candidates of both kinds there are no trees and nothing is added.
+    Null texts are empty ones; rows that repeat a doc_id count each time. Without documents there are no trees and
+    nothing is added.
     """
     n = docs.count()
     share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) / (1 << 20) < share).select("text")
+    key = F.xxhash64("doc_id", F.lit(2))
+    chosen = docs.where(F.pmod(key, F.lit(1 << 20)) / (1 << 20) < share).select("text", key.alias("key"))
 
     def run(batches):
-        for batch in batches:
-            rows, labels = [], []
-            for text in batch.column(0).to_pylist():
-                text = text or ""
-                sure = {(a, b) for _, a, b in base_spans(text)}
-                for c in candidates(text):
-                    hit = any(a >= c[1] and b <= c[2] and (b - a) * 10 >= (c[2] - c[1]) * 9 for a, b in sure)
-                    rows.append(features(text, c)), labels.append(float(hit))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.float64())], ["x", "label"])
-
-    sample = chosen.mapInArrow(run, "x array<double>, label double").limit(20 * SAMPLE_DOCS).toPandas()
+        for part in slices(batches):
+            rows = [(x, y, key) for text, key in zip(*(c.to_pylist() for c in part.columns)) for x, y in _examples(text or "", random.Random(key))]
+            x, y, key = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64()), pa.array(key, pa.int64())], ["x", "label", "key"])
+
+    sample = chosen.mapInArrow(run, "x array<double>, label double, key long").toPandas()  # a few for each item
     if sample["label"].nunique() < 2:
         return Booster()
-    order = sorted(range(len(sample)), key=lambda i: (sample["label"][i], tuple(sample["x"][i])))  # however rows were dealt
+    order = sorted(range(len(sample)), key=lambda i: (sample["key"][i], sample["label"][i], tuple(sample["x"][i])))  # however rows were dealt
     sample = sample.iloc[order].reset_index(drop=True)
-    held = np.arange(len(sample)) % 5 == 0
+    held = (sample["key"].to_numpy() // 7 % 5 == 0)  # whole documents
     spark = docs.sparkSession
-    train = spark.createDataFrame(sample[~held].assign(x=lambda d: d["x"].map(list)), "x array<double>, label double").coalesce(2)
-    model = GBTClassifier(maxIter=12, maxDepth=4, seed=1).fit(train.select(array_to_vector("x").alias("features"), "label"))
+    train = spark.createDataFrame(sample[~held][["x", "label"]].assign(x=lambda d: d["x"].map(list)), "x array<double>, label double").coalesce(2)
+    if train.select("label").distinct().count() < 2:
+        return Booster()
+    model = GBTClassifier(maxIter=20, maxDepth=5, seed=1).fit(train.select(array_to_vector("x").alias("features"), "label"))
     booster = Booster([_tree(t._java_obj.rootNode()) for t in model.trees], list(model.treeWeights))
     p = np.array([booster.probability(list(x)) for x in sample["x"][held]])
-    y = sample["label"][held].to_numpy()
-    fine = [t for t in np.unique(p) if t >= LEAST and y[p >= t].mean() >= PRECISION]
-    booster.threshold = float(min(fine)) if fine else 2.0  # above every probability: nothing is added
+    y, kinds = sample["label"][held].to_numpy(), np.array([ALL[int(x[0])] for x in sample["x"][held]])
+    for k in ALL:
+        mine = kinds == k
+        fine = [t for t in np.unique(p[mine]) if t >= LEAST and y[mine & (p >= t)].mean() >= PRECISION]
+        if fine:
+            booster.thresholds[k] = t = float(min(fine))
+            hit = mine & (p >= t)
+            booster.held_out[k] = (int(y[mine].sum()), float(y[hit].mean()), float(y[hit].sum() / max(y[mine].sum(), 1)))
     return booster
 
 
 def _written(spans) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (ALL.index(s[0]), s[1], s[2])))
 
 
 def find(docs: DataFrame, booster: Booster) -> DataFrame:
-    """Per document: base counts by kind, digest of the base spans, all spans. Null texts have none; every row counts."""
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    """Per document: base counts by kind, digest of the base spans, all spans of the base kinds, and beside them the
+    secrets and how many spans and secrets the trees have added. Null texts have none; every row counts."""
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "secrets", "n_added"]
 
     def run(batches):
-        for batch in batches:
-            counts, digests, written = [], [], []
+        for batch in slices(batches):
+            counts, digests, written, secrets = [], [], [], []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text or "")
-                counts.append([sum(k == s[0] for s in base) for k in KINDS])
+                added = booster.added(text or "", base)
+                counts.append([*(sum(k == s[0] for s in base) for k in KINDS), len(added)])
                 digests.append(hashlib.sha256(_written(base).encode()).hexdigest())
-                written.append(_written(base + booster.added(text or "", base)))
-            columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digests, pa.string()), pa.array(written, pa.string())], names)
+                written.append(_written(base + [s for s in added if s[0] != "secret"]))
+                secrets.append(_written(s for s in added if s[0] == "secret"))
+            columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS) + 1)]
+            texts = [pa.array(x, pa.string()) for x in (digests, written, secrets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns[:-1], *texts, columns[-1]], names)
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, secrets string, n_added long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -213,9 +271,9 @@ def redact(docs: DataFrame, booster: Booster) -> DataFrame:
         return "".join(out) + text[at:] if out else text
 
     def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array([clean(t) for t in batch.column(at).to_pylist()], pa.string()))
+        for part in slices(batches):
+            at = part.schema.get_field_index("text")
+            yield part.set_column(at, "text", pa.array([clean(t) for t in part.column(at).to_pylist()], pa.string()))
 
     return docs.mapInArrow(run, docs.schema)
 
