@@ -1,15 +1,18 @@
 """Sharding by a k-d tree: nodes are split at weighted medians along their widest metadata dimension.
 
 Law: ``bytes`` (shard sizes nearly equal). A node that is to become m shards is cut where floor(m/2)/m of its bytes lie
-on the left. Medians are found by refining histograms over the key bits, a few sums a round; only histogram rows and
-the tree (two numbers a split) reach the driver. Equal texts share all coordinates and so a leaf, unless their group
-is too heavy for that: then the cut goes through the group by document.
+on the left. The widest dimension of a node is the one with the largest weighted variance there, numbers being scaled
+by the logarithm and strings by their hash, so that a node is cut along another dimension once one has been used up.
+Medians are found by refining histograms over the key bits, a few sums a round; only histogram rows and the tree (two
+numbers a split) reach the driver. Equal texts share all coordinates, those of their first document, and so a leaf,
+unless their group would leave a shard too heavy: then the cut goes through the group by document.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +20,11 @@ from weftgraph.llm.common import materialize, table
 
 SHARDS = 24
 MAX_SHARDS = 4096
-_VALUE, _GROUP, _DOC = 20, 28, 14  # bits of a dimension's key: its value, the text's hash, the document's hash
-_WHOLE = 0.01  # of a shard's bytes: an equal-text group heavier than this may be cut
-_NEAR = 0.001  # of a shard's bytes: a cut as near as this to its place is taken
-DIMS = ("n_chars", "lang")
+_VALUE, _CLASS, _HASH, _DOC = 16, 6, 26, 14  # bits of a key: its value, its group's lightness, the text's hash, the document's
+_GROUP = _CLASS + _HASH  # heavy groups come first among equal values, so that cuts fall among light ones
+_SLACK = 0.002  # of the bytes on a side of a cut: a cut as near as this to its place keeps groups whole
+_NEAR = 0.0002  # the same for cuts between groups
+DIMS = ("n_chars", "lang", "source")
 
 
 @dataclass
@@ -34,17 +38,19 @@ class _Node:
 
 
 def _values(docs: DataFrame, dims) -> dict:
-    """Each dimension scaled to [0, 1): numbers by their range, strings by their first letters; null is 0."""
-    kinds, out = dict(docs.dtypes), {}
+    """Each dimension scaled to [0, 1): numbers by the logarithm of their range, strings by their hash; null is 0."""
+    kinds = dict(docs.dtypes)
     numbers = [d for d in dims if kinds[d] != "string"]
-    span = docs.agg(*[f(F.col(d).cast("double")).alias(f"{n}_{d}") for d in numbers for n, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias("n")).first()
+    span = docs.agg(F.count(F.lit(1)), *[f(F.col(d).cast("double")).alias(f"{n}_{d}") for d in numbers for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    out = {}
     for d in dims:
         if d in numbers:
             lo, hi = span[f"lo_{d}"] or 0.0, span[f"hi_{d}"] or 0.0
-            value = (F.col(d).cast("double") - lo) / max(hi - lo, 1.0)
+            value = F.log1p(F.col(d).cast("double") - lo) / max(float(np.log1p(hi - lo)), 1e-9)
         else:
-            value = (F.ascii(F.substring(d, 1, 1)) % 256 * 256 + F.ascii(F.substring(d, 2, 1)) % 256) / 65536.0
-        out[d] = F.least(F.floor(F.coalesce(value, F.lit(0.0)) * (1 << _VALUE)), F.lit((1 << _VALUE) - 1)).cast("long")
+            value = F.pmod(F.xxhash64(d), F.lit(1 << _VALUE)) / (1 << _VALUE)
+        value = F.when(F.col(d).isNotNull() & ~F.isnan(value), value).otherwise(0.0)
+        out[d] = F.least(F.floor(value * (1 << _VALUE)), F.lit((1 << _VALUE) - 1)).cast("long")
     return out
 
 
@@ -63,18 +69,19 @@ def _split_level(points: DataFrame, root: _Node, open_: list[_Node], dims: list[
     number = {id(n): i for i, n in enumerate(open_)}
     node = _place(root, lambda n: F.lit(number.get(id(n), -1)))
     here = points.withColumn("node", node).where("node >= 0")
+    value = lambda d: F.shiftright(d, _GROUP + _DOC) / (1 << _VALUE)
     stats = here.groupBy("node").agg(
-        F.sum("size").alias("bytes"), *[f(F.shiftright(d, _GROUP + _DOC)).alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]
+        F.sum("size").alias("bytes"), *[F.sum(F.col("size") * value(d)).alias(f"s_{d}") for d in dims], *[F.sum(F.col("size") * value(d) * value(d)).alias(f"q_{d}") for d in dims]
     ).collect()
     stats = {r["node"]: r for r in stats}
     state = {}
     for i, n in enumerate(open_):
         r = stats.get(i)
-        dim = max(dims, key=lambda d: r[f"hi_{d}"] - r[f"lo_{d}"]) if r else dims[0]
+        dim = max(dims, key=lambda d: r[f"q_{d}"] / r["bytes"] - (r[f"s_{d}"] / r["bytes"]) ** 2) if r else dims[0]
         goal = (r["bytes"] if r else 0) * (n.shards // 2) / n.shards
         state[i] = {"dim": dim, "lo": 0, "goal": goal, "before": 0, "cut": None if r else 0}
     left = _VALUE + _GROUP + _DOC
-    for bits in (10, 10, 10, 10, 8, 7, 7):
+    for bits in (8, 8, 10, 10, 12, 7, 7):  # down to the value, the group and the document
         left -= bits
         todo = [i for i in state if state[i]["cut"] is None]
         if not todo:
@@ -95,9 +102,9 @@ def _split_level(points: DataFrame, root: _Node, open_: list[_Node], dims: list[
                     break
                 total += w
             low, high = s["goal"] - total, total + w - s["goal"]
-            enough = _WHOLE if left < _DOC else _NEAR
-            group_done = left == _DOC and w <= _WHOLE * target  # the bucket is one group of equal texts
-            if min(low, high) <= enough * target and left >= _DOC or group_done or left == 0:
+            # what a cut is off by is shared by the shards on the smaller side of it
+            enough = (_SLACK if left == _DOC else _NEAR) * target * (open_[i].shards // 2)
+            if min(low, high) <= enough and left >= _DOC or left == 0:
                 s["cut"] = b << left if low <= high else (b + 1) << left
             else:
                 s["lo"], s["before"] = b << left, total
@@ -112,18 +119,28 @@ def kd_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int |
 
     The number of shards is given, or follows from ``target_bytes`` a leaf. Null texts have no bytes, null metadata
     count as the least value; rows with a null doc_id are left out; repeated rows are rows of their own. Without rows
-    the result is empty; with fewer rows than shards some shards stay empty. Extra columns are ignored.
+    the result is empty (a dimension with a clashing name is the table's own column); with fewer rows than shards some shards stay empty. Extra columns are ignored.
     """
     docs = docs.where("doc_id is not null")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     text = F.coalesce("text", F.lit(""))
-    group = F.xxhash64(text).bitwiseAND((1 << _GROUP) - 1)
-    doc = F.xxhash64(F.col("doc_id").cast("long"), F.lit(9)).bitwiseAND((1 << _DOC) - 1)
     values = _values(docs, dims)
+    doc = F.xxhash64(F.col("doc_id").cast("long"), F.lit(9)).bitwiseAND((1 << _DOC) - 1)
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group"), doc.alias("doc"),
+        *[values[d].alias(f"v_{d}") for d in dims],
+    )
     names = [f"k_{d}" for d in dims]
-    points = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"),
-        *[(F.shiftleft(values[d], _GROUP + _DOC) + F.shiftleft(group, _DOC) + doc).alias(f"k_{d}") for d in dims],
+    rows = materialize(rows, "rows")
+    # equal texts stand where the first of them stands; single texts, most of all, need no look-up
+    groups = rows.groupBy("group").agg(
+        F.count(F.lit(1)).alias("copies"), F.sum("size").alias("weight"), F.min(F.struct("doc_id", *[f"v_{d}" for d in dims])).alias("of")
+    ).where("copies > 1").select("group", "weight", *[F.col(f"of.v_{d}").alias(f"g_{d}") for d in dims])
+    light = F.lit((1 << _CLASS) - 1) - F.least(F.floor(F.log2(F.coalesce("weight", "size").cast("double"))), F.lit((1 << _CLASS) - 1))
+    tie = F.shiftleft(light.cast("long"), _HASH) + F.col("group").bitwiseAND((1 << _HASH) - 1)
+    points = rows.join(groups, "group", "left").select(
+        "doc_id", "size", "text_crc32",
+        *[(F.shiftleft(F.coalesce(f"g_{d}", f"v_{d}"), _GROUP + _DOC) + F.shiftleft(tie, _DOC) + F.col("doc")).alias(f"k_{d}") for d in dims],
     )
     points = materialize(points, "points")
     total, n = points.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
