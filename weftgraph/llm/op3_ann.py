@@ -19,7 +19,8 @@ from weftgraph.llm.common import materialize, table
 
 NEAREST = 20
 FIT_ROWS = 20_000  # vectors at most that the clustering is fitted to
-BLOCK_ROWS = 8192  # vectors at most of a list in one task
+BLOCK_ROWS = 8192  # vectors at most of a list in one task, about
+QUERY_ROWS = 32_768  # queries at most in one task, about
 PROBE_SHARE = 0.75  # share of the lists that a query probes, nearest centroids first
 FIRST_LISTS = 2  # of them scanned whole for the threshold
 COLUMNS = 16
@@ -58,8 +59,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
     """(query_id, rank, vec_id, score): the k nearest found of each query row, the query's own id excepted.
 
     Null, zero and non-finite vectors take no part; vectors of another dimension than the most frequent one neither.
-    Ties go to the smaller vec_id; with fewer candidates all are returned if their lists are probed (few vectors: all
-    lists are). A repeated vec_id is a candidate once, with its best score. Extra columns are ignored.
+    Ties go to the smaller vec_id; with fewer candidates than k all are returned whose lists are probed, and a query
+    whose probed lists hold fewer than k is scanned against all lists. A repeated vec_id is a candidate once, with its best score. Extra columns are ignored.
     """
     rows = materialize(usable(vectors), "vectors")
     top = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
@@ -74,7 +75,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
     rotation = np.linalg.qr(np.random.default_rng(7).normal(size=(dim, dim)))[0]
     lists = min(_lists(n), len(sample))
     centre = _clusters(sample, lists)
-    probes = lists if lists <= 16 else max(16, round(PROBE_SHARE * lists))
+    probes = int(np.ceil(PROBE_SHARE * lists))
 
     def place(batches):
         for batch in batches:
@@ -87,6 +88,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
     blocks = F.broadcast(blocks)  # at most 4096 rows
     held = placed.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("blocks")).cast("int"))
     wanted = materialize(usable(queries).where(F.size("v") == dim), "queries")
+    parts = max(1, -(-wanted.count() // QUERY_ROWS))  # both sides of a group are bounded: candidates and queries
+    part = F.pmod(F.xxhash64("query_id", F.lit(6)), F.lit(parts)).cast("int")
 
     def probe(batches):
         for batch in batches:
@@ -141,8 +144,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
 
     def round_(asked: DataFrame) -> DataFrame:
         asked = asked.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = held.select("list", "block", "vec_id", "v").groupBy("list", "block").cogroup(
-            asked.select("list", "block", "query_id", "q", "least").groupBy("list", "block")
+        each = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        met = each.select("list", "block", "part", "vec_id", "v").groupBy("list", "block", "part").cogroup(
+            asked.select("list", "block", part.alias("part"), "query_id", "q", "least").groupBy("list", "block", "part")
         )
         return best(met.applyInPandas(scan, "query_id long, vec_id long, score double"))
 
@@ -153,8 +157,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
         probing.where(F.size("near") > FIRST_LISTS).join(least, "query_id", "left")
         .select("query_id", "q", F.explode(F.slice("near", FIRST_LISTS + 1, probes)).alias("list"), F.coalesce("least", F.lit(float("-inf"))).alias("least"))
     )
-    two = round_(rest).drop("rank")
-    return best(one.unionByName(two)).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    two = best(one.unionByName(round_(rest).drop("rank"))).drop("rank")
+    if probes < lists:
+        two = materialize(two, "second")
+        few = two.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        short = probing.join(few, "query_id", "left").where(F.coalesce("n", F.lit(0)) < min(k, n - 1)).select("query_id", "q")
+        every = short.select("query_id", "q", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list"), F.lit(float("-inf")).alias("least"))
+        two = two.join(short.select("query_id"), "query_id", "left_anti").unionByName(round_(every).drop("rank"))
+    return best(two).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op3_ann(spark, sf_dir: str) -> DataFrame:
