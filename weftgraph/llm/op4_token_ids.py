@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,44 +22,42 @@ from weftgraph.llm.spans_cache import Encoded
 
 BLOCK_IDS = 1 << 17
 DOCS_PER_PART = 20_000
-_workers: dict[str, Encoded] = {}
+_workers: dict = {}
 
 
-def _encoder(path: str, dtype: str) -> Encoded:
+def _encoder(path: str, dtype: str):
     if path not in _workers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        lengths = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)  # a byte-level vocabulary: one character a byte
-        for token, i in tokenizer.get_vocab().items():
-            lengths[i] = len(token)
-
-        def ids_of(texts: list[str]) -> list[np.ndarray]:
-            return [np.array(e.ids, dtype) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        def side_by_side(new: list[str], gap: str) -> list[bytes]:
-            # the bytes of the tokens tell where each part ends; a gap is one token
-            out = []
-            for a in range(0, len(new), 1000):
-                group = new[a : a + 1000]
-                ids = ids_of([gap.join(group) + gap])[0]
-                ends = np.cumsum([len(s.encode()) + len(gap) for s in group])
-                ends = ids.itemsize * (np.searchsorted(np.cumsum(lengths[ids]), ends) + 1)
-                raw, less, ends = ids.tobytes(), ids.itemsize * len(gap), ends.tolist()
-                out += [raw[x : y - less] for x, y in zip([0, *ends], ends)]
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        code, token_of = ("H" if dtype == "<u2" else "I"), tokenizer.model.tokenize
+        # the vocabulary's characters for the 256 bytes: printable ones stand for themselves, the rest follow 255 in order
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        chars = {b: 256 + i for i, b in enumerate(hidden)}
+
+        def ids_of(texts: list[str]) -> list[bytes]:
+            return [array(code, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def after(words: list[str]) -> list[bytes]:
+            # a space and letters are one match of the pre-tokeniser, so the model can have them at once
+            space = chr(chars[32])
+            names = [space + (w if w.isascii() else w.encode().decode("latin-1").translate(chars)) for w in words]
+            return [array(code, [t.id for t in token_of(w)]).tobytes() for w in names]
+
+        encoded = Encoded(after, ids_of)
+
+        def encode(texts: list[str]) -> list[bytes]:
+            # a text that holds an added token, such as <|endoftext|>, is the library's alone: it gets that token's id
+            whole = [i for i, t in enumerate(texts) if any(x in t for x in added)]
+            out = encoded([t for t in texts if not any(x in t for x in added)] if whole else texts)
+            for i in whole:
+                out.insert(i, ids_of([texts[i]])[0])
             return out
 
-        def encode(new: list[str]) -> list[bytes]:
-            after = [s for s in new if s[:1] == " " and s[1:].strip() == s[1:] != ""]
-            first = [s for s in new if s[:1].isalpha() and s.strip() == s]
-            out = dict(zip(after, side_by_side(after, ""))) | dict(zip(first, side_by_side(first, "\n")))
-            rest = [s for s in new if s not in out]
-            out.update(zip(rest, [x.tobytes() for x in ids_of(rest)] if rest else []))
-            return [out[s] for s in new]
-
-        _workers[path] = Encoded(encode)
+        _workers[path] = encode, encoded.clear
     return _workers[path]
 
 
@@ -71,12 +70,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> tuple
     end = np.array([end_id], dtype).tobytes()
 
     def run(batches):
-        encode = _encoder(tokenizer_path, dtype)
+        encode, clear = _encoder(tokenizer_path, dtype)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 ids = [x + end for x in encode([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary"), dtype
 
@@ -203,7 +203,8 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 def token_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0) -> DataFrame:
     """Encode all texts, write them under ``path`` and return what read_blocks finds there.
 
-    Null and empty texts are the end id alone. Rows with a null doc_id have no place in the order and are left out;
+    Null and empty texts are the end id alone. Added tokens of the vocabulary that stand in a text, such as
+    <|endoftext|>, get their own ids, as is the library's default. Rows with a null doc_id have no place in the order and are left out;
     rows that repeat a doc_id follow each other. Without rows an empty table is written. Other columns are ignored.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")

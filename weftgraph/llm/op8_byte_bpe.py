@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import table
 from weftgraph.llm.spans_cache import Encoded
 
-PAIRS_KEPT = 1_000_000
+PAIRS_KEPT = 200_000
 _workers: dict[tuple[str, str], "ByteBpe"] = {}
 
 
@@ -38,7 +39,7 @@ class ByteBpe:
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.shorter: dict[int, int | None] = {}
         self.together: dict[tuple[int, int], bool] = {}
-        self.encoded = Encoded(self._parts)
+        self.encoded = Encoded(self._after, self._alone)
         sizes = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
         self.starts = np.concatenate(([0], np.cumsum(sizes)))
         self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(sizes))), np.uint8)
@@ -132,15 +133,16 @@ class ByteBpe:
                     last = out[-1] if out else -1
         return out
 
-    def _parts(self, texts: list[str]) -> list[bytes]:
+    def _after(self, words: list[str]) -> list[bytes]:
+        return [array("I", self.piece(b" " + w.encode())).tobytes() for w in words]
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            word = text[1:]
-            simple = text[:1] == " " and word.isalpha() and word.isascii()
             ids: list[int] = []
-            for p in (text,) if simple else self.pattern.findall(text):
+            for p in self.pattern.findall(text):
                 ids += self.piece(p.encode("utf-8"))
-            out.append(np.array(ids, "<u4").tobytes())
+            out.append(array("I", ids).tobytes())
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -176,6 +178,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 ids = bpe.encode([t or "" for t in part.column("text").to_pylist()])
                 lists = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, name])
+        bpe.encoded.clear()
 
     name = "ids"
     while name in docs.columns:
@@ -207,6 +210,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_too: bool =
                     cols.append(pa.array([x.decode("utf-8", "replace") for x in back]))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        bpe.encoded.clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string" * text_too
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

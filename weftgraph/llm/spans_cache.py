@@ -1,17 +1,16 @@
-"""Cutting texts where a byte-level BPE's pre-tokeniser always cuts, so that repeated stretches are encoded once.
+"""Cutting texts where a byte-level BPE's pre-tokeniser always cuts, so that repeated words are encoded once.
 
 The pre-tokeniser begins a new match at every space that is followed by something other than white space. A text may
-therefore be cut there, each stretch encoded by itself and the results joined. A worker keeps what it encoded lately.
+therefore be cut there, each stretch encoded by itself and the results joined. A task keeps what it encoded lately.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain
 
-KEPT = 500_000  # stretches in each of a worker's two generations: about 200 MB together
-LONG = 64  # characters from which a stretch is not kept
+KEPT = 250_000  # stretches of up to LONG characters in each of two generations: about 85 MB together
+LONG = 64  # longer ones are not kept
 _ODD = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 _WHITE_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")  # white space to some engines only: such texts stay whole
@@ -29,6 +28,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"  # letters to every engine
 _MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII marks but the apostrophe, which may begin a match of its own kind
 _PART = re.compile(f" ?[{_LETTERS}]+| ?[{_MARKS}]+|\n")
 _PLAIN = re.compile(f"(?: ?[{_LETTERS}]++| ?[{_MARKS}]++|\\n(?!\\n))*+")  # possessive: no second try
+_WORD = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)")
 
 
 def parts(text: str) -> list[str]:
@@ -36,51 +36,99 @@ def parts(text: str) -> list[str]:
     return _PART.findall(text) if _PLAIN.fullmatch(text) and text[-1:] != "\n" and " " not in text[1:] else [text]
 
 
-class _Kept:
-    """Two generations of what was encoded."""
+class _Kept(dict):
+    """The latest generation of what was encoded; the one before it is older."""
 
-    def __init__(self, most: int):
-        self.most, self.known, self.older = most, {}, {}
+    def __init__(self):
+        self.older: dict[str, bytes] = {}
 
-    def missing(self, wanted: set[str]) -> list[str]:
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-            return self.missing(wanted)
-        new = wanted.difference(self.known)
-        if new and self.older:
-            self.known.update((s, self.older[s]) for s in new if s in self.older)
-            new.difference_update(self.known)
-        return list(new)
+    def turn(self) -> None:
+        if len(self) > KEPT:
+            self.older = dict(self)
+            self.clear()
 
-    def forget(self, texts: list[str]) -> None:
+    def learn(self, new: set[str], encode: Callable[[list[str]], list[bytes]]) -> None:
+        """Have a value for each of new, which are no keys yet."""
+        if self.older:
+            again = [s for s in new if s in self.older]
+            self.update((s, self.older[s]) for s in again)
+            new.difference_update(again)
+        if new:
+            new = list(new)
+            self.update(zip(new, encode(new)))
+
+    def forget(self, texts) -> None:
         for s in texts:
             if len(s) > LONG:
-                del self.known[s]
+                self.pop(s, None)
 
 
 class Encoded:
-    """Bytes for each text by way of its stretches and their parts; ``encode`` gets lists of new parts."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.tails, self.parts = encode, _Kept(KEPT), _Kept(KEPT)
-
-    def _stretches(self, texts: list[str]) -> list[bytes]:
-        cut = [parts(s) for s in texts]
-        new = self.parts.missing(set(chain.from_iterable(cut)))
-        self.parts.known.update(zip(new, self.encode(new)))
-        get = self.parts.known.__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
-        self.parts.forget(new)
+    """Bytes for each text by way of its stretches.
+
+    ``after`` gets lists of words of letters and gives their bytes when a space stands before them; ``alone`` gets
+    lists of other texts and gives the bytes of each by itself.
+    """
+
+    def __init__(self, after: Callable[[list[str]], list[bytes]], alone: Callable[[list[str]], list[bytes]]):
+        self.after, self.alone = after, alone
+        self.known, self.bare = _Kept(), _Kept()  # keys of known have a space before them
+
+    def clear(self) -> None:
+        """Forget all: at the end of a task, so that a worker's memory is free for whatever comes next."""
+        self.known, self.bare = _Kept(), _Kept()
+
+    def _learn(self, new: set[str]) -> None:
+        """Have a value in known for each of new."""
+        known, bare, cut, words, rest = self.known, self.bare, [], set(), set()
+        for s in new:
+            if s in known.older:
+                known[s] = known.older[s]
+                continue
+            m = _WORD.fullmatch(s)
+            if m is None:
+                pieces = parts(" " + s)
+                if len(pieces) == 1:
+                    pieces = [" " + s]
+                    rest.add(" " + s)
+                else:
+                    for p in pieces:
+                        (words if p[0] == " " and p[1:].isalpha() else rest).add(p[1:] if p[0] == " " and p[1:].isalpha() else p)
+                cut.append((s, pieces))
+            elif m[2]:
+                words.add(m[1]), rest.add(m[2])
+                cut.append((s, (" " + m[1], m[2])))
+            else:
+                words.add(s)
+        known.learn({w for w in words if w not in known}, self.after)
+        bare.learn({p for p in rest if p not in bare}, self.alone)
+        for s, pieces in cut:
+            known[s] = b"".join([known[p[1:]] if p[0] == " " and p[1:] in words else bare[p] for p in pieces])
+        known.forget(words)
+        bare.forget(rest)
+
+    def _heads(self, heads: list[str]) -> list[bytes]:
+        cut = [parts(h) for h in heads]
+        new = {p for c in cut for p in c}
+        self.bare.learn({p for p in new if p not in self.bare}, self.alone)
+        out = [b"".join([self.bare[p] for p in c]) for c in cut]
+        self.bare.forget(new)
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for a in range(0, len(texts), 128):
-            cut = [stretches(t) for t in texts[a : a + 128]]
-            new = self.tails.missing(set(chain.from_iterable(tails for _, tails in cut)))
-            self.tails.known.update(zip(new, self._stretches([" " + s for s in new])))
-            heads = self._stretches([h for h, _ in cut])
-            get = self.tails.known.__getitem__
-            out += [b"".join([h, *map(get, tails)]) for h, (_, tails) in zip(heads, cut)]
-            self.tails.forget(new)
+            self.known.turn(), self.bare.turn()
+            known, cut, new = self.known, [stretches(t) for t in texts[a : a + 128]], set()
+            got = [list(map(known.get, tails)) for _, tails in cut]
+            gaps = [[i for i, x in enumerate(g) if x is None] for g in got]
+            for (_, tails), at in zip(cut, gaps):
+                new.update([tails[i] for i in at])
+            long = {s for s in new if len(s) > LONG}
+            self._learn(new)
+            for (_, tails), g, at in zip(cut, got, gaps):
+                for i in at:
+                    g[i] = known[tails[i]]
+            out += [b"".join([h, *g]) for h, g in zip(self._heads([h for h, _ in cut]), got)]
+            known.forget(long)
         return out
