@@ -16,13 +16,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import materialize, table
+from weftgraph.llm.common import materialize, slices, table
 
 SIZES = (3, 4, 5)
 HASH_BITS = 22
-FEATURES = 2048
+FEATURES = 2048  # of the classifier: those with the strongest ratios, which are counted for all n-grams
 SAMPLE = 12_000  # labelled rows at most in the fit, half of them toxic where there are as many
 SMOOTHING = 1.0
+BROADCAST_LABELS = 2_000_000  # labels at most in a broadcast (about 80 MB); more are joined by shuffle
 _MULT = np.uint32(0x9E3779B1)
 
 
@@ -71,8 +72,8 @@ class Model:
 def _class_counts(batches):
     """For each n-gram of a task's rows: documents of either class that have it. Summed, they are counts over all rows."""
     count = [np.zeros(1 << HASH_BITS, np.int32) for _ in range(2)]
-    for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    for part in slices(batches):
+        for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             count[toxic][grams(text)] += 1
     found = np.flatnonzero(count[0] + count[1])
     for a in range(0, len(found), 1 << 16):
@@ -81,11 +82,12 @@ def _class_counts(batches):
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit to labelled(doc_id, text, toxic). Rows with a null label are left out; null texts are empty.
+    """Fit to labelled(doc_id, text, toxic), which is read three times. Rows with a null label are left out; null texts
+    are empty; repeated rows count each time.
 
     With one class only, or no rows, the model has no features and its bias is the smoothed share of that class.
     """
-    labelled = materialize(labelled.where("toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "labelled")
+    labelled = labelled.where("toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     prior = float(np.log((n1 + 1) / (n0 + 1)))
@@ -106,16 +108,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     def vectors(batches):
         place = np.full(1 << HASH_BITS, -1, np.int32)
         place[features] = np.arange(len(features))
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                rows = np.zeros((part.num_rows, len(features)))
-                for i, text in enumerate(part.column(0).to_pylist()):
-                    at = place[grams(text)]
-                    at = at[at >= 0]
-                    rows[i, at] = ratios[at]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(features)), pa.array(rows.ravel()))
-                yield pa.RecordBatch.from_arrays([flat, part.column(1).cast(pa.float64()), part.column(2)], ["x", "label", "weight"])
+        for part in slices(batches):
+            rows = np.zeros((part.num_rows, len(features)))
+            for i, text in enumerate(part.column(0).to_pylist()):
+                at = place[grams(text)]
+                at = at[at >= 0]
+                rows[i, at] = ratios[at]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(features)), pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays([flat, part.column(1).cast(pa.float64()), part.column(2)], ["x", "label", "weight"])
 
     x = chosen.select("text", "toxic", "weight").mapInArrow(vectors, "x array<double>, label double, weight double")
     x = materialize(x, "vectors").select(array_to_vector("x").alias("features"), "label", "weight")
@@ -127,9 +127,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted) of each row; null and empty texts get the model's bias. Other columns are ignored."""
 
     def run(batches):
-        for batch in batches:
-            got = model.scores(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+        for part in slices(batches):
+            got = model.scores(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
@@ -141,17 +141,20 @@ def held_out(doc_id):
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled documents outside the held-out fifth; a document labelled twice is toxic if any label says so."""
     one = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    one = one.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(one, "doc_id")
+    one = materialize(one.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")), "labels")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if one.count() <= BROADCAST_LABELS:
+        return docs.join(F.broadcast(one), "doc_id")
+    return materialize(docs.join(one, "doc_id"), "labelled")  # read more than once, so that texts are shuffled once
 
 
 def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """Documents scored below 0.5, with all their columns; each row is judged by its own text."""
 
     def run(batches):
-        for batch in batches:
-            got = model.scores(batch.column("text").to_pylist())
-            yield batch.filter(pa.array(got < 0.5))
+        for part in slices(batches):
+            got = model.scores(part.column("text").to_pylist())
+            yield part.filter(pa.array(got < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 
