@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import materialize, partitions, shared_dir, table
+from weftgraph.llm.common import materialize, partitions, shared_dir, slices, table
 from weftgraph.llm.spans_cache import Encoded
 
 BLOCK_IDS = 1 << 17
@@ -62,7 +62,9 @@ def _encoder(path: str, dtype: str):
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> tuple[DataFrame, str]:
-    """(doc_id, ids): each text's ids and the end id, as little-endian unsigned integers of the type returned."""
+    """(doc_id, ids, counts): each text's ids and the end id, as little-endian unsigned integers of the type returned.
+
+    Each task adds a row without doc_id that has the number of times it has met each id."""
     with open(tokenizer_path) as f:
         spec = json.load(f)
     size = max(end_id, *spec["model"]["vocab"].values(), *[t["id"] for t in spec.get("added_tokens", [])]) + 1
@@ -71,31 +73,34 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> tuple
 
     def run(batches):
         encode, clear = _encoder(tokenizer_path, dtype)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                ids = [x + end for x in encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        total = np.zeros(size, np.int64)
+        for part in slices(batches, 1000):
+            ids = [x + end for x in encode([t or "" for t in part.column(1).to_pylist()])]
+            total += np.bincount(np.frombuffer(b"".join(ids), dtype), minlength=size)
+            none = pa.nulls(part.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), none], ["doc_id", "ids", "counts"])
         clear()
+        if total.any():
+            last = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()])]
+            yield pa.RecordBatch.from_arrays(last, ["doc_id", "ids", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary"), dtype
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, counts binary"), dtype
 
 
-def id_ranks(encoded: DataFrame, dtype: str) -> np.ndarray:
+def id_ranks(encoded: DataFrame) -> np.ndarray:
     """Ids by falling frequency over all documents (ties: smaller id); as many numbers as ids that occur."""
 
     def count(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                got = np.bincount(np.frombuffer(ids, dtype))
-                if len(got) > len(total):
-                    total = np.pad(total, (0, len(got) - len(total)))
-                total[: len(got)] += got
+            for counts in batch.column(0).to_pylist():
+                got = np.frombuffer(counts, np.int64)
+                total = got if len(total) == 1 else total + got
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    counts = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    each = encoded.where("counts is not null").select("counts").mapInArrow(count, "id long, n long")
+    counts = each.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     return counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.uint32)
 
 
@@ -210,7 +215,8 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     encoded, dtype = encode_documents(docs, tokenizer_path, end_id)
     encoded = materialize(encoded, "ids")
-    write_blocks(encoded, dtype, id_ranks(encoded, dtype), path, encoded.count())
+    ranks, encoded = id_ranks(encoded), encoded.where("doc_id is not null").select("doc_id", "ids")
+    write_blocks(encoded, dtype, ranks, path, encoded.count())
     return read_blocks(docs.sparkSession, path)
 
 

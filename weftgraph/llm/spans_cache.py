@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-KEPT = 250_000  # stretches of up to LONG characters in each of two generations: about 85 MB together
+KEPT = 400_000  # stretches of up to LONG characters in each of two generations: about 130 MB together
 LONG = 64  # longer ones are not kept
 _ODD = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
