@@ -205,11 +205,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = Fals
     n_docs, gone = docs.count(), copies.select("doc_id", "sha").distinct()
     reps = docs.join(F.broadcast(gone) if copies.count() <= BROADCAST_IDS else gone, ["doc_id", "sha"], "left_anti")
     # A row is known by its id and its text's hash: ids may be repeated with other texts.
-    reps = reps.select("doc_id", F.hash("sha").alias("version"), "text")
+    reps = reps.select("doc_id", F.hash("sha").alias("version"), "text").withColumn("row", F.xxhash64("doc_id", "version"))
     bits = bucket_bits(n_docs)
-    found = shared_keys(reps.select(F.xxhash64("doc_id", "version").alias("row"), "text"), _anchor_keys(window), n_docs)
+    found = shared_keys(reps.select("row", "text"), _anchor_keys(window), n_docs)
     lists = found.groupBy(F.col("id").alias("row")).agg(F.collect_list("key").alias("keys"))
-    segments = reps.withColumn("row", F.xxhash64("doc_id", "version")).join(lists, "row").select("doc_id", "version", "text", "keys")
+    segments = reps.join(lists, "row").select("doc_id", "version", "text", "keys")
     segments = segments.mapInArrow(
         lambda it: _segments(it, window, bits), "bucket long, doc_id long, version int, start long, seg binary"
     )
@@ -220,7 +220,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = Fals
     )
     spans = spans.groupBy("doc_id", "version").agg(F.collect_list("span").alias("spans"))
     schema = f"doc_id long, {_DIGEST}" + ", kept_text string" * keep_text
-    kept = reps.join(spans, ["doc_id", "version"], "left").mapInArrow(lambda it: _apply(it, keep_text), schema)
+    # both joins deal the texts by row alone, so that they are shuffled once; what else must agree is no key of the join
+    found = spans.select(F.xxhash64("doc_id", "version").alias("r"), F.col("doc_id").alias("d"), F.col("version").alias("v"), "spans")
+    agree = (F.col("row") == F.col("r")) & (F.col("doc_id").bitwiseXOR(F.col("d")) == 0) & (F.col("version").bitwiseXOR(F.col("v")) == 0)
+    kept = reps.join(found, agree, "left").select("doc_id", "text", "spans").mapInArrow(lambda it: _apply(it, keep_text), schema)
     whole = copies.select(
         "doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
         F.sha2(F.lit(""), 256).alias("kept_sha256"), *[F.lit("").alias("kept_text")] * keep_text,
