@@ -15,6 +15,8 @@ from weftgraph.llm.op7_decontaminate import op7_decontaminate
 from weftgraph.llm.op8_byte_bpe import op8_byte_bpe
 from weftgraph.llm.op9_kd_shards import op9_kd_shards
 from weftgraph.llm.op10_url_trust import op10_url_trust
+from weftgraph.llm.op11_periodic_runs import ORACLE_SQL as OP11_SQL
+from weftgraph.llm.op11_periodic_runs import op11_periodic_runs
 
 
 def queries():
@@ -23,9 +25,10 @@ def queries():
         for f in (
             op1_suffix_dedup, op2_pii, op3_ann, op4_token_ids, op5_ngram_jaccard,
             op6_toxicity, op7_decontaminate, op8_byte_bpe, op9_kd_shards, op10_url_trust,
+            op11_periodic_runs,
         )
     }
 
 
 def oracle_sql():
-    return {"op1_suffix_dedup": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_decontaminate": OP7_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_decontaminate": OP7_SQL, "op11_periodic_runs": OP11_SQL}
