@@ -17,6 +17,8 @@ from weftgraph.llm.op9_kd_shards import op9_kd_shards
 from weftgraph.llm.op10_url_trust import op10_url_trust
 from weftgraph.llm.op11_periodic_runs import ORACLE_SQL as OP11_SQL
 from weftgraph.llm.op11_periodic_runs import op11_periodic_runs
+from weftgraph.llm.op12_exact_topk import ORACLE_SQL as OP12_SQL
+from weftgraph.llm.op12_exact_topk import op12_exact_topk
 
 
 def queries():
@@ -25,10 +27,10 @@ def queries():
         for f in (
             op1_suffix_dedup, op2_pii, op3_ann, op4_token_ids, op5_ngram_jaccard,
             op6_toxicity, op7_decontaminate, op8_byte_bpe, op9_kd_shards, op10_url_trust,
-            op11_periodic_runs,
+            op11_periodic_runs, op12_exact_topk,
         )
     }
 
 
 def oracle_sql():
-    return {"op1_suffix_dedup": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_decontaminate": OP7_SQL, "op11_periodic_runs": OP11_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_decontaminate": OP7_SQL, "op11_periodic_runs": OP11_SQL, "op12_exact_topk": OP12_SQL}
