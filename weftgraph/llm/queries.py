@@ -19,6 +19,8 @@ from weftgraph.llm.op11_periodic_runs import ORACLE_SQL as OP11_SQL
 from weftgraph.llm.op11_periodic_runs import op11_periodic_runs
 from weftgraph.llm.op12_exact_topk import ORACLE_SQL as OP12_SQL
 from weftgraph.llm.op12_exact_topk import op12_exact_topk
+from weftgraph.llm.op13_lexical_search import ORACLE_SQL as OP13_SQL
+from weftgraph.llm.op13_lexical_search import op13_lexical_search
 
 
 def queries():
@@ -27,10 +29,13 @@ def queries():
         for f in (
             op1_suffix_dedup, op2_pii, op3_ann, op4_token_ids, op5_ngram_jaccard,
             op6_toxicity, op7_decontaminate, op8_byte_bpe, op9_kd_shards, op10_url_trust,
-            op11_periodic_runs, op12_exact_topk,
+            op11_periodic_runs, op12_exact_topk, op13_lexical_search,
         )
     }
 
 
 def oracle_sql():
-    return {"op1_suffix_dedup": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_decontaminate": OP7_SQL, "op11_periodic_runs": OP11_SQL, "op12_exact_topk": OP12_SQL}
+    return {
+        "op1_suffix_dedup": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_decontaminate": OP7_SQL, "op11_periodic_runs": OP11_SQL, "op12_exact_topk": OP12_SQL,
+        "op13_lexical_search": OP13_SQL,
+    }
