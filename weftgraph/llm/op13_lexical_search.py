@@ -2,8 +2,8 @@
 
 Index: documents lie in blocks of similar numbers of distinct terms. A block is a matrix of bits, a slice for each
 position of a Bloom signature, with a bit for each document; so the documents that may hold a term are the conjunction of
-the term's slices. A term that occurs tf times is put in at every level 1, 2, 4 ... up to tf, so that the levels bound how
-often it occurs. Besides, the index has each document's number of terms and each task's counts of documents by term.
+the term's slices. A term that occurs tf times is put in at every level 1, 2, 3, 4, 6, 8, 12 ... up to tf, so that the levels
+bound how often it occurs. Besides, the index has each document's number of terms and each task's counts of documents by term.
 
 Search: the levels of a query's terms, times what a term is worth at most at its level, add up to an upper bound of each
 document's score, which Bloom signatures never put too low. The documents with the highest bounds are scored exactly
@@ -25,9 +25,11 @@ from weftgraph.llm.common import materialize, table
 TOP = 50
 BLOCK_DOCS = 512  # documents of a block, whose slices have 64 bytes each
 TASK_BYTES = 4_000_000  # texts that are indexed together, about; their documents are dealt to blocks by size
-HASHES = 4
-BITS_PER_TERM = 8  # of the largest document of a block: at most some 2.5 % of absent terms look present
-PART_ITEMS = 2_000  # items of one scan of the index: what is broadcast at a time
+HASHES = 6
+BITS_PER_TERM = 16  # of the largest document of a block: at most some 0.1 % of absent terms look present
+LEVELS = np.unique([*(1 << k for k in range(40)), *(3 << k for k in range(40))])  # occurrences that each level stands for
+PART_ITEMS = 1_000  # items of one scan of the index, about: what is broadcast at a time
+TASK_CELLS = 4_000_000  # terms of items times documents that are weighed together
 _TERM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _BLOCK = "kind string, ids binary, sizes binary, slices binary, width int, terms array<binary>, counts array<int>"
 
@@ -42,7 +44,7 @@ def _hash(term: bytes) -> int:
 
 
 def _places(hashes: np.ndarray, level: np.ndarray | int, width: int) -> np.ndarray:
-    """(terms, HASHES): the slices of a term at a level (0: once or more, 1: twice or more, 2: four times or more ...)."""
+    """(terms, HASHES): the slices of a term at a level (0: once or more, 1: twice or more ...)."""
     h = (hashes + np.uint64(0x9E3779B97F4A7C15) * np.asarray(level, np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
@@ -60,7 +62,7 @@ def _blocks(ids: np.ndarray, texts: list):
     # (document, term) pairs with how often each occurs
     pair, tf = np.unique(np.repeat(np.arange(len(texts)), sizes) * len(names) + words.indices.to_numpy(), return_counts=True)
     doc, term = pair // len(names), pair % len(names)
-    levels = np.floor(np.log2(tf)).astype(np.int64) + 1
+    levels = np.searchsorted(LEVELS, tf, "right")
     keys = np.bincount(doc, levels, len(texts)).astype(np.int64)
     hashes = np.array([_hash(n) for n in names], np.uint64)
     order = np.argsort(keys, kind="stable")
@@ -106,47 +108,52 @@ def _share(tf, m):
     return 1_000_000_000 * tf // (1000 * tf + 20 * m)
 
 
-def _bounds(sent, least: dict | None, top: int):
+def _bound(sent, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(items, documents): sums of the weighted slices; rows: slices of some documents, n: their numbers of terms."""
+    hashes, _, term, weight, starts, total, terms = sent
+    m = 50 + 50 * n * total // terms
+    worth = np.zeros((len(hashes), len(n)), np.int64)
+    some, there, level = np.arange(len(hashes)), None, 0
+    while len(some):
+        both = np.bitwise_and.reduce(rows[_places(hashes[some], level, len(rows))], axis=1)
+        both = both if there is None else both & there
+        on = both.any(axis=1)
+        some, there = some[on], both[on]
+        if len(some):
+            # at this level, and not at the next: fewer times than that stands for, and at most n
+            most = _share(np.minimum(LEVELS[level + 1] - 1, n), m)
+            worth[some] = np.where(np.unpackbits(there, axis=1, count=len(n)).astype(bool), most, worth[some])
+        level += 1
+    return np.add.reduceat(worth[term] * weight[:, None], starts, axis=0)
+
+
+def _bounds(sent, least, top: int):
     """mapInArrow function over blocks: (item, doc_id, bound) of documents; without thresholds the ``top`` highest bounds of
     each item in the task, with them all that reach the item's threshold."""
     def scan(batches):
-        hashes, item, term, weight, starts, total, terms = sent.value
+        _, item, term, _, _, _, _ = sent.value
+        step = max(1, TASK_CELLS // len(term) // 8)  # bytes of a slice that are looked at together
         held = {}
         for batch in batches:
             for ids, sizes, slices, width in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                ids, n = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
-                docs = len(ids)
+                ids, sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
                 rows = np.frombuffer(slices, np.uint8).reshape(width, -1)
-                m = 50 + 50 * n * total // terms
-                worth = np.zeros((len(hashes), docs), np.int64)
-                some, level = np.arange(len(hashes)), 0
-                there = None
-                while len(some):
-                    at = _places(hashes[some], level, width)
-                    both = np.bitwise_and.reduce(rows[at], axis=1)
-                    both = both if there is None else both & there
-                    on = both.any(axis=1)
-                    some, there = some[on], both[on]
-                    if len(some):
-                        # at this level, and not at the next: at most 2 ** (level + 1) - 1 times, and at most n
-                        most = _share(np.minimum((2 << level) - 1, n), m)
-                        known = np.unpackbits(there, axis=1, count=docs).astype(bool)
-                        worth[some] = np.where(known, most, worth[some])
-                    level += 1
-                bound = np.add.reduceat(worth[term] * weight[:, None], starts, axis=0)
-                if least is not None:
-                    who, doc = np.nonzero(bound >= np.maximum(least.value, 1)[:, None])
-                    if len(who):
-                        yield pa.RecordBatch.from_arrays([pa.array(item[who]), pa.array(ids[doc]), pa.array(bound[who, doc])], ["item", "doc_id", "bound"])
-                    continue
-                for k, b in enumerate(bound):
-                    old_ids, old = held.get(k, (ids[:0], b[:0]))
-                    on = b > (old.min() if len(old) >= top else 0)
-                    if not on.any():
+                for a in range(0, -(-len(ids) // 8), step):
+                    some = ids[8 * a : 8 * (a + step)]
+                    bound = _bound(sent.value, rows[:, a : a + step], sizes[8 * a : 8 * (a + step)])
+                    if least is not None:
+                        who, doc = np.nonzero(bound >= np.maximum(least.value, 1)[:, None])
+                        if len(who):
+                            yield pa.RecordBatch.from_arrays([pa.array(item[who]), pa.array(some[doc]), pa.array(bound[who, doc])], ["item", "doc_id", "bound"])
                         continue
-                    all_ids, both = np.concatenate((old_ids, ids[on])), np.concatenate((old, b[on]))
-                    first = np.argsort(-both, kind="stable")[:top]
-                    held[k] = all_ids[first], both[first]
+                    for k, b in enumerate(bound):
+                        old_ids, old = held.get(k, (ids[:0], b[:0]))
+                        on = b > (old.min() if len(old) >= top else 0)
+                        if not on.any():
+                            continue
+                        all_ids, both = np.concatenate((old_ids, some[on])), np.concatenate((old, b[on]))
+                        first = np.argsort(-both, kind="stable")[:top]
+                        held[k] = all_ids[first], both[first]
         for k, (some, b) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), item[k])), pa.array(some), pa.array(b)], ["item", "doc_id", "bound"])
 
