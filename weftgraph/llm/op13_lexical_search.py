@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import materialize, table
 
 TOP = 50
-BLOCK_DOCS = 512  # documents of a block, whose slices have 64 bytes each
+BLOCK_DOCS = 512  # documents of a block at most, whose slices have 64 bytes each then
+BLOCK_BITS = 8_000_000  # bits of a block, about, unless one document has more
 TASK_BYTES = 4_000_000  # texts that are indexed together, about; their documents are dealt to blocks by size
 HASHES = 6
 BITS_PER_TERM = 16  # of the largest document of a block: at most some 0.1 % of absent terms look present
 LEVELS = np.unique([*(1 << k for k in range(40)), *(3 << k for k in range(40))])  # occurrences that each level stands for
 PART_ITEMS = 1_000  # items of one scan of the index, about: what is broadcast at a time
-TASK_CELLS = 4_000_000  # terms of items times documents that are weighed together
+TASK_CELLS = 1_000_000  # terms of items times documents that are weighed together
 _TERM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _BLOCK = "kind string, ids binary, sizes binary, slices binary, width int, terms array<binary>, counts array<int>"
 
@@ -68,10 +69,15 @@ def _blocks(ids: np.ndarray, texts: list):
     order = np.argsort(keys, kind="stable")
     order = order[sizes[order] > 0]  # a document without terms is found by nothing
     begins = np.searchsorted(doc, np.arange(len(texts) + 1))
-    for a in range(0, len(order), BLOCK_DOCS):
-        mine = order[a : a + BLOCK_DOCS]
-        width = max(64, int(keys[mine[-1]]) * BITS_PER_TERM)
-        bits = np.zeros((width, BLOCK_DOCS), bool)
+    width_of = np.maximum(64, keys[order] * BITS_PER_TERM)
+    a = 0
+    while a < len(order):
+        # widths rise, so the block is as wide as its last document
+        cells = width_of[a : a + BLOCK_DOCS] * np.arange(1, len(order[a : a + BLOCK_DOCS]) + 1)
+        b = a + max(1, int(np.searchsorted(cells, BLOCK_BITS, "right")))
+        mine, width = order[a:b], int(width_of[b - 1])
+        a = b
+        bits = np.zeros((width, len(mine)), bool)
         count = begins[mine + 1] - begins[mine]
         row = np.repeat(np.arange(len(mine)), count)
         at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + begins[mine][row]
@@ -135,14 +141,16 @@ def _bounds(sent, least, top: int):
         step = max(1, TASK_CELLS // len(term) // 8)  # bytes of a slice that are looked at together
         held = {}
         for batch in batches:
-            for ids, sizes, slices, width in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                ids, sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
-                rows = np.frombuffer(slices, np.uint8).reshape(width, -1)
+            for i in range(batch.num_rows):
+                ids, sizes, slices = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in enumerate((np.int64, np.int64, np.uint8)))
+                rows = slices.reshape(batch.column(3)[i].as_py(), -1)
                 for a in range(0, -(-len(ids) // 8), step):
                     some = ids[8 * a : 8 * (a + step)]
                     bound = _bound(sent.value, rows[:, a : a + step], sizes[8 * a : 8 * (a + step)])
                     if least is not None:
-                        who, doc = np.nonzero(bound >= np.maximum(least.value, 1)[:, None])
+                        low, last = least.value
+                        # a document that only ties with the k-th best must come before it
+                        who, doc = np.nonzero((bound > low[:, None]) | ((bound == low[:, None]) & (some < last[:, None])))
                         if len(who):
                             yield pa.RecordBatch.from_arrays([pa.array(item[who]), pa.array(some[doc]), pa.array(bound[who, doc])], ["item", "doc_id", "bound"])
                         continue
@@ -248,8 +256,8 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, index: DataFrame |
         high = materialize(high.select("item", "doc_id"), "high")
         one = _scored(docs, high, exact)
         kth = one.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "doc_id"))).where(F.col("r") == top)
-        kth = {r["item"]: r["score"] for r in kth.collect()}  # a row for each item of the part
-        least = spark.sparkContext.broadcast(np.array([kth.get(i, 0) for i in wanted], np.int64))
+        kth = {r["item"]: (r["score"], r["doc_id"]) for r in kth.collect()}  # a row for each item of the part
+        least = spark.sparkContext.broadcast(np.array([kth.get(i, (0, -(1 << 63))) for i in wanted], np.int64).T)
         rest = blocks.mapInArrow(_bounds(sent, least, top), schema).select("item", "doc_id")
         rest = materialize(rest.join(high, ["item", "doc_id"], "left_anti"), "rest")
         both = one.unionByName(_scored(docs, rest, exact))
