@@ -117,12 +117,12 @@ def test_toxicity(spark, docs):
 def test_contamination(spark, docs):
     items = spark.createDataFrame([(1, "ANOTHER text, of id"), (2, " ".join(LONG.split()[100:120])), (3, "another text of id"), (4, None)], "item_id long, text string")
     got = _bag(op7.contamination(docs, items).select("doc_id", "n_hit", "n_items").collect())
-    assert got == collections.Counter({(1, 20, 1): 2, (5, 20, 1): 1, (4, 4, 2): 2, (2, 0, 0): 1, (3, 0, 0): 1, (6, 0, 0): 1, (7, 0, 0): 1, (8, 0, 0): 1})
+    assert got == collections.Counter({(1, 20, 1): 2, (5, 20, 1): 1, (4, 4, 2): 1, (4, 0, 0): 1, (2, 0, 0): 1, (3, 0, 0): 1, (6, 0, 0): 1, (7, 0, 0): 1, (8, 0, 0): 1})
     left = op7.remove_documents(docs, items)
-    assert left.columns == docs.columns and sorted(r.doc_id for r in left.select("doc_id").collect()) == [2, 3, 6, 7, 8]
-    one = docs.drop("hit_words")
-    cut = {(r.doc_id, r.text) for r in op7.remove_spans(one.where("doc_id in (2, 4, 7)"), items).select("doc_id", "text").collect()}
-    assert ("    four <|endoftext|> ends" in {t.replace("  ", " ", 0) for i, t in cut if i == 4} or any(i == 4 and t.split() == ["four", "<|endoftext|>", "ends"] for i, t in cut)) and (2, None) in cut
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.select("doc_id").collect()) == [2, 3, 4, 6, 7, 8]
+    assert [r.text for r in left.where("doc_id = 4").collect()] == [ROWS[4][1]]
+    cut = {(r.doc_id, r.text) for r in op7.remove_spans(docs.where("doc_id in (2, 4, 7)"), items).select("doc_id", "text").collect()}
+    assert cut == {(2, None), (4, ROWS[4][1]), (4, "    four <|endoftext|> ends"), (7, ROWS[8][1])}
     many = op7.MAX_GRAMS
     try:
         op7.MAX_GRAMS = 3  # several hash sets, one after another

@@ -46,6 +46,11 @@ def benchmark_grams(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return one.select("item_id", _gram("w", F.col("at") + 1, F.col("length")).alias("gram"), "length", begins.alias("begins"), hashed.alias("begin")).distinct()
 
 
+def _key(doc_id, text):
+    """What hits belong to: a text of a doc_id, so that rows which repeat an id are told apart."""
+    return F.struct(doc_id.alias("id"), F.xxhash64(text).alias("digest"))
+
+
 def _marked(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """(key, n_words, start, length, gram): a row without length for each row of docs(key, text), and one for each hit."""
     sets = -(-max(1, grams.select("gram").distinct().count()) // MAX_GRAMS)
@@ -83,29 +88,28 @@ def _scanned(docs: DataFrame, grams: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: words, words inside an occurrence of a benchmark window, items found, verdict.
 
-    Null texts and texts without words have no hits. Rows with a null doc_id or item_id are left out. Each row that
-    repeats a doc_id has its own words and the hits of all rows of that id (a place that is hit in several counts once).
-    Items that repeat a text are all counted. Without items nothing is hit. Texts are taken whole, however long.
-    Columns besides doc_id/item_id and text are ignored.
+    Null texts and texts without words have no hits. Rows with a null doc_id or item_id are left out. Rows that repeat a
+    doc_id have each the words and hits of their own text. Items that repeat a text are all counted. Without items nothing
+    is hit. Texts are taken whole, however long. Columns besides doc_id/item_id and text are ignored.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"), "text")
+    docs = docs.where("doc_id is not null").select(_key(F.col("doc_id").cast("long"), F.col("text")).alias("key"), "text")
     benchmark = benchmark.where("item_id is not null").select("item_id", "text")
     grams = materialize(benchmark_grams(benchmark, window), "grams")
     marked = materialize(_marked(docs, grams), "hits")
-    counted = marked.where("length is null").select(F.col("key").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"))
-    found = marked.where("length is not null").withColumnRenamed("key", "doc_id")
+    counted = marked.where("length is null").select("key", F.col("n_words").cast("long").alias("n_words"))
+    found = marked.where("length is not null")
     covered = (
-        found.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("at"))
-        .distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
+        found.select("key", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("at"))
+        .distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
     )
     items = (
-        found.select("doc_id", "gram").distinct().join(grams.select("gram", "item_id"), "gram")
-        .groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
+        found.select("key", "gram").distinct().join(grams.select("gram", "item_id"), "gram")
+        .groupBy("key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
     )
     return (
-        counted.join(covered.join(items, "doc_id"), "doc_id", "left")
+        counted.join(covered.join(items, "key"), "key", "left")
         .select(
-            "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            F.col("key.id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
             F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"),
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
@@ -115,34 +119,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def _hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     grams = benchmark_grams(benchmark.where("item_id is not null").select("item_id", "text"), window)
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("key"), "text")
-    return _marked(rows, materialize(grams, "grams")).where("length is not null").withColumnRenamed("key", "doc_id")
+    rows = docs.where("doc_id is not null and text is not null").select(_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    return _marked(rows, materialize(grams, "grams")).where("length is not null")
+
+
+def _is(docs: DataFrame, keys: DataFrame):
+    return (docs["doc_id"] == keys["key.id"]) & (F.xxhash64(docs["text"]) == keys["key.digest"])
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any benchmark window; all columns stay, documents with a null doc_id or text too.
 
-    If one row of a repeated doc_id is hit, all of them go.
+    Rows that repeat a doc_id are judged each by its own text.
     """
-    dirty = materialize(_hits(docs, benchmark, window).select("doc_id").distinct(), "dirty")
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    dirty = materialize(_hits(docs, benchmark, window).select("key").distinct(), "dirty")
+    return docs.join(dirty, _is(docs, dirty), "left_anti").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """All documents, without the words that stand in an occurrence of a benchmark window; all columns stay.
 
-    What stands between words stays. Rows that repeat a doc_id lose the places that are hit in any of them.
+    What stands between words stays. Rows that repeat a doc_id lose each what is hit in its own text.
     """
-    found = _hits(docs, benchmark, window).select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("at"))
-    hit = materialize(found.groupBy("doc_id").agg(F.collect_set("at").alias("hit_words")), "covered")
-    parts = F.regexp_extract_all("text", F.lit(f"{_WORD}|[{_OTHER}]+"), F.lit(0))  # words and gaps take turns
-    first = F.when(F.regexp_like("text", F.lit(f"\\A[{_OTHER}]")), 1).otherwise(0)
-    kept = F.filter(parts, lambda x, i: (i % 2 != first) | ~F.array_contains("hit_words", F.floor(i / 2).cast("int")))
-    text = F.when(F.col("hit_words").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    names, name = {c.lower() for c in docs.columns}, "hit_words"
-    if name in names:
-        raise ValueError(f"a column is named {name}")
-    return docs.join(hit, "doc_id", "left").withColumn("text", text).select(*docs.columns)
+    found = _hits(docs, benchmark, window).select("key", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("at"))
+    hit = materialize(found.groupBy("key").agg(F.collect_set("at").alias("hit_words")), "covered")
+    parts = F.regexp_extract_all(docs["text"], F.lit(f"{_WORD}|[{_OTHER}]+"), F.lit(0))  # words and gaps take turns
+    first = F.when(F.regexp_like(docs["text"], F.lit(f"\\A[{_OTHER}]")), 1).otherwise(0)
+    kept = F.filter(parts, lambda x, i: (i % 2 != first) | ~F.array_contains(hit["hit_words"], F.floor(i / 2).cast("int")))
+    text = F.when(hit["hit_words"].isNull(), docs["text"]).otherwise(F.array_join(kept, "")).alias("text")
+    return docs.join(hit, _is(docs, hit), "left").select(*[text if c == "text" else docs[c] for c in docs.columns])
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
