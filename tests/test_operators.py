@@ -1,7 +1,9 @@
 """Hand-made cases with results worked out by hand, and invariants."""
 
 import collections
+import heapq
 import math
+import random
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.iterate import running
-from weftgraph.operators import encoding, network, pairs, ranking, selection, statistics, walks
+from weftgraph.operators import distances, encoding, network, pairs, ranking, screening, selection, statistics, walks
 from weftgraph.operators.components import connected_components
 from weftgraph.sources import tables
 
@@ -46,7 +48,7 @@ def test_walk_keeps_its_mass(spark):
 def test_weighted_distances(spark):
     e = _edges(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 5.0)], "src string, dst string, weight double")
     s = spark.createDataFrame([("s", "a")], "source string, node string")
-    assert {(r.node, r.dist) for r in walks.distances(e, s).collect()} == {("a", 0.0), ("b", 1.0), ("c", 2.0)}
+    assert {(r.node, r.dist) for r in distances.distances(e, s).collect()} == {("a", 0.0), ("b", 1.0), ("c", 2.0)}
 
 
 def test_shuffled_graph_keeps_degrees(spark):
@@ -102,11 +104,11 @@ def test_unkeyed_metrics_equal_keyed_ones(spark):
 def test_log_bins_merge_small_classes(spark):
     rows = [(f"n{i}", v) for i, v in enumerate([0, 1, 1, 1, 2, 3, 5, 9, 20, 40])]
     bins = collections.defaultdict(list)
-    for r in walks.log_bins(spark.createDataFrame(rows, "node string, value long"), 3).collect():
+    for r in screening.log_bins(spark.createDataFrame(rows, "node string, value long"), 3).collect():
         bins[r.bin].append((r.slot, r.node))
     assert {b: sorted(n for _, n in x) for b, x in bins.items()} == {0: ["n0", "n1", "n2", "n3"], 1: ["n4", "n5", "n6"], 2: ["n7", "n8", "n9"]}
     assert all(sorted(s for s, _ in x) == list(range(len(x))) for x in bins.values())
-    assert walks.log_bins(spark.createDataFrame([], "node string, value long"), 3).count() == 0
+    assert screening.log_bins(spark.createDataFrame([], "node string, value long"), 3).count() == 0
 
 
 def test_random_graphs_change_edges_and_follow_the_seed(spark):
@@ -189,3 +191,102 @@ def test_sources_round_trip(spark, tmp_path):
 def test_quantiles_of_one_value(spark):
     v = spark.createDataFrame([("k", 2.0)], "k string, v double")
     assert math.isclose(statistics.quartiles(v, ["k"], "v").first().iqr, 0.0)
+
+
+def _shortest(adjacent, starts):
+    found, heap = {}, [(0.0, s) for s in starts]
+    heapq.heapify(heap)
+    while heap:
+        d, u = heapq.heappop(heap)
+        if u not in found:
+            found[u] = d
+            for v, w in adjacent.get(u, ()):
+                heapq.heappush(heap, (d + w, v))
+    return found
+
+
+@pytest.mark.parametrize("kind", ["hops", "near", "wide"])
+def test_distances_equal_dijkstra(spark, kind):
+    """Three words of sources; weights in [1, 2], and weights so unlike that a bucket is relaxed several times."""
+    rng, size = random.Random(2), 150 if kind == "hops" else 30
+    edges = {}
+    for _ in range(190 if kind == "hops" else 60):
+        a, b = rng.randrange(size), rng.randrange(size)
+        edges[min(a, b), max(a, b)] = {"hops": 1.0, "near": rng.uniform(1, 2), "wide": rng.choice([0.01, 0.5, 1.0])}[kind]
+    adjacent = collections.defaultdict(list)
+    for (a, b), w in edges.items():
+        adjacent[f"n{a}"].append((f"n{b}", w))
+        adjacent[f"n{b}"].append((f"n{a}", w))
+    e = spark.createDataFrame([(f"n{a}", f"n{b}", w) for (a, b), w in edges.items()], "src string, dst string, weight double")
+    e = e.drop("weight") if kind == "hops" else e
+    got = {(r.source, r.node): r.dist for r in distances.all_pairs(e).collect()}
+    want = {(s, v): d for s in adjacent for v, d in _shortest(adjacent, [s]).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    some = sorted(adjacent)
+    sources = spark.createDataFrame([("x", u) for u in some[:5]] + [("y", some[7]), ("z", "nowhere")], "source string, node string")
+    got = {(r.source, r.node): r.dist for r in distances.distances(e, sources).collect()}
+    want = {("x", v): d for v, d in _shortest(adjacent, some[:5]).items()} | {("y", v): d for v, d in _shortest(adjacent, [some[7]]).items()} | {("z", "nowhere"): 0.0}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    if kind == "hops":
+        counts = {(r.node, r.dist): r.nodes for r in distances.distance_counts(e).collect()}
+        assert counts == collections.Counter((s, int(d)) for s in adjacent for d in _shortest(adjacent, [s]).values())
+    assert distances.all_pairs(e.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("weighted,tile", [(False, 1 << 28), (True, 1 << 28), (False, 700)])
+def test_screening_equals_its_draws(spark, monkeypatch, weighted, tile):
+    """Moments against the draws as rows and all shortest paths; with a small tile the table comes in several parts."""
+    monkeypatch.setattr(screening, "TILE_BYTES", tile)
+    monkeypatch.setattr(screening, "DRAWS", 7)
+    rng = random.Random(8)
+    rows = sorted({(f"a{rng.randrange(25)}", f"b{rng.randrange(20)}", rng.choice([1.0, 1.5])) for _ in range(55)})
+    rows = list({(a, b): (a, b, w) for a, b, w in rows}.values())
+    e = spark.createDataFrame(rows, "src string, dst string, weight double")
+    e = e if weighted else e.drop("weight")
+    adjacent = collections.defaultdict(list)
+    for a, b, w in rows:
+        adjacent[a].append((b, w if weighted else 1.0))
+        adjacent[b].append((a, w if weighted else 1.0))
+    names = sorted(adjacent)
+    targets = [(f"d{i % 6}", rng.choice(names)) for i in range(20)] + [("d1", "unknown")]
+    diseases = [(f"x{i % 3}", rng.choice(names)) for i in range(9)]
+    t, g = spark.createDataFrame(targets, "drug string, node string"), spark.createDataFrame(diseases, "disease string, node string")
+    bins = screening.degree_bins(network.degree(e).withColumnRenamed("degree", "value"), 6).cache()
+    drawn = {}
+    for name, sets, seed in (("t", t.withColumnRenamed("drug", "set"), 1), ("g", g.withColumnRenamed("disease", "set"), 2)):
+        for r in screening.random_sets(bins, sets.distinct(), 40, seed).collect():
+            drawn.setdefault((name, r.set, r.iter), []).append(r.node)
+    far = {u: _shortest(adjacent, [u]) for u in names}
+
+    def mean(to, of):
+        near = [min((far[x][u] for x in of if u in far[x]), default=None) for u in to]
+        near = [x for x in near if x is not None]
+        return sum(near) / len(near) if near else None
+
+    got = {(r.drug, r.disease): r for r in screening.screening(e, t, g, bins, 40).collect()}
+    want = {}
+    for drug in {d for d, _ in targets}:
+        for disease in {x for x, _ in diseases}:
+            d = mean({u for k, u in targets if k == drug and u in far}, {u for k, u in diseases if k == disease})
+            x = [mean(drawn["t", drug, i], drawn["g", disease, i]) for i in range(40)]
+            x = np.array([v for v in x if v is not None])
+            if d is not None and len(x):
+                want[drug, disease] = d, x.mean(), x.std(), (x <= d + 1e-12).mean()
+    assert got.keys() == want.keys()
+    for k, (d, m, s, p) in want.items():
+        assert (got[k].d, got[k].mean, got[k]["std"]) == pytest.approx((d, m, s), abs=1e-9) and abs(got[k].p - p) < 0.026
+        assert got[k].z is None or got[k].z == pytest.approx((d - m) / s)
+
+
+def test_draws_are_even():
+    x = screening.drawn(np.array([12345, 987654321]), np.arange(50_000), np.array([10, 7]))
+    for column, size in zip(x.T, (10, 7)):
+        share = np.bincount(column, minlength=size) / len(x)
+        assert abs(share - 1 / size).max() < 0.006 and abs(np.corrcoef(column[1:], column[:-1])[0, 1]) < 0.015
+    assert abs(np.corrcoef(*x.T)[0, 1]) < 0.015
+
+
+def test_common_values_are_binned_whole(spark):
+    measure = spark.range(1000).select(F.concat(F.lit("n"), "id").alias("node"), F.when(F.col("id") < 900, 1).otherwise(F.col("id")).alias("value"))
+    rows = screening.degree_bins(measure, 30).collect()
+    assert len({(r.bin, r.slot) for r in rows}) == 1000 and collections.Counter(r.bin for r in rows) == {**{b: 30 for b in range(32)}, 32: 40}

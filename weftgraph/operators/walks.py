@@ -1,8 +1,7 @@
-"""Random walks, distances and proximity; many runs at once by key."""
+"""Random walks; many runs at once by key."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,95 +54,3 @@ def ranked_without_seeds(scores: DataFrame, seeds: DataFrame, keys: tuple[str, .
     if not k:
         return running(left, [F.desc("score"), F.col("node")], {})
     return left.withColumn("rank", F.row_number().over(Window.partitionBy(*k).orderBy(F.desc("score"), "node")).cast("long"))
-
-
-def distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(source, node, dist): shortest paths from sources(source, node); weights if there are any, else hops.
-
-    Relaxes from the frontier only; a source with several nodes gives the distance to its nearest one.
-    """
-    w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
-    steps = checkpointed(mirror(edges.withColumn("weight", w)).groupBy("src", "dst").agg(F.min("weight").alias("w")))
-    best = checkpointed(sources.select("source", "node").distinct().withColumn("dist", F.lit(0.0)))
-    frontier = best
-    for turn in range(1, max_rounds + 1):
-        offer = frontier.withColumnRenamed("node", "src").join(steps, "src").groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("offer"))
-        better = checkpointed(offer.join(best, ["source", "node"], "left").where("dist is null or offer < dist").select("source", "node", F.col("offer").alias("dist")))
-        if better.isEmpty():
-            return best
-        # found distances are added; a shorter one replaces the old when the table is next read
-        best = best.unionByName(better).groupBy("source", "node").agg(F.min("dist").alias("dist"))
-        best = checkpointed(best) if turn % LOOK == 0 else best
-        frontier = better
-    raise RuntimeError(f"distances still fall after {max_rounds} rounds")
-
-
-def all_pairs(edges: DataFrame) -> DataFrame:
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return distances(edges, nodes.select(F.col("node").alias("source"), "node"))
-
-
-def proximity(edges: DataFrame, targets: DataFrame, diseases: DataFrame) -> DataFrame:
-    """(drug, disease, d): mean over a drug's targets of the distance to the nearest disease gene.
-
-    targets(drug, node), diseases(disease, node)."""
-    to = distances(edges, diseases.select(F.col("disease").alias("source"), "node"))
-    return targets.distinct().join(to, "node").groupBy("drug", F.col("source").alias("disease")).agg(F.avg("dist").alias("d"))
-
-
-def degree_bins(measure: DataFrame, bin_size: int) -> DataFrame:
-    """(node, bin, slot): nodes by ordered measure in bins of bin_size; what is left over joins the last bin.
-
-    measure(node, value). Nodes are counted by value first, so that only one row a value is ordered in one place."""
-    sizes = measure.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
-    before = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    start = sizes.withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0)))
-    total = sizes.agg(F.sum("m").alias("n"))
-    at = measure.join(start, "value").crossJoin(F.broadcast(total))
-    at = at.withColumn("pos", F.col("start") + F.row_number().over(Window.partitionBy("value").orderBy("node")) - 1)
-    last = F.greatest(F.floor(F.col("n") / bin_size) - 1, F.lit(0))
-    binned = at.withColumn("bin", F.least(F.floor(F.col("pos") / bin_size), last).cast("int"))
-    return binned.select("node", "bin", (F.col("pos") - F.col("bin") * bin_size).cast("int").alias("slot"))
-
-
-def log_bins(measure: DataFrame, bin_size: int, base: float = 2.0) -> DataFrame:
-    """(node, bin, slot): nodes in classes of floor(log_base value); neighbouring classes merge until a bin has
-    bin_size nodes, what is left over joins the last bin. measure(node, value >= 0); value 0 is a class of its own."""
-    power = F.when(F.col("value") > 0, F.floor(F.log(F.col("value").cast("double")) / float(np.log(base)) + 1e-9)).otherwise(F.lit(-(1 << 20)))
-    classed = measure.withColumn("power", power.cast("long"))
-    counts = classed.groupBy("power").agg(F.count(F.lit(1)).alias("c")).orderBy("power").collect()  # a row for each power of the base
-    bin_of, now, held = {}, 0, 0
-    for r in counts:
-        if held >= bin_size:
-            now, held = now + 1, 0
-        bin_of[r["power"]] = now
-        held += r["c"]
-    if held < bin_size and now:
-        bin_of = {p: min(b, now - 1) for p, b in bin_of.items()}
-    table = measure.sparkSession.createDataFrame(sorted(bin_of.items()), "power long, bin int")
-    binned = classed.join(F.broadcast(table), "power")
-    slot = F.row_number().over(Window.partitionBy("bin").orderBy("value", "node")) - 1
-    return binned.select("node", "bin", slot.alias("slot"))
-
-
-def random_sets(bins: DataFrame, sets: DataFrame, n_iter: int, seed: int) -> DataFrame:
-    """(set, iter, node): for each set(set, node) random nodes of the same bins."""
-    size = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("size"))
-    wanted = sets.join(bins, "node").join(F.broadcast(size), "bin").select("set", "node", "bin", "size")
-    it = sets.sparkSession.range(n_iter).select(F.col("id").cast("int").alias("iter"))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "iter", "set", "node")), 1, 12), 16, 10).cast("long") % F.col("size")
-    drawn = wanted.crossJoin(F.broadcast(it)).select("set", "iter", "bin", pick.cast("int").alias("slot"))
-    return drawn.join(bins, ["bin", "slot"]).select("set", "iter", "node")
-
-
-def screening(edges: DataFrame, targets: DataFrame, diseases: DataFrame, bins: DataFrame, n_iter: int = 1000, seed: int = 1) -> DataFrame:
-    """(drug, disease, d, mean, std, z, p): proximity against degree-matched random targets and disease genes."""
-    real = proximity(edges, targets, diseases)
-    a = random_sets(bins, targets.select(F.col("drug").alias("set"), "node"), n_iter, seed)
-    b = random_sets(bins, diseases.select(F.col("disease").alias("set"), "node"), n_iter, seed + 1)
-    to = distances(edges, b.select(F.struct("set", "iter").alias("source"), "node"))
-    to = to.select(F.col("source.set").alias("disease"), F.col("source.iter").alias("iter"), "node", "dist")
-    null = a.withColumnRenamed("set", "drug").join(to, ["iter", "node"]).groupBy("drug", "disease", "iter").agg(F.avg("dist").alias("x"))
-    both = null.join(real, ["drug", "disease"])
-    out = both.groupBy("drug", "disease", "d").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.avg((F.col("x") <= F.col("d")).cast("double")).alias("p"))
-    return out.withColumn("z", F.try_divide(F.col("d") - F.col("mean"), F.col("std")))

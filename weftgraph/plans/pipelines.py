@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.iterate import checkpointed, mirror
-from weftgraph.operators import encoding, network, pairs, ranking, selection, statistics, walks
+from weftgraph.operators import distances, encoding, network, pairs, ranking, screening, selection, statistics, walks
 from weftgraph.operators.components import connected_components
 
 
@@ -67,17 +67,22 @@ def module_areas(detected: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return both.groupBy(*keys).agg(F.avg("auroc").alias("auroc"), F.avg("auprc").alias("auprc"))
 
 
-def repurposing_screen(edges: DataFrame, drugs: DataFrame, genes: DataFrame, patterns: list[str], bin_size: int = 100, n_iter: int = 1000, similarity: bool = True) -> dict[str, DataFrame]:
-    """Proximity screen of labelled drugs against one disease on the largest component, and its evaluation."""
+def repurposing_screen(edges: DataFrame, drugs: DataFrame, genes: DataFrame, patterns: list[str], bin_size: int = 100, n_iter: int = 10_000, similarity: bool = True) -> dict[str, DataFrame]:
+    """Proximity screen of labelled drugs against one disease on the largest component, and its evaluation.
+
+    Random sets come from bins of strength where there are weights, else from logarithmic bins of degree."""
     lcc = checkpointed(network.largest_component(edges))
     net = network.induced(edges, lcc)
     net = checkpointed(network.similarity_to_distance(net) if similarity and "weight" in edges.columns else net)
     rows, inside = selection.screen_input(selection.approved_human(drugs), genes, lcc, patterns)
     rows = checkpointed(rows)
-    measure = network.strength(net).withColumnRenamed("strength", "value") if "weight" in net.columns else network.degree(net).withColumnRenamed("degree", "value")
-    bins = checkpointed(walks.degree_bins(measure, bin_size))
+    if "weight" in net.columns:
+        bins = screening.degree_bins(network.strength(net).withColumnRenamed("strength", "value"), bin_size)
+    else:
+        bins = screening.log_bins(network.degree(net).withColumnRenamed("degree", "value"), bin_size)
+    bins = checkpointed(bins)
     targets = rows.select(F.col("Name").alias("drug"), F.col("Gene_Target").alias("node"))
-    screen = walks.screening(net, targets, inside.withColumn("disease", F.lit("disease")), bins, n_iter)
+    screen = screening.screening(net, targets, inside.withColumn("disease", F.lit("disease")), bins, n_iter)
     scores = checkpointed(selection.clean_scores(screen.select(F.col("drug").alias("Name"), F.col("z").alias("Score"))))
     return ranking.evaluate(scores, rows.select("Name", "Positive").distinct(), invert=True)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.iterate import checkpointed
-from weftgraph.operators import encoding, network, pairs, ranking, selection, statistics, walks
+from weftgraph.operators import distances, encoding, network, pairs, ranking, screening, selection, statistics, walks
 from weftgraph.operators.components import connected_components
 from weftgraph.plans import pipelines
 
@@ -467,14 +467,39 @@ def rwr_ranking(spark, d):
   SELECT source, node, CAST(min(dist) AS DOUBLE) AS dist FROM walk GROUP BY 1, 2""")
 def hop_distances(spark, d):
     e = checkpointed(g1(spark, d))
-    return walks.distances(e, e.join(_brand(spark, d).withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("src").alias("source"), F.col("src").alias("node")))
+    return distances.distances(e, e.join(_brand(spark, d).withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("src").alias("source"), F.col("src").alias("node")))
 
 
-@query(f"""WITH RECURSIVE {G1.replace('>= 2', '>= 3')}, {BOTH}, walk AS (SELECT src AS source, src AS node, 0 AS dist FROM (SELECT DISTINCT src FROM both_ways)
-    UNION SELECT source, dst, dist + 1 FROM walk JOIN both_ways ON src = node WHERE dist < 40)
-  SELECT source, node, CAST(min(dist) AS DOUBLE) AS dist FROM walk GROUP BY 1, 2""")
+_BITS = f"""{G1}, {BOTH}, num AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT src AS node FROM both_ways)),
+  reach AS (SELECT 0 AS k, node, set_bit(CAST(repeat('0', CAST(n AS INTEGER)) AS BITSTRING), CAST(i AS INTEGER), 1) AS bits FROM num
+    UNION ALL SELECT k + 1, node, bit_or(bits) FROM (SELECT r.k, b.dst AS node, r.bits FROM reach r JOIN both_ways b ON b.src = r.node WHERE r.k < 40
+      UNION ALL SELECT k, node, bits FROM reach WHERE k < 40) GROUP BY k, node),
+  upto AS (SELECT k, node, bits, lag(bits) OVER (PARTITION BY node ORDER BY k) AS less FROM reach)"""
+
+
+@query(f"""WITH RECURSIVE {_BITS}
+  SELECT s.node AS source, u.node, CAST(u.k AS DOUBLE) AS dist FROM upto u, num s WHERE get_bit(u.bits, CAST(s.i AS INTEGER)) = 1 AND (u.less IS NULL OR get_bit(u.less, CAST(s.i AS INTEGER)) = 0)""".replace(G1, G1.replace(">= 2", ">= 3")))
 def all_pairs_distances(spark, d):
-    return walks.all_pairs(checkpointed(g1(spark, d, 3)))
+    """Every pair of nodes of the pairs that three line items have; ``distance_profile`` is over all of g1."""
+    return distances.all_pairs(checkpointed(g1(spark, d, 3)))
+
+
+@query(f"""WITH RECURSIVE {_BITS}
+  SELECT node, CAST(k AS INTEGER) AS dist, bit_count(bits) - coalesce(bit_count(less), 0) AS nodes FROM upto WHERE bit_count(bits) > coalesce(bit_count(less), 0)""")
+def distance_profile(spark, d):
+    """How many nodes lie at each distance from each node of g1, counted from the words of sources."""
+    return distances.distance_counts(checkpointed(g1(spark, d)))
+
+
+@query("""WITH RECURSIVE sc AS (SELECT p_brand AS src, p_name AS dst, count(*) AS c FROM part GROUP BY 1, 2),
+  w AS (SELECT src, dst, 1 + ((SELECT max(c) FROM sc) - c) / CAST((SELECT max(c) - min(c) FROM sc) AS DOUBLE) AS w FROM sc), ends AS (SELECT src, dst, w FROM w UNION ALL SELECT dst, src, w FROM w),
+  walk AS (SELECT DISTINCT src AS source, src AS node, CAST(0 AS DOUBLE) AS dist, 0 AS k FROM ends
+    UNION ALL SELECT source, dst, min(dist + w), k + 1 FROM walk JOIN ends ON src = node WHERE k < 8 GROUP BY source, dst, k)
+  SELECT source, node, round(min(dist), 6) AS dist FROM walk GROUP BY 1, 2""")
+def weighted_all_pairs_distances(spark, d):
+    """Brands and names of parts with distances in [1, 2]: the more parts a pair has, the nearer."""
+    e = _t(spark, d, "part").groupBy(F.col("p_brand").alias("src"), F.col("p_name").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return distances.all_pairs(checkpointed(network.similarity_to_distance(e))).select("source", "node", *_r("dist"))
 
 
 def _screen_inputs(spark, d):
@@ -491,15 +516,21 @@ def _screen_inputs(spark, d):
   near AS (SELECT disease, node, min(dist) AS dist FROM walk GROUP BY 1, 2)
   SELECT drug, disease, round(avg(dist), 6) AS d FROM inside JOIN near USING (node) GROUP BY 1, 2""")
 def drug_proximity(spark, d):
-    return walks.proximity(*_screen_inputs(spark, d)).select("drug", "disease", *_r("d"))
+    return screening.proximity(*_screen_inputs(spark, d)).select("drug", "disease", *_r("d"))
+
 
+def _mixed(x: str) -> str:
+    return f"(xor({x} >> 16, {x}) * 73244475 & 4294967295)"
 
+
+_TWICE = _mixed(_mixed("((key + iter * 2654435769) & 4294967295)"))
+_DRAW = f"xor({_TWICE} >> 16, {_TWICE})"  # the draw of an iteration from a set's and node's key
 _SETS = """deg AS (SELECT node, count(*) AS value FROM (SELECT unnest([src, dst]) AS node FROM g1) GROUP BY 1),
   pos AS (SELECT node, row_number() OVER (ORDER BY value, node) - 1 AS pos, count(*) OVER () AS n FROM deg),
   bins AS (SELECT node, bin, pos - bin * 20 AS slot, count(*) OVER (PARTITION BY bin) AS size FROM (SELECT node, pos, least(pos // 20, greatest(n // 20 - 1, 0)) AS bin FROM pos)),
   sets AS (SELECT 1 AS seed, 'd' || p_size AS set, 'p' || p_partkey AS node FROM part UNION ALL SELECT 2, p_brand, 'p' || p_partkey FROM part),
-  picks AS (SELECT seed, set, iter, bin, CAST('0x' || substr(md5(seed || '|' || iter || '|' || set || '|' || node), 1, 12) AS BIGINT) % size AS slot
-    FROM sets JOIN bins USING (node), (SELECT range AS iter FROM range(20))),
+  picks AS (SELECT seed, set, iter, bin, """ + _DRAW + """ % size AS slot
+    FROM (SELECT *, CAST('0x' || substr(md5(seed || '|' || set || '|' || node), 1, 8) AS BIGINT) AS key FROM sets JOIN bins USING (node)), (SELECT range AS iter FROM range(20))),
   rnd AS (SELECT seed, set, iter, node FROM picks JOIN bins USING (bin, slot))"""
 
 
@@ -511,19 +542,61 @@ _SETS = """deg AS (SELECT node, count(*) AS value FROM (SELECT unnest([src, dst]
   x AS (SELECT drug, disease, iter, avg(dist) AS x FROM picked JOIN near USING (iter, node) GROUP BY 1, 2, 3),
   pair AS (SELECT n.drug, n.disease, r.x AS d, n.x FROM x n JOIN x r ON r.drug = n.drug AND r.disease = n.disease AND r.iter = -1 WHERE n.iter >= 0),
   f AS (SELECT drug, disease, d, avg(x) AS mean, stddev_pop(x) AS std, avg(CAST(x <= d AS INTEGER)) AS p FROM pair GROUP BY 1, 2, 3)
-  SELECT drug, disease, round(d, 6) AS d, round(mean, 6) AS mean, round(std, 6) AS std, round(CASE WHEN std = 0 THEN NULL ELSE (d - mean) / std END, 6) + 0.0 AS z, round(p, 6) AS p FROM f""")
+  SELECT drug, disease, round(d, 6) AS d, round(mean, 9) AS mean, round(std, 6) AS std, round(CASE WHEN std = 0 THEN NULL ELSE (d - mean) / std END, 6) + 0.0 AS z, round(p, 6) AS p FROM f""")
+def network_proximity_screen(spark, d):
+    """20 draws, as many as the SQL can follow on this graph; ``network_proximity_screen_full`` has 10,000."""
+    return _screened(*_screen_inputs(spark, d), 20, 20)
+
+
+@query()
+def network_proximity_screen_full(spark, d):
+    return _screened(*_screen_inputs(spark, d), 20, 10_000)
+
+
+def _screened(e, targets, diseases, bin_size, n_iter):
+    bins = checkpointed(screening.degree_bins(network.degree(e).withColumnRenamed("degree", "value"), bin_size))
+    out = screening.screening(e, targets, diseases, bins, n_iter)
+    # a mean of 10,000 draws may end in a 5 at the seventh digit
+    return out.select("drug", "disease", *_r("d", "std"), F.round("mean", 9).alias("mean"), (F.round("z", 6) + 0.0).alias("z"), *_r("p"))
+
+
+_BRANDS = f"""sg AS (SELECT p_brand AS src, p_name AS dst FROM part GROUP BY 1, 2 HAVING count(*) * 700 >= (SELECT count(*) FROM part)),
+  both_ways AS (SELECT src, dst FROM sg UNION ALL SELECT dst, src FROM sg), deg AS (SELECT src AS node, count(*) AS value FROM both_ways GROUP BY 1),
+  pos AS (SELECT node, row_number() OVER (ORDER BY value, node) - 1 AS pos, count(*) OVER () AS n FROM deg),
+  bins AS (SELECT node, bin, pos - bin * 13 AS slot, count(*) OVER (PARTITION BY bin) AS size FROM (SELECT node, pos, least(pos // 13, greatest(n // 13 - 1, 0)) AS bin FROM pos)),
+  sets AS (SELECT DISTINCT 1 AS seed, unnest(string_split(p_name, ' ')) AS set, p_name AS node FROM part UNION SELECT 2, 'm' || CAST(substr(p_brand, 7) AS INTEGER) % 5, p_brand FROM part),
+  walk AS (SELECT node AS source, node, 0 AS dist FROM deg UNION SELECT source, dst, dist + 1 FROM walk JOIN both_ways ON src = node WHERE dist < 30),
+  far AS (SELECT source, node, min(dist) AS dist FROM walk GROUP BY 1, 2),
+  drawn AS (SELECT seed, set, iter, bin, {_DRAW} % size AS slot FROM
+    (SELECT *, CAST('0x' || substr(md5(seed || '|' || set || '|' || node), 1, 8) AS BIGINT) AS key FROM sets JOIN bins USING (node)), (SELECT range AS iter FROM range(10000))),
+  rnd AS (SELECT seed, set, iter, node FROM drawn JOIN bins USING (bin, slot) UNION ALL SELECT seed, set, -1, node FROM sets JOIN bins USING (node)),
+  near AS (SELECT set AS disease, iter, f.node, min(dist) AS dist FROM (SELECT DISTINCT set, iter, node FROM rnd WHERE seed = 2) r JOIN far f ON f.source = r.node GROUP BY 1, 2, 3),
+  x AS (SELECT set AS drug, disease, iter, avg(dist) AS x FROM rnd JOIN near USING (iter, node) WHERE seed = 1 GROUP BY 1, 2, 3),
+  f AS (SELECT n.drug, n.disease, r.x AS d, avg(n.x) AS mean, stddev_pop(n.x) AS std, avg(CAST(n.x <= r.x AS INTEGER)) AS p
+    FROM x n JOIN x r ON r.drug = n.drug AND r.disease = n.disease AND r.iter = -1 WHERE n.iter >= 0 GROUP BY 1, 2, 3)"""
+
+
+def _brand_network(spark, d):
+    """(edges, targets, diseases) of brands and names of parts: edges are the pairs that a 700th of all parts or more
+    have; a drug is a word of names, a disease the brands of one remainder."""
+    part = _t(spark, d, "part")
+    often = part.groupBy(F.col("p_brand").alias("src"), F.col("p_name").alias("dst")).agg(F.count(F.lit(1)).alias("c"))
+    e = checkpointed(often.crossJoin(F.broadcast(part.agg(F.count(F.lit(1)).alias("n")))).where("c * 700 >= n").select("src", "dst"))
+    targets = part.select(F.explode(F.split("p_name", " ")).alias("drug"), F.col("p_name").alias("node"))
+    return e, targets, part.select(F.expr("concat('m', cast(substr(p_brand, 7) AS int) % 5)").alias("disease"), F.col("p_brand").alias("node"))
+
+
+@query(f"""WITH RECURSIVE {_BRANDS}
+  SELECT drug, disease, round(d, 6) AS d, round(mean, 9) AS mean, round(std, 6) AS std, round(CASE WHEN std = 0 THEN NULL ELSE (d - mean) / std END, 6) + 0.0 AS z, round(p, 6) AS p FROM f""")
 def proximity_screen(spark, d):
-    e, targets, diseases = _screen_inputs(spark, d)
-    bins = checkpointed(walks.degree_bins(network.degree(e).withColumnRenamed("degree", "value"), 20))
-    out = walks.screening(e, targets, diseases, bins, 20)
-    return out.select("drug", "disease", *_r("d", "mean", "std"), (F.round("z", 6) + 0.0).alias("z"), *_r("p"))
+    return _screened(*_brand_network(spark, d), 13, 10_000)
 
 
 @query(f"""WITH {G1}, deg AS (SELECT node, count(*) AS value FROM (SELECT unnest([src, dst]) AS node FROM g1) GROUP BY 1),
   pos AS (SELECT node, row_number() OVER (ORDER BY value, node) - 1 AS pos, count(*) OVER () AS n FROM deg)
   SELECT node, CAST(least(pos // 20, greatest(n // 20 - 1, 0)) AS INTEGER) AS bin FROM pos""")
 def degree_bin_of_node(spark, d):
-    return walks.degree_bins(network.degree(g1(spark, d)).withColumnRenamed("degree", "value"), 20).select("node", "bin")
+    return screening.degree_bins(network.degree(g1(spark, d)).withColumnRenamed("degree", "value"), 20).select("node", "bin")
 
 # Selection -------------------------------------------------------------------------------------------------------
 
@@ -833,7 +906,7 @@ def repurposing_hits(spark, d):
     dr = _t(spark, d, "part").select(
         F.concat(F.lit("d"), "p_size").alias("Name"), F.lit("approved").alias("Status"), F.lit("Humans").alias("organism"), F.col("p_type").alias("Indication"), F.concat(F.lit("p"), "p_partkey").alias("Gene_Target"))
     genes = network.nodes_of(e).where("node like 's%'")
-    return pipelines.repurposing_screen(e, dr, genes, ["steel"], 10, 20)["hits"]
+    return pipelines.repurposing_screen(e, dr, genes, ["steel"])["hits"]
 
 
 @query(f"""WITH RECURSIVE {W1}, nodes AS (SELECT DISTINCT unnest([src, dst]) AS node FROM w1), mem AS (SELECT substr(node, 2, 1) AS disease, node FROM nodes),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.iterate import checkpointed, shared_folder
-from weftgraph.operators import encoding, network, pairs, ranking, selection, statistics, walks
+from weftgraph.operators import distances, encoding, network, pairs, ranking, screening, selection, statistics, walks
 from weftgraph.plans import pipelines
 from weftgraph.registry import (
     ATTN, BOTH, DRUGS, ENCODED, EXPR, FUSED, G1, GDA, MOD, R1, VOCAB, W1, _brand, _module, _r, _t, associations, attention, drugs, encoded, expr, g1, query,
@@ -195,7 +195,7 @@ def module_subgraph_degrees(spark, d):
   l AS (SELECT bin, held FROM g ORDER BY i DESC LIMIT 1)
   SELECT node, CAST(least(bin, (SELECT CASE WHEN held < 50 AND bin > 0 THEN bin - 1 ELSE bin END FROM l)) AS INTEGER) AS bin FROM deg JOIN g ON p = CAST(floor(ln(value) / ln(2) + 1e-9) AS BIGINT)""")
 def log_degree_bin_of_node(spark, d):
-    return walks.log_bins(network.degree(g1(spark, d)).withColumnRenamed("degree", "value"), 50).select("node", "bin")
+    return screening.log_bins(network.degree(g1(spark, d)).withColumnRenamed("degree", "value"), 50).select("node", "bin")
 
 # Selection and metrics -------------------------------------------------------------------------------------------
 
