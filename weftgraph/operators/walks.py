@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.iterate import checkpointed, mirror, running
 
+WIDTH = 32  # runs whose scores are columns of one row
 LOOK = 4  # rounds between two looks at a walk's change; a walk may go on for as many rounds too long
 
 
@@ -14,37 +15,68 @@ def random_walk(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (),
     """(keys, node, score): walk with restart by edge weight, one loop for all keys.
 
     edges(keys?, src, dst[, weight]); seeds(keys, node). Starts from 1/N; mass of nodes without edges goes to the seeds;
-    stops when every key's change is below N * tol.
+    stops when every key's change is below N * tol. A key whose seeds have no edges has no rows.
+
+    The runs of a network are columns: a row has a node's scores in up to WIDTH runs, which are sent along an edge and
+    added up together, so that the rows of a round don't grow with the runs. What restarts joins them as one more row a
+    node. Blocks of runs that have settled leave the loop.
     """
-    k = list(keys)
-    w = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
-    both = mirror(edges.withColumn("weight", w.cast("double")))
+    spark, k = edges.sparkSession, list(keys)
     own = [c for c in k if c in edges.columns]
-    total = Window.partitionBy(*own, "src")
-    steps = checkpointed(both.withColumn("share", F.col("weight") / F.sum("weight").over(total)).select(*own, "src", "dst", "share"))
-    runs = seeds.select(*k).distinct() if k else None
-    nodes = steps.select(*own, F.col("src").alias("node")).distinct()
-    nodes = nodes.join(runs, own) if own else nodes.crossJoin(runs) if runs is not None else nodes
-    live = seeds.join(nodes, [*k, "node"], "left_semi").distinct()
-    base = nodes.join(live.withColumn("s", F.lit(1.0)), [*k, "node"], "left").na.fill(0.0, ["s"])
-    sizes = base.groupBy(*k).agg(F.sum("s").alias("seeds"), F.count(F.lit(1)).alias("n")).where("seeds > 0")  # a row a key
-    base = base.join(sizes, k) if k else base.crossJoin(F.broadcast(sizes))
-    base = checkpointed(base.select(*k, "node", (F.col("s") / F.col("seeds")).alias("p"), "n"))
-    state = base.withColumn("score", F.lit(1.0) / F.col("n"))
+    w = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+    both = mirror(edges.select(*own, "src", "dst", w.cast("double").alias("weight")))
+    live = seeds.select(*k, "node").distinct().join(both.select(*own, F.col("src").alias("node")).distinct(), [*own, "node"], "left_semi")
+    live = checkpointed(live)
+    counts = live.groupBy(*k).agg(F.count(F.lit(1)).alias("seeds")).where("seeds > 0").orderBy(*k or ["seeds"]).collect()  # a row for each run
+    net, runs, width = {}, [], 1
+    for r in counts:
+        at = net.setdefault(tuple(r[c] for c in own), [len(net), 0])
+        runs.append((*(r[c] for c in k), at[0], at[1] // WIDTH, at[1] % WIDTH, r["seeds"]))
+        width, at[1] = max(width, at[1] % WIDTH + 1), at[1] + 1
+    kinds = ", ".join(f"{c} {t}" for c, t in live.select(*k).dtypes)
+    runs = spark.createDataFrame(runs, f"{kinds + ', ' if k else ''}_net int, _block int, _slot int, _seeds long")
+    x, base = [f"_x{i}" for i in range(width)], ["_net", "_block", "node"]
+    nets = runs.select(*own, "_net").distinct()
+    named = both.join(nets, own) if own else both.crossJoin(F.broadcast(nets))
+    total = named.groupBy("_net", "src").agg(F.sum("weight").alias("total"))
+    steps = named.join(total, ["_net", "src"]).select("_net", "src", "dst", F.try_divide("weight", "total").alias("_share"))
+    steps = checkpointed(steps.repartition("_net", "src"))
+    nodes = steps.select("_net", F.col("src").alias("node")).distinct()
+    sizes = nodes.groupBy("_net").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = runs.select("_net", "_block").distinct().join(sizes, "_net")
+    placed = live.join(runs, k) if k else live.crossJoin(F.broadcast(runs))
+    here = [F.coalesce(F.sum(F.when(F.col("_slot") == i, restart / F.col("_seeds"))), F.lit(0.0)).alias(c) for i, c in enumerate(x)]
+    back = nodes.join(blocks, "_net").join(placed.groupBy(*base).agg(*here), base, "left").na.fill(0.0, x)
+    back = checkpointed(back.select(*base, "_n", *x))  # what each node gets anew in every round
+    state = back.select(*base, *[(1 / F.col("_n")).alias(c) for c in x])
+    back = back.drop("_n")
+    done, lasts = None, [f"_l{i}" for i in range(width)]
     for turn in range(1, max_iter + 1):
-        moved = state.select(*k, F.col("node").alias("src"), "score").join(steps, [*own, "src"]).groupBy(*k, F.col("dst").alias("node"))
-        moved = moved.agg(F.sum(F.col("score") * F.col("share")).alias("m"))
-        new = (1 - restart) * F.coalesce("m", F.lit(0.0)) + restart * F.col("p")
-        state = state.withColumnRenamed("score", "last").join(moved, [*k, "node"], "left").select(*k, "node", "p", "n", new.alias("score"), "last")
-        if turn % LOOK:
-            state = state.drop("last")
+        look = turn % LOOK == 0
+        none = [F.lit(0.0).alias(c) for c in lasts] if look else []
+        moved = state.withColumnRenamed("node", "src").join(steps, ["_net", "src"])
+        moved = moved.select("_net", "_block", F.col("dst").alias("node"), *[((1 - restart) * F.col(c) * F.col("_share")).alias(c) for c in x], *none)
+        rows = moved.unionByName(back.select(*base, *x, *none))
+        if look:
+            rows = rows.unionByName(state.select(*base, *[F.lit(0.0).alias(c) for c in x], *[F.col(c).alias(p) for c, p in zip(x, lasts)]))
+        state = rows.groupBy(*base).agg(*[F.sum(c).alias(c) for c in x + (lasts if look else [])])
+        if not look:
             continue
         state = checkpointed(state)
-        off = state.groupBy(*k).agg((F.sum(F.abs(F.col("score") - F.col("last"))) / F.max("n")).alias("off")).agg(F.max("off")).first()[0]
-        state = state.drop("last")
-        if off is None or off < tol:
+        off = [F.sum(F.abs(F.col(c) - F.col(p))) for c, p in zip(x, lasts)]
+        left = state.groupBy("_net", "_block").agg((F.greatest(*off, F.lit(0.0)) / F.count(F.lit(1))).alias("off")).collect()  # a row for each block of runs
+        state = state.select(*base, *x)
+        settled = [(r["_net"], r["_block"]) for r in left if r["off"] < tol]
+        if len(settled) == len(left):
             break
-    return state.select(*k, "node", "score")
+        if settled:
+            is_done = F.struct("_net", "_block").isin([F.struct(F.lit(a), F.lit(b)) for a, b in settled])
+            over, state, back = state.where(is_done), state.where(~is_done), back.where(~is_done)
+            done = over if done is None else done.unionByName(over)
+    state = state if done is None else state.unionByName(done)
+    each = state.select(*base, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("score")) for i, c in enumerate(x)])).alias("r"))
+    each = each.select("_net", "_block", "node", F.col("r.i").alias("_slot"), F.col("r.score").alias("score"))
+    return each.join(F.broadcast(runs), ["_net", "_block", "_slot"]).select(*k, "node", "score")  # a row for each run
 
 
 def ranked_without_seeds(scores: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
