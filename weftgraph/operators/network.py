@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.iterate import checkpointed, mirror, running, seeded_order
 from weftgraph.operators.components import connected_components
+from weftgraph.operators.selection import sample_exact
+
+SWAP_BUCKET = 4096  # edges that are paired in one task, about
 
 
 def _as(nodes: DataFrame, name: str) -> DataFrame:
@@ -133,51 +138,86 @@ def similarity_to_distance(edges: DataFrame) -> DataFrame:
     return edges.crossJoin(F.broadcast(span)).withColumn("weight", d).drop("lo", "hi")
 
 
-def degree_preserving_shuffle(edges: DataFrame, seed: int, rounds: int = 8) -> DataFrame:
-    """Random double-edge swaps in batches: edges are paired in a random order and swap an end; a swap that would give
-    a self loop or an edge twice is left out. Degrees don't change."""
-    work = checkpointed(edges.select("src", "dst").distinct())
-    buckets = 64
-    for turn in range(rounds):
-        # pairs are formed inside buckets, so that no task orders all edges
+def degree_preserving_shuffle(edges: DataFrame, seed: int, n_swaps: int | None = None, max_tries: int = 10) -> tuple[DataFrame, int]:
+    """(edges, swaps): the simple graph after exactly n_swaps double-edge swaps, as many as it has edges if None.
+
+    In a round all edges are paired at random, inside buckets of about SWAP_BUCKET edges that are dealt anew each time. A
+    pair u-v, x-y becomes u-y, x-v or u-x, v-y, by a bit of its hash; it stays if that would give a self loop or an edge that
+    is there or that another pair of the round proposes. So the swaps of a round can be done in any order. Rounds go on
+    until n_swaps are done, the last one doing only what is missing; an error after max_tries * n_swaps proposals. Self
+    loops are left out at the start. Degrees don't change."""
+    work = checkpointed(edges.where("src != dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    m = work.count()
+    wanted = m if n_swaps is None else n_swaps
+    buckets, done, tried, turn = max(1, m // SWAP_BUCKET), 0, 0, 0
+    while done < wanted:
+        if tried >= max_tries * wanted or m < 2:
+            raise RuntimeError(f"{done} of {wanted} swaps after {tried} tries")
         tag = seeded_order(f"{seed}:{turn}", F.col("src"), F.col("dst"))
         b = F.pmod(F.xxhash64("src", "dst", F.lit(seed * 1000 + turn)), F.lit(buckets))
         w = Window.partitionBy("b").orderBy("tag", "src", "dst")
         numbered = work.withColumns({"tag": tag, "b": b}).withColumn("k", F.row_number().over(w) - 1)
-        two = numbered.withColumn("pair", F.floor(F.col("k") / 2)).groupBy("b", "pair").agg(
-            F.min(F.struct("k", "src", "dst")).alias("x"), F.max(F.struct("k", "src", "dst")).alias("y"), F.count(F.lit(1)).alias("n")
-        )
-        two = checkpointed(two.select("b", "pair", "n", "x.src", "x.dst", F.col("y.src").alias("src2"), F.col("y.dst").alias("dst2")))
-        swap = two.where("n = 2 and src != dst2 and src2 != dst").select(
-            "b", "pair", F.explode(F.array(
-                F.struct(F.least("src", "dst2").alias("src"), F.greatest("src", "dst2").alias("dst")),
-                F.struct(F.least("src2", "dst").alias("src"), F.greatest("src2", "dst").alias("dst")),
-            )).alias("e"),
-        ).select("b", "pair", "e.*")
-        clash = swap.join(work, ["src", "dst"], "left_semi").select("b", "pair").unionByName(
-            swap.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("src", "dst"))).where("m > 1").select("b", "pair")
-        ).distinct()
-        good = swap.join(clash, ["b", "pair"], "left_anti")
-        swapped = good.select("b", "pair").distinct()
-        stay = two.join(swapped, ["b", "pair"], "left_anti")
+        two = numbered.groupBy("b", F.floor(F.col("k") / 2).alias("pair")).agg(
+            F.min(F.struct("k", "src", "dst", "tag")).alias("x"), F.max(F.struct("k", "src", "dst", "tag")).alias("y"), F.count(F.lit(1)).alias("n"))
+        across = F.conv(F.substring("x.tag", 1, 1), 16, 10).cast("int") % 2 == 0
+        two = checkpointed(two.select(
+            F.concat_ws("-", "b", "pair").alias("id"), "n", "x.src", "x.dst", F.col("y.src").alias("src2"), F.col("y.dst").alias("dst2"),
+            F.when(across, F.col("y.dst")).otherwise(F.col("y.src")).alias("to"), F.when(across, F.col("y.src")).otherwise(F.col("y.dst")).alias("other")))
+        ends = [F.struct(F.least(p, q).alias("src"), F.greatest(p, q).alias("dst")) for p, q in (("src", "to"), ("other", "dst"))]
+        fit = two.where("n = 2 and src != to and other != dst")
+        swap = fit.select("id", F.explode(F.array(*ends)).alias("e")).select("id", "e.*")
+        clash = swap.join(work, ["src", "dst"], "left_semi").select("id").unionByName(
+            swap.groupBy("src", "dst").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1).select(F.explode("ids").alias("id")))
+        swap = checkpointed(swap.join(clash.distinct(), "id", "left_anti"))
+        ids = swap.select("id").distinct()
+        count = ids.count()
+        if count > wanted - done:
+            ids = sample_exact(ids, wanted - done, seed + turn, "id")
+            swap, count = swap.join(ids, "id", "left_semi"), wanted - done
+        stay = two.join(ids, "id", "left_anti")
         old = stay.select("src", "dst").unionByName(stay.where("n = 2").select(F.col("src2").alias("src"), F.col("dst2").alias("dst")))
-        work = checkpointed(old.unionByName(good.select("src", "dst")))
-    return work
+        work = checkpointed(old.unionByName(swap.select("src", "dst")))
+        done, tried, turn = done + count, tried + m // 2, turn + 1
+    return work, done
+
+
+def _permuted(number, side: int, seed: int):
+    """A permutation of the numbers below side * side: six Feistel rounds on (number / side, number % side)."""
+    def turn(halves, key):
+        x = (halves["r"] * 2654435769 + key) % (1 << 32)
+        for _ in range(2):
+            x = F.shiftright(x, 16).bitwiseXOR(x) * 73244475 % (1 << 32)
+        return F.struct(halves["r"].alias("l"), ((halves["l"] + x) % side).alias("r"))
+
+    keys = F.array(*[F.lit((seed * 6 + i) * 40503).cast("long") for i in range(6)])
+    return F.aggregate(keys, F.struct(F.floor(number / side).alias("l"), (number % side).alias("r")), turn, lambda h: h["l"] * side + h["r"])
 
 
 def uniform_random_graph(edges: DataFrame, seed: int) -> DataFrame:
-    """As many distinct random edges between the same nodes, without self loops."""
-    spark, nodes = edges.sparkSession, checkpointed(nodes_of(edges))
+    """As many distinct random edges between the same nodes, without self loops, every graph of that size alike likely.
+
+    The pairs of nodes are numbered; the first m numbers under a keyed permutation are the edges, so none comes twice and
+    nothing is sorted or cut. The permutation is of a square somewhat larger than the number of pairs: what falls outside is
+    permuted again until it falls inside. Then numbers become pairs of node numbers, and these nodes."""
+    nodes = checkpointed(nodes_of(edges))
     n, m = nodes.count(), edges.select("src", "dst").distinct().count()
-    if m > n * (n - 1) // 2:
+    pairs = n * (n - 1) // 2
+    if m > pairs:
         raise ValueError("more edges than pairs of nodes")
-    numbered = running(nodes, [F.col("node")], {}).withColumn("k", F.col("rank") - 1)
-    draws, share = m * 2 + 16, lambda c: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(c), "id")), 1, 12), 16, 10).cast("long") % n
-    found = None
-    while found is None or found.count() < m:
-        rows = spark.range(draws).select("id", share("a").alias("a"), share("b").alias("b")).where("a != b")
-        first = rows.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("id").alias("id"))
-        found = checkpointed(first.orderBy("id").limit(m))
-        draws *= 2
+    side = math.isqrt(max(pairs - 1, 0)) + 1
+    inside, left = None, edges.sparkSession.range(m).select(F.col("id").alias("t"))
+    while m:
+        left = checkpointed(left.select(_permuted(F.col("t"), side, seed).alias("t")))
+        now = left.where(F.col("t") < pairs)
+        inside, left = now if inside is None else inside.unionByName(now), left.where(F.col("t") >= pairs)
+        if left.isEmpty():
+            break
+    if inside is None:
+        return edges.select("src", "dst").limit(0)
+    y = F.floor((1 + F.sqrt(1 + 8 * F.col("t").cast("double"))) / 2).cast("long")
+    # a double may be one off near the numbers at which y changes
+    y = F.when(y * (y - 1) / 2 > F.col("t"), y - 1).when((y + 1) * y / 2 <= F.col("t"), y + 1).otherwise(y)
+    ends = inside.withColumn("y", y).select((F.col("t") - (F.col("y") * (F.col("y") - 1) / 2).cast("long")).alias("x"), "y")
+    numbered = checkpointed(running(nodes, [F.col("node")], {}).select((F.col("rank") - 1).alias("k"), "node"))
     a, b = numbered.select(F.col("k").alias("x"), F.col("node").alias("p")), numbered.select(F.col("k").alias("y"), F.col("node").alias("q"))
-    return found.join(a, "x").join(b, "y").select(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst"))
+    return ends.join(a, "x").join(b, "y").select(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst"))

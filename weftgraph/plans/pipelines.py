@@ -28,6 +28,20 @@ def separation(weights: DataFrame, edges: DataFrame, sample: int, seed: int = 1)
     return c.crossJoin(F.broadcast(total)).where("label = 0").agg(F.avg(F.col("m") / F.col("P")).alias("auroc"))
 
 
+def separation_controls(weights: DataFrame, edges: DataFrame, sample: int, seed: int = 1) -> DataFrame:
+    """(graph, weights, auroc): the network, its degree-preserving shuffle and a uniform random graph of its size, each
+    against one sample of the network's background. A control's edges may lie in that background."""
+    cells = network.background(weights, edges).withColumn("key", F.concat_ws("|", "src", "dst"))
+    outside = checkpointed(selection.sample_exact(cells, sample, seed, "key").select("weight"))
+    graphs = {"network": edges, "degrees kept": network.degree_preserving_shuffle(edges, seed)[0], "uniform": network.uniform_random_graph(edges, seed)}
+    inside = [network.weighted(g, weights).select(F.lit(name).alias("graph"), "weight", F.lit(1).alias("label")) for name, g in graphs.items()]
+    both = inside[0].unionByName(inside[1]).unionByName(inside[2])
+    names = both.select("graph").distinct()
+    both = checkpointed(both.unionByName(outside.crossJoin(F.broadcast(names)).select("graph", "weight", F.lit(0).alias("label"))))
+    sizes = both.groupBy("graph").agg(F.sum("label").alias("weights"))
+    return sizes.join(ranking.auc_tied(both, "weight", keys=("graph",)), "graph").select("graph", "weights", F.col("area").alias("auroc"))
+
+
 def degree_dependence(edges: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(log-linear fit of total weight on degree, mean and deviation by degree)."""
     totals = checkpointed(network.total_weights(edges, weights, network.nodes_of(edges)))

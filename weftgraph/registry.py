@@ -6,11 +6,12 @@ are parts, rankings are documents by length with quality or toxicity as labels.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.iterate import checkpointed
-from weftgraph.operators import distances, encoding, network, pairs, ranking, screening, selection, statistics, walks
+from weftgraph.operators import distances, encoding, network, pairs, ranking, screening, selection, statistics, tiles, walks
 from weftgraph.operators.components import connected_components
 from weftgraph.plans import pipelines
 
@@ -242,6 +243,20 @@ attn AS (SELECT a.sample_id, a.i AS pos_i, b.i AS pos_j, a.t AS src, b.t AS dst,
 @query(f"""WITH {ATTN} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(max(weight * length / 2048), 9) AS weight, count(DISTINCT sample_id) AS n
   FROM attn JOIN encoded USING (sample_id) WHERE head <> 3 GROUP BY 1, 2""")
 def attention_max_aggregation(spark, d):
+    out = tiles.attention_tiles(encoded(spark, d), lambda ids: _matrices(len(ids))[:3])  # the fourth head is pruned
+    return out.select(F.col("src").cast("int"), F.col("dst").cast("int"), F.round("weight", 9).alias("weight"), "n")
+
+
+def _matrices(length: int):
+    """The weights of ``attention`` for one sample, as (heads, length, length)."""
+    i = np.arange(length)
+    return ((13 * i[None, :, None] + 7 * i[None, None, :] + 5 * np.arange(4)[:, None, None]) % 101) / 101.0
+
+
+@query(f"""WITH {ATTN} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(max(weight * length / 2048), 9) AS weight, count(DISTINCT sample_id) AS n
+  FROM attn JOIN encoded USING (sample_id) WHERE head <> 3 GROUP BY 1, 2""")
+def attention_row_aggregation(spark, d):
+    """The same from rows of (sample, head, pair), for weights that come as a table."""
     samples = checkpointed(encoded(spark, d))
     a = pairs.prune_heads(attention(spark, d, samples), spark.createDataFrame([(4, 3)], "layer int, head int"))
     return pairs.attention_max(pairs.by_length(a, samples)).select("src", "dst", F.round("weight", 9).alias("weight"), "n")
@@ -249,7 +264,8 @@ def attention_max_aggregation(spark, d):
 
 @query(f"""WITH {ATTN} SELECT src, dst, round(avg(w), 6) AS weight, count(*) AS n FROM (SELECT sample_id, src, dst, avg(weight) AS w FROM attn GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def attention_avg_aggregation(spark, d):
-    return pairs.attention_avg(attention(spark, d)).select("src", "dst", *_r("weight"), "n")
+    out = tiles.attention_tiles(encoded(spark, d), lambda ids: _matrices(len(ids)), method="avg", by_length=False)
+    return out.select(F.col("src").cast("int"), F.col("dst").cast("int"), *_r("weight"), "n")
 
 
 @query(f"WITH {_DOTS} SELECT src, dst, round(weight, 6) AS weight FROM cosine")
@@ -268,12 +284,12 @@ def _hidden(spark, d):
 
 @query(f"WITH {_HID} SELECT src, dst, round(greatest(max(weight), 0), 6) AS weight, count(*) AS n FROM c GROUP BY 1, 2")
 def embedding_max_aggregation(spark, d):
-    return pairs.embedding_aggregate(_hidden(spark, d), "max").select("src", "dst", *_r("weight"), "n")
+    return tiles.embedding_tiles(_hidden(spark, d), "max").select("src", "dst", *_r("weight"), "n")
 
 
 @query(f"WITH {_HID} SELECT src, dst, round(avg(weight), 6) AS weight, count(*) AS n FROM c GROUP BY 1, 2")
 def embedding_avg_aggregation(spark, d):
-    return pairs.embedding_aggregate(_hidden(spark, d), "avg").select("src", "dst", *_r("weight"), "n")
+    return tiles.embedding_tiles(_hidden(spark, d), "avg").select("src", "dst", *_r("weight"), "n")
 
 
 @query(f"WITH {W1} SELECT count(*) AS cells, round(sum(weight), 6) AS total FROM (SELECT weight FROM w1 WHERE n > 0 UNION ALL SELECT weight FROM w1 WHERE n > 0 AND src <> dst)")
@@ -417,7 +433,49 @@ def similarity_distances(spark, d):
 
 @query(f"WITH {G1} SELECT node, count(*) AS degree FROM (SELECT unnest([src, dst]) AS node FROM g1) GROUP BY 1")
 def swapped_edges_degree(spark, d):
-    return network.degree(network.degree_preserving_shuffle(g1(spark, d), 7, 3))
+    return network.degree(network.degree_preserving_shuffle(g1(spark, d), 7)[0])
+
+
+@query(f"WITH {G1} SELECT count(*) AS swaps, count(*) AS edges, true AS most_changed, CAST(0 AS BIGINT) AS loops FROM g1")
+def edge_swaps(spark, d):
+    """As many swaps as edges, and whether they have changed more than half of the edges."""
+    e = checkpointed(g1(spark, d))
+    shuffled, swaps = network.degree_preserving_shuffle(e, 7)
+    shuffled = shuffled.select("src", "dst", (F.col("src") == F.col("dst")).cast("long").alias("loop")).distinct()
+    kept = shuffled.join(e.withColumn("old", F.lit(1)), ["src", "dst"], "left")
+    sizes = kept.agg(F.count(F.lit(1)).alias("edges"), (F.count("old") * 2 < F.count(F.lit(1))).alias("most_changed"), F.sum("loop").alias("loops"))
+    return sizes.select(F.lit(swaps).cast("long").alias("swaps"), "edges", "most_changed", "loops")
+
+
+def _feistel(side: str, seed: int) -> str:
+    """SQL of the permutation of ``network.uniform_random_graph``: six rounds as nested selects of (l, r)."""
+    rows = f"(SELECT t // {side} AS l, t % {side} AS r, {side} AS side FROM todo)"
+    for turn in range(6):
+        x = _mixed(_mixed(f"((r * 2654435769 + {(seed * 6 + turn) * 40503}) & 4294967295)"))
+        rows = f"(SELECT r AS l, (l + {x}) % side AS r, side FROM {rows})"
+    return rows
+
+
+def _mixed(x: str) -> str:
+    return f"(xor({x} >> 16, {x}) * 73244475 & 4294967295)"
+
+
+def _walked(rounds: int) -> str:
+    """Each round permutes what the last one has left outside of the pairs."""
+    parts = []
+    for i in range(rounds):
+        todo = "SELECT range AS t FROM range((SELECT count(*) FROM g1))" if i == 0 else f"SELECT t FROM f{i - 1}, sq WHERE t >= pairs"
+        parts.append(f"t{i} AS ({todo}), f{i} AS (SELECT l * side + r AS t FROM {_feistel('side', 3).replace('FROM todo', f'FROM t{i}, sq').replace('side AS side', 'sq.side AS side')})")
+    return ", ".join(parts)
+
+
+@query(f"""WITH {G1}, nd AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT unnest([src, dst]) AS node FROM g1)),
+  sq AS (SELECT max(n) * (max(n) - 1) // 2 AS pairs, CAST(ceil(sqrt(max(n) * (max(n) - 1) // 2)) AS BIGINT) AS side FROM nd), {_walked(4)},
+  tri AS (SELECT t FROM ({" UNION ALL ".join(f"SELECT t FROM f{i}" for i in range(4))}), sq WHERE t < pairs),
+  xy AS (SELECT t, CAST(floor((1 + sqrt(1 + 8 * t)) / 2) AS BIGINT) AS y FROM tri)
+  SELECT least(a.node, b.node) AS src, greatest(a.node, b.node) AS dst FROM xy JOIN nd a ON a.k = t - y * (y - 1) // 2 JOIN nd b ON b.k = y""")
+def uniform_graph_edges(spark, d):
+    return network.uniform_random_graph(g1(spark, d), 3)
 
 
 @query(f"WITH {G1} SELECT count(*) AS edges, 0 AS loops FROM g1")
@@ -425,6 +483,7 @@ def uniform_graph_size(spark, d):
     g = network.uniform_random_graph(g1(spark, d), 3)
     return g.agg(F.count_distinct("src", "dst").alias("edges"), F.coalesce(F.sum((F.col("src") == F.col("dst")).cast("int")), F.lit(0)).cast("int").alias("loops"))
 
+
 # Walks and distances ---------------------------------------------------------------------------------------------
 
 def _brand(spark, d):
@@ -519,10 +578,6 @@ def drug_proximity(spark, d):
     return screening.proximity(*_screen_inputs(spark, d)).select("drug", "disease", *_r("d"))
 
 
-def _mixed(x: str) -> str:
-    return f"(xor({x} >> 16, {x}) * 73244475 & 4294967295)"
-
-
 _TWICE = _mixed(_mixed("((key + iter * 2654435769) & 4294967295)"))
 _DRAW = f"xor({_TWICE} >> 16, {_TWICE})"  # the draw of an iteration from a set's and node's key
 _SETS = """deg AS (SELECT node, count(*) AS value FROM (SELECT unnest([src, dst]) AS node FROM g1) GROUP BY 1),
@@ -881,6 +936,12 @@ def network_separation(spark, d):
     return pipelines.separation(weights1(spark, d).select("src", "dst", "weight"), g1(spark, d), 100_000).select(*_r("auroc"))
 
 
+@query()
+def separation_controls(spark, d):
+    """The network against its background, beside two random graphs of its size."""
+    return pipelines.separation_controls(checkpointed(weights1(spark, d).select("src", "dst", "weight")), checkpointed(g1(spark, d)), 100_000).select("graph", "weights", *_r("auroc"))
+
+
 @query()
 def module_detection_areas(spark, d):
     e = g2(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
