@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.iterate import running
-from weftgraph.operators import distances, encoding, network, pairs, ranking, screening, selection, statistics, walks
+from weftgraph.operators import distances, encoding, network, pairs, ranking, screening, selection, statistics, tiles, walks
 from weftgraph.operators.components import connected_components
 from weftgraph.sources import tables
 
@@ -114,7 +114,7 @@ def test_log_bins_merge_small_classes(spark):
 def test_random_graphs_change_edges_and_follow_the_seed(spark):
     e = _edges(spark, [(f"a{i}", f"b{i * j % 17}") for i in range(30) for j in range(1, 5)]).distinct()
     plain = {tuple(r) for r in e.collect()}
-    for make in (lambda seed: network.degree_preserving_shuffle(e, seed, 3), lambda seed: network.uniform_random_graph(e, seed)):
+    for make in (lambda seed: network.degree_preserving_shuffle(e, seed)[0], lambda seed: network.uniform_random_graph(e, seed)):
         one, same, other = ({tuple(r) for r in make(seed).collect()} for seed in (5, 5, 6))
         assert one == same and one != other and len(one) == len(plain) and len(one & plain) < 0.8 * len(plain)
 
@@ -290,3 +290,82 @@ def test_common_values_are_binned_whole(spark):
     measure = spark.range(1000).select(F.concat(F.lit("n"), "id").alias("node"), F.when(F.col("id") < 900, 1).otherwise(F.col("id")).alias("value"))
     rows = screening.degree_bins(measure, 30).collect()
     assert len({(r.bin, r.slot) for r in rows}) == 1000 and collections.Counter(r.bin for r in rows) == {**{b: 30 for b in range(32)}, 32: 40}
+
+
+def test_swaps_are_as_many_as_asked(spark):
+    e = _edges(spark, [(f"a{i}", f"b{i * j % 17}") for i in range(30) for j in range(1, 5)]).distinct()
+    plain = {tuple(r) for r in e.collect()}
+    some, swaps = network.degree_preserving_shuffle(e, 5, 3)
+    some = {tuple(r) for r in some.collect()}
+    assert swaps == 3 and len(some) == len(plain) and 0 < len(plain - some) <= 6
+    degrees = lambda rows: collections.Counter(x for r in rows for x in r)
+    assert degrees(some) == degrees(plain) and network.degree_preserving_shuffle(e, 5, 0)[1] == 0
+    with pytest.raises(RuntimeError):
+        network.degree_preserving_shuffle(_edges(spark, [("a", "b"), ("a", "c")]), 5)  # no swap is possible
+
+
+def test_uniform_graphs_take_every_pair(spark):
+    e = _edges(spark, [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")])
+    assert {tuple(r) for r in network.uniform_random_graph(e, 1).collect()} == {tuple(r) for r in e.collect()}
+    assert network.uniform_random_graph(e.limit(0), 1).count() == 0
+
+
+def test_tiles_equal_dense_matrices(spark, monkeypatch):
+    """Samples of up to 2,048 genes from 3,000, several heads; and small holds, so that tasks send a tile several times."""
+    monkeypatch.setattr(tiles, "HELD", 100_000)
+    rng = np.random.default_rng(1)
+    samples = [rng.choice(3000, n, replace=False).tolist() for n in (2048, 300, 300, 5, 1)] + [[], None]
+
+    def score(ids):
+        i = np.arange(len(ids))
+        w = ((31 * ids[:, None] + 17 * ids[None, :] + 7 * i[None, :]) % 97) / 97.0 - 0.5
+        w = np.stack([w, w * 0.5, -w])
+        w[1][(ids[:, None] % 5 == 0) & (ids[None, :] % 7 == 0)] = np.nan
+        return w
+
+    df = spark.createDataFrame([(x,) for x in samples], "input_ids array<int>").repartition(3)
+    for method, direction in (("max", "both"), ("max", "upper"), ("avg", "both")):
+        got = tiles.attention_tiles(df, score, method=method, direction=direction, floor=None).toPandas()
+        total, n = np.full((3000, 3000), -np.inf if method == "max" else 0.0), np.zeros((3000, 3000), int)
+        for x in samples:
+            if not x:
+                continue
+            ids = np.array(x)
+            w, at = score(ids) * len(x) / 2048, np.ix_(ids, ids)
+            if method == "avg":
+                total[at] += np.nanmean(w, axis=0)
+                n[at] += 1
+                continue
+            one = np.fmax.reduce(w, axis=0)
+            one = np.fmax(one, one.T) if direction == "both" else np.where(np.triu(np.ones_like(one)) > 0, one, -np.inf)
+            total[at] = np.maximum(total[at], np.maximum(one, one.T))
+            n[at] += 1
+        if method == "max":
+            total, n = np.where(np.triu(np.ones_like(total)) > 0, total, 0), np.triu(n)
+        src, dst = np.nonzero(n)
+        want = total[src, dst] if method == "max" else total[src, dst] / n[src, dst]
+        got = got.sort_values(["src", "dst"])
+        assert (got["src"].to_numpy() == src).all() and (got["dst"].to_numpy() == dst).all()
+        assert len(got) == len(src) and np.allclose(got["weight"].to_numpy(), want) and (got["n"].to_numpy() == n[src, dst]).all()
+
+
+def test_quantiles_of_one_large_group(spark):
+    rng = np.random.default_rng(2)
+    rows = [("big", float(v)) for v in np.round(rng.normal(size=5000), 2)] + [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    at = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: list(r.q) for r in statistics.exact_quantiles(df, ["k"], "v", at).collect()}
+    assert got.keys() == {"big", "one", "two"}
+    for k, q in got.items():
+        assert q == pytest.approx(np.quantile([v for x, v in rows if x == k], at).tolist())
+    assert list(statistics.exact_quantiles(df, [], "v", at).first().q) == pytest.approx(np.quantile([v for _, v in rows if v is not None], at).tolist())
+    assert statistics.exact_quantiles(df.limit(0), [], "v", at).count() == 0
+
+
+def test_binned_density_is_near_the_exact_one(spark):
+    v = np.random.default_rng(3).gamma(2.0, size=30_000)
+    df = spark.createDataFrame([("a", float(x)) for x in v] + [("b", float(x)) for x in v[:50]], "k string, v double")
+    exact = {(r.k, round(r.x, 6)): r.density for r in statistics.density(df, "k", "v", 20, fine=1e-9).collect()}
+    binned = {(r.k, round(r.x, 6)): r.density for r in statistics.density(df, "k", "v", 20).collect()}
+    assert exact.keys() == binned.keys() and max(abs(exact[k] - binned[k]) for k in exact) < 1e-6
+    assert all(exact[k] == pytest.approx(binned[k], abs=1e-12) for k in exact if k[0] == "b")

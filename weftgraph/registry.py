@@ -197,14 +197,17 @@ def missing_listed_genes(spark, d):
     return encoding.missing_genes(expr(spark, d).where("value > 70"), _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("gene_id")))
 
 
+SIZES = [1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10_000, 15_000, 20_000, 30_000, 40_000, 50_000]
+
+
 @query(f"""WITH {ENCODED}, num AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS row_no FROM encoded),
   draws AS (SELECT seed, draw_no, CAST('0x' || substr(md5(seed || '|' || draw_no), 1, 8) AS BIGINT) % (SELECT count(*) FROM encoded) AS row_no
-    FROM (SELECT range AS seed FROM range(3)), (SELECT range AS draw_no FROM range(500))),
-  tok AS (SELECT seed, draw_no, unnest(input_ids) AS token FROM draws JOIN num USING (row_no) JOIN encoded USING (sample_id)),
-  c AS (SELECT seed, n, count(DISTINCT token) AS tokens FROM tok, (SELECT unnest([50, 200, 500]) AS n) WHERE draw_no < n GROUP BY 1, 2)
+    FROM (SELECT range AS seed FROM range(10)), (SELECT range AS draw_no FROM range(50000))),
+  tok AS (SELECT seed, token, min(draw_no) AS draw_no FROM (SELECT seed, draw_no, unnest(input_ids) AS token FROM draws JOIN num USING (row_no) JOIN encoded USING (sample_id)) GROUP BY 1, 2),
+  c AS (SELECT seed, n, count(*) AS tokens FROM tok, (SELECT unnest({SIZES}) AS n) WHERE draw_no < n GROUP BY 1, 2)
   SELECT CAST(n AS INTEGER) AS n, round(avg(tokens), 6) AS mean_tokens, round(stddev_pop(tokens), 6) AS std_tokens FROM c GROUP BY 1""")
 def vocabulary_saturation(spark, d):
-    return encoding.saturation(encoded(spark, d), [50, 200, 500], 3).select("n", *_r("mean_tokens", "std_tokens"))
+    return encoding.saturation(encoded(spark, d), SIZES, 10).select("n", *_r("mean_tokens", "std_tokens"))
 
 
 @query(f"WITH {ENCODED} SELECT token, count(*) AS samples FROM (SELECT unnest(input_ids) AS token, sample_id FROM encoded) GROUP BY 1")
