@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), max_round
     null ends are left out; without edges the result is empty.
     """
     k = list(keys)
-    named = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(*k, "src", "dst")
+    # the input is read once; its nodes and its edges both come from this
+    named = checkpointed(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(*k, "src", "dst").distinct())
     nodes = named.select(*k, F.explode(F.array("src", "dst")).alias("node")).distinct()
     work = checkpointed(
         named.where("src != dst")

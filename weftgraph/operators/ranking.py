@@ -64,52 +64,89 @@ def normalized_area(points: DataFrame, x: str, y: str, keys: tuple = ()) -> Data
 
 
 def separated(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two weight lists in one ranking: labels 1 and 0, falling weight, positives first on ties, cumulative."""
+    """Two weight lists in one ranking: labels 1 and 0, falling weight, positives first on ties, cumulative.
+
+    Equal rows are counted first and numbered from their count, so that a weight which most rows have is ordered once."""
     both = a.select("weight").withColumn("label", F.lit(1)).unionByName(b.select("weight").withColumn("label", F.lit(0)))
-    return running(both, [F.desc("weight"), F.desc("label")], {"m": "label"})
+    by = both.groupBy("weight", "label").agg(F.count(F.lit(1)).alias("copies")).withColumn("positives", F.col("copies") * F.col("label"))
+    placed = running(by, [F.desc("weight"), F.desc("label")], {"last": "copies", "found": "positives"})
+    each = placed.select("weight", "label", "last", "found", "copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("i"))
+    back = F.col("copies") - F.col("i")  # rows of the same kind that come after
+    return each.select("weight", "label", (F.col("last") - back).alias("rank"), (F.col("found") - F.col("label") * back).alias("m"))
+
+
+def _tied(scores: DataFrame, score: str, label: str) -> DataFrame:
+    """(threshold, here, others, tp, fp, P, N) of each distinct score: positives and negatives at it and down to it; all."""
+    by = scores.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("here"), F.count(F.lit(1)).alias("c"))
+    by = by.select("threshold", "here", (F.col("c") - F.col("here")).alias("others"))
+    run = running(by, [F.desc("threshold")], {"tp": "here", "fp": "others"})
+    total = by.agg(F.sum("here").alias("P"), F.sum("others").alias("N")).where("P is not null")
+    return run.crossJoin(F.broadcast(total))  # one row
+
+
+def _roc(run: DataFrame, total: DataFrame, keys: tuple = ()) -> DataFrame:
+    """Points of run(keys, threshold, tp, fp, P, N) and the starts of total(keys, P, N)."""
+    zero = F.lit(0).cast("long")
+    start = total.select(*keys, F.lit(float("inf")).alias("threshold"), zero.alias("tp"), zero.alias("fp"), "P", "N")
+    points = run.select(*keys, F.col("threshold").cast("double").alias("threshold"), "tp", "fp", "P", "N").unionByName(start)
+    return points.select(*keys, "threshold", F.try_divide("tp", "P").alias("tpr"), F.try_divide("fp", "N").alias("fpr"), "tp", "fp")
+
+
+def _roc_of(tied: DataFrame) -> DataFrame:
+    return _roc(tied, tied.select("P", "N").distinct())
+
+
+def _auc_of(tied: DataFrame) -> DataFrame:
+    """By trapezoids: the point before has tp - here positives, so no row needs its neighbour."""
+    whole = tied.agg(F.sum(F.col("others") * (F.col("tp") - F.col("here") / 2)).alias("s"), F.max(F.col("P") * F.col("N")).alias("all"))
+    return whole.select(F.coalesce(F.try_divide("s", "all"), F.lit(0.0)).cast("double").alias("area"))
+
+
+def _pr_of(tied: DataFrame) -> DataFrame:
+    points = tied.select(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", "P").alias("recall"), F.col("threshold").cast("double").alias("threshold"))
+    end = tied.sparkSession.range(1).select(F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), F.lit(None).cast("double").alias("threshold"))
+    return points.unionByName(end)
+
+
+def _pr_area_of(tied: DataFrame) -> DataFrame:
+    tp, fp = F.col("tp") - F.col("here"), F.col("fp") - F.col("others")  # at the threshold before
+    last = F.when(tp + fp > 0, F.try_divide(tp, tp + fp)).otherwise(1.0)
+    step = F.try_divide("here", "P") * (F.col("tp") / (F.col("tp") + F.col("fp")) + last) / 2
+    return tied.agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("area"))
 
 
 def roc_tied(scores: DataFrame, score: str = "score", label: str = "label", keys: tuple = ()) -> DataFrame:
     """(keys, threshold, tpr, fpr, tp, fp): one point a distinct score and the start (0, 0) with an infinite threshold."""
+    if not keys:
+        return _roc_of(_tied(scores, score, label))
     by = scores.groupBy(*keys, F.col(score).alias("threshold")).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("c"))
     by = by.select(*keys, "threshold", "p", (F.col("c") - F.col("p")).alias("q"))
     total = by.groupBy(*keys).agg(F.sum("p").alias("P"), F.sum("q").alias("N"))
-    if keys:
-        w = _over(keys, F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-        run = by.select(*keys, "threshold", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp")).join(total, list(keys))
-    else:
-        total = total.where("P is not null")
-        run = running(by, [F.desc("threshold")], {"tp": "p", "fp": "q"}).select("threshold", "tp", "fp").crossJoin(F.broadcast(total))
-    start = total.select(
-        *keys, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "P", "N")
-    points = run.withColumn("threshold", F.col("threshold").cast("double")).unionByName(start)
-    return points.select(*keys, "threshold", F.try_divide("tp", "P").alias("tpr"), F.try_divide("fp", "N").alias("fpr"), "tp", "fp")
+    w = _over(keys, F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    run = by.select(*keys, "threshold", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp")).join(total, list(keys))
+    return _roc(run, total, keys)
 
 
 def auc_tied(scores: DataFrame, score: str = "score", label: str = "label", keys: tuple = ()) -> DataFrame:
+    if not keys:
+        return _auc_of(_tied(scores, score, label))
     return area(roc_tied(scores, score, label, keys), "fpr", "tpr", [F.desc("threshold")], keys)
 
 
 def pr_tied(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """(precision, recall, threshold): a point a distinct threshold and the end (1, 0)."""
-    r = roc_tied(scores, score, label).where("threshold < double('infinity')")
-    points = r.select(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.col("tpr").alias("recall"), "threshold")
-    end = scores.sparkSession.range(1).select(F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), F.lit(None).cast("double").alias("threshold"))
-    return points.unionByName(end)
+    return _pr_of(_tied(scores, score, label))
 
 
 def pr_area_tied(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """(area) under pr_tied, by trapezoids from the highest recall to the end point."""
-    points = pr_tied(scores, score, label)
-    return area(points, "recall", "precision", [F.asc_nulls_last("threshold")]).select((-F.col("area")).alias("area"))
+    return _pr_area_of(_tied(scores, score, label))
 
 
 def ml_metrics(scores: DataFrame, score: str = "score", label: str = "label", name: str = "Name") -> dict[str, DataFrame]:
     """Bundle: ROC and its area, precision and recall for every N with those of a random ranking."""
-    return {
-        "roc": roc_tied(scores, score, label), "auc": auc_tied(scores, score, label),
-        "at": with_baselines(scores, [F.desc(score), name], label),
-    }
+    tied = _tied(scores, score, label)
+    return {"roc": _roc_of(tied), "auc": _auc_of(tied), "at": with_baselines(scores, [F.desc(score), name], label)}
 
 
 def precision_recall_at(ranking: DataFrame, order: list, label: str = "label", keys: tuple = ()) -> DataFrame:
@@ -128,17 +165,26 @@ def with_baselines(ranking: DataFrame, order: list, label: str = "label") -> Dat
 
 
 def top_hits(ranking: DataFrame, order: list, top: int, label: str = "label", keys: tuple = ()) -> DataFrame:
-    return cumulative(ranking, order, label, keys).where(F.col("rank") <= top).select(*keys, F.col("rank").alias("top"), F.col("m").alias("hits"))
+    """(keys, top, hits): positives among the first 1 .. top rows; without keys only those rows are ranked."""
+    if keys:
+        c = cumulative(ranking, order, label, keys).where(F.col("rank") <= top)
+    else:
+        w = Window.orderBy(*order)
+        first = ranking.orderBy(*order).limit(top)
+        c = first.withColumns({"rank": F.row_number().over(w).cast("long"), "m": F.sum(label).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return c.select(*keys, F.col("rank").alias("top"), F.col("m").alias("hits"))
 
 
 def evaluate(scores: DataFrame, positives: DataFrame, top: int = 100, invert: bool = False) -> dict[str, DataFrame]:
-    """Bundle: scores with labels, ROC, PR, hits. scores(Name, Score); positives(Name, Positive)."""
+    """Bundle: scores with labels, ROC, PR, hits; scores are counted and ordered once for all. scores(Name, Score);
+    positives(Name, Positive)."""
     s = F.expr("try_cast(Score as double)")
     joined = scores.join(positives, "Name").select("Name", s.alias("Score"), "Positive").where("Score is not null")
     used = joined.withColumn("score", -F.col("Score") if invert else F.col("Score"))
+    tied = _tied(used, "score", "Positive")
     return {
-        "scores": joined, "roc": roc_tied(used, "score", "Positive"), "auc": auc_tied(used, "score", "Positive"),
-        "pr": pr_tied(used, "score", "Positive"), "pr_area": pr_area_tied(used, "score", "Positive"), "hits": top_hits(used, [F.desc("score"), "Name"], top, "Positive"),
+        "scores": joined, "roc": _roc_of(tied), "auc": _auc_of(tied), "pr": _pr_of(tied), "pr_area": _pr_area_of(tied),
+        "hits": top_hits(used, [F.desc("score"), "Name"], top, "Positive"),
     }
 
 
