@@ -369,3 +369,33 @@ def test_binned_density_is_near_the_exact_one(spark):
     binned = {(r.k, round(r.x, 6)): r.density for r in statistics.density(df, "k", "v", 20).collect()}
     assert exact.keys() == binned.keys() and max(abs(exact[k] - binned[k]) for k in exact) < 1e-6
     assert all(exact[k] == pytest.approx(binned[k], abs=1e-12) for k in exact if k[0] == "b")
+
+
+def test_cosine_blocks_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "BLOCK", 40)
+    x = np.random.default_rng(4).normal(size=(150, 40)) * np.linspace(3, 0.1, 40)
+    x[7] = 0
+    rows = [(int(i) * 3, v.tolist()) for i, v in enumerate(x)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    unit = x / np.where(np.linalg.norm(x, axis=1) > 0, np.linalg.norm(x, axis=1), np.nan)[:, None]
+    w = unit @ unit.T
+    for least in (None, 0.4, 0.9, 1.1):
+        got = {(r.src, r.dst): r.weight for r in tiles.cosine_pairs_above(df, "id", "v", least).collect()}
+        want = {(3 * i, 3 * j): w[i, j] for i in range(150) for j in range(i + 1, 150) if (w[i, j] > least if least else w[i, j] == w[i, j])}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_a_bucketed_store_is_not_shuffled_again(spark, tmp_path):
+    e = _edges(spark, [(f"a{i}", f"b{i % 7}") for i in range(50)])
+    store = tables.store_pair_weights(e.withColumn("weight", F.lit(1.0)), "weights_of_a_test", f"{tmp_path}/w", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = network.weighted(e, store)
+        assert joined.count() == 50
+        plan = joined._jdf.queryExecution().sparkPlan().toString() + joined._jdf.queryExecution().executedPlan().toString()
+        side = plan[plan.index("AdaptiveSparkPlan"):]
+        assert side.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in side
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE weights_of_a_test")

@@ -74,12 +74,7 @@ W1 = """w1 AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, round(av
 
 
 def g2(spark, d):
-    return checkpointed(_cosine(spark, d).where("weight > 0.25"))
-
-
-def _cosine(spark, d):
-    v = _t(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id"), "embedding")
-    return pairs.cosine_pairs(v.withColumn("run", F.lit(0)), ["run"], "vec_id", "embedding", blocks=8).select("src", "dst", "weight")
+    return checkpointed(tiles.cosine_pairs_above(_t(spark, d, "embeddings"), "vec_id", "embedding", 0.25))
 
 
 _DOTS = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -273,7 +268,13 @@ def attention_avg_aggregation(spark, d):
 
 @query(f"WITH {_DOTS} SELECT src, dst, round(weight, 6) AS weight FROM cosine")
 def pairwise_cosine(spark, d):
-    return _cosine(spark, d).select("src", "dst", *_r("weight"))
+    return tiles.cosine_pairs_above(_t(spark, d, "embeddings"), "vec_id", "embedding").select("src", "dst", *_r("weight"))
+
+
+@query(f"WITH {G2} SELECT src, dst, round(weight, 6) AS weight FROM g2")
+def cosine_graph(spark, d):
+    """Pairs of embeddings whose cosine is above 0.25."""
+    return g2(spark, d).select("src", "dst", *_r("weight"))
 
 
 _HID = f"""{_DOTS.split('cosine AS')[0]} hid AS (SELECT vec_id % 50 AS sample_id, vec_id // 50 AS gene_id, e FROM v),

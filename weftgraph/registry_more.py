@@ -101,6 +101,14 @@ def pair_weight_files(spark, d):
     return tables.read_pair_weights(spark, path).where("model = 'm' and method = 'avg'").select("layer", "src", "dst", "weight", "n")
 
 
+@query(f"WITH {G1}, {W1} SELECT g1.src, g1.dst, weight FROM g1 JOIN w1 USING (src, dst)")
+def bucketed_weights_network(spark, d):
+    """A network's weights from a store bucketed by pair, dropped from the catalogue by its own name only."""
+    name = f"weights_{uuid.uuid4().hex}"
+    store = tables.store_pair_weights(weights1(spark, d), name, _path(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return network.weighted(g1(spark, d), store)
+
+
 def _layers(spark, d):
     li = _t(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("layer"), F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
     return li.agg(F.round(F.avg("l_discount"), 6).alias("weight"), F.count(F.lit(1)).alias("n"))
@@ -303,20 +311,33 @@ cls AS (SELECT 's' || s_suppkey AS dst, 'n' || s_nationkey AS disease, s_nationk
 v AS (SELECT disease, in_class, w0, w1 FROM pr JOIN cls USING (dst))"""
 
 
-@query(f"""WITH {_SHIFT}, x AS (SELECT disease, in_class, round(w0, 6) AS value, 1 AS a, 0 AS b FROM v UNION ALL SELECT disease, in_class, round(w1, 6), 0, 1 FROM v),
+_EMD = """x AS (SELECT disease, in_class, round(w0, 6) AS value, 1 AS a, 0 AS b FROM v UNION ALL SELECT disease, in_class, round(w1, 6), 0, 1 FROM v),
   t AS (SELECT disease, in_class, value, sum(a) AS a, sum(b) AS b FROM x GROUP BY 1, 2, 3),
   c AS (SELECT disease, in_class, abs(sum(a) OVER w / sum(a) OVER k - sum(b) OVER w / sum(b) OVER k) * (lead(value) OVER (PARTITION BY disease ORDER BY value) - value) AS part
     FROM t WINDOW k AS (PARTITION BY disease), w AS (PARTITION BY disease ORDER BY value ROWS UNBOUNDED PRECEDING)),
   m AS (SELECT disease, median(value) FILTER (a = 1) AS ma, median(value) FILTER (b = 1) AS mb FROM x GROUP BY 1),
-  e AS (SELECT disease, in_class, sum(part) * sign(mb - ma) AS emd FROM c JOIN m USING (disease) GROUP BY disease, in_class, ma, mb)
-  SELECT in_class, round(quantile_cont(emd, 0.25), 6) AS q1, round(quantile_cont(emd, 0.5), 6) AS median, round(quantile_cont(emd, 0.75), 6) AS q3, round(quantile_cont(emd, 0.75) - quantile_cont(emd, 0.25), 6) AS iqr FROM e GROUP BY 1""")
+  e AS (SELECT disease, in_class, sum(part) * sign(mb - ma) AS emd FROM c JOIN m USING (disease) GROUP BY disease, in_class, ma, mb)"""
+
+
+@query(f"WITH {_SHIFT}, {_EMD}" + """ SELECT in_class, round(quantile_cont(emd, 0.25), 6) AS q1, round(quantile_cont(emd, 0.5), 6) AS median, round(quantile_cont(emd, 0.75), 6) AS q3, round(quantile_cont(emd, 0.75) - quantile_cont(emd, 0.25), 6) AS iqr FROM e GROUP BY 1""")
 def shift_quartiles_by_class(spark, d):
     """Discounts against taxes of each nation's suppliers, by whether the nation's number is even."""
+    return _shift_report(spark, d)[1].select("in_class", *_r("q1", "median", "q3", "iqr"))
+
+
+@query(f"WITH {_SHIFT}, {_EMD}" + """, placed AS (SELECT in_class, least(CAST(floor((emd + 0.1) / (0.2 / 19)) AS INTEGER) + 1, 19) AS bin FROM e WHERE emd BETWEEN -0.1 AND 0.1),
+  size AS (SELECT in_class, count(*) AS n FROM placed GROUP BY 1), found AS (SELECT in_class, bin, count(*) AS k FROM placed GROUP BY 1, 2)
+  SELECT size.in_class, CAST(range AS INTEGER) AS bin, round(coalesce(k, 0) / (n * (0.2 / 19)), 6) AS density FROM size CROSS JOIN range(1, 20) LEFT JOIN found ON found.in_class = size.in_class AND found.bin = range""")
+def shift_histogram_by_class(spark, d):
+    return _shift_report(spark, d)[0].select("in_class", "bin", *_r("density"))
+
+
+def _shift_report(spark, d):
     rows = _t(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.round(F.avg("l_discount"), 6).alias("w0"), F.round(F.avg("l_tax"), 6).alias("w1"))
     v = rows.join(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").withColumn("disease", F.concat(F.lit("n"), "s_nationkey"))
     shifts = statistics.signed_emd(v.select("disease", F.col("w0").alias("value")), v.select("disease", F.col("w1").alias("value")), ("disease",))
     classes = v.select("disease", (F.col("s_nationkey") % 2 == 0).alias("in_class")).distinct()
-    return pipelines.shift_report(shifts, classes, -1.0, 1.0)[1].select("in_class", *_r("q1", "median", "q3", "iqr"))
+    return pipelines.shift_report(shifts, classes, -0.1, 0.1)
 
 
 @query(f"""WITH RECURSIVE {G1}, {W1}, net AS (SELECT 'plain' AS network, src, dst, CAST(1 AS DOUBLE) AS w FROM g1 UNION ALL SELECT 'weighted', src, dst, weight FROM g1 JOIN w1 USING (src, dst) WHERE weight > 0),

@@ -72,6 +72,15 @@ def read_pair_weights(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMAS["pair_weights"]).parquet(path)
 
 
+def store_pair_weights(weights: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """weights(src, dst, ...) as a table of the catalogue, its files at path, bucketed and sorted by (src, dst).
+
+    What joins it on both columns is dealt to its buckets; the table itself isn't shuffled again."""
+    spread = weights.repartition(buckets, "src", "dst")
+    spread.write.mode("overwrite").option("path", path).bucketBy(buckets, "src", "dst").sortBy("src", "dst").saveAsTable(name)
+    return weights.sparkSession.table(name)
+
+
 def cached_table(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """The table at path; computed and written first if there is none."""
     try:
