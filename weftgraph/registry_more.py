@@ -103,7 +103,7 @@ def pair_weight_files(spark, d):
 
 @query(f"WITH {G1}, {W1} SELECT g1.src, g1.dst, weight FROM g1 JOIN w1 USING (src, dst)")
 def bucketed_weights_network(spark, d):
-    """A network's weights from a store bucketed by pair, dropped from the catalogue by its own name only."""
+    """A network's weights from a store bucketed by pair, under a name of its own in the catalogue."""
     name = f"weights_{uuid.uuid4().hex}"
     store = tables.store_pair_weights(weights1(spark, d), name, _path(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
     return network.weighted(g1(spark, d), store)
