@@ -63,9 +63,27 @@ def _harmless(rng: random.Random) -> tuple[str, str]:
     ))
 
 
-def item(rng: random.Random) -> tuple[str | None, str, str]:
+def _unseen(rng: random.Random, kind: str) -> tuple[str, str]:
+    """Forms that no example for fitting has; some are beyond every candidate generator."""
+    lead = rng.choice(_LEADS[kind]) if kind in _LEADS else ""
+    if kind == "email":
+        user, host, end = rng.choice(_NAMES) + rng.choice(_NAMES), rng.choice(_HOSTS), rng.choice(_ENDS)
+        return lead, rng.choice((f"{user}@{host},{end}", f"{user} [at] {host} [dot] {end}", f"{user}(at){host}(dot){end}", f"{user} at {host} dot co dot {end}"))
+    if kind == "phone":
+        a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
+        return lead, rng.choice((f"({a}){b}{c}", f"{a} {b}-{c}", f"00{a} {b} {c}", f"{a}/{b}-{c}"))
+    if kind == "card":
+        return lead, _grouped(_card(rng, True), rng.choice(("- ", "./", "--", "_")))
+    if kind == "ip":
+        a, b, c, d = (rng.randrange(256) for _ in range(4))
+        return lead, rng.choice((f"{a}[.]{b}[.]{c}(.){d}", f"{a}.{b}.{c}[.]{d}", f"fe80::{a:x}:{b:x}:{c:x}:{d:x}", f"{a} . {b} . {c} . {d}"))
+    value = rng.choice((f"sk-{rng.getrandbits(120):030x}", f"{rng.getrandbits(64):016X}", base64.urlsafe_b64encode(rng.randbytes(30)).decode()))
+    return f"{rng.choice(('client_secret', 'passwd', 'Authorization'))}{rng.choice((':', ' := ', '='))}", value
+
+
+def item(rng: random.Random, unseen: bool = False) -> tuple[str | None, str, str]:
     """A made-up item of personal data or a secret, or (kind None) a harmless look-alike."""
     if rng.random() < 0.5:
         return None, *_harmless(rng)
     kind = rng.choice((*_LEADS, "secret"))
-    return kind, *_personal(rng, kind)
+    return kind, *(_unseen if unseen else _personal)(rng, kind)
