@@ -1,8 +1,10 @@
 """The corpus pipeline against a plain version of each stage, on the smallest tables."""
 
 import base64
+import collections
 import hashlib
 import itertools
+import random
 import re
 import string
 
@@ -100,3 +102,32 @@ def test_stages_keep_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, odd, SF)
         assert out.columns == list(corpus_pipeline.COLUMNS) and out.count() == 5
+
+
+def test_stages_on_repeats_long_texts_and_clashing_columns(spark):
+    rng = random.Random(5)
+    a, b, c = (" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(90)) for _ in range(3))
+    long = " ".join(f"wörd{i % 977} x{i}" for i in range(30_000))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 80").first().text
+    rows = [
+        (1, a), (1, a), (1, b), (2, a + " more"), (3, None), (4, ""), (5, long), (6, long), (None, c), (None, c), (7, c),
+        (8, f"{item} {b[:200]}"), (8, "mail a.b@c.org now"), (9, " \t"),
+    ]
+    clash = "key string, node long, first long, n long, id long, sha string, hit_words string, component_id long, digest long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, *[None] * 9) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {clash}")
+
+    def texts(frame):
+        assert frame.columns == list(corpus_pipeline.COLUMNS)
+        return sorted(((r.doc_id, r.text) for r in frame.collect()), key=repr)
+
+    stages = dict(corpus_pipeline.STAGES)
+    assert texts(stages["toxicity"](spark, docs, SF)) == sorted(rows, key=repr)
+    gone = [(1, a), (2, a + " more"), (6, long)]
+    assert texts(stages["near_duplicates"](spark, docs, SF)) == sorted((collections.Counter(rows) - collections.Counter(gone)).elements(), key=repr)
+    assert texts(stages["decontaminate"](spark, docs, SF)) == sorted((r for r in rows if item not in (r[1] or "")), key=repr)
+    assert texts(stages["redact"](spark, docs, SF)) == sorted(((i, t and t.replace("a.b@c.org", "[EMAIL]")) for i, t in rows), key=repr)
+    out = stages["tokens"](spark, docs, SF).collect()
+    digest = collections.Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    assert collections.Counter((r.doc_id, r.decoded_sha256) for r in out) == digest
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
