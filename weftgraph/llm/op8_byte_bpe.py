@@ -23,6 +23,7 @@ from weftgraph.llm.common import table
 from weftgraph.llm.spans_cache import Encoded
 
 PAIRS_KEPT = 200_000
+WORDS_KEPT = 200_000  # in each of two generations: a worker has 250 MB, beside what earlier stages of a pipeline left in it
 _workers: dict[tuple[str, str], "ByteBpe"] = {}
 
 
@@ -39,7 +40,7 @@ class ByteBpe:
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.shorter: dict[int, int | None] = {}
         self.together: dict[tuple[int, int], bool] = {}
-        self.encoded = Encoded(self._after, self._alone)
+        self.encoded = Encoded(self._after, self._alone, WORDS_KEPT)
         sizes = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
         self.starts = np.concatenate(([0], np.cumsum(sizes)))
         self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(sizes))), np.uint8)

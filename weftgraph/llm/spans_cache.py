@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-KEPT = 400_000  # stretches of up to LONG characters in each of two generations: about 130 MB together
+KEPT = 400_000  # stretches of up to LONG characters in each of two generations, unless told otherwise: a worker then has 350 MB
 LONG = 64  # longer ones are not kept
 _ODD = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
@@ -39,11 +39,11 @@ def parts(text: str) -> list[str]:
 class _Kept(dict):
     """The latest generation of what was encoded; the one before it is older."""
 
-    def __init__(self):
-        self.older: dict[str, bytes] = {}
+    def __init__(self, most: int):
+        self.most, self.older = most, {}
 
     def turn(self) -> None:
-        if len(self) > KEPT:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
 
@@ -67,16 +67,16 @@ class Encoded:
     """Bytes for each text by way of its stretches.
 
     ``after`` gets lists of words of letters and gives their bytes when a space stands before them; ``alone`` gets
-    lists of other texts and gives the bytes of each by itself.
+    lists of other texts and gives the bytes of each by itself. A generation has ``kept`` stretches, about.
     """
 
-    def __init__(self, after: Callable[[list[str]], list[bytes]], alone: Callable[[list[str]], list[bytes]]):
-        self.after, self.alone = after, alone
-        self.known, self.bare = _Kept(), _Kept()  # keys of known have a space before them
+    def __init__(self, after: Callable[[list[str]], list[bytes]], alone: Callable[[list[str]], list[bytes]], kept: int = KEPT):
+        self.after, self.alone, self.kept = after, alone, kept
+        self.clear()
 
     def clear(self) -> None:
         """Forget all: at the end of a task, so that a worker's memory is free for whatever comes next."""
-        self.known, self.bare = _Kept(), _Kept()
+        self.known, self.bare = _Kept(self.kept), _Kept(self.kept)  # keys of known have a space before them
 
     def _learn(self, new: set[str]) -> None:
         """Have a value in known for each of new."""
