@@ -153,6 +153,17 @@ def test_variable_length_coding():
         assert op4.unpack(*op4.pack(r[:n]), n).tolist() == r[:n].tolist()
 
 
+def test_what_is_kept_of_words_changes_no_ids():
+    from weftgraph.llm.spans_cache import Encoded
+
+    bpe = op8.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("ab!") * rng.randint(1, 70) + rng.choice(["", "ing", ", ", "\n"]) for _ in range(40)) for _ in range(600)]
+    few, many = (Encoded(bpe._after, bpe._alone, kept) for kept in (5, 1 << 20))
+    assert few(texts) == many(texts)
+    assert len(few.known.older) < len(many.known)
+
+
 def test_bpe_equals_the_library(docs):
     import base64
 

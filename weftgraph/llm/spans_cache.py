@@ -104,7 +104,7 @@ class Encoded:
         bare.learn({p for p in rest if p not in bare}, self.alone)
         for s, pieces in cut:
             known[s] = b"".join([known[p[1:]] if p[0] == " " and p[1:] in words else bare[p] for p in pieces])
-        known.forget(words)
+        known.forget(words - new)  # the caller still looks up new ones
         bare.forget(rest)
 
     def _heads(self, heads: list[str]) -> list[bytes]:
