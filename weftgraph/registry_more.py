@@ -260,9 +260,15 @@ def evaluation_bundle(spark, d):
     return one.crossJoin(got["hits"].agg(F.max("hits").alias("hits"))).crossJoin(total)
 
 
-@query(f"""WITH {R1} SELECT round(m / rank, 6) AS precision, round(m / p, 6) AS recall, round(p / n, 6) AS base_precision, rank AS top FROM cum""")
+@query(f"""WITH {R1}, {_AREA.replace("score2", "score")}
+  SELECT rank AS top, round(m / rank, 6) AS precision, round(m / p, 6) AS recall, round(p / n, 6) AS base_precision, round(p * rank / (n * n), 6) AS base_recall,
+    (SELECT round(auroc, 6) FROM auc) AS auroc, (SELECT count(*) FROM roc) AS roc_points, (SELECT round(sum(re + fpr), 6) FROM roc) AS roc_sum FROM cum""")
 def metric_bundle(spark, d):
-    return ranking.ml_metrics(ranking1(spark, d))["at"].select("top", *_r("precision", "recall", "base_precision"))
+    """Precision and recall at every N, beside the area, the number of points and the sum of the rates of the ROC."""
+    got = ranking.ml_metrics(ranking1(spark, d))
+    roc = got["roc"].agg(F.count(F.lit(1)).alias("roc_points"), F.round(F.sum(F.col("tpr") + F.col("fpr")), 6).alias("roc_sum"))
+    one = got["auc"].select(F.round("area", 6).alias("auroc")).crossJoin(roc)  # one row
+    return got["at"].select("top", *_r("precision", "recall", "base_precision", "base_recall")).crossJoin(F.broadcast(one))
 
 
 @query(f"""WITH {R1}, c AS (SELECT toxic, row_number() OVER w AS rank, sum(label) OVER w / sum(label) OVER (PARTITION BY toxic) AS tpr FROM r1 WINDOW w AS (PARTITION BY toxic ORDER BY score DESC, "Name" ROWS UNBOUNDED PRECEDING))
