@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,8 +177,12 @@ def expression_pair_weights(spark, d):
     """Expression to pair weights, with a batch function in place of the model's forward pass."""
     def score(frames):
         for f in frames:
-            rows = [(s, a, b, i, j, 1.0 / (1 + i + 2 * j)) for s, ids in zip(f["sample_id"], f["input_ids"]) for i, a in enumerate(ids) for j, b in enumerate(ids)]
-            yield pd.DataFrame(rows, columns=["sample_id", "src", "dst", "pos_i", "pos_j", "weight"])
+            n = f["input_ids"].map(len).to_numpy(np.int64)
+            ids, start = np.concatenate([np.zeros(0, np.int32), *f["input_ids"]]), np.cumsum(n) - n
+            row = np.repeat(np.arange(len(n)), n * n)  # a cell for each ordered pair of positions
+            i, j = np.divmod(np.arange(len(row)) - (np.cumsum(n * n) - n * n)[row], n[row])
+            cells = {"sample_id": f["sample_id"].to_numpy()[row], "src": ids[start[row] + i], "dst": ids[start[row] + j]}
+            yield pd.DataFrame({**cells, "pos_i": i, "pos_j": j, "weight": 1.0 / (1 + i + 2 * j)})
 
     schema = "sample_id string, src int, dst int, pos_i int, pos_j int, weight double"
     return pipelines.expression_to_weights(expr(spark, d), vocab(spark, d), score, schema).select("src", "dst", F.round("weight", 9).alias("weight"), "n")
