@@ -350,6 +350,15 @@ def test_tiles_equal_dense_matrices(spark, monkeypatch):
         assert len(got) == len(src) and np.allclose(got["weight"].to_numpy(), want) and (got["n"].to_numpy() == n[src, dst]).all()
 
 
+def test_screen_of_an_empty_network(spark):
+    e = _edges(spark, [("a", "b")]).limit(0)
+    sets = [spark.createDataFrame([("x", "a")], f"{c} string, node string") for c in ("drug", "disease")]
+    bins = screening.degree_bins(network.degree(e).withColumnRenamed("degree", "value"), 2)
+    got = screening.screening(e, *sets, bins, 300)
+    assert got.columns == ["drug", "disease", "d", "mean", "std", "p", "z"] and got.count() == 0
+    assert distances.packed_table(e, bins.select("node", F.col("slot").alias("number")), 0)[0].count() == 0
+
+
 def test_quantiles_of_one_large_group(spark):
     rng = np.random.default_rng(2)
     rows = [("big", float(v)) for v in np.round(rng.normal(size=5000), 2)] + [("one", 3.0), ("two", 1.0), ("two", 2.0), ("none", None)]
