@@ -350,6 +350,29 @@ def test_tiles_equal_dense_matrices(spark, monkeypatch):
         assert len(got) == len(src) and np.allclose(got["weight"].to_numpy(), want) and (got["n"].to_numpy() == n[src, dst]).all()
 
 
+def test_samples_scored_together_and_cosines_by_blocks_of_genes(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "MANY", 30)  # samples of one length in several calls
+    monkeypatch.setattr(tiles, "SIDE", 8)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(rng.choice(40, n, replace=False).tolist(),) for n in (1, 3, 3, 3, 3, 5, 5)] + [(None,), ([],)], "input_ids array<int>").repartition(2)
+    one = lambda ids: ((31 * ids[..., :, None] + 17 * ids[..., None, :]) % 97)[..., None, :, :] / 97.0
+    for method in ("max", "avg"):
+        a, b = (sorted(map(tuple, tiles.attention_tiles(df, one, method=method, together=t).collect())) for t in (False, True))
+        assert a == b and a
+    x = rng.normal(size=(3, 30, 6))
+    x[1, 4] = 0
+    rows = [(s, g, x[s, g].tolist()) for s in range(3) for g in range(30) if (s, g) != (2, 9)] + [(0, 3, x[0, 3].tolist()), (0, 5, None)]
+    hidden = spark.createDataFrame(rows, "sample_id int, gene_id int, embedding array<double>").repartition(3)
+    unit = x / np.where(np.linalg.norm(x, axis=2) > 0, np.linalg.norm(x, axis=2), np.nan)[..., None]
+    w = np.einsum("sgd,shd->sgh", unit, unit)
+    w[2, 9] = w[2, :, 9] = np.nan
+    n = np.full((30, 30), 3) - (np.arange(30) == 9)[:, None] - (np.arange(30) == 9)[None, :]
+    for method, want in (("max", np.maximum(np.nanmax(w, axis=0), 0)), ("avg", np.nanmean(w, axis=0))):
+        got = {(r.src, r.dst): (r.weight, r.n) for r in tiles.embedding_tiles(hidden, method).collect()}
+        assert got.keys() == {(a, b) for a in range(30) for b in range(a + 1, 30)}
+        assert all(abs(v - want[k]) < 1e-12 and c == n[k] for k, (v, c) in got.items())
+
+
 def test_screen_of_an_empty_network(spark):
     e = _edges(spark, [("a", "b")]).limit(0)
     sets = [spark.createDataFrame([("x", "a")], f"{c} string, node string") for c in ("drug", "disease")]
