@@ -432,3 +432,17 @@ def test_a_bucketed_store_is_not_shuffled_again(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("DROP TABLE weights_of_a_test")
+
+
+@pytest.mark.parametrize("rows_of_a_task", [1_000_000, 2])
+def test_drug_labels_dealt_to_tasks(spark, monkeypatch, rows_of_a_task):
+    """Many drugs are dealt by count, which Spark doesn't merge into fewer tasks, with the same labels."""
+    from weftgraph.functions import iterate
+
+    monkeypatch.setattr(iterate, "TASK_ROWS", rows_of_a_task)
+    drugs = spark.createDataFrame([("x", "URGENT", 1), ("y", "low", 1), ("z", "low", 2), ("z", "low", 3), ("v", "low", 3)], "Name string, Indication string, Gene_Target long")
+    assert iterate.dealt(drugs, iterate.tasks_for(drugs), "Name").rdd.getNumPartitions() >= (1 if rows_of_a_task > 5 else 3)
+    assert dict(map(tuple, selection.labels_by_name(drugs, ["urgent"]).collect())) == {"x": 1, "z": 0, "v": 0}
+    ids = spark.createDataFrame([(1, "G1"), (3, "G3")], "symbol long, gene_id string")
+    got = selection.targets_mapped(drugs, drugs.select("Name", F.lit(1).alias("Positive")).distinct(), ids)
+    assert sorted(map(tuple, got.collect())) == [("v", "G3", 1), ("x", "G1", 1), ("y", "G1", 1), ("z", "G3", 1)]

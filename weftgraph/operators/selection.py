@@ -1,6 +1,7 @@
 """Selections of diseases, drugs and labels, and reproducible samples.
 
 gda(NewName, HGNC_Symbol, Strong, Weak, DescriptorName); drugs(Name, Status, organism, Indication, Gene_Target).
+``tasks``: to how many tasks the rows of drugs are dealt; counted if not given.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.iterate import running, seeded_order
+from weftgraph.functions.iterate import dealt, running, seeded_order, tasks_for
 
 
 def disease_rows(gda: DataFrame, name: str) -> DataFrame:
@@ -39,38 +40,42 @@ def drug_targets(drugs: DataFrame) -> DataFrame:
     return drugs.groupBy("Name").agg(F.array_sort(F.collect_set("Gene_Target")).alias("targets"))
 
 
-def _labelled(drugs: DataFrame, positive: DataFrame) -> DataFrame:
-    touched = drugs.join(positive, "Name", "left_semi").select("Gene_Target").distinct()
-    near = drugs.join(touched, "Gene_Target", "left_semi").select("Name").distinct()
-    negative = drugs.select("Name").distinct().join(positive, "Name", "left_anti").join(near, "Name", "left_anti")
+def _labelled(drugs: DataFrame, positive: DataFrame, tasks: int | None) -> DataFrame:
+    rows = drugs.select("Name", "Gene_Target")
+    touched = rows.join(positive, "Name", "left_semi").select("Gene_Target").distinct()
+    near = dealt(rows, tasks or tasks_for(rows), "Gene_Target").join(touched, "Gene_Target", "left_semi").select("Name").distinct()
+    negative = rows.select("Name").distinct().join(positive, "Name", "left_anti").join(near, "Name", "left_anti")
     return positive.withColumn("Positive", F.lit(1)).unionByName(negative.withColumn("Positive", F.lit(0)))
 
 
-def labels_by_name(drugs: DataFrame, patterns: list[str]) -> DataFrame:
+def labels_by_name(drugs: DataFrame, patterns: list[str], tasks: int | None = None) -> DataFrame:
     """(Name, Positive): 1 if any row's indication matches a pattern, whatever the case; 0 for drugs that share no
     target with those; other drugs are left out."""
     if not patterns:
         raise ValueError("no patterns")
     hit = F.col("Indication").rlike("(?i)" + "|".join(patterns))
-    return _labelled(drugs, drugs.where(hit).select("Name").distinct())
+    return _labelled(drugs, drugs.where(hit).select("Name").distinct(), tasks)
 
 
-def labels_by_first_row(drugs: DataFrame, text: str, row_no: str) -> DataFrame:
+def labels_by_first_row(drugs: DataFrame, text: str, row_no: str, tasks: int | None = None) -> DataFrame:
     """The same with the case-sensitive substring in the drug's first row."""
     first = drugs.groupBy("Name").agg(F.min_by("Indication", row_no).alias("first"))
-    return _labelled(drugs, first.where(F.col("first").contains(text)).select("Name"))
+    return _labelled(drugs, first.where(F.col("first").contains(text)).select("Name"), tasks)
 
 
-def screen_input(drugs: DataFrame, genes: DataFrame, nodes: DataFrame, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
+def screen_input(drugs: DataFrame, genes: DataFrame, nodes: DataFrame, patterns: list[str], tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(drug targets in the network with their label, disease genes in the network)."""
-    inside = drugs.join(nodes.withColumnRenamed("node", "Gene_Target"), "Gene_Target", "left_semi")
-    rows = inside.select("Name", "Gene_Target").distinct().join(labels_by_name(inside, patterns), "Name")
+    tasks = tasks or tasks_for(drugs)
+    inside = dealt(drugs, tasks, "Gene_Target").join(nodes.withColumnRenamed("node", "Gene_Target"), "Gene_Target", "left_semi")
+    inside = dealt(inside, tasks, "Name")
+    rows = inside.select("Name", "Gene_Target").distinct().join(labels_by_name(inside, patterns, tasks), "Name")
     return rows, genes.join(nodes, "node", "left_semi").distinct()
 
 
-def targets_mapped(drugs: DataFrame, labels: DataFrame, id_map: DataFrame) -> DataFrame:
-    named = drugs.select("Name", "Gene_Target").distinct().join(id_map, F.col("Gene_Target") == id_map["symbol"])
-    return named.join(labels, "Name").select("Name", "gene_id", "Positive").distinct()
+def targets_mapped(drugs: DataFrame, labels: DataFrame, id_map: DataFrame, tasks: int | None = None) -> DataFrame:
+    tasks = tasks or tasks_for(drugs)
+    named = dealt(drugs.select("Name", "Gene_Target").distinct(), tasks, "Gene_Target").join(id_map, F.col("Gene_Target") == id_map["symbol"])
+    return dealt(named, tasks, "Name").join(labels, "Name").select("Name", "gene_id", "Positive").distinct()
 
 
 def clean_scores(scores: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from weftgraph.functions.iterate import checkpointed, shared_folder
 from weftgraph.operators import distances, encoding, network, pairs, ranking, screening, selection, statistics, walks
 from weftgraph.plans import pipelines
 from weftgraph.registry import (
-    ATTN, BOTH, DRUGS, ENCODED, EXPR, FUSED, G1, GDA, MOD, R1, VOCAB, W1, _brand, _module, _r, _t, associations, attention, drugs, encoded, expr, g1, query,
+    ATTN, BOTH, DRUGS, ENCODED, EXPR, FUSED, G1, GDA, MOD, R1, VOCAB, W1, _brand, _drug_tasks, _module, _r, _t, associations, attention, drugs, encoded, expr, g1, query,
     ranking1, vocab, weights1,
 )
 from weftgraph.sources import tables
@@ -220,7 +220,7 @@ def log_degree_bin_of_node(spark, d):
 def screen_input_rows(spark, d):
     nodes = _t(spark, d, "part").where("p_size <= 40").select(F.col("p_partkey").alias("node"))
     genes = _t(spark, d, "part").where("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("node"))
-    return selection.screen_input(selection.approved_human(drugs(spark, d)), genes, nodes, ["urgent"])[0].select("Name", "Gene_Target", "Positive")
+    return selection.screen_input(selection.approved_human(drugs(spark, d)), genes, nodes, ["urgent"], _drug_tasks(spark, d))[0].select("Name", "Gene_Target", "Positive")
 
 
 @query(f"""WITH {DRUGS}, lab AS (SELECT DISTINCT "Name", CASE WHEN "Status" = 'approved' THEN 1 ELSE 0 END AS "Positive" FROM drugs)
@@ -229,7 +229,7 @@ def targets_with_gene_ids(spark, d):
     dr = drugs(spark, d)
     labels = dr.select("Name", F.when(F.col("Status") == "approved", 1).otherwise(0).alias("Positive")).distinct()
     m = _t(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("symbol"), F.concat(F.lit("G"), "p_partkey").alias("gene_id"))
-    return selection.targets_mapped(dr, labels, m)
+    return selection.targets_mapped(dr, labels, m, _drug_tasks(spark, d))
 
 
 @query("""WITH h AS (SELECT rep, node, row_number() OVER (PARTITION BY rep ORDER BY md5(rep || '|' || node), node) <= (count(*) OVER (PARTITION BY rep)) // 5 AS tossed
