@@ -446,3 +446,17 @@ def test_drug_labels_dealt_to_tasks(spark, monkeypatch, rows_of_a_task):
     ids = spark.createDataFrame([(1, "G1"), (3, "G3")], "symbol long, gene_id string")
     got = selection.targets_mapped(drugs, drugs.select("Name", F.lit(1).alias("Positive")).distinct(), ids)
     assert sorted(map(tuple, got.collect())) == [("v", "G3", 1), ("x", "G1", 1), ("y", "G1", 1), ("z", "G3", 1)]
+
+
+def test_fusions_of_one_ranking_need_no_window_by_method(spark):
+    """Areas and hits equal those of the keyed form, and no window takes a whole method as its partition."""
+    rng = random.Random(3)
+    rows = [(f"n{i}", *[float(rng.randrange(9)) for _ in ranking.METHODS], int(rng.random() < 0.3)) for i in range(60)]
+    every = spark.createDataFrame(rows, ["Name", *ranking.METHODS, "label"]).withColumn("label", F.col("label").cast("int"))
+    fused, labels = every.drop("label"), every.select("Name", "label")
+    got = ranking.evaluate_fusions(fused, labels, 10)
+    keyed = ranking.evaluate_fusions(fused.withColumn("k", F.lit(1)), labels.withColumn("k", F.lit(1)), 10, ("k",))
+    rounded = lambda df: sorted((r["method"], round(r["auroc"], 12), r["hits"]) for r in df.collect())
+    assert rounded(got) == rounded(keyed)
+    windows = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "windowspecdefinition" in line]
+    assert windows and not any("windowspecdefinition(method" in line for line in windows)

@@ -13,7 +13,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.iterate import running
+from weftgraph.functions.iterate import checkpointed, running
 
 
 def _over(keys, *order):
@@ -222,6 +222,8 @@ def layer_summary(scores: DataFrame, label: str = "label") -> DataFrame:
 
 # Fusion of two score lists (Name, score).
 
+METHODS = ["borda", "dowdall", "average", "crank"]
+
 def _two(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("Name", F.col("score").alias("s1")).join(b.select("Name", F.col("score").alias("s2")), "Name")
 
@@ -271,8 +273,21 @@ def coverage(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def evaluate_fusions(fused: DataFrame, labels: DataFrame, top: int = 100, keys: tuple = ()) -> DataFrame:
-    """(keys, method, auroc, hits) of every fusion; average ranks ascend, the others descend. labels(keys, Name, label)."""
-    long = fused.unpivot([*keys, "Name"], ["borda", "dowdall", "average", "crank"], "method", "key")
+    """(keys, method, auroc, hits) of every fusion; average ranks ascend, the others descend. labels(keys, Name, label).
+
+    Without keys each method's ranking goes by range partitions, and no row of it needs its neighbour: a negative adds the
+    share of positives before it to the area."""
+    if not keys:
+        rows, each = checkpointed(fused.join(labels, "Name").select("Name", "label", *METHODS)), []
+        for method in METHODS:
+            score = -F.col(method) if method == "average" else F.col(method)
+            c = cumulative(rows.select("Name", "label", score.alias("score")), [F.desc("score"), "Name"])
+            before = F.sum(F.when(F.col("label") == 0, F.col("m")).otherwise(0))
+            one = c.agg(before.alias("s"), F.max("P").alias("P"), F.max("n").alias("n"), F.max(F.when(F.col("rank") <= top, F.col("m"))).alias("hits")).where("n > 0")
+            area_ = F.coalesce(F.try_divide(F.col("s").cast("double"), F.col("P").cast("double") * (F.col("n") - F.col("P"))), F.lit(0.0))
+            each.append(one.select(F.lit(method).alias("method"), area_.alias("auroc"), "hits"))
+        return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+    long = fused.unpivot([*keys, "Name"], METHODS, "method", "key")
     signed = long.withColumn("score", F.when(F.col("method") == "average", -F.col("key")).otherwise(F.col("key"))).join(labels, [*keys, "Name"])
     by = (*keys, "method")
     c = cumulative(signed, [F.desc("score"), "Name"], "label", by)
