@@ -382,7 +382,7 @@ def _networks(spark, d):
 
 def _detected(nets, spark, d):
     genes = _brand(spark, d)
-    return checkpointed(pipelines.module_detection(nets, genes, spark.range(1, 4).select(F.col("id").alias("rep")), keys=("network",), digits=6, tol=1e-14))
+    return checkpointed(pipelines.module_detection(checkpointed(nets), genes, spark.range(1, 4).select(F.col("id").alias("rep")), keys=("network",), digits=6, tol=1e-14))
 
 
 @query()
