@@ -1,6 +1,7 @@
 """op10_url_trust: propagation to its end, and ties through domains without pages."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import op10_url_trust as op10
@@ -35,3 +36,22 @@ def test_edges_to_domains_without_pages(spark):
     pages = spark.createDataFrame([("a.b.site.org", ""), ("site.org", ""), ("10.0.0.1", "")], "host string, html string")
     got = {(r.src, r.dst) for r in op10.host_edges(pages).where(F.col("src") < F.col("dst")).collect()}
     assert got == {("a.b.site.org", "b.site.org"), ("b.site.org", "site.org")}
+
+
+@pytest.mark.parametrize("edges_of_a_task", [100_000, 2])
+def test_rounds_on_a_small_graph_have_few_tasks(spark, monkeypatch, edges_of_a_task):
+    """Many session partitions, as on a cluster: the rounds' tasks follow the edges, and the scores are the same."""
+    monkeypatch.setattr(op10, "EDGES_OF_A_TASK", edges_of_a_task)
+    edges = spark.createDataFrame([(f"h{i}", f"h{(i * 3 + 1) % 7}", 1.0 + i) for i in range(7)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("h0", "t", 1.0), ("h3", "d", 2.0), ("h5", "d", 1.0)], "host string, kind string, seed double")
+    want = {(r.host, r.kind): r.score for r in op10.propagate(edges, seeds).collect()}
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "41"), spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rank = op10.propagate(edges, seeds)
+        assert rank.rdd.getNumPartitions() <= -(-7 // edges_of_a_task)
+        got = {(r.host, r.kind): r.score for r in rank.collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)

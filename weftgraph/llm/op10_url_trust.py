@@ -35,6 +35,7 @@ MAX_RULES = 1000
 DAMPING, THRESHOLD, SITE_WEIGHT = 0.85, 1.0, 0.5
 TOLERANCE = 1e-6  # relative change of any host's score in a round at which propagation ends
 _ROUNDS = 5  # between two looks at the change
+EDGES_OF_A_TASK = 100_000  # of the host graph; a round has as many tasks as that gives, not the session's partitions
 _HREF = r"""(?i)<a\s[^>]*href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -83,14 +84,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tol:
 
     seeds(host, kind, seed): seed masses, made to sum to 1 by kind. Mass of hosts without an edge to follow stays put.
     Rounds go on until no host's score changes by more than tol of itself, so every host that mass can reach has some.
+    A round has a task for each EDGES_OF_A_TASK edges: the files of a shuffle grow with the tasks on either side of it, and
+    with the session's partitions a small graph would leave more of them than its rows are.
     """
     ways = edges.select(F.col("src").alias("host"), "dst", "weight", F.lit("t").alias("kind")).unionByName(
         edges.select(F.col("dst").alias("host"), F.col("src").alias("dst"), "weight", F.lit("d").alias("kind"))
     )
     out = ways.groupBy("host", "kind").agg(F.sum("weight").alias("out"))
-    ways = checkpointed(ways.join(out, ["host", "kind"]).select("host", "kind", "dst", (F.col("weight") / F.col("out")).alias("share")))
+    tasks = max(1, -(-edges.count() // EDGES_OF_A_TASK))
+    ways = ways.join(out, ["host", "kind"]).select("host", "kind", "dst", (F.col("weight") / F.col("out")).alias("share"))
+    ways = checkpointed(ways.coalesce(tasks)).coalesce(tasks)
     total = seeds.groupBy("kind").agg(F.sum("seed").alias("all"))
-    start = checkpointed(seeds.join(F.broadcast(total), "kind").select("host", "kind", (F.col("seed") / F.col("all")).alias("seed")))
+    start = seeds.join(F.broadcast(total), "kind").select("host", "kind", (F.col("seed") / F.col("all")).alias("seed"))
+    start = checkpointed(start.coalesce(tasks)).coalesce(tasks)
     rank = start.withColumnRenamed("seed", "score")
     off = 1.0
     while off is not None and off > tol:
@@ -101,10 +107,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tol:
                 .select(F.coalesce("dst", "host").alias("host"), "kind", (F.col("score") * F.coalesce("share", F.lit(1.0)) * damping).alias("score"))
             )
             rank = (
-                moved.unionByName(start.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score")))
+                moved.unionByName(start.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score"))).coalesce(tasks)
                 .groupBy("host", "kind").agg(F.sum("score").alias("score"))
             )
-        both = checkpointed(rank.join(last.withColumnRenamed("score", "last"), ["host", "kind"], "left"))
+        both = checkpointed(rank.join(last.withColumnRenamed("score", "last"), ["host", "kind"], "left").coalesce(tasks)).coalesce(tasks)
         # what is next to 0 in a double has no relative change to speak of
         off = both.where("score > 1e-250").agg(F.max(F.abs(F.col("score") - F.coalesce("last", F.lit(0.0))) / F.col("score"))).first()[0]
         rank = both.select("host", "kind", "score")
