@@ -49,6 +49,11 @@ def rank_encode(normalized: DataFrame, max_length: int = MAX_LENGTH) -> DataFram
     return top.groupBy("sample_id").agg(ids.alias("input_ids")).withColumn("length", F.size("input_ids"))
 
 
+def encodable(expr: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(sample_id): the samples that ``rank_encode`` gives, those with a gene of the vocabulary; nothing is ranked."""
+    return expr.join(vocab, "gene_id", "left_semi").select("sample_id").distinct()
+
+
 def pad(encoded: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
     zeros = F.array_repeat(F.lit(0), F.greatest(F.lit(max_length) - F.size("input_ids"), F.lit(0)))
     return encoded.withColumn("input_ids", F.concat("input_ids", zeros))
@@ -67,7 +72,7 @@ def draw_samples(ids: DataFrame, n: int, seed: int) -> DataFrame:
 def _drawn(ids: DataFrame, draws: DataFrame, seed) -> DataFrame:
     """draws with the sample that each picks by a hash of seed and draw_no, whatever was picked before."""
     numbered = running(ids.select("sample_id"), [F.col("sample_id")], {}).withColumn("row_no", F.col("rank") - 1)
-    total = max(ids.count(), 1)
+    total = max(numbered.count(), 1)  # of what is checkpointed; ids may be long to compute
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", seed, "draw_no")), 1, 8), 16, 10).cast("long") % total
     return draws.withColumn("row_no", pick).join(numbered, "row_no")
 
