@@ -25,3 +25,19 @@ def test_draws_rank_nothing(spark):
     ids, seen = counted(got)
     # range partitions are sampled, then dealt; they are not computed again to be counted
     assert encoding.draw_samples(ids, 20, 7).count() == 20 and seen.value <= 6
+
+
+def test_saturation_computes_samples_once(spark):
+    rows = [(f"s{i:02}", [i % 5, 5 + i % 3, 40_000 + i]) for i in range(30)]
+    encoded, seen = counted(spark.createDataFrame(rows, "sample_id string, input_ids array<int>"))
+    got = {r.n: (r.mean_tokens, r.std_tokens) for r in encoding.saturation(encoded, [1, 4, 50], 3).collect()}
+    assert seen.value == 30
+    ids = encoded.select("sample_id")
+    tokens, sizes = dict(rows), {n: [] for n in (1, 4, 50)}
+    for seed in range(3):
+        draws = {r.draw_no: r.sample_id for r in encoding.draw_samples(ids, 50, seed).collect()}
+        for n in sizes:
+            sizes[n].append(len({t for k in range(n) for t in tokens[draws[k]]}))
+    for n, x in sizes.items():
+        mean = sum(x) / 3
+        assert abs(got[n][0] - mean) < 1e-9 and abs(got[n][1] - (sum((v - mean) ** 2 for v in x) / 3) ** 0.5) < 1e-9

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.iterate import running
+from weftgraph.functions.iterate import checkpointed, running
 from weftgraph.operators.statistics import exact_quantiles
 
 MAX_LENGTH = 2048
@@ -103,18 +103,17 @@ def distinct_tokens(encoded: DataFrame) -> DataFrame:
 def saturation(encoded: DataFrame, sizes: list[int], seeds: int) -> DataFrame:
     """(n, mean_tokens, std_tokens): distinct tokens in n samples drawn with replacement by seed, over the seeds.
 
-    The draws of a smaller size are the first ones of a larger size of the same seed. A sample's tokens are bitmaps, made
-    once; the draws between two sizes are or-ed to one bitmap a seed, and those up to a size again, so that no token of a
-    draw is a row. Tokens are numbers from 0."""
-    spark, steps = encoded.sparkSession, sorted(set(sizes))
+    The draws of a smaller size are the first ones of a larger size of the same seed, so a token counts from the first
+    draw that holds it: a number for each seed and token, combined before anything is sent. Only samples that are drawn
+    are looked into; encoded is computed once."""
+    spark, steps, encoded = encoded.sparkSession, sorted(set(sizes)), checkpointed(encoded.select("sample_id", "input_ids"))
     runs = spark.range(seeds).select(F.col("id").alias("seed"))
     draws = runs.crossJoin(F.broadcast(spark.range(steps[-1]).select(F.col("id").alias("draw_no"))))  # seeds * sizes rows
     first = _drawn(encoded, draws, F.col("seed")).groupBy("seed", "sample_id").agg(F.min("draw_no").alias("r"))
     until = F.coalesce(*[F.when(F.col("r") < n, F.lit(n)) for n in steps])  # the smallest size that the draw belongs to
-    tokens = encoded.select("sample_id", F.explode("input_ids").alias("token"))
-    held = tokens.groupBy("sample_id", F.bitmap_bucket_number("token").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("token")).alias("bits"))
-    between = held.join(first.withColumn("until", until), "sample_id").groupBy("seed", "until", "part").agg(F.bitmap_or_agg("bits").alias("bits"))
+    tokens = encoded.join(first, "sample_id").select("seed", "r", F.explode("input_ids").alias("token"))
+    seen = tokens.groupBy("seed", "token").agg(F.min("r").alias("r"))
+    between = seen.groupBy("seed", until.alias("until")).agg(F.count("token").alias("tokens"))
     grid = spark.createDataFrame([(n,) for n in steps], "n int")
-    upto = between.join(F.broadcast(grid), F.col("until") <= F.col("n")).groupBy("seed", "n", "part").agg(F.bitmap_or_agg("bits").alias("bits"))
-    counts = upto.groupBy("seed", "n").agg(F.sum(F.bitmap_count("bits")).alias("tokens"))
+    counts = between.join(F.broadcast(grid), F.col("until") <= F.col("n")).groupBy("seed", "n").agg(F.sum("tokens").alias("tokens"))
     return counts.groupBy("n").agg(F.avg("tokens").alias("mean_tokens"), F.stddev_pop("tokens").alias("std_tokens"))
