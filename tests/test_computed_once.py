@@ -1,6 +1,8 @@
 """Encoded samples are computed once, draws need no ranking, and pairs are dealt by count."""
 
-from weftgraph.operators import encoding
+import pytest
+
+from weftgraph.operators import encoding, pairs
 
 
 def counted(rows):
@@ -41,3 +43,22 @@ def test_saturation_computes_samples_once(spark):
     for n, x in sizes.items():
         mean = sum(x) / 3
         assert abs(got[n][0] - mean) < 1e-9 and abs(got[n][1] - (sum((v - mean) ** 2 for v in x) / 3) ** 0.5) < 1e-9
+
+
+@pytest.mark.parametrize("rows_of_a_task", [1_000_000, 10])
+def test_pairs_are_dealt_by_count(spark, monkeypatch, rows_of_a_task):
+    monkeypatch.setattr(iterate, "TASK_ROWS", rows_of_a_task)
+    members = spark.createDataFrame([(f"s{i}", f"g{(i * j) % 11}") for i in range(12) for j in range(5)], "sample_id string, gene_id string")
+    out = pairs.cooccurrence(members)
+    sets = {}
+    for r in members.collect():
+        sets.setdefault(r.sample_id, set()).add(r.gene_id)
+    want = {}
+    for g in sets.values():
+        for a in g:
+            for b in g:
+                if a <= b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.src, r.dst): r.n for r in out.collect()} == want
+    if rows_of_a_task == 10:
+        assert out.rdd.getNumPartitions() >= sum(want.values()) / 10

@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.iterate import mirror
+from weftgraph.functions.iterate import checkpointed, dealt, mirror, tasks_for
 
 ATTENTION_LENGTH = 2048
 
 
 def cooccurrence(members: DataFrame, sample: str = "sample_id", item: str = "gene_id") -> DataFrame:
-    """(src, dst, n): samples that hold both, the diagonal included; members(sample, item)."""
-    lists = members.groupBy(sample).agg(F.array_sort(F.collect_set(item)).alias("items"))
+    """(src, dst, n): samples that hold both, the diagonal included; members(sample, item).
+
+    Pairs are dealt by count before they are counted, so that no task holds more than its share of them; few are equal
+    within a task, so little would be gained by counting there first."""
+    lists = checkpointed(members.groupBy(sample).agg(F.array_sort(F.collect_set(item)).alias("items")))
+    size = F.size("items").cast("long")
+    tasks = tasks_for(lists, F.floor(size * (size + 1) / 2))
     rest = lists.select(F.posexplode("items").alias("i", "src"), "items")
     pairs = rest.select("src", F.explode(F.slice("items", F.col("i") + 1, F.size("items"))).alias("dst"))
-    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return dealt(pairs, tasks, "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dealt_samples(encoded: DataFrame) -> DataFrame:
+    """Encoded samples, computed once and dealt so that a task meets about TASK_ROWS pairs of positions."""
+    kept = checkpointed(encoded)
+    length = F.size("input_ids").cast("long")
+    return dealt(kept, tasks_for(kept, length * length), "sample_id")
 
 
 def prune_heads(attn: DataFrame, heads: DataFrame) -> DataFrame:
@@ -29,12 +41,16 @@ def by_length(attn: DataFrame, lengths: DataFrame) -> DataFrame:
     return attn.join(lengths.select("sample_id", "length"), "sample_id").withColumn("weight", scaled).drop("length")
 
 
-def attention_max(attn: DataFrame, direction: str = "both", floor: float | None = 0.0) -> DataFrame:
-    """(src, dst, weight, n): largest weight over samples, heads and, for ``both``, directions; attn(sample_id, src, dst, weight, pos_i, pos_j)."""
+def attention_max(attn: DataFrame, direction: str = "both", floor: float | None = 0.0, lengths: DataFrame | None = None) -> DataFrame:
+    """(src, dst, weight, n): largest weight over samples, heads and, for ``both``, directions; attn(sample_id, src, dst, weight, pos_i, pos_j).
+
+    With lengths(sample_id, length > 0), a row a sample, the result is that of ``by_length``: a sample's largest weight is
+    scaled instead of each of its rows."""
     rows = attn if direction == "both" else attn.where("pos_i <= pos_j")
     top = F.max("weight") if floor is None else F.greatest(F.max("weight"), F.lit(floor))
     # one row a sample and pair first, so that samples are counted without a distinct count
     each = rows.groupBy("sample_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"))
+    each = each if lengths is None else by_length(each, lengths)
     return each.groupBy("src", "dst").agg(top.alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
