@@ -2,7 +2,9 @@
 
 import pytest
 
+from weftgraph.functions import iterate
 from weftgraph.operators import encoding, pairs
+from weftgraph.plans import pipelines
 
 
 def counted(rows):
@@ -62,3 +64,27 @@ def test_pairs_are_dealt_by_count(spark, monkeypatch, rows_of_a_task):
     assert {(r.src, r.dst): r.n for r in out.collect()} == want
     if rows_of_a_task == 10:
         assert out.rdd.getNumPartitions() >= sum(want.values()) / 10
+
+
+def test_lengths_scale_a_samples_largest_weight(spark, monkeypatch):
+    rows = [("s", 1, 2, 0.5, 0, 1), ("s", 2, 1, 0.75, 1, 0), ("s", 1, 1, None, 0, 0), ("t", 1, 2, 0.6, 0, 1), ("u", 1, 2, 0.9, 0, 1)]
+    attn = spark.createDataFrame(rows, "sample_id string, src int, dst int, weight double, pos_i int, pos_j int")
+    lengths = spark.createDataFrame([("s", 2048), ("t", 4096)], "sample_id string, length int")
+    for kind in ("both", "upper"):
+        got, want = pairs.attention_max(attn, kind, lengths=lengths), pairs.attention_max(pairs.by_length(attn, lengths), kind)
+        assert sorted(got.collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("rows_of_a_task", [1_000_000, 5])
+def test_expression_is_read_once(spark, monkeypatch, rows_of_a_task):
+    monkeypatch.setattr(iterate, "TASK_ROWS", rows_of_a_task)
+    expr, seen = counted(spark.createDataFrame([(f"s{i}", f"g{j}", float(i + j)) for i in range(4) for j in range(3)], "sample_id string, gene_id string, value double"))
+    vocab = spark.createDataFrame([(f"g{j}", j, 1.0 + j) for j in range(3)], "gene_id string, token int, median double")
+
+    def score(frames):
+        for f in frames:
+            yield f.explode("input_ids").assign(src=lambda x: x.input_ids, dst=lambda x: x.input_ids, pos_i=0, pos_j=0, weight=1.0)[["sample_id", "src", "dst", "pos_i", "pos_j", "weight"]].astype({"src": "int32", "dst": "int32"})
+
+    out = pipelines.expression_to_weights(expr, vocab, score, "sample_id string, src int, dst int, pos_i int, pos_j int, weight double")
+    got = {(r.src, r.dst): (r.weight, r.n) for r in out.collect()}
+    assert got == {(j, j): (3 / 2048, 4) for j in range(3)} and seen.value == 12

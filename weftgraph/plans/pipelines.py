@@ -12,9 +12,8 @@ from weftgraph.operators.components import connected_components
 
 def expression_to_weights(expr: DataFrame, vocab: DataFrame, score, schema: str, max_length: int = encoding.MAX_LENGTH) -> DataFrame:
     """Expression to rank-encoded samples, to weights by the batch hook ``score``, to the largest weight of each pair."""
-    encoded = encoding.rank_encode(encoding.normalize_by_vocab(expr, vocab), max_length)
-    attn = pairs.by_length(pairs.score_batches(encoded, score, schema), encoded)
-    return pairs.attention_max(attn)
+    encoded = pairs.dealt_samples(encoding.rank_encode(encoding.normalize_by_vocab(expr, vocab), max_length))
+    return pairs.attention_max(pairs.score_batches(encoded, score, schema), lengths=encoded)
 
 
 def separation(weights: DataFrame, edges: DataFrame, sample: int, seed: int = 1) -> DataFrame:

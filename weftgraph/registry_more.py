@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,7 +182,8 @@ def expression_pair_weights(spark, d):
             ids, start = np.concatenate([np.zeros(0, np.int32), *f["input_ids"]]), np.cumsum(n) - n
             row = np.repeat(np.arange(len(n)), n * n)  # a cell for each ordered pair of positions
             i, j = np.divmod(np.arange(len(row)) - (np.cumsum(n * n) - n * n)[row], n[row])
-            cells = {"sample_id": f["sample_id"].to_numpy()[row], "src": ids[start[row] + i], "dst": ids[start[row] + j]}
+            names = pd.arrays.ArrowExtensionArray(pa.array(f["sample_id"], pa.string()).take(pa.array(row)))
+            cells = {"sample_id": names, "src": ids[start[row] + i], "dst": ids[start[row] + j]}
             yield pd.DataFrame({**cells, "pos_i": i, "pos_j": j, "weight": 1.0 / (1 + i + 2 * j)})
 
     schema = "sample_id string, src int, dst int, pos_i int, pos_j int, weight double"
