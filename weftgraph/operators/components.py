@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.iterate import checkpointed
+from weftgraph.functions.iterate import checkpointed, mirror
 
 
 def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), max_rounds: int = 60) -> DataFrame:
@@ -58,3 +58,18 @@ def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), max_round
     return nodes.join(roots, [*k, "node"], "left").select(
         *k, "node", F.coalesce("root", "node").alias("component")
     )
+
+
+def keys_with_component_above(edges: DataFrame, keys: tuple[str, ...], least: int) -> DataFrame:
+    """(keys): those of ``edges(keys, src, dst)`` that have a component of more than ``least`` nodes.
+
+    A node with ``least`` neighbours or more settles its key, for it is in a component with all of them. Only the edges of
+    other keys, whose nodes have few neighbours each, go through the rounds of ``connected_components``.
+    """
+    k = list(keys)
+    pairs = mirror(edges.where("src != dst").select(*k, "src", "dst")).distinct()
+    settled = pairs.groupBy(*k, "src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(*k).distinct()
+    settled = checkpointed(settled)
+    part = connected_components(edges.join(settled, k, "left_anti"), keys)
+    sizes = part.groupBy(*k, "component").agg(F.count(F.lit(1)).alias("size"))
+    return settled.unionByName(sizes.where(F.col("size") > least).select(*k).distinct())

@@ -55,10 +55,12 @@ def density(values: DataFrame, key: str, value: str, points: int = 300, log: boo
 
 
 def signed_emd(a: DataFrame, b: DataFrame, keys: tuple = ()) -> DataFrame:
-    """(keys, emd): first Wasserstein distance of a and b(keys, value) times the sign of median(b) - median(a)."""
+    """(keys, emd): first Wasserstein distance of a and b(keys, value) times the sign of median(b) - median(a).
+
+    Equal values are counted, and a and b computed, once; distance and medians both come from the counts."""
     k = list(keys)
     both = a.select(*k, "value").withColumn("s", F.lit(0)).unionByName(b.select(*k, "value").withColumn("s", F.lit(1)))
-    by = both.groupBy(*k, "value").agg(F.sum(1 - F.col("s")).alias("x"), F.sum("s").alias("y"))
+    by = checkpointed(both.groupBy(*k, "value").agg(F.sum(1 - F.col("s")).alias("x"), F.sum("s").alias("y")))
     if k:
         whole = Window.partitionBy(*k)
         run = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
@@ -71,7 +73,7 @@ def signed_emd(a: DataFrame, b: DataFrame, keys: tuple = ()) -> DataFrame:
         after = placed.select((F.col("rank") - 1).alias("rank"), F.col("value").alias("after"))
         steps = placed.join(after, "rank", "left").crossJoin(F.broadcast(total))
         steps = steps.select("x", "y", F.try_divide("u", "all_x").alias("f"), F.try_divide("v", "all_y").alias("g"), (F.col("after") - F.col("value")).alias("gap"))
-    sides = both.groupBy(*k).agg(F.median(F.when(F.col("s") == 0, F.col("value"))).alias("ma"), F.median(F.when(F.col("s") == 1, F.col("value"))).alias("mb"))
+    sides = by.groupBy(*k).agg(F.percentile("value", 0.5, F.col("x")).alias("ma"), F.percentile("value", 0.5, F.col("y")).alias("mb"))
     total = steps.where("x + y > 0").select(*k, (F.abs(F.col("f") - F.col("g")) * F.col("gap")).alias("part")).groupBy(*k).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("d"))
     joined = total.join(sides, k) if k else total.crossJoin(sides)
     return joined.where("ma is not null and mb is not null").select(*k, (F.col("d") * F.signum(F.col("mb") - F.col("ma"))).alias("emd"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.iterate import checkpointed, mirror
 from weftgraph.operators import distances, encoding, network, pairs, ranking, screening, selection, statistics, walks
-from weftgraph.operators.components import connected_components
+from weftgraph.operators.components import keys_with_component_above
 
 
 def expression_to_weights(expr: DataFrame, vocab: DataFrame, score, schema: str, max_length: int = encoding.MAX_LENGTH) -> DataFrame:
@@ -105,15 +105,23 @@ def fused_ranking(a: DataFrame, b: DataFrame, labels: DataFrame, top: int = 100)
     return ranking.evaluate_fusions(ranking.combined_counts(a, b), labels, top)
 
 
-def shift_by_disease(before: DataFrame, after: DataFrame, members: DataFrame, edges: DataFrame, least: int = 40) -> DataFrame:
-    """(disease, emd): signed distance of a module's edge weights before and after; members(disease, node)."""
+def shift_by_disease(before: DataFrame | str, after: DataFrame | str, members: DataFrame, edges: DataFrame, least: int = 40) -> DataFrame:
+    """(disease, emd): signed distance of a module's edge weights before and after; members(disease, node).
+
+    before and after are tables (src, dst, weight), or the names of columns of edges where those have them: they are
+    carried along then, and no weights are looked up. Edges with both ends in a module are found once, and all else is
+    taken from these."""
+    sides = {"before": before, "after": after}
+    carried = [F.col(w).alias(name) for name, w in sides.items() if isinstance(w, str)]
     a, b = members.withColumnRenamed("node", "src"), members.withColumnRenamed("node", "dst")
-    inside = checkpointed(edges.select("src", "dst").join(a, "src").join(b, ["disease", "dst"]))
-    part = connected_components(inside, ("disease",))
-    size = part.groupBy("disease", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("disease").agg(F.max("size").alias("size"))
-    kept = inside.join(size.where(F.col("size") > least), "disease", "left_semi")
-    values = [kept.join(w.select("src", "dst", "weight"), ["src", "dst"]).select("disease", F.col("weight").alias("value")) for w in (before, after)]
-    return statistics.signed_emd(*values, keys=("disease",))
+    inside = checkpointed(edges.select("src", "dst", *carried).join(a, "src").join(b, ["disease", "dst"]))
+    kept = inside.join(keys_with_component_above(inside, ("disease",), least), "disease", "left_semi")
+    weights = [
+        kept.select("disease", F.col(name).alias("value")) if isinstance(w, str)
+        else kept.select("disease", "src", "dst").join(w.select("src", "dst", "weight"), ["src", "dst"]).select("disease", F.col("weight").alias("value"))
+        for name, w in sides.items()
+    ]
+    return statistics.signed_emd(*weights, keys=("disease",))
 
 
 def hop_decay(edges: DataFrame, weights: DataFrame, module: DataFrame, hops: int = 4) -> DataFrame:
