@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import materialize, partitions, shared_dir, slices, table
-from weftgraph.llm.spans_cache import Encoded
+from weftgraph.llm.spans_cache import ONE, Encoded
 
 BLOCK_IDS = 1 << 17
 DOCS_PER_PART = 20_000
@@ -36,16 +36,25 @@ def _encoder(path: str, dtype: str):
         # the vocabulary's characters for the 256 bytes: printable ones stand for themselves, the rest follow 255 in order
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
-        chars = {b: 256 + i for i, b in enumerate(hidden)}
+        chars = [chr(b) for b in range(256)]
+        for i, b in enumerate(hidden):
+            chars[b] = chr(256 + i)
+        space = chars[32]
 
-        def ids_of(texts: list[str]) -> list[bytes]:
+        def match(x: str) -> bytes:
+            # the model's ids of one match of the pre-tokeniser
+            name = x.replace(" ", space) if x.isascii() else "".join([chars[b] for b in x.encode()])
+            return array(code, [t.id for t in token_of(name)]).tobytes()
+
+        def whole_ids(texts: list[str]) -> list[bytes]:
             return [array(code, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+        def ids_of(texts: list[str]) -> list[bytes]:
+            return [match(t) if ONE.fullmatch(t) else whole_ids([t])[0] for t in texts]
+
         def after(words: list[str]) -> list[bytes]:
-            # a space and letters are one match of the pre-tokeniser, so the model can have them at once
-            space = chr(chars[32])
-            names = [space + (w if w.isascii() else w.encode().decode("latin-1").translate(chars)) for w in words]
-            return [array(code, [t.id for t in token_of(w)]).tobytes() for w in names]
+            # a space and letters are one match of the pre-tokeniser
+            return [match(" " + w) for w in words]
 
         encoded = Encoded(after, ids_of)
 
@@ -54,7 +63,7 @@ def _encoder(path: str, dtype: str):
             whole = [i for i, t in enumerate(texts) if any(x in t for x in added)]
             out = encoded([t for t in texts if not any(x in t for x in added)] if whole else texts)
             for i in whole:
-                out.insert(i, ids_of([texts[i]])[0])
+                out.insert(i, whole_ids([texts[i]])[0])
             return out
 
         _workers[path] = encode, encoded.clear

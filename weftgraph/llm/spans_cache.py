@@ -11,17 +11,13 @@ from collections.abc import Callable
 
 KEPT = 400_000  # stretches of up to LONG characters in each of two generations, unless told otherwise: a worker then has 350 MB
 LONG = 64  # longer ones are not kept
-_ODD = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
-_WHITE_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")  # white space to some engines only: such texts stay whole
+# white space to some engines only: texts that hold one stay whole
+_WHITE_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u180e", "\u200b", "\ufeff")
 
 
-def stretches(text: str) -> tuple[str, list[str]]:
-    """The head of a text and what follows each cut; the cut's space belongs to what follows but is left out here."""
-    if _WHITE_ODD.search(text):
-        return text, []
-    head, *tails = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-    return head, tails
+class _NotAStretch(Exception):
+    """What a space cut off is empty or begins with white space."""
 
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"  # letters to every engine
@@ -29,6 +25,7 @@ _MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII marks but the apostrophe, which may begin
 _PART = re.compile(f" ?[{_LETTERS}]+| ?[{_MARKS}]+|\n")
 _PLAIN = re.compile(f"(?: ?[{_LETTERS}]++| ?[{_MARKS}]++|\\n(?!\\n))*+")  # possessive: no second try
 _WORD = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)")
+ONE = re.compile(f" ?(?:[{_LETTERS}]+|[{_MARKS}]+|[0-9]+)")  # texts that are one match of the pre-tokeniser
 
 
 def parts(text: str) -> list[str]:
@@ -37,30 +34,29 @@ def parts(text: str) -> list[str]:
 
 
 class _Kept(dict):
-    """The latest generation of what was encoded; the one before it is older."""
+    """The latest generation of what was encoded; the one before it is older. What is missing is made when it is looked
+    up; long keys last until the next turn."""
 
-    def __init__(self, most: int):
-        self.most, self.older = most, {}
+    def __init__(self, most: int, make: Callable[[str], bytes]):
+        self.most, self.make, self.older, self.long = most, make, {}, {}
 
     def turn(self) -> None:
+        self.long.clear()
         if len(self) > self.most:
             self.older = dict(self)
             self.clear()
 
-    def learn(self, new: set[str], encode: Callable[[list[str]], list[bytes]]) -> None:
-        """Have a value for each of new, which are no keys yet."""
-        if self.older:
-            again = [s for s in new if s in self.older]
-            self.update((s, self.older[s]) for s in again)
-            new.difference_update(again)
-        if new:
-            new = list(new)
-            self.update(zip(new, encode(new)))
-
-    def forget(self, texts) -> None:
-        for s in texts:
-            if len(s) > LONG:
-                self.pop(s, None)
+    def __missing__(self, s: str) -> bytes:
+        if len(s) > LONG:
+            made = self.long.get(s)
+            if made is None:
+                made = self.long[s] = self.make(s)
+            return made
+        made = self.older.get(s)
+        if made is None:
+            made = self.make(s)
+        self[s] = made
+        return made
 
 
 class Encoded:
@@ -76,59 +72,42 @@ class Encoded:
 
     def clear(self) -> None:
         """Forget all: at the end of a task, so that a worker's memory is free for whatever comes next."""
-        self.known, self.bare = _Kept(self.kept), _Kept(self.kept)  # keys of known have a space before them
-
-    def _learn(self, new: set[str]) -> None:
-        """Have a value in known for each of new."""
-        known, bare, cut, words, rest = self.known, self.bare, [], set(), set()
-        for s in new:
-            if s in known.older:
-                known[s] = known.older[s]
-                continue
-            m = _WORD.fullmatch(s)
-            if m is None:
-                pieces = parts(" " + s)
-                if len(pieces) == 1:
-                    pieces = [" " + s]
-                    rest.add(" " + s)
-                else:
-                    for p in pieces:
-                        (words if p[0] == " " and p[1:].isalpha() else rest).add(p[1:] if p[0] == " " and p[1:].isalpha() else p)
-                cut.append((s, pieces))
-            elif m[2]:
-                words.add(m[1]), rest.add(m[2])
-                cut.append((s, (" " + m[1], m[2])))
-            else:
-                words.add(s)
-        known.learn({w for w in words if w not in known}, self.after)
-        bare.learn({p for p in rest if p not in bare}, self.alone)
-        for s, pieces in cut:
-            known[s] = b"".join([known[p[1:]] if p[0] == " " and p[1:] in words else bare[p] for p in pieces])
-        known.forget(words - new)  # the caller still looks up new ones
-        bare.forget(rest)
-
-    def _heads(self, heads: list[str]) -> list[bytes]:
-        cut = [parts(h) for h in heads]
-        new = {p for c in cut for p in c}
-        self.bare.learn({p for p in new if p not in self.bare}, self.alone)
-        out = [b"".join([self.bare[p] for p in c]) for c in cut]
-        self.bare.forget(new)
-        return out
+        self.known, self.bare = _Kept(self.kept, self._stretch), _Kept(self.kept, self._bare)  # keys of known have a space before them
+
+    def _bare(self, s: str) -> bytes:
+        return self.alone([s])[0]
+
+    def _stretch(self, s: str) -> bytes:
+        if s.isascii() and s.isalpha():
+            return self.after([s])[0]
+        if not s or s[0].isspace():
+            raise _NotAStretch
+        m = _WORD.fullmatch(s)
+        if m is None:
+            pieces = parts(" " + s)
+            return b"".join([self.known[p[1:]] if p[0] == " " and p[1:].isalpha() and len(pieces) > 1 else self.bare[p] for p in pieces])
+        word, marks = m.groups()
+        return self.known[word] + self.bare[marks] if marks else self.after([s])[0]
+
+    def _joined(self, head: str, tails: list[str]) -> bytes:
+        return b"".join([*map(self.bare.__getitem__, parts(head)), *map(self.known.__getitem__, tails)])
+
+    def _text(self, text: str) -> bytes:
+        for c in _WHITE_ODD:
+            if c in text:
+                return self._joined(text, [])
+        head, *tails = text.split(" ")
+        try:
+            # a cut that the pre-tokeniser doesn't make leaves something that is never kept, so it comes to _stretch
+            return self._joined(head, tails)
+        except _NotAStretch:
+            head, *tails = _CUT.split(text)
+            return self._joined(head, tails)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for a in range(0, len(texts), 128):
-            self.known.turn(), self.bare.turn()
-            known, cut, new = self.known, [stretches(t) for t in texts[a : a + 128]], set()
-            got = [list(map(known.get, tails)) for _, tails in cut]
-            gaps = [[i for i, x in enumerate(g) if x is None] for g in got]
-            for (_, tails), at in zip(cut, gaps):
-                new.update([tails[i] for i in at])
-            long = {s for s in new if len(s) > LONG}
-            self._learn(new)
-            for (_, tails), g, at in zip(cut, got, gaps):
-                for i in at:
-                    g[i] = known[tails[i]]
-            out += [b"".join([h, *g]) for h, g in zip(self._heads([h for h, _ in cut]), got)]
-            known.forget(long)
+        for i, text in enumerate(texts):
+            if i % 128 == 0:
+                self.known.turn(), self.bare.turn()
+            out.append(self._text(text))
         return out
