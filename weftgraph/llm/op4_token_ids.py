@@ -120,8 +120,16 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     code = (whole > 0xFF).astype(np.uint8) + (whole > 0xFFFF) + (whole > 0xFFFFFF)
     by4 = code.reshape(-1, 4)
     control = by4[:, 0] | by4[:, 1] << 2 | by4[:, 2] << 4 | by4[:, 3] << 6
-    keep = np.arange(4) <= code[: len(ranks), None]
-    return control.astype(np.uint8).tobytes(), whole[: len(ranks)].view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    code, raw = code[: len(ranks)], whole.view(np.uint8).reshape(-1, 4)
+    ends = np.cumsum(code + np.uint8(1), dtype=np.int64)
+    at, data = ends - code - 1, np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    data[at] = raw[: len(ranks), 0]
+    for k in (1, 2, 3):
+        more = np.flatnonzero(code >= k)
+        if not len(more):
+            break
+        data[at[more] + k] = raw[more, k]
+    return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # of the four numbers that a control byte describes
