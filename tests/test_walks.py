@@ -1,7 +1,12 @@
 """Walks in packs of edges against dense matrices."""
 
+import os
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from weftgraph import registry
 from weftgraph.operators import walks
 
 
@@ -38,3 +43,49 @@ def test_walks_equal_dense_matrices(spark, monkeypatch):
 def test_a_walk_without_seeds_in_the_network_has_no_rows(spark):
     edges = spark.createDataFrame([("a", "b")], "src string, dst string")
     assert walks.random_walk(edges, spark.createDataFrame([("x",)], "node string")).collect() == []
+
+
+@pytest.mark.parametrize("named", [0, 1000])
+def test_packs_of_several_rows_equal_dense_matrices(spark, monkeypatch, named):
+    """The same with places that are looked up by a shuffle or a broadcast; each task adds rows to a pack."""
+    monkeypatch.setattr(walks, "NAMED", named)
+    monkeypatch.setattr(walks, "HELD", 10)
+    test_walks_equal_dense_matrices(spark, monkeypatch)
+
+
+def test_an_edge_takes_four_bytes_and_is_shuffled_in_a_pack(spark, monkeypatch):
+    seen, packs_of = [], walks._packs
+
+    def packs(*args):
+        packs = packs_of(*args)
+        size = packs.agg(F.count(F.lit(1)), F.sum(F.length("i") + F.length("j") + F.length("weight"))).first()
+        seen.append((*size, packs._jdf.queryExecution().executedPlan().toString()))
+        return packs
+
+    monkeypatch.setattr(walks, "_packs", packs)
+    edges = spark.range(0, 3000, 1, 2).select((F.col("id") % 50).cast("string").alias("src"), (F.col("id") % 47).cast("string").alias("dst"))
+    walks.random_walk(edges, spark.createDataFrame([("1",)], "node string"), max_iter=1).count()
+    rows, size, plan = seen[0]
+    assert size <= 3000 * 4 + rows * 8  # 16 before: two orders of two integers
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan  # the one pack goes to one partition
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_networks_of_one_graph_are_stored_once(spark, monkeypatch):
+    stored, nets = [], []
+
+    def checkpointed(df):
+        stored.append(df.columns)
+        return df.cache()
+
+    def detection(edges, *args, **kwargs):
+        nets.append(edges)
+        raise InterruptedError
+
+    monkeypatch.setattr(registry, "checkpointed", checkpointed)
+    monkeypatch.setattr(registry.pipelines, "module_detection", detection)
+    with pytest.raises(InterruptedError):
+        registry.module_detection_areas(spark, "/root/testdata/sf0.001")
+    assert stored == [["src", "dst", "weight"]]
+    by = {r.network: (r.n, r.ones) for r in nets[0].groupBy("network").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("weight") == 1).cast("int")).alias("ones")).collect()}
+    assert by["plain"][0] == by["plain"][1] == by["weighted"][0] > 0 == by["weighted"][1]

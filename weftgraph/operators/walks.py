@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ from weftgraph.functions.iterate import checkpointed, mirror, running
 
 WIDTH = 32  # runs whose scores are columns of one matrix
 LOOK = 4  # rounds between two looks at a walk's change; a walk may go on for as many rounds too long
-PACK = 1_000_000  # edges of a pack, about
+PACK = 2_000_000  # edges of a pack, about
+HELD = 1_000_000  # edges that a task holds before it packs them
+NAMED = 1_500_000  # nodes whose places are broadcast; with more of them edges are shuffled to find the places
 CELLS = 1 << 20  # scores of a part of the nodes at most
 
 _AT = "_net int, _block int, _part int"
@@ -31,7 +34,8 @@ def random_walk(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (),
 
     Nodes are dealt to parts by hash. The edges between two parts are packed once into arrays of places in them; they stay
     where they are, and a round sends to a pack the scores of its two parts as matrices (a row for each of up to WIDTH runs)
-    and what the pack moves back to the parts. Blocks of runs that have settled leave the loop.
+    and what the pack moves back to the parts. Blocks of runs that have settled leave the loop. ``edges`` is read three
+    times and not stored: what is shuffled are the packs, 2 or 4 bytes a place and 8 a weight, none where all are equal.
 
     Edges go both ways, so a step is like a symmetric matrix with eigenvalues within 1 - restart; where no weight is
     negative, rounds are combined by Chebyshev's recurrence, which reaches the same scores in about half the rounds.
@@ -67,7 +71,7 @@ def random_walk(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (),
     nodes = total.join(nets, own) if own else total.crossJoin(nets)
     nodes = nodes.withColumn("_part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     nodes = checkpointed(nodes.select("_net", "_part", "parts", "n", "node", "total", (F.row_number().over(in_part) - 1).alias("pos")))
-    packs = _packs(once.join(nets, own) if own else once.crossJoin(nets), nodes, packs_in_all)
+    packs = _packs(once.join(nets, own) if own else once.crossJoin(nets), nodes, packs_in_all, sum(r["n"] for r in sizes))
     fixed = checkpointed(_fixed(nodes, live, runs, k, width, restart))
     state = last = checkpointed(_started(fixed))
     done, keep, omega = None, 1 - restart, 1.0
@@ -92,24 +96,53 @@ def random_walk(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (),
     return each.join(nodes, ["_net", "_part", "pos"]).select(*k, "node", "score")
 
 
-def _packs(once: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
-    """(_net, _a, _b, i, j, weight): the edges between two parts as arrays of places; inside a part they stand in both orders."""
+def _packs(once: DataFrame, nodes: DataFrame, count: int, named: int) -> DataFrame:
+    """(_net, _a, _b, m, i, j, weight): m edges between two parts as arrays of places, each edge once; several rows a pack.
+
+    A task packs the edges that it reads, so no edge is shuffled as a row unless the nodes are too many to be broadcast."""
     at = nodes.select("_net", "node", "_part", "pos")
     for end, part, pos in (("src", "_a", "_i"), ("dst", "_b", "_j")):
-        once = once.join(at.select("_net", F.col("node").alias(end), F.col("_part").alias(part), F.col("pos").alias(pos)), ["_net", end])
-    once = once.select("_net", "_a", "_b", "_i", "_j", "weight")
-    swapped = once.select("_net", F.col("_b").alias("_a"), F.col("_a").alias("_b"), F.col("_j").alias("_i"), F.col("_i").alias("_j"), "weight")
-    rows = once.where("_a <= _b").unionByName(swapped.where("_a < _b or (_a = _b and _i != _j)"))
-
-    def pack(f):
-        weight = f["weight"].to_numpy()
-        weight = weight[:1] if (weight == weight[0]).all() else weight
-        return pd.DataFrame({**{c: f[c].iloc[:1] for c in ("_net", "_a", "_b")}, "i": [f["_i"].to_numpy(np.int32).tobytes()],
-                             "j": [f["_j"].to_numpy(np.int32).tobytes()], "weight": [weight.tobytes()]})
-
-    at = ["_net", "_a", "_b"]
-    packs = checkpointed(rows.groupBy(*at).applyInPandas(pack, "_net int, _a int, _b int, i binary, j binary, weight binary"))
-    return packs.repartition(min(count, 1000), *at).persist(StorageLevel.MEMORY_AND_DISK)  # dealt once, not in each round
+        places = at.select("_net", F.col("node").alias(end), F.col("_part").alias(part), F.col("pos").alias(pos))
+        once = once.join(F.broadcast(places) if named <= NAMED else places, ["_net", end])
+
+    def packed(held):
+        net, a, b, i, j, weight = (np.concatenate(c) for c in zip(*held))
+        swap = a > b
+        a, b, i, j = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, j, i), np.where(swap, i, j)
+        key = (net.astype(np.int64) * (a.max() + 1) + a) * (b.max() + 1) + b
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+        for rows in np.split(order, starts[1:]):
+            short = np.uint16 if max(i[rows].max(), j[rows].max()) < 1 << 16 else np.int32
+            w = weight[rows]
+            w = w[:1] if (w == w[0]).all() else w
+            values = (net[rows[0]], a[rows[0]], b[rows[0]], len(rows), i[rows].astype(short).tobytes(), j[rows].astype(short).tobytes(), w.tobytes())
+            types = [pa.int32()] * 4 + [pa.binary()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], ["_net", "_a", "_b", "m", "i", "j", "weight"])
+
+    def pack(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                size += batch.num_rows
+            if size >= HELD:
+                yield from packed(held)
+                held, size = [], 0
+        if held:
+            yield from packed(held)
+
+    rows = once.select("_net", "_a", "_b", "_i", "_j", "weight").mapInArrow(pack, "_net int, _a int, _b int, m int, i binary, j binary, weight binary")
+    return rows.repartition(min(count, 1000), "_net", "_a", "_b").persist(StorageLevel.MEMORY_AND_DISK)  # dealt once, not in each round
+
+
+def _edges_of(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, weight) of all rows of one pack; one weight if all are equal."""
+    i, j = (np.concatenate([np.frombuffer(x, np.uint16 if len(x) == 2 * m else np.int32) for x, m in zip(p[c], p["m"])]) for c in "ij")
+    weights = [np.frombuffer(x) for x in p["weight"]]
+    if all(len(w) == 1 and w[0] == weights[0][0] for w in weights):
+        return i, j, weights[0]
+    return i, j, np.concatenate([np.broadcast_to(w, m) for w, m in zip(weights, p["m"])])
 
 
 def _fixed(nodes: DataFrame, live: DataFrame, runs: DataFrame, k: list[str], width: int, restart: float) -> DataFrame:
@@ -146,12 +179,15 @@ def _round(packs: DataFrame, fixed: DataFrame, state: DataFrame, last: DataFrame
     def move(p, s):
         y = {(n, b, t): np.frombuffer(v).reshape(width, -1) for n, b, t, v in zip(s["_net"], s["_block"], s["_part"], s["y"])}
         out = []
-        for i, j, weight, a, b in zip(p["i"], p["j"], p["weight"], p["_a"], p["_b"]):
-            i, j, weight = np.frombuffer(i, np.int32), np.frombuffer(j, np.int32), np.frombuffer(weight)
+        if len(p) and y:
+            (i, j, weight), a, b = _edges_of(p), p["_a"].iloc[0], p["_b"].iloc[0]
+            back = np.where(i == j, 0, weight) if a == b else weight  # a loop is one way
             for (net, block, part), rows in y.items():
                 other, at, to = (b, i, j) if part == a else (a, j, i)
                 size = y[net, block, other].shape[1]
                 moved = np.stack([np.bincount(to, row[at] * weight, size) for row in rows])
+                if a == b:
+                    moved += [np.bincount(at, row[to] * back, size) for row in rows]
                 out.append((net, block, other, moved.tobytes()))
         return pd.DataFrame(out, columns=[*_BASE, "y"])
 
