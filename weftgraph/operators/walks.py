@@ -138,7 +138,7 @@ def _packs(once: DataFrame, nodes: DataFrame, count: int, named: int) -> DataFra
 
 def _edges_of(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, weight) of all rows of one pack; one weight if all are equal."""
-    i, j = (np.concatenate([np.frombuffer(x, np.uint16 if len(x) == 2 * m else np.int32) for x, m in zip(p[c], p["m"])]) for c in "ij")
+    i, j = (np.concatenate([np.frombuffer(x, np.uint16 if len(x) == 2 * m else np.int32) for x, m in zip(p[c], p["m"])], dtype=np.intp) for c in "ij")
     weights = [np.frombuffer(x) for x in p["weight"]]
     if all(len(w) == 1 and w[0] == weights[0][0] for w in weights):
         return i, j, weights[0]
